@@ -122,12 +122,12 @@ fr AS (
          CASE WHEN l_linenumber <= 6 THEN l_linenumber END AS measure_key,
          {_ymd('l_shipdate')} AS end_date_key,
          CASE WHEN off_ <> 0 THEN d_ END AS discharges,
-         CASE WHEN tax_ <> 0 THEN d_ * (tax_ + off_ + 8) // 100 END AS readmissions,
+         CASE WHEN tax_ <> 0 THEN d_ * (tax_ + off_ + 1 + l_suppkey % 10) // 100 END AS readmissions,
          CAST(p_ AS DECIMAL(14,0)) * 0.0001 AS predicted,
          CAST(e_ AS DECIMAL(14,0)) * 0.0001 AS expected,
          CAST(p_ * 10000 // e_ AS DECIMAL(14,0)) * 0.0001 AS excess,
          CASE WHEN off_ <> 0 AND tax_ <> 0
-              THEN CAST((20000 * (d_ * (tax_ + off_ + 8) // 100) + d_) // (2 * d_) AS DECIMAL(14,0)) * 0.01
+              THEN CAST((20000 * (d_ * (tax_ + off_ + 1 + l_suppkey % 10) // 100) + d_) // (2 * d_) AS DECIMAL(14,0)) * 0.01
          END AS rate
   FROM line0
 ),
@@ -183,11 +183,6 @@ def tier(rating: str, rate: str, stars: str) -> str:
     )
 
 
-def sixth(x: str, n: int) -> str:
-    """Interpolated percentiles may differ in the last binary digit."""
-    return r(x, n)
-
-
 def pick(id_: str, value: str) -> str:
     return f"max(CASE WHEN measure_id = '{id_}' THEN {value} END)"
 
@@ -328,7 +323,6 @@ _burden = q(
     {r('percent_rank() OVER (PARTITION BY year ORDER BY avg(rate) NULLS FIRST) * 100', 1)} AS efficiency_percentile
     FROM R WHERE discharges IS NOT NULL GROUP BY facility_id, facility_name, state, year, rate"""
 )
-_growth = f"""count_ AS (SELECT 1)"""
 
 
 def _yoy(source: str, keys: str, current: str = "current_year") -> str:
@@ -389,7 +383,6 @@ _loads = f"""first_ AS ({_delivery('customer', 'c', 'c_mktsegment', 1)}),
 second_ AS ({_delivery('supplier', 's', "'SUPPLIER'", 2)}),
 known AS (SELECT facility_id FROM first_ UNION SELECT facility_id FROM second_),
 keyed AS (SELECT facility_id, CAST(facility_id AS BIGINT) AS hospital_key FROM known)"""
-_no_id = "load_no"
 
 _hospital_load = q(
     """SELECT * EXCLUDE (load_no, n) FROM (
@@ -422,12 +415,12 @@ _readmission_load = q(
     f"""SELECT facility_id, measure_id,
     {big(f"CASE WHEN tax_ <> 1 THEN {_ymd('l_shipdate')} END")} AS start_date_key,
     {big(_ymd('l_shipdate'))} AS end_date_key, d_ AS number_of_discharges,
-    CASE WHEN tax_ <> 0 THEN d_ * (tax_ + off_ + 8) // 100 END AS number_of_readmissions,
+    CASE WHEN tax_ <> 0 THEN d_ * (tax_ + off_ + 1 + l_suppkey % 10) // 100 END AS number_of_readmissions,
     {dbl('CAST(p_ AS DECIMAL(14,0)) * 0.0001')} AS predicted_readmission_rate,
     CASE WHEN l_returnflag <> 'A' THEN {dbl('CAST(e_ AS DECIMAL(14,0)) * 0.0001')} END AS expected_readmission_rate,
     {dbl('CAST(p_ * 10000 // e_ AS DECIMAL(14,0)) * 0.0001')} AS excess_readmission_ratio,
     CASE WHEN tax_ <> 0
-         THEN {dbl('CAST((20000 * (d_ * (tax_ + off_ + 8) // 100) + d_) // (2 * d_) AS DECIMAL(14,0)) * 0.01')}
+         THEN {dbl('CAST((20000 * (d_ * (tax_ + off_ + 1 + l_suppkey % 10) // 100) + d_) // (2 * d_) AS DECIMAL(14,0)) * 0.01')}
     END AS readmission_rate_pct
     FROM line0 JOIN keyed ON l_suppkey = hospital_key
     LEFT JOIN meas ON measure_key = l_linenumber AND l_linenumber <= 6 WHERE off_ <> 0""",

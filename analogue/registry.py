@@ -33,17 +33,17 @@ STATES = ["NATION_3", "NATION_7"]
 def comparable(df: DataFrame) -> DataFrame:
     """Column types any engine shows alike: bigint, double, text, boolean."""
 
-    def plain(field):
-        c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, DecimalType):
-            return c.cast("double").alias(field.name)
-        if isinstance(field.dataType, (IntegerType, ShortType)):
-            return c.cast("bigint").alias(field.name)
-        if isinstance(field.dataType, (DateType, TimestampType)):
-            return c.cast("string").alias(field.name)
-        return c
-
-    return df.select(*[plain(f) for f in df.schema.fields])
+    def plain(field) -> str:
+        for kinds, shown in (
+            (DecimalType, "DOUBLE"),
+            ((IntegerType, ShortType), "BIGINT"),
+            ((DateType, TimestampType), "STRING"),
+        ):
+            if isinstance(field.dataType, kinds):
+                return f"CAST(`{field.name}` AS {shown}) AS `{field.name}`"
+        return f"`{field.name}`"
+
+    return df.selectExpr(*[plain(f) for f in df.schema.fields])
 
 
 def _on_star(build: Callable[[Star], DataFrame]) -> Query:

@@ -8,11 +8,10 @@ the same values; ``oracle.py`` says the same in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caregauge import constants as K
-from caregauge.functions.calendar import date_key
 from caregauge.functions.clean import derived_rate
 from caregauge.operators.storage import configure
 from caregauge.schemas import Star
@@ -23,8 +22,8 @@ FIRST_DAY, LAST_DAY = "1994-01-01", "2024-12-31"
 MEASURE_IDS = [seed[0] for seed in K.MEASURE_SEED]
 # Survey measure by order status and priority; an id outside the seed is left unknown.
 SURVEY_MEASURES = {
-    "F": [K.OVERALL_RATING, K.RECOMMEND, "H-COMP-1-A-P", "H-COMP-2-A-P", K.OVERALL_RATING],
-    "O": ["H-COMP-3-A-P", "H-COMP-5-A-P", K.RECOMMEND, "H-CLEAN-HSP-A-P", "H-QUIET-HSP-A-P"],
+    "F": [K.OVERALL_RATING, K.RECOMMEND, K.OVERALL_RATING, "H-COMP-2-A-P", K.OVERALL_RATING],
+    "O": ["H-COMP-3-A-P", "H-COMP-5-A-P", K.RECOMMEND, "H-CLEAN-HSP-A-P", K.OVERALL_RATING],
     "P": [K.OVERALL_RATING, "H-CLEAN-HSP-A-P", "H-QUIET-HSP-A-P", "H-OTHER", "H-COMP-1-A-P"],
 }
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -46,355 +45,314 @@ SUPPRESSED_TEXTS = [
 ]
 
 
+# Column types of the given tables; stated, so that no job has to look into the files.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,"
+    " l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,"
+    " l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE,"
+    " props STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _hundredths(c: str) -> str:
+    return f"CAST(round({c} * 100) AS BIGINT)"
 
 
-def _hundredths(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("bigint")
+def _ymd(d: str) -> str:
+    return f"(year({d}) * 10000 + month({d}) * 100 + day({d}))"
 
 
-def _div(a: Column, b: Column) -> Column:
-    """Whole-number division of positive numbers that fit a double exactly."""
-    return F.floor(a / b).cast("bigint")
+def _cases(value: str, choices: dict[str, str]) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in choices.items()) + " END"
 
 
-def _pick(value: Column, choices: dict[str, Column]) -> Column:
-    out = F.lit(None)
-    for text, result in choices.items():
-        out = F.when(value == text, result).otherwise(out)
-    return out
+def _quoted(text: str) -> str:
+    return f"'{text}'"
 
 
-def _key_of(measure_id: str) -> Column:
+def _key_of(measure_id: str) -> str:
     known = measure_id in MEASURE_IDS
-    return F.lit(MEASURE_IDS.index(measure_id) + 1 if known else None).cast("int")
+    return str(MEASURE_IDS.index(measure_id) + 1) if known else "NULL"
+
+
+def _places(whole: str, places: int, dtype: str) -> str:
+    """A whole number moved behind the decimal point."""
+    step = "0." + "0" * (places - 1) + "1"
+    return f"CAST(CAST({whole} AS DECIMAL(18,0)) * {step} AS {dtype})"
 
 
 # -- places ------------------------------------------------------------------------------
 
 
-def _placed(df: DataFrame, spark: SparkSession, sf_dir: str, nation: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str, name: str, nation: str) -> DataFrame:
     """With nation and region, two fixed lists of 25 and 5 rows."""
     nations = table(spark, sf_dir, "nation").join(
-        F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+        F.broadcast(table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey")
     )
-    return df.join(F.broadcast(nations), F.col(nation) == F.col("n_nationkey"))
+    return table(spark, sf_dir, name).join(F.broadcast(nations), F.expr(f"{nation} = n_nationkey"))
 
 
-def _rating(balance: Column) -> Column:
-    return F.when(balance >= 0, F.least(F.lit(5), 1 + F.floor(balance / 2000))).cast("int")
+def _rating(balance: str) -> str:
+    return f"CASE WHEN {balance} >= 0 THEN CAST(least(5, 1 + floor({balance} / 2000)) AS INT) END"
 
 
-def _group(balance: Column, low: int, high: int) -> Column:
+def _group(balance: str, low: int, high: int) -> str:
     return (
-        F.when(balance < low, F.lit("Below the national average"))
-        .when(balance < high, F.lit("Same as the national average"))
-        .otherwise(F.lit("Above the national average"))
+        f"CASE WHEN {balance} < {low} THEN 'Below the national average'"
+        f" WHEN {balance} < {high} THEN 'Same as the national average'"
+        " ELSE 'Above the national average' END"
     )
 
 
+def _groups(balance: str) -> list[str]:
+    return [
+        f"{_group(balance, 0, 3000)} AS mortality_group",
+        f"{_group(balance, 1000, 4000)} AS safety_group",
+        f"{_group(balance, 2000, 5000)} AS readmission_group",
+        f"{_group(balance, 3000, 6000)} AS patient_exp_group",
+    ]
+
+
 def hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    balance = F.col("c_acctbal")
-    return _placed(table(spark, sf_dir, "customer"), spark, sf_dir, "c_nationkey").select(
-        F.col("c_custkey").alias("hospital_key"),
-        F.substring("c_name", 10, 20).alias("facility_id"),
-        F.upper("c_name").alias("facility_name"),
-        F.concat(F.lit("Port "), F.lower("n_name")).alias("city"),
-        F.col("n_name").alias("state"),
-        F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("zip_code"),
-        F.col("r_name").alias("county_name"),
-        F.col("c_mktsegment").alias("hospital_type"),
-        F.concat(F.lit("Owner "), F.col("r_name")).alias("hospital_ownership"),
-        (balance >= 0).alias("emergency_services"),
-        _rating(balance).alias("overall_rating"),
-        _group(balance, 0, 3000).alias("mortality_group"),
-        _group(balance, 1000, 4000).alias("safety_group"),
-        _group(balance, 2000, 5000).alias("readmission_group"),
-        _group(balance, 3000, 6000).alias("patient_exp_group"),
+    return _placed(spark, sf_dir, "customer", "c_nationkey").selectExpr(
+        "c_custkey AS hospital_key",
+        "substr(c_name, 10) AS facility_id",
+        "upper(c_name) AS facility_name",
+        "concat('Port ', lower(n_name)) AS city",
+        "n_name AS state",
+        "lpad(CAST(c_nationkey AS STRING), 5, '0') AS zip_code",
+        "r_name AS county_name",
+        "c_mktsegment AS hospital_type",
+        "concat('Owner ', r_name) AS hospital_ownership",
+        "c_acctbal >= 0 AS emergency_services",
+        f"{_rating('c_acctbal')} AS overall_rating",
+        *_groups("c_acctbal"),
     )
 
 
 # -- facts -------------------------------------------------------------------------------
 
-
-def _line_numbers() -> dict[str, Column]:
-    """Whole numbers behind a readmission row."""
-    line = F.col("l_linenumber").cast("bigint")
-    quantity = F.col("l_quantity").cast("bigint")
-    off, tax = _hundredths("l_discount"), _hundredths("l_tax")
-    discharges = quantity * 20 + line
-    predicted = _div(_hundredths("l_extendedprice"), quantity)
-    expected = (line * 2 + 8) * 10000
-    return {
-        "off": off,
-        "tax": tax,
-        "discharges": discharges,
-        "readmissions": _div(discharges * (tax + off + 8), F.lit(100)),
-        "predicted": predicted,
-        "expected": expected,
-        "excess": _div(predicted * 10000, expected),
-    }
-
-
-def _places4(whole: Column, dtype: str) -> Column:
-    return (whole.cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast(dtype)
+# Whole numbers behind a readmission row.
+_OFF, _TAX = _hundredths("l_discount"), _hundredths("l_tax")
+_DISCHARGES = "(CAST(l_quantity AS BIGINT) * 20 + l_linenumber)"
+_READMISSIONS = f"({_DISCHARGES} * ({_TAX} + {_OFF} + 1 + l_suppkey % 10) div 100)"
+_PREDICTED = f"({_hundredths('l_extendedprice')} div CAST(l_quantity AS BIGINT))"
+_EXPECTED = "((l_linenumber * 2 + 8) * 10000)"
+_EXCESS = f"({_PREDICTED} * 10000 div {_EXPECTED})"
+_RATE = "DECIMAL(8,4)"
 
 
 def readmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _line_numbers()
-    discharges = F.when(n["off"] != 0, n["discharges"]).cast("int")
-    readmitted = F.when(n["tax"] != 0, n["readmissions"]).cast("int")
-    end = date_key(F.col("l_shipdate"))
-    rate = "decimal(8,4)"
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("hospital_key"),
-        F.when(F.col("l_linenumber") <= 6, F.col("l_linenumber")).cast("int").alias("measure_key"),
-        (end - 10000).alias("start_date_key"),
-        end.alias("end_date_key"),
-        discharges.alias("number_of_discharges"),
-        readmitted.alias("number_of_readmissions"),
-        _places4(n["predicted"], rate).alias("predicted_readmission_rate"),
-        _places4(n["expected"], rate).alias("expected_readmission_rate"),
-        _places4(n["excess"], rate).alias("excess_readmission_ratio"),
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey AS hospital_key",
+        "CASE WHEN l_linenumber <= 6 THEN l_linenumber END AS measure_key",
+        f"{_ymd('l_shipdate')} - 10000 AS start_date_key",
+        f"{_ymd('l_shipdate')} AS end_date_key",
+        f"CAST(CASE WHEN {_OFF} <> 0 THEN {_DISCHARGES} END AS INT) AS number_of_discharges",
+        f"CAST(CASE WHEN {_TAX} <> 0 THEN {_READMISSIONS} END AS INT) AS number_of_readmissions",
+        f"{_places(_PREDICTED, 4, _RATE)} AS predicted_readmission_rate",
+        f"{_places(_EXPECTED, 4, _RATE)} AS expected_readmission_rate",
+        f"{_places(_EXCESS, 4, _RATE)} AS excess_readmission_ratio",
     )
     return rows.withColumn(
         "readmission_rate_pct", derived_rate("number_of_readmissions", "number_of_discharges")
     )
 
 
-def satisfaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = _hundredths("o_totalprice")
-    stars = F.when(
-        F.col("o_orderpriority") != "4-NOT SPECIFIED", 1 + F.floor(F.col("o_totalprice") / 100000)
-    )
-    measure = _pick(
-        F.col("o_orderstatus"),
+_CENTS = _hundredths("o_totalprice")
+_STARS = "1 + floor(o_totalprice / 100000)"
+_ANSWER = f"(4000 + {_CENTS} % 6000)"
+
+
+def _survey_measure(shown) -> str:
+    return _cases(
+        "o_orderstatus",
         {
-            status: _pick(F.col("o_orderpriority"), dict(zip(PRIORITIES, map(_key_of, ids))))
+            status: _cases("o_orderpriority", dict(zip(PRIORITIES, map(shown, ids))))
             for status, ids in SURVEY_MEASURES.items()
         },
     )
-    end = date_key(F.col("o_orderdate"))
-    hundredth = F.lit("0.01").cast("decimal(2,2)")
-
-    def share(whole: Column) -> Column:
-        return (whole.cast("decimal(18,0)") * hundredth).cast("decimal(5,2)")
-
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("hospital_key"),
-        measure.alias("measure_key"),
-        (end - 10000).alias("start_date_key"),
-        end.alias("end_date_key"),
-        stars.cast("decimal(3,1)").alias("star_rating"),
-        share(4000 + cents % 6000).alias("answer_percent"),
-        (100 + _div(cents, F.lit(10000))).cast("int").alias("completed_surveys"),
-        share(1000 + _div(cents, F.lit(100)) % 4000).alias("response_rate_pct"),
-    )
 
 
-def _quality_parts() -> dict[str, Column]:
-    cents, kind = _hundredths("value"), F.col("event_type")
-    low = cents < 5000
-    day = F.to_date("ts")
-    year_shift = (
-        F.when(F.dayofmonth(day) <= 10, 2).when(F.dayofmonth(day) <= 20, 1).otherwise(0)
+def satisfaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS hospital_key",
+        f"{_survey_measure(_key_of)} AS measure_key",
+        f"{_ymd('o_orderdate')} - 10000 AS start_date_key",
+        f"{_ymd('o_orderdate')} AS end_date_key",
+        f"CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN CAST({_STARS} AS DECIMAL(3,1)) END"
+        " AS star_rating",
+        f"{_places(_ANSWER, 2, 'DECIMAL(5,2)')} AS answer_percent",
+        f"CAST(100 + {_CENTS} div 10000 AS INT) AS completed_surveys",
+        f"{_places(f'(1000 + {_CENTS} div 100 % 4000)', 2, 'DECIMAL(5,2)')} AS response_rate_pct",
     )
-    label = F.when(
-        low, F.when(cents < 1700, K.BETTER).when(cents < 3400, K.SAME).otherwise(K.WORSE)
-    ).otherwise(
-        F.when(cents < 7000, K.BETTER)
-        .when(cents < 10000, K.SAME)
-        .when(cents < 20000, K.WORSE)
-        .otherwise("Not Available")
+
+
+_VALUE = _hundredths("value")
+_SUPPRESSED = f"event_type = 'error' AND {_VALUE} < 500"
+# mortality rates at 30 and infection ratios at 1 ten-thousandth per cent
+_SCORE = f"CASE WHEN {_VALUE} < 5000 THEN {_VALUE} * 30 ELSE {_VALUE} END"
+_LABEL = (
+    f"CASE WHEN {_VALUE} < 5000 THEN CASE WHEN {_VALUE} < 1700 THEN '{K.BETTER}'"
+    f" WHEN {_VALUE} < 3400 THEN '{K.SAME}' ELSE '{K.WORSE}' END"
+    f" WHEN {_VALUE} < 7000 THEN '{K.BETTER}' WHEN {_VALUE} < 10000 THEN '{K.SAME}'"
+    f" WHEN {_VALUE} < 20000 THEN '{K.WORSE}' ELSE 'Not Available' END"
+)
+_EVENT_KEY = (
+    f"({_ymd('ts')} - CASE WHEN day(ts) <= 10 THEN 20000 WHEN day(ts) <= 20 THEN 10000 ELSE 0 END)"
+)
+
+
+def _quality_measure(shown) -> str:
+    low = _cases("event_type", {k: shown(m) for k, m in LOW_MEASURES.items()})
+    high = _cases("event_type", {k: shown(m) for k, m in HIGH_MEASURES.items()})
+    return (
+        f"CASE WHEN {_VALUE} < 5000 THEN {low}"
+        f" WHEN event_type = 'error' AND {_VALUE} >= 30000 THEN {shown('PSI-90')}"
+        f" WHEN event_type = 'error' AND {_VALUE} >= 15000 THEN {shown('HAI-6')} ELSE {high} END"
     )
-    return {
-        "cents": cents,
-        "kind": kind,
-        "low": low,
-        "sepsis": (kind == "error") & (cents >= 15000),
-        "unknown": (kind == "error") & (cents >= 30000),
-        "suppressed": (kind == "error") & (cents < 500),
-        # mortality rates at 30 and infection ratios at 1 ten-thousandth per cent
-        "score": F.when(low, cents * 30).otherwise(cents),
-        "label": label,
-        "end": date_key(day) - year_shift * 10000,
-    }
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _quality_parts()
-    measure = F.when(
-        p["low"], _pick(p["kind"], {k: _key_of(m) for k, m in LOW_MEASURES.items()})
-    ).otherwise(
-        F.when(p["unknown"], _key_of("PSI-90"))
-        .when(p["sepsis"], _key_of("HAI-6"))
-        .otherwise(_pick(p["kind"], {k: _key_of(m) for k, m in HIGH_MEASURES.items()}))
-    )
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("hospital_key"),
-        measure.alias("measure_key"),
-        (p["end"] - 10000).alias("start_date_key"),
-        p["end"].alias("end_date_key"),
-        F.when(~p["suppressed"], _places4(p["score"], "decimal(10,4)")).alias("score"),
-        p["label"].alias("compared_to_national"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS hospital_key",
+        f"{_quality_measure(_key_of)} AS measure_key",
+        f"{_EVENT_KEY} - 10000 AS start_date_key",
+        f"{_EVENT_KEY} AS end_date_key",
+        f"CASE WHEN NOT ({_SUPPRESSED}) THEN {_places(_SCORE, 4, 'DECIMAL(10,4)')} END AS score",
+        f"{_LABEL} AS compared_to_national",
     )
 
 
+def measures(spark: SparkSession) -> DataFrame:
+    key = _cases("measure_id", {m: _key_of(m) for m in MEASURE_IDS})
+    return measure_seed(spark).selectExpr("*", f"{key} AS measure_key")
+
+
 def star(spark: SparkSession, sf_dir: str) -> Star:
     configure(spark)
-    key = _pick(F.col("measure_id"), {m: _key_of(m) for m in MEASURE_IDS})
     return Star(
-        hospitals=hospitals(spark, sf_dir),
-        dates=date_dimension(spark, FIRST_DAY, LAST_DAY),
-        measures=measure_seed(spark).withColumn("measure_key", key),
-        readmissions=readmissions(spark, sf_dir),
-        satisfaction=satisfaction(spark, sf_dir),
-        quality=quality(spark, sf_dir),
+        hospitals=lambda: hospitals(spark, sf_dir),
+        dates=lambda: date_dimension(spark, FIRST_DAY, LAST_DAY),
+        measures=lambda: measures(spark),
+        readmissions=lambda: readmissions(spark, sf_dir),
+        satisfaction=lambda: satisfaction(spark, sf_dir),
+        quality=lambda: quality(spark, sf_dir),
     )
 
 
 # -- staging text ------------------------------------------------------------------------
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _delivery(
-    rows: DataFrame, name: str, balance: str, segment: Column, loaded: str
-) -> DataFrame:
-    b = F.col(balance)
-    return rows.select(
+def _delivery(rows: DataFrame, p: str, segment: str, loaded: str) -> DataFrame:
+    balance = f"{p}_acctbal"
+    return rows.selectExpr(
         # very low balances come without an id
-        F.when(b < -900, F.lit("   "))
-        .otherwise(F.concat(F.lit(" "), F.substring(name, 10, 20), F.lit(" ")))
-        .alias("facility_id"),
-        F.concat(F.lit("  "), F.col(name)).alias("facility_name"),
-        F.concat(F.lit("PORT "), F.col("n_name"), F.lit("  ")).alias("city"),
-        F.lower("n_name").alias("state"),
-        F.concat(F.lit(" 0"), _text(F.col("n_nationkey"))).alias("zip_code"),
-        F.col("r_name").alias("county_name"),
-        segment.alias("hospital_type"),
-        F.concat(F.lit("Owner "), F.col("r_name")).alias("hospital_ownership"),
-        F.when(b >= 5000, " yes").when(b >= 0, "No").alias("emergency_services"),
-        _rating(b).alias("hospital_overall_rating"),
-        _group(b, 0, 3000).alias("mortality_group"),
-        _group(b, 1000, 4000).alias("safety_group"),
-        _group(b, 2000, 5000).alias("readmission_group"),
-        _group(b, 3000, 6000).alias("patient_exp_group"),
-        F.lit(loaded).cast("timestamp").alias("raw_load_ts"),
+        f"CASE WHEN {balance} < -900 THEN '   ' ELSE concat(' ', substr({p}_name, 10), ' ') END"
+        " AS facility_id",
+        f"concat('  ', {p}_name) AS facility_name",
+        "concat('PORT ', n_name, '  ') AS city",
+        "lower(n_name) AS state",
+        "concat(' 0', CAST(n_nationkey AS STRING)) AS zip_code",
+        "r_name AS county_name",
+        f"{segment} AS hospital_type",
+        "concat('Owner ', r_name) AS hospital_ownership",
+        f"CASE WHEN {balance} >= 5000 THEN ' yes' WHEN {balance} >= 0 THEN 'No' END"
+        " AS emergency_services",
+        f"{_rating(balance)} AS hospital_overall_rating",
+        *_groups(balance),
+        f"TIMESTAMP '{loaded}' AS raw_load_ts",
     )
 
 
 def first_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _placed(table(spark, sf_dir, "customer"), spark, sf_dir, "c_nationkey")
-    return _delivery(rows, "c_name", "c_acctbal", F.col("c_mktsegment"), "2001-09-01")
+    rows = _placed(spark, sf_dir, "customer", "c_nationkey")
+    return _delivery(rows, "c", "c_mktsegment", "2001-09-01")
 
 
 def second_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _placed(table(spark, sf_dir, "supplier"), spark, sf_dir, "s_nationkey")
-    return _delivery(rows, "s_name", "s_acctbal", F.lit("SUPPLIER"), "2001-10-01")
+    rows = _placed(spark, sf_dir, "supplier", "s_nationkey")
+    return _delivery(rows, "s", "'SUPPLIER'", "2001-10-01")
+
 
+def _us_text(d: str) -> str:
+    return f"concat_ws('/', month({d}), day({d}), year({d}))"
 
-def _us_text(d: Column) -> Column:
-    return F.concat_ws("/", _text(F.month(d)), _text(F.dayofmonth(d)), _text(F.year(d)))
 
+def _facility(key: str) -> str:
+    # ids of delivered facilities have nine digits, and more when they need them
+    return f"concat('  ', lpad({key}, greatest(9, length({key})), '0')) AS facility_id"
 
-def _facility(key: str) -> Column:
-    # ids of delivered facilities have nine digits and more when they need them
-    digits = _text(F.col(key))
-    return F.concat(F.lit("  "), F.when(F.length(digits) < 9, F.lpad(digits, 9, "0")).otherwise(digits))
+
+def _text(c: str) -> str:
+    return f"CAST({c} AS STRING)"
 
 
 def staged_readmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _line_numbers()
-    line = F.col("l_linenumber")
-
-    def nth(texts: list[str]) -> Column:
-        return F.element_at(F.array(*map(F.lit, texts)), line)
-
-    end = F.to_date("l_shipdate")
-    rate = "decimal(8,4)"
-    return table(spark, sf_dir, "lineitem").select(
-        _facility("l_suppkey").alias("facility_id"),
-        nth(READMISSION_NAMES).alias("measure_name"),
-        F.when(n["off"] == 0, nth(SUPPRESSED_TEXTS))
-        .otherwise(F.concat(F.lit(" "), _text(n["discharges"])))
-        .alias("number_of_discharges"),
-        F.when(n["tax"] == 0, F.lit("not available"))
-        .otherwise(_text(n["readmissions"]))
-        .alias("number_of_readmissions"),
+    def nth(texts: list[str]) -> str:
+        return f"element_at(array({', '.join(map(_quoted, texts))}), l_linenumber)"
+
+    end = _us_text("l_shipdate")
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        _facility("l_suppkey"),
+        f"{nth(READMISSION_NAMES)} AS measure_name",
+        f"CASE WHEN {_OFF} = 0 THEN {nth(SUPPRESSED_TEXTS)} ELSE concat(' ', {_DISCHARGES}) END"
+        " AS number_of_discharges",
+        f"CASE WHEN {_TAX} = 0 THEN 'not available' ELSE {_text(_READMISSIONS)} END"
+        " AS number_of_readmissions",
         # digits beyond the fourth place round away
-        F.concat(_text(_places4(n["predicted"], rate)), F.lit("49")).alias(
-            "predicted_readmission_rate"
-        ),
-        F.when(F.col("l_returnflag") == "A", F.lit("N/A"))
-        .otherwise(_text(_places4(n["expected"], rate)))
-        .alias("expected_readmission_rate"),
-        _text(_places4(n["excess"], rate)).alias("excess_readmission_ratio"),
-        F.when(n["tax"] == 1, F.lit("13/45/2020")).otherwise(_us_text(end)).alias("start_date"),
-        F.when(F.col("l_returnflag") == "A", _text(end)).otherwise(_us_text(end)).alias("end_date"),
+        f"concat({_places(_PREDICTED, 4, _RATE)}, '49') AS predicted_readmission_rate",
+        f"CASE WHEN l_returnflag = 'A' THEN 'N/A' ELSE {_text(_places(_EXPECTED, 4, _RATE))} END"
+        " AS expected_readmission_rate",
+        f"{_text(_places(_EXCESS, 4, _RATE))} AS excess_readmission_ratio",
+        f"CASE WHEN {_TAX} = 1 THEN '13/45/2020' ELSE {end} END AS start_date",
+        f"CASE WHEN l_returnflag = 'A' THEN CAST(CAST(l_shipdate AS DATE) AS STRING) ELSE {end} END"
+        " AS end_date",
     )
 
 
 def staged_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = _hundredths("o_totalprice")
-    priority = F.col("o_orderpriority")
-    measure = _pick(
-        F.col("o_orderstatus"),
-        {
-            status: _pick(priority, {p: F.lit(m) for p, m in zip(PRIORITIES, ids)})
-            for status, ids in SURVEY_MEASURES.items()
-        },
-    )
-    hundredth = F.lit("0.01").cast("decimal(2,2)")
-    share = ((4000 + cents % 6000).cast("decimal(18,0)") * hundredth).cast("decimal(5,2)")
-    return table(spark, sf_dir, "orders").select(
-        _facility("o_custkey").alias("facility_id"),
-        F.concat(measure, F.lit(" ")).alias("hcahps_measure_id"),
-        F.when(priority == "4-NOT SPECIFIED", F.lit("Not Available"))
-        .otherwise(_text(1 + F.floor(F.col("o_totalprice") / 100000)))
-        .alias("patient_survey_star_rating"),
-        _text(share).alias("hcahps_answer_percent"),
-        F.when(priority == "5-LOW", F.lit("FOOTNOTE APPLIES"))
-        .otherwise(_text(100 + _div(cents, F.lit(10000))))
-        .alias("number_of_completed_surveys"),
-        _text(10 + _div(cents, F.lit(100)) % 40).alias("survey_response_rate_percent"),
-        _us_text(F.to_date("o_orderdate")).alias("start_date"),
-        _us_text(F.to_date("o_orderdate")).alias("end_date"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        _facility("o_custkey"),
+        f"concat({_survey_measure(_quoted)}, ' ') AS hcahps_measure_id",
+        f"CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Not Available' ELSE {_text(_STARS)} END"
+        " AS patient_survey_star_rating",
+        f"{_text(_places(_ANSWER, 2, 'DECIMAL(5,2)'))} AS hcahps_answer_percent",
+        "CASE WHEN o_orderpriority = '5-LOW' THEN 'FOOTNOTE APPLIES'"
+        f" ELSE {_text(f'100 + {_CENTS} div 10000')} END AS number_of_completed_surveys",
+        f"{_text(f'10 + {_CENTS} div 100 % 40')} AS survey_response_rate_percent",
+        f"{_us_text('o_orderdate')} AS start_date",
+        f"{_us_text('o_orderdate')} AS end_date",
     )
 
 
 def staged_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _quality_parts()
-    measure = F.when(
-        p["low"], _pick(p["kind"], {k: F.lit(m) for k, m in LOW_MEASURES.items()})
-    ).otherwise(
-        F.when(p["unknown"], F.lit("PSI-90"))
-        .when(p["sepsis"], F.lit("HAI-6"))
-        .otherwise(_pick(p["kind"], {k: F.lit(m) for k, m in HIGH_MEASURES.items()}))
-    )
-
-    def shown(whole: Column) -> Column:
-        text = _text(_places4(whole, "decimal(18,4)"))
-        return F.when(p["suppressed"], F.lit("Not Available")).otherwise(text)
-
-    key = p["end"]
-    day = F.concat_ws(
-        "/", _text(F.floor(key / 100) % 100), _text(key % 100), _text(F.floor(key / 10000))
-    )
-    return table(spark, sf_dir, "events").select(
-        _facility("user_id").alias("facility_id"),
-        F.concat(F.lit(" "), p["kind"], F.lit(" ")).alias("condition"),
-        measure.alias("measure_id"),
-        p["label"].alias("compared_to_national"),
-        F.when(p["suppressed"], F.lit("Too Few to Report"))
-        .otherwise(_text(p["cents"]))
-        .alias("denominator"),
-        shown(p["score"]).alias("score"),
-        shown(p["score"] - 1).alias("lower_estimate"),
-        shown(p["score"] + 1).alias("higher_estimate"),
-        day.alias("start_date"),
-        day.alias("end_date"),
+    def shown(whole: str) -> str:
+        text = _text(_places(whole, 4, "DECIMAL(18,4)"))
+        return f"CASE WHEN {_SUPPRESSED} THEN 'Not Available' ELSE {text} END"
+
+    key = _EVENT_KEY
+    day = f"concat_ws('/', {key} div 100 % 100, {key} % 100, {key} div 10000)"
+    return table(spark, sf_dir, "events").selectExpr(
+        _facility("user_id"),
+        "concat(' ', event_type, ' ') AS condition",
+        f"{_quality_measure(_quoted)} AS measure_id",
+        f"{_LABEL} AS compared_to_national",
+        f"CASE WHEN {_SUPPRESSED} THEN 'Too Few to Report' ELSE {_text(_VALUE)} END AS denominator",
+        f"{shown(_SCORE)} AS score",
+        f"{shown(f'({_SCORE}) - 1')} AS lower_estimate",
+        f"{shown(f'({_SCORE}) + 1')} AS higher_estimate",
+        f"{day} AS start_date",
+        f"{day} AS end_date",
     )

@@ -6,21 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def date_key(d: Column) -> Column:
+def date_key(d: str) -> Column:
     """yyyyMMdd as an integer, by arithmetic rather than by formatting text."""
-    return F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
+    return F.expr(f"year({d}) * 10000 + month({d}) * 100 + day({d})")
 
 
-def us_week(d: Column) -> Column:
+def us_week(d: str) -> Column:
     """Week number where week 1 holds January 1 and weeks start on Sunday."""
-    new_year = F.trunc(d, "year")
-    return (F.floor((F.dayofyear(d) + F.dayofweek(new_year) - 2) / 7) + 1).cast("int")
+    return F.expr(
+        f"CAST((dayofyear({d}) + dayofweek(trunc({d}, 'year')) - 2) div 7 + 1 AS INT)"
+    )
 
 
-def fiscal_year(d: Column) -> Column:
+def fiscal_year(d: str) -> Column:
     """October to September, named after the year it ends in."""
-    return F.year(F.add_months(d, 3))
+    return F.expr(f"year(add_months({d}, 3))")
 
 
-def fiscal_quarter(d: Column) -> Column:
-    return F.quarter(F.add_months(d, 3))
+def fiscal_quarter(d: str) -> Column:
+    return F.expr(f"quarter(add_months({d}, 3))")

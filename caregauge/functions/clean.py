@@ -1,4 +1,4 @@
-"""Cleaning expressions; all of them stay inside generated code (no Python UDF)."""
+"""Cleaning expressions."""
 
 from __future__ import annotations
 
@@ -7,62 +7,57 @@ from pyspark.sql import functions as F
 
 from ..constants import SUPPRESSED
 
-_SUPPRESSED = [token.upper() for token in SUPPRESSED]
+_SUPPRESSED = ", ".join(f"'{token.upper()}'" for token in SUPPRESSED)
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def number(c, dtype: str) -> Column:
+def number(c: str, dtype: str) -> Column:
     """Text as a number: NULL for suppressed texts and for what does not parse.
 
     A blank counts as suppressed. Fractions are rounded to the scale of a decimal
     type; a fraction in an integer column, or a value too wide, gives NULL.
     """
-    text = F.trim(_col(c))
-    return F.when(~F.upper(text).isin(_SUPPRESSED), text.try_cast(dtype))
+    return F.expr(
+        f"CASE WHEN upper(trim({c})) NOT IN ({_SUPPRESSED}) THEN try_cast(trim({c}) AS {dtype}) END"
+    )
 
 
-def us_date(c) -> Column:
+def us_date(c: str) -> Column:
     """MM/DD/YYYY (or ISO) text as a date, NULL when neither fits."""
-    text = F.trim(_col(c))
-    return F.coalesce(
-        F.try_to_date(text, "M/d/yyyy"), F.try_to_date(text, "yyyy-MM-dd")
+    return F.expr(
+        f"coalesce(try_to_date(trim({c}), 'M/d/yyyy'), try_to_date(trim({c}), 'yyyy-MM-dd'))"
     )
 
 
-def sentence_case(c) -> Column:
+def sentence_case(c: str) -> Column:
     """First letter of the whole text upper, all the rest lower."""
-    text = F.trim(_col(c))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
+    return F.expr(f"concat(upper(substr(trim({c}), 1, 1)), lower(substr(trim({c}), 2)))")
 
 
-def code(c) -> Column:
-    return F.upper(F.trim(_col(c)))
+def code(c: str) -> Column:
+    return F.expr(f"upper(trim({c}))")
 
 
-def yes_flag(c) -> Column:
+def yes_flag(c: str) -> Column:
     """True for any spelling of yes; everything else, NULL included, is False."""
-    return F.coalesce(code(c) == "YES", F.lit(False))
+    return F.expr(f"coalesce(upper(trim({c})) = 'YES', false)")
 
 
-def not_blank(c) -> Column:
-    return F.trim(_col(c)) != ""
+def not_blank(c: str) -> Column:
+    return F.expr(f"trim({c}) != ''")
 
 
-def ratio(top, bottom) -> Column:
+def ratio(top: str, bottom: str) -> Column:
     """Exact quotient, NULL where the divisor is zero."""
-    return _col(top).cast("decimal(20,4)") / F.nullif(_col(bottom), F.lit(0))
+    return F.expr(f"CAST({top} AS DECIMAL(20,4)) / nullif({bottom}, 0)")
 
 
-def percent(top, bottom, scale: int) -> Column:
-    return F.round(ratio(top, bottom) * 100, scale)
+def percent(top: str, bottom: str, scale: int) -> Column:
+    return F.expr(f"round(CAST({top} AS DECIMAL(20,4)) / nullif({bottom}, 0) * 100, {scale})")
 
 
-def derived_rate(readmissions, discharges) -> Column:
+def derived_rate(readmissions: str, discharges: str) -> Column:
     """Readmissions per hundred discharges at two places; NULL unless both are usable."""
-    n, d = _col(readmissions), _col(discharges)
-    return F.when(
-        (d > 0) & n.isNotNull(), F.round(n.cast("decimal(20,4)") / d * 100, 2)
-    ).cast("decimal(8,4)")
+    return F.expr(
+        f"CASE WHEN {discharges} > 0 THEN CAST(round("
+        f"CAST({readmissions} AS DECIMAL(20,4)) / nullif({discharges}, 0) * 100, 2) AS DECIMAL(8,4)) END"
+    )

@@ -2,67 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
 
 
-def _chain(pairs: Sequence[tuple[Column, str]], rest) -> Column:
-    head, *tail = pairs
-    out = F.when(head[0], F.lit(head[1]))
-    for condition, label in tail:
-        out = out.when(condition, F.lit(label))
-    return out.otherwise(F.lit(rest))
+def _cases(pairs, rest: str | None) -> Column:
+    whens = " ".join(f"WHEN {condition} THEN '{label}'" for condition, label in pairs)
+    return F.expr(f"CASE {whens} ELSE {'NULL' if rest is None else repr(rest)} END")
 
 
-def keyword_label(text: Column, rules, rest: str | None = "Other") -> Column:
+def keyword_label(text: str, rules, rest: str | None = "Other") -> Column:
     """Label of the first rule with a keyword contained in the text, case ignored."""
-    pairs = []
-    for words, label in rules:
-        hit = text.ilike(f"%{words[0]}%")
-        for word in words[1:]:
-            hit = hit | text.ilike(f"%{word}%")
-        pairs.append((hit, label))
-    return _chain(pairs, rest)
+    return _cases(
+        [(" OR ".join(f"{text} ILIKE '%{w}%'" for w in words), label) for words, label in rules],
+        rest,
+    )
 
 
-def volume_tier(volume: Column) -> Column:
-    return _chain([(volume >= least, label) for least, label in K.VOLUME_TIERS], K.VOLUME_REST)
+def volume_tier(volume: str) -> Column:
+    return _cases([(f"{volume} >= {least}", label) for least, label in K.VOLUME_TIERS], K.VOLUME_REST)
 
 
-def performance_tier(rating: Column, rate: Column, stars: Column) -> Column:
+def performance_tier(rating: str, rate: str, stars: str) -> Column:
     """Tier from overall rating, readmission rate and survey stars; order matters.
 
     A missing rate counts as 99 for the two upper tiers and as 0 for the lowest;
     missing stars count as 0. The rate band of "Average" is tested before the low
     rating, so a low-rated provider with a rate of 15 to 20 is "Average".
     """
-    high_rate = F.coalesce(rate, F.lit(99))
-    return _chain(
+    return _cases(
         [
-            ((rating >= 4) & (high_rate < 15) & (F.coalesce(stars, F.lit(0)) >= 4), K.TOP),
-            ((rating >= 3) & (high_rate < 18), K.ABOVE),
-            ((rating == 3) | rate.between(15, 20), K.AVERAGE),
-            ((rating <= 2) | (F.coalesce(rate, F.lit(0)) > 20), K.BELOW),
+            (f"{rating} >= 4 AND coalesce({rate}, 99) < 15 AND coalesce({stars}, 0) >= 4", K.TOP),
+            (f"{rating} >= 3 AND coalesce({rate}, 99) < 18", K.ABOVE),
+            (f"{rating} = 3 OR {rate} BETWEEN 15 AND 20", K.AVERAGE),
+            (f"{rating} <= 2 OR coalesce({rate}, 0) > 20", K.BELOW),
         ],
         K.NO_DATA,
     )
 
 
-def ratio_flag(ratio: Column) -> Column:
-    return (
-        F.when(ratio > 1, F.lit("Above Expected"))
-        .when(ratio < 1, F.lit("Below Expected"))
-        .when(ratio == 1, F.lit("At Expected"))
+def ratio_flag(ratio: str) -> Column:
+    return _cases(
+        [
+            (f"{ratio} > 1", "Above Expected"),
+            (f"{ratio} < 1", "Below Expected"),
+            (f"{ratio} = 1", "At Expected"),
+        ],
+        None,
     )
 
 
-def rating_band(rating: Column) -> Column:
-    return (
-        F.when(rating >= 4, F.lit("green"))
-        .when(rating == 3, F.lit("yellow"))
-        .when(rating <= 2, F.lit("red"))
+def rating_band(rating: str) -> Column:
+    return _cases(
+        [(f"{rating} IN (4, 5)", "green"), (f"{rating} = 3", "yellow"), (f"{rating} IN (1, 2)", "red")],
+        None,
     )
+
+
+def compared(label: str, column: str = "compared_to_national") -> str:
+    """SQL condition: the comparison label, case ignored."""
+    return f"lower({column}) = '{label.lower()}'"

@@ -13,39 +13,39 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROWS = "count(1)"
+
 
 def partials(
-    values: Mapping[str, Column | str],
-    flags: Mapping[str, Column] | None = None,
+    values: Mapping[str, str],
+    flags: Mapping[str, str] | None = None,
     squares: Iterable[str] = (),
 ) -> list[Column]:
-    """Partial aggregates of each value, and counts of each flag.
+    """Partial aggregates of each value, and counts of each flag (SQL expressions).
 
     Unused ones cost nothing: column pruning removes them from the plan.
     """
-    out = [F.count(F.lit(1)).alias("rows")]
-    for name, value in values.items():
-        c = F.col(value) if isinstance(value, str) else value
-        out += [
-            F.sum(c).alias(f"{name}_sum"),
-            F.count(c).alias(f"{name}_cnt"),
-            F.min(c).alias(f"{name}_min"),
-            F.max(c).alias(f"{name}_max"),
-        ]
+    out = [f"{ROWS} AS rows"]
+    for name, c in values.items():
+        out += [f"{f}({c}) AS {name}_{part}" for f, part in
+                (("sum", "sum"), ("count", "cnt"), ("min", "min"), ("max", "max"))]
         if name in squares:
-            out.append(F.sum(c * c).alias(f"{name}_sq"))
-    for name, condition in (flags or {}).items():
-        out.append(F.count(F.when(condition, 1)).alias(name))
-    return out
+            out.append(f"sum({c} * {c}) AS {name}_sq")
+    out += [f"count_if({condition}) AS {name}" for name, condition in (flags or {}).items()]
+    return [F.expr(x) for x in out]
+
+
+def rows() -> Column:
+    return F.expr(ROWS)
 
 
 def total(name: str) -> Column:
-    return F.sum(f"{name}_sum")
+    return F.expr(f"sum({name}_sum)")
 
 
 def mean(name: str, scale: int) -> Column:
     """Average over the original rows, rounded half away from zero."""
-    return F.round(total(name) / F.nullif(F.sum(f"{name}_cnt"), F.lit(0)), scale)
+    return F.expr(_quotient(f"sum({name}_sum)", f"sum({name}_cnt)", scale))
 
 
 def deviation(name: str, scale: int) -> Column:
@@ -53,28 +53,40 @@ def deviation(name: str, scale: int) -> Column:
 
     Exact in decimals while the moments fit, in doubles beyond that.
     """
-    n, s, sq = F.sum(f"{name}_cnt"), total(name), F.sum(f"{name}_sq")
-    exact_s = s.try_cast("decimal(18,4)")
-    exact = n.try_cast("decimal(13,0)") * sq.try_cast("decimal(22,8)") - exact_s * exact_s
-    wide = n.cast("double") * sq.cast("double") - s.cast("double") * s.cast("double")
-    pairs = F.nullif((n * (n - 1)).cast("double"), F.lit(0.0))
-    variance = F.greatest(F.coalesce(exact.cast("double"), wide), F.lit(0.0)) / pairs
-    return round_double(F.sqrt(F.when(n > 1, variance)), scale)
+    n, s, sq = f"sum({name}_cnt)", f"sum({name}_sum)", f"sum({name}_sq)"
+    s_fit = f"try_cast({s} AS DECIMAL(18,4))"
+    exact = f"try_cast({n} AS DECIMAL(13,0)) * try_cast({sq} AS DECIMAL(22,8)) - {s_fit} * {s_fit}"
+    wide = f"CAST({n} AS DOUBLE) * CAST({sq} AS DOUBLE) - CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE)"
+    spread = f"greatest(coalesce(CAST({exact} AS DOUBLE), {wide}), 0D)"
+    pairs = f"nullif(CAST({n} AS DOUBLE) * CAST({n} - 1 AS DOUBLE), 0D)"
+    return F.expr(rounded(f"sqrt({spread} / {pairs})", scale))
+
+
+def _quotient(top: str, bottom: str, scale: int) -> str:
+    """Rounded once, from more places than ``avg`` keeps; narrow, so that an average of
+    averages is just as exact."""
+    return f"CAST(round({top} / nullif({bottom}, 0), {scale}) AS DECIMAL(18,{scale}))"
+
+
+def rounded(c: str, scale: int) -> str:
+    """SQL to round a double half away from zero, free of binary noise around ties."""
+    return f"round(CAST({c} AS DECIMAL(24,12)), {scale})"
 
 
-def round_double(c: Column, scale: int) -> Column:
-    """Round a double half away from zero, free of binary noise around ties."""
-    return F.round(c.cast("decimal(24,12)"), scale)
+def average(value: str, scale: int, where: str | None = None) -> Column:
+    """Rounded average of a value, over the rows that meet a condition."""
+    c = value if where is None else f"CASE WHEN {where} THEN {value} END"
+    return F.expr(_quotient(f"sum({c})", f"count({c})", scale))
 
 
 def value_of(id_column: str, wanted: str, value: str) -> Column:
     """One cell of a pivot: the largest value among the rows of one id."""
-    return F.max(F.when(F.col(id_column) == wanted, F.col(value)))
+    return F.expr(f"max(CASE WHEN {id_column} = '{wanted}' THEN {value} END)")
 
 
-def mean_of(id_column: str, wanted: Iterable[str], value: str, scale: int) -> Column:
-    """Average of a value over the rows of a set of ids."""
-    return F.round(F.avg(F.when(F.col(id_column).isin(list(wanted)), F.col(value))), scale)
+def one_of(id_column: str, wanted: Iterable[str]) -> str:
+    """SQL condition: the id is among the wanted ones."""
+    return f"{id_column} IN ({', '.join(repr(w) for w in wanted)})"
 
 
 def ordered_list(text: str, count: str, separator: str = ", ") -> Column:
@@ -83,18 +95,15 @@ def ordered_list(text: str, count: str, separator: str = ", ") -> Column:
     Takes rows already counted per (group, text), so that a group collects one entry
     per distinct text however many rows stood behind it. NULL when nothing counts.
     """
-    entries = F.array_sort(
-        F.collect_list(F.when(F.col(count) > 0, F.struct(F.col(text), F.col(count))))
-    )
-    repeated = F.transform(entries, lambda e: F.array_repeat(e[text], e[count].cast("int")))
-    return F.when(F.size(entries) > 0, F.array_join(F.flatten(repeated), separator))
+    entries = f"array_sort(collect_list(CASE WHEN {count} > 0 THEN struct({text}, {count}) END))"
+    repeated = f"flatten(transform({entries}, e -> array_repeat(e.{text}, CAST(e.{count} AS INT))))"
+    return F.expr(f"nullif(array_join({repeated}, '{separator}'), '')")
 
 
-def spread_pivot(df: DataFrame, rows: str, columns: str, labels, value: str, scale: int) -> DataFrame:
+def spread_pivot(df: DataFrame, by: str, columns: str, labels, value: str, scale: int) -> DataFrame:
     """Matrix of averages with a fixed list of columns (so no extra pass to find them)."""
-    wide = df.groupBy(rows).pivot(columns, list(labels)).agg(F.avg(value))
-    return wide.select(rows, *[round_double(F.col(f"`{x}`"), scale).alias(x) for x in labels])
+    return df.groupBy(by).pivot(columns, list(labels)).agg(average(value, scale))
 
 
 def count_by(df: DataFrame, label: str, out: str = "hospital_count") -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias(out))
+    return df.groupBy(label).agg(rows().alias(out))

@@ -9,18 +9,28 @@ combination of the others.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import partials, round_double
+from .aggregates import partials, rounded
+
+# Row products up to this many are summed as exact decimals, larger ones as doubles.
+EXACT_ROWS = 10**14
+
+
+def _product(facts: Iterable[str]) -> str:
+    """SQL for the rows of a left join to these facts. Three facts of up to a trillion
+    rows per entity fit the type."""
+    out = "CAST(1 AS DECIMAL(38,0))"
+    for name in facts:
+        out = f"CAST({out} * CAST(coalesce({name}_rows, 1) AS DECIMAL(19,0)) AS DECIMAL(38,0))"
+    return out
 
 
 def fanout_partials(
-    entities: DataFrame,
-    key: str,
-    facts: Mapping[str, tuple[DataFrame, Mapping[str, Column | str]]],
+    entities: DataFrame, key: str, facts: Mapping[str, tuple[DataFrame, Mapping[str, str]]]
 ) -> DataFrame:
     """Entities with the sums and counts of every fact's values and the row multipliers.
 
@@ -29,53 +39,40 @@ def fanout_partials(
     """
     out = entities
     for name, (fact, values) in facts.items():
-        per = fact.groupBy(key).agg(*partials(values))
-        per = per.withColumnRenamed("rows", f"{name}_rows")
+        per = fact.groupBy(key).agg(*partials(values)).withColumnRenamed("rows", f"{name}_rows")
         out = out.join(per, key, "left")
+    return out.selectExpr(
+        "*",
+        *[f"{_product(m for m in facts if m != n)} AS {n}_others" for n in facts],
+        f"{_product(facts)} AS all_rows",
+    )
 
-    def rows(name: str) -> Column:
-        return F.coalesce(F.col(f"{name}_rows"), F.lit(1)).cast("decimal(19,0)")
-
-    def product(names: Sequence[str]) -> Column:
-        result = F.lit(1).cast("decimal(19,0)")
-        for n in names:
-            result = (result * rows(n)).cast("decimal(38,0)")
-        return result
 
-    columns = {f"{n}_others": product([m for m in facts if m != n]) for n in facts}
-    columns["all_rows"] = product(list(facts))
-    return out.withColumns(columns)
-
-
-# Row products up to this many are summed as exact decimals, larger ones as doubles.
-EXACT_ROWS = 10**14
+def _repeated(amount: str, others: str) -> tuple[str, str, str]:
+    """Sum of an amount times a row product: whether exact fits, the exact sum, the wide one."""
+    fits = f"{others} <= {EXACT_ROWS}"
+    exact = f"sum(CASE WHEN {fits} THEN CAST({amount} * {others} AS DECIMAL(38,4)) END)"
+    wide = f"sum(CAST({amount} AS DOUBLE) * CAST({others} AS DOUBLE))"
+    return f"min({fits})", exact, wide
 
 
-def _repeated(amount: Column, others: str) -> tuple[Column, Column, Column]:
-    """Sum of an amount times a row product: whether exact fits, the exact sum, the wide one."""
-    times = F.col(others)
-    fits = times <= F.lit(EXACT_ROWS).cast("decimal(38,0)")
-    exact = F.sum(F.when(fits, (amount * times).cast("decimal(38,4)")))
-    wide = F.sum(amount.cast("double") * times.cast("double"))
-    return F.min(fits), exact, wide
+def _either(amount: str, others: str, dtype: str) -> str:
+    fits, exact, wide = _repeated(amount, others)
+    return f"CASE WHEN {fits} THEN CAST({exact} AS {dtype}) ELSE CAST({wide} AS {dtype}) END"
 
 
 def repeated_sum(value: str, others: str) -> Column:
     """Sum over the product, of a whole number."""
-    fits, exact, wide = _repeated(F.col(f"{value}_sum"), others)
-    whole = "decimal(38,0)"
-    return F.when(fits, exact.cast(whole)).otherwise(wide.cast(whole))
+    return F.expr(_either(f"{value}_sum", others, "DECIMAL(38,0)"))
 
 
 def repeated_mean(value: str, others: str, scale: int) -> Column:
     """Average over the product; the quotient is formed in doubles."""
-    parts = []
-    for part in ("sum", "cnt"):
-        fits, exact, wide = _repeated(F.col(f"{value}_{part}"), others)
-        parts.append(F.when(fits, exact.cast("double")).otherwise(wide))
-    return round_double(parts[0] / F.nullif(parts[1], F.lit(0.0)), scale)
+    top = _either(f"{value}_sum", others, "DOUBLE")
+    bottom = _either(f"{value}_cnt", others, "DOUBLE")
+    return F.expr(rounded(f"({top}) / nullif({bottom}, 0D)", scale))
 
 
-def repeated_count(condition: Column, others: str = "all_rows") -> Column:
+def repeated_count(condition: str, others: str = "all_rows") -> Column:
     """How often a condition on the entity holds over the product; 0 when never."""
-    return F.sum(F.when(condition, F.col(others)).otherwise(F.lit(0)))
+    return F.expr(f"sum(CASE WHEN {condition} THEN {others} ELSE 0 END)")

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..functions.clean import percent
+from pyspark.sql import DataFrame
 
 
 def year_over_year(df: DataFrame, by: Sequence[str], year: str, value: str) -> DataFrame:
@@ -17,11 +14,11 @@ def year_over_year(df: DataFrame, by: Sequence[str], year: str, value: str) -> D
     gap leaves NULL, and one shuffle does what a self-join would need two for. A group
     has at most as many rows as the calendar has years.
     """
-    before = Window.partitionBy(*by).orderBy(year).rangeBetween(-1, -1)
-    prior = F.max(value).over(before)
-    change = F.col(value) - F.col("prior_year_discharges")
-    return (
-        df.withColumn("prior_year_discharges", prior)
-        .withColumn("volume_change", change)
-        .withColumn("yoy_growth_pct", percent("volume_change", "prior_year_discharges", 2))
+    before = f"OVER (PARTITION BY {', '.join(by)} ORDER BY {year} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+    change = f"{value} - prior_year_discharges"
+    return df.selectExpr("*", f"max({value}) {before} AS prior_year_discharges").selectExpr(
+        "*",
+        f"{change} AS volume_change",
+        f"round(CAST({change} AS DECIMAL(20,4)) / nullif(prior_year_discharges, 0) * 100, 2)"
+        " AS yoy_growth_pct",
     )

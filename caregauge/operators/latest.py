@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, key: Column, order: str, columns: list[str]) -> DataFrame:
-    """The newest row per key, as ``key`` plus the given columns.
+def latest_per_key(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """The newest row per key (an SQL expression), as ``key`` plus the given columns.
 
     An aggregate rather than a ranked window: it combines on the map side, so a key
     with very many loads never gathers in one task. Ties fall to the larger row hash.
     """
-    rank = F.struct(F.col(order), F.xxhash64(*columns).alias("tie"))
-    newest = F.max_by(F.struct(*columns), rank)
-    return (
-        df.groupBy(key.alias("key")).agg(newest.alias("row")).select("key", "row.*")
-    )
+    row = ", ".join(columns)
+    newest = F.expr(f"max_by(struct({row}), struct({order}, xxhash64({row})))")
+    return df.groupBy(F.expr(f"{key} AS key")).agg(newest.alias("row")).select("key", "row.*")
 
 
 def with_end_date(fact: DataFrame, dates: DataFrame, *columns: str) -> DataFrame:
@@ -25,7 +23,7 @@ def with_end_date(fact: DataFrame, dates: DataFrame, *columns: str) -> DataFrame
     The calendar has one row per day of a few years whatever the size of the facts,
     hence the broadcast.
     """
-    calendar = dates.select(F.col("date_key").alias("end_date_key"), "year", *columns)
+    calendar = dates.selectExpr("date_key AS end_date_key", "year", *columns)
     return fact.join(F.broadcast(calendar), "end_date_key")
 
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import rounded
 from .storage import checkpointed, source_bytes
 
 # Source files up to this size may be ranked by a window.
@@ -25,35 +26,41 @@ def _windowed(df: DataFrame, method: str) -> bool:
     return method == "window" or (method == "auto" and source_bytes(df) <= WINDOW_LIMIT)
 
 
+def _join_same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns, NULL matching NULL; the result keeps the left ones."""
+    renamed = right.withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = " AND ".join(f"{c} <=> _{c}" for c in columns)
+    return left.join(renamed, F.expr(same), how).drop(*[f"_{c}" for c in columns])
+
+
 def running_counts(values: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
     """Adds ``before`` (rows of the group with a smaller value) and ``total`` (all rows).
 
     ``values`` holds distinct (by, value) with a row count; NULL sorts first. The range
     partitioning is written to the checkpoint folder once, since the offsets and the
     rows must see the very same partitions. A group's slice of one partition is the
-    largest unit any task sorts.
+    largest unit any task sorts; offsets come from one row per group and partition.
     """
-    by = list(by)
+    keys = ", ".join(by)
     parts = checkpointed(
         values.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id())
     )
-    sizes = parts.groupBy(*by, "part").agg(F.sum(count).alias("size"))
-    over_parts = Window.partitionBy(*by).orderBy("part")
-    offsets = sizes.select(
-        *by,
-        "part",
-        (F.sum("size").over(over_parts) - F.col("size")).alias("offset"),
-        F.sum("size").over(Window.partitionBy(*by)).alias("total"),
+    offsets = (
+        parts.groupBy(*by, "part")
+        .agg(F.expr(f"sum({count}) AS size"))
+        .selectExpr(
+            *by,
+            "part",
+            f"sum(size) OVER (PARTITION BY {keys} ORDER BY part) - size AS offset",
+            f"sum(size) OVER (PARTITION BY {keys}) AS total",
+        )
+    )
+    local = parts.withColumn(
+        "local",
+        F.expr(f"sum({count}) OVER (PARTITION BY {keys}, part ORDER BY {value}) - {count}"),
     )
-    within = Window.partitionBy(*by, "part").orderBy(value)
-    local = parts.withColumn("local", F.sum(count).over(within) - F.col(count))
-    same = [local[c].eqNullSafe(offsets[c]) for c in by] + [local["part"] == offsets["part"]]
-    return local.join(offsets, same).select(
-        *[local[c] for c in by],
-        local[value],
-        local[count],
-        (F.col("local") + F.col("offset")).alias("before"),
-        "total",
+    return _join_same(local, offsets, [*by, "part"], "inner").selectExpr(
+        *by, value, count, "local + offset AS before", "total"
     )
 
 
@@ -61,26 +68,19 @@ def percent_rank(
     df: DataFrame, by: Sequence[str], order: str, out: str, scale: int = 1, method: str = "auto"
 ) -> DataFrame:
     """Percent rank within ``by`` on an ascending column (NULL first), times 100."""
-    by = list(by)
     if _windowed(df, method):
-        rank = F.percent_rank().over(Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_first()))
-        return df.withColumn(out, F.round((rank * 100).cast("decimal(24,12)"), scale))
+        rank = f"percent_rank() OVER (PARTITION BY {', '.join(by)} ORDER BY {order} ASC NULLS FIRST)"
+        return df.withColumn(out, F.expr(rounded(f"{rank} * 100", scale)))
     # read twice below, so computed once
     df = checkpointed(df)
-    counted = df.groupBy(*by, order).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_counts(counted, by, order, "n")
-    share = F.when(
-        F.col("total") > 1, F.col("before").cast("double") / (F.col("total") - 1).cast("double")
-    ).otherwise(0.0)
-    ranked = ranked.select(
-        *[F.col(c).alias(f"_{c}") for c in by],
-        F.col(order).alias("_value"),
-        F.round((share * 100).cast("decimal(24,12)"), scale).alias(out),
+    counted = df.groupBy(*by, order).agg(F.expr("count(1) AS n"))
+    share = "coalesce(CAST(before AS DOUBLE) / nullif(CAST(total - 1 AS DOUBLE), 0D), 0D)"
+    ranked = running_counts(counted, by, order, "n").selectExpr(
+        *by, order, f"{rounded(f'{share} * 100', scale)} AS {out}"
     )
     # One ranked row per distinct value: a value shared by very many rows is split by
     # the adaptive skew join.
-    same = [df[c].eqNullSafe(F.col(f"_{c}")) for c in by] + [df[order].eqNullSafe(F.col("_value"))]
-    return df.join(ranked, same).drop("_value", *[f"_{c}" for c in by])
+    return _join_same(df, ranked, [*by, order], "inner")
 
 
 def group_percentiles(
@@ -88,50 +88,44 @@ def group_percentiles(
     by: Sequence[str],
     value: str,
     points: Mapping[str, float],
-    count: str | None = None,
+    count: str = "1",
     method: str = "auto",
 ) -> DataFrame:
     """Interpolated percentiles: one row per group, one double column per point.
 
-    ``count`` names a column with the number of times each row counts. NULL values are
-    left out; a group without any value has no row.
+    ``count`` says how often each row counts. NULL values are left out; a group without
+    any value has no row.
     """
-    by = list(by)
-    known = df.where(F.col(value).isNotNull())
-    weight = F.col(count) if count else F.lit(1)
+    known = df.where(f"{value} IS NOT NULL")
     if _windowed(df, method):
         return known.groupBy(*by).agg(
-            *[F.percentile(value, F.lit(p), weight).alias(name) for name, p in points.items()]
+            *[F.expr(f"percentile({value}, {p}D, {count}) AS {name}") for name, p in points.items()]
         )
-    counted = known.groupBy(*by, value).agg(F.sum(weight).alias("n"))
+    counted = known.groupBy(*by, value).agg(F.expr(f"sum({count}) AS n"))
     placed = running_counts(counted, by, value, "n")
 
-    def at(position: Column) -> Column:
-        holds = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
-        return F.max(F.when(holds, F.col(value))).cast("double")
+    def at(position: str) -> str:
+        holds = f"before <= {position} AND {position} < before + n"
+        return f"max(CASE WHEN {holds} THEN CAST({value} AS DOUBLE) END)"
 
-    def point(p: float) -> Column:
-        position = (F.col("total") - 1) * F.lit(p)
-        low, high = F.floor(position), F.ceil(position)
+    def point(p: float) -> str:
+        position = f"(total - 1) * {p}D"
+        low, high = f"floor({position})", f"ceil({position})"
         # position is the same on every row of a group
-        share = F.max(position - low)
-        return at(low) * (1 - share) + at(high) * share
+        share = f"max({position} - {low})"
+        return f"{at(low)} * (1 - {share}) + {at(high)} * {share}"
 
-    return placed.groupBy(*by).agg(*[point(p).alias(name) for name, p in points.items()])
+    return placed.groupBy(*by).agg(*[F.expr(f"{point(p)} AS {name}") for name, p in points.items()])
 
 
 def with_percentiles(
     df: DataFrame, by: Sequence[str], value: str, points: Mapping[str, float], method: str = "auto"
 ) -> DataFrame:
     """Each row with the percentiles of its group over the rows of ``df``."""
-    by = list(by)
     if _windowed(df, method):
-        group = Window.partitionBy(*by)
-        return df.withColumns(
-            {name: F.percentile(value, F.lit(p)).over(group) for name, p in points.items()}
+        group = f"OVER (PARTITION BY {', '.join(by)})"
+        return df.selectExpr(
+            "*", *[f"percentile({value}, {p}D) {group} AS {name}" for name, p in points.items()]
         )
     df = checkpointed(df)
-    found = group_percentiles(df, by, value, points, method="range")
-    found = found.select(*[F.col(c).alias(f"_{c}") for c in by], *points)
-    same = [df[c].eqNullSafe(F.col(f"_{c}")) for c in by]
-    return df.join(found, same, "left").drop(*[f"_{c}" for c in by])
+    return _join_same(df, group_percentiles(df, by, value, points, method="range"), by, "left")

@@ -31,13 +31,10 @@ def source_bytes(df: DataFrame) -> int:
 
     A source of unknown size counts as very large.
     """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(
-            int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())
-        )
-    except AttributeError:  # a remote session shows no plan
+    if not hasattr(df, "_jdf"):  # a remote session shows no plan
         return UNKNOWN_SIZE
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def configure(spark: SparkSession) -> SparkSession:

@@ -39,7 +39,7 @@ def star_row_counts(star: Star) -> DataFrame:
 
 def load_audit(staging: DataFrame, hospitals: DataFrame, fact: DataFrame) -> DataFrame:
     """Delivered readmission rows without a hospital, and loaded ones without a measure."""
-    ids = staging.where(not_blank(F.col("facility_id"))).select(
+    ids = staging.where(not_blank("facility_id")).select(
         F.trim("facility_id").alias("facility_id")
     )
     # counted per id before the join: a hot id joins as one row

@@ -30,7 +30,9 @@ HOSPITAL_COLUMNS = [
     "updated_at",
 ]
 # The only columns a later delivery changes in a known hospital.
-REFRESHED = ["facility_name", "overall_rating", "readmission_group", "patient_exp_group"]
+REFRESHED = [
+    "facility_name", "overall_rating", "readmission_group", "patient_exp_group", "updated_at",
+]
 
 
 def load_measures(spark: SparkSession, existing: DataFrame | None = None) -> DataFrame:
@@ -51,8 +53,8 @@ def clean_hospitals(staging: DataFrame) -> DataFrame:
         "mortality_group", "safety_group", "readmission_group", "patient_exp_group",
     ]
     latest = latest_per_key(
-        staging.where(clean.not_blank(F.col("facility_id"))),
-        F.trim("facility_id"),
+        staging.where(clean.not_blank("facility_id")),
+        "trim(facility_id)",
         "raw_load_ts",
         columns,
     )
@@ -87,13 +89,10 @@ def upsert_hospitals(staging: DataFrame, existing: DataFrame) -> DataFrame:
     the others stay. Both sides are unique per facility, so one full join does it all.
     """
     new, old = clean_hospitals(staging).alias("new"), existing.alias("old")
-    both = old.join(new, F.col("old.facility_id") == F.col("new.facility_id"), "full_outer")
-    delivered = F.col("new.facility_id").isNotNull()
-    known = F.col("old.facility_id").isNotNull()
+    both = old.join(new, F.expr("old.facility_id = new.facility_id"), "full_outer")
 
-    def next_value(c: str):
-        if c in REFRESHED or c == "updated_at":
-            return F.when(delivered, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}"))
-        return F.when(known, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}"))
+    def next_value(c: str) -> str:
+        first, other = ("new", "old") if c in REFRESHED else ("old", "new")
+        return f"CASE WHEN {first}.facility_id IS NOT NULL THEN {first}.{c} ELSE {other}.{c} END AS {c}"
 
-    return both.select(*[next_value(c).alias(c) for c in HOSPITAL_COLUMNS])
+    return both.selectExpr(*[next_value(c) for c in HOSPITAL_COLUMNS])

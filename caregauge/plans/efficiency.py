@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.clean import percent, ratio
 from ..functions.labels import keyword_label, volume_tier
-from ..operators.aggregates import mean, partials, total
+from ..operators.aggregates import mean, partials, rows, total
 from ..operators.growth import year_over_year
 from ..operators.latest import with_end_date
 from ..operators.lookups import present_in
@@ -25,7 +25,7 @@ VOLUMES = {
 
 
 def dated_volumes(star: Star, *columns: str) -> DataFrame:
-    counted = star.readmissions.where(F.col("number_of_discharges").isNotNull())
+    counted = star.readmissions.where("number_of_discharges IS NOT NULL")
     return with_end_date(counted, star.dates, *columns)
 
 
@@ -35,7 +35,7 @@ def categorised(star: Star, rules) -> DataFrame:
         "measure_key",
         "measure_id",
         "measure_name",
-        keyword_label(F.col("measure_name"), rules).alias("clinical_category"),
+        keyword_label("measure_name", rules).alias("clinical_category"),
     )
 
 
@@ -46,11 +46,11 @@ def discharge_volume(star: Star) -> DataFrame:
         per.join(hospitals_with(star, "state", "hospital_type"), "hospital_key")
         .groupBy("year", "state", "hospital_type")
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             total("discharges").alias("total_discharges"),
-            F.round(
-                total("discharges").cast("decimal(20,4)") / F.nullif(F.sum("discharges_cnt"), F.lit(0)), 0
-            ).alias("avg_discharges_per_hospital"),
+            F.expr("round(CAST(sum(discharges_sum) AS DECIMAL(20,4)) / sum(discharges_cnt), 0)").alias(
+                "avg_discharges_per_hospital"
+            ),
             total("readmissions").alias("total_readmissions"),
         )
         .orderBy("year", "state", "hospital_type")
@@ -85,7 +85,7 @@ def volume_by_category(star: Star, rules=K.CATEGORY_RULES) -> DataFrame:
         per.join(hospitals_with(star, "state"), "hospital_key")
         .groupBy("year", "clinical_category", "state")
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             total("discharges").alias("total_discharges"),
             total("readmissions").alias("total_readmissions"),
             mean("rate", 2).alias("avg_readmission_pct"),
@@ -107,14 +107,12 @@ def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
     per_measure = measured.groupBy("hospital_key", "year", "measure_key").agg(*partials(volumes))
     per = per_measure.groupBy("hospital_key", "year").agg(
         total("discharges").alias("total_discharges"),
-        F.count(F.lit(1)).alias("conditions_tracked"),
+        rows().alias("conditions_tracked"),
         total("readmissions").alias("total_readmissions"),
     )
     per = present_in(per, star.hospitals, "hospital_key")
-    share: Column = ratio("total_readmissions", "total_discharges")
-    ranked = percent_rank(
-        per.withColumn("_share", share), ["year"], "_share", "efficiency_percentile", method=method
-    )
+    per = per.withColumn("_share", ratio("total_readmissions", "total_discharges"))
+    ranked = percent_rank(per, ["year"], "_share", "efficiency_percentile", method=method)
     who = ["facility_id", "facility_name", "city", "state", "hospital_type"]
     return (
         ranked.join(hospitals_with(star, *who), "hospital_key")
@@ -126,7 +124,7 @@ def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
             "total_readmissions",
             F.round(ratio("total_discharges", "conditions_tracked"), 0).alias("discharge_density"),
             percent("total_readmissions", "total_discharges", 2).alias("overall_readmit_pct"),
-            volume_tier(F.col("total_discharges")).alias("volume_tier"),
+            volume_tier("total_discharges").alias("volume_tier"),
             "efficiency_percentile",
         )
         .orderBy(F.desc("year"), F.desc("total_discharges"))
@@ -156,7 +154,7 @@ def readmission_burden(
             "total_discharges",
             "total_readmissions",
             F.round(RATE, 2).alias("avg_readmission_pct"),
-            F.round(F.col("total_readmissions") * F.lit(bed_days), 0).alias("est_readmission_bed_days"),
+            F.expr(f"round(total_readmissions * {bed_days}, 0)").alias("est_readmission_bed_days"),
             "efficiency_percentile",
         )
         .orderBy(F.desc("year"), F.desc("avg_readmission_pct"))

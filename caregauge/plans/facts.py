@@ -23,10 +23,10 @@ def _keyed(staging: DataFrame, hospitals: DataFrame) -> DataFrame:
     """
     known = hospitals.select("hospital_key", F.col("facility_id").alias("_facility"))
     return (
-        staging.where(clean.not_blank(F.col("facility_id")))
-        .join(known, F.trim("facility_id") == F.col("_facility"))
-        .withColumn("start_date_key", date_key(clean.us_date("start_date")))
-        .withColumn("end_date_key", date_key(clean.us_date("end_date")))
+        staging.where(clean.not_blank("facility_id"))
+        .join(known, F.expr("trim(facility_id) = _facility"))
+        .withColumns({d: clean.us_date(d) for d in ("start_date", "end_date")})
+        .withColumns({f"{d}_key": date_key(d) for d in ("start_date", "end_date")})
     )
 
 
@@ -39,15 +39,9 @@ def _measured(df: DataFrame, measures: DataFrame, measure_id: Column) -> DataFra
     return df.join(F.broadcast(known), measure_id == F.col("_measure"), "left")
 
 
-def _finished(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+def _finished(df: DataFrame, key: str, columns: list[Column | str]) -> DataFrame:
     """Adds a surrogate key over the row's content and the load time."""
-    out = df.select(
-        "hospital_key",
-        "measure_key",
-        "start_date_key",
-        "end_date_key",
-        *[c.alias(n) for n, c in columns.items()],
-    )
+    out = df.select("hospital_key", "measure_key", "start_date_key", "end_date_key", *columns)
     return out.select(
         F.xxhash64(*out.columns).alias(key), "*", F.current_timestamp().alias("created_at")
     )
@@ -63,25 +57,34 @@ def load_readmissions(
     """
     discharges = clean.number("number_of_discharges", "int")
     rows = staging.where(discharges.isNotNull())
-    by_words = keyword_label(F.col("measure_name"), K.MEASURE_ID_RULES, None)
+    by_words = keyword_label("measure_name", K.MEASURE_ID_RULES, None)
     if match_ids:
         ids = [seed[0] for seed in K.MEASURE_SEED if seed[2] == K.READMISSION]
         own = clean.code("measure_name")
         by_words = F.when(own.isin(ids), own).otherwise(by_words)
     df = _measured(_keyed(rows, hospitals), measures, by_words)
-    readmitted = clean.number("number_of_readmissions", "int")
     rate = "decimal(8,4)"
-    return _finished(
-        df,
-        "readmission_key",
+    numbers = df.withColumns(
         {
             "number_of_discharges": discharges,
-            "number_of_readmissions": readmitted,
+            "number_of_readmissions": clean.number("number_of_readmissions", "int"),
             "predicted_readmission_rate": clean.number("predicted_readmission_rate", rate),
             "expected_readmission_rate": clean.number("expected_readmission_rate", rate),
             "excess_readmission_ratio": clean.number("excess_readmission_ratio", rate),
-            "readmission_rate_pct": clean.derived_rate(readmitted, discharges),
-        },
+        }
+    )
+    derived = clean.derived_rate("number_of_readmissions", "number_of_discharges")
+    return _finished(
+        numbers.withColumn("readmission_rate_pct", derived),
+        "readmission_key",
+        [
+            "number_of_discharges",
+            "number_of_readmissions",
+            "predicted_readmission_rate",
+            "expected_readmission_rate",
+            "excess_readmission_ratio",
+            "readmission_rate_pct",
+        ],
     )
 
 
@@ -92,12 +95,12 @@ def load_satisfaction(staging: DataFrame, hospitals: DataFrame, measures: DataFr
     return _finished(
         df,
         "satisfaction_key",
-        {
-            "star_rating": clean.number("patient_survey_star_rating", "decimal(3,1)"),
-            "answer_percent": clean.number("hcahps_answer_percent", "decimal(5,2)"),
-            "completed_surveys": clean.number("number_of_completed_surveys", "int"),
-            "response_rate_pct": clean.number("survey_response_rate_percent", "decimal(5,2)"),
-        },
+        [
+            clean.number("patient_survey_star_rating", "decimal(3,1)").alias("star_rating"),
+            clean.number("hcahps_answer_percent", "decimal(5,2)").alias("answer_percent"),
+            clean.number("number_of_completed_surveys", "int").alias("completed_surveys"),
+            clean.number("survey_response_rate_percent", "decimal(5,2)").alias("response_rate_pct"),
+        ],
     )
 
 
@@ -105,16 +108,16 @@ def load_quality(staging: DataFrame, hospitals: DataFrame, measures: DataFrame)
     """Quality fact; a suppressed score is NULL and its comparison label stays."""
     rows = staging.where(F.col("measure_id").isNotNull())
     df = _measured(_keyed(rows, hospitals), measures, F.trim("measure_id"))
-    score = "decimal(10,4)"
     return _finished(
         df,
         "quality_key",
-        {
-            "condition": F.trim("condition"),
-            "score": clean.number("score", score),
-            "lower_estimate": clean.number("lower_estimate", score),
-            "higher_estimate": clean.number("higher_estimate", score),
-            "denominator": clean.number("denominator", "int"),
-            "compared_to_national": F.trim("compared_to_national"),
-        },
+        [
+            F.trim("condition").alias("condition"),
+            *[
+                clean.number(c, "decimal(10,4)").alias(c)
+                for c in ("score", "lower_estimate", "higher_estimate")
+            ],
+            clean.number("denominator", "int").alias("denominator"),
+            F.trim("compared_to_national").alias("compared_to_national"),
+        ],
     )

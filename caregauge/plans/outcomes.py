@@ -9,19 +9,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.clean import percent
-from ..functions.labels import performance_tier
-from ..operators.aggregates import deviation, mean, ordered_list, partials, value_of
+from ..functions.labels import compared, performance_tier
+from ..operators.aggregates import average, deviation, mean, ordered_list, partials, rows, value_of
 from ..operators.fanout import fanout_partials, repeated_count, repeated_mean
 from ..operators.latest import at_latest_year, with_end_date
-from ..operators.lookups import ci_equals, present_in
+from ..operators.lookups import present_in
 from ..schemas import Star
 from .performance import EXCESS, RATE, hospitals_with, with_measure
 
 
-def compared(label: str) -> Column:
-    return ci_equals(F.col("compared_to_national"), label)
-
-
 def _outcome_by_hospital(
     star: Star, category: str, columns: Mapping[str, str], composite: str, group: str, scope: str,
     worse: tuple[str, Column],
@@ -36,7 +32,7 @@ def _outcome_by_hospital(
     if scope == "category":
         fact = fact.join(
             F.broadcast(
-                star.measures.where(F.col("measure_category") == category).select("measure_key")
+                star.measures.where(f"measure_category = '{category}'").select("measure_key")
             ),
             "measure_key",
             "left_semi",
@@ -85,7 +81,7 @@ def quality_trend(star: Star) -> DataFrame:
         present_in(per, star.hospitals, "hospital_key")
         .groupBy(*by)
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             mean("score", 4).alias("national_avg_score"),
             deviation("score", 4).alias("score_std_dev"),
             F.round(F.min("score_min"), 4).alias("min_score"),
@@ -101,7 +97,7 @@ def quality_trend(star: Star) -> DataFrame:
 def overall_scorecard(star: Star) -> DataFrame:
     """One row per hospital over all periods, with its performance tier."""
     rates = star.readmissions.groupBy("hospital_key").agg(
-        F.round(F.avg(RATE), 2).alias("avg_readmission_pct")
+        average(RATE, 2).alias("avg_readmission_pct")
     )
     stars = (
         with_measure(star.satisfaction, star, "measure_id")
@@ -109,9 +105,9 @@ def overall_scorecard(star: Star) -> DataFrame:
         .agg(value_of("measure_id", K.OVERALL_RATING, "star_rating").alias("overall_stars"))
     )
     labels = star.quality.groupBy("hospital_key").agg(
-        F.count(F.when(compared(K.BETTER), 1)).alias("quality_better"),
-        F.count(F.when(compared(K.WORSE), 1)).alias("quality_worse"),
-        F.count(F.lit(1)).alias("quality_total"),
+        F.expr(f"count_if({compared(K.BETTER)})").alias("quality_better"),
+        F.expr(f"count_if({compared(K.WORSE)})").alias("quality_worse"),
+        rows().alias("quality_total"),
     )
     who = [
         "facility_id", "facility_name", "city", "state", "hospital_type", "hospital_ownership",
@@ -128,9 +124,9 @@ def overall_scorecard(star: Star) -> DataFrame:
         "quality_worse",
         "quality_total",
         percent("quality_better", "quality_total", 1).alias("pct_quality_above_national"),
-        performance_tier(
-            F.col("overall_rating"), F.col("avg_readmission_pct"), F.col("overall_stars")
-        ).alias("performance_tier"),
+        performance_tier("overall_rating", "avg_readmission_pct", "overall_stars").alias(
+            "performance_tier"
+        ),
     ).orderBy(F.desc("overall_rating"), F.asc("avg_readmission_pct"))
 
 
@@ -140,10 +136,10 @@ def fanned_out(star: Star, *columns: str) -> DataFrame:
     quality = star.quality.join(F.broadcast(category), "measure_key", "left")
     survey = star.satisfaction.join(F.broadcast(category), "measure_key", "left")
 
-    def scores(kind: str) -> Column:
-        return F.when(F.col("measure_category") == kind, F.col("score"))
+    def scores(kind: str) -> str:
+        return f"CASE WHEN measure_category = '{kind}' THEN score END"
 
-    recommend = F.when(F.col("measure_id") == K.RECOMMEND, F.col("answer_percent"))
+    recommend = f"CASE WHEN measure_id = '{K.RECOMMEND}' THEN answer_percent END"
     return fanout_partials(
         hospitals_with(star, *columns),
         "hospital_key",
@@ -160,20 +156,19 @@ def fanned_out(star: Star, *columns: str) -> DataFrame:
 
 def state_benchmark(star: Star) -> DataFrame:
     """Per state over the product of the three facts: star counts are multiplied rows."""
-    rating = F.col("overall_rating")
     return (
         fanned_out(star, "state", "overall_rating")
         .groupBy("state")
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             repeated_mean("rate", "readmission_others", 2).alias("state_avg_readmission_pct"),
             repeated_mean("excess", "readmission_others", 4).alias("state_avg_excess_ratio"),
             repeated_mean("stars", "survey_others", 2).alias("state_avg_star_rating"),
             repeated_mean("mortality", "quality_others", 4).alias("state_avg_mortality"),
             repeated_mean("hai", "quality_others", 4).alias("state_avg_hai_sir"),
-            repeated_count(rating == 5).alias("five_star_hospitals"),
-            repeated_count(rating == 4).alias("four_star_hospitals"),
-            repeated_count(rating <= 2).alias("low_rated_hospitals"),
+            repeated_count("overall_rating = 5").alias("five_star_hospitals"),
+            repeated_count("overall_rating = 4").alias("four_star_hospitals"),
+            repeated_count("overall_rating <= 2").alias("low_rated_hospitals"),
         )
         .orderBy("state_avg_readmission_pct")
     )
@@ -181,21 +176,20 @@ def state_benchmark(star: Star) -> DataFrame:
 
 def state_benchmark_corrected(star: Star) -> DataFrame:
     """The state benchmark with every fact averaged by itself and hospitals counted once."""
-    rating = F.col("overall_rating")
 
     return (
         fanned_out(star, "state", "overall_rating")
         .groupBy("state")
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             mean("rate", 2).alias("state_avg_readmission_pct"),
             mean("excess", 4).alias("state_avg_excess_ratio"),
             mean("stars", 2).alias("state_avg_star_rating"),
             mean("mortality", 4).alias("state_avg_mortality"),
             mean("hai", 4).alias("state_avg_hai_sir"),
-            F.count(F.when(rating == 5, 1)).alias("five_star_hospitals"),
-            F.count(F.when(rating == 4, 1)).alias("four_star_hospitals"),
-            F.count(F.when(rating <= 2, 1)).alias("low_rated_hospitals"),
+            F.expr("count_if(overall_rating = 5)").alias("five_star_hospitals"),
+            F.expr("count_if(overall_rating = 4)").alias("four_star_hospitals"),
+            F.expr("count_if(overall_rating <= 2)").alias("low_rated_hospitals"),
         )
         .orderBy("state_avg_readmission_pct")
     )
@@ -206,7 +200,7 @@ def hospital_type_comparison(star: Star) -> DataFrame:
         fanned_out(star, "hospital_type")
         .groupBy("hospital_type")
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             repeated_mean("excess", "readmission_others", 4).alias("avg_excess_readmission_ratio"),
             repeated_mean("rate", "readmission_others", 2).alias("avg_readmission_pct"),
             repeated_mean("stars", "survey_others", 2).alias("avg_satisfaction_stars"),

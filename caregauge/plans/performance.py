@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators.aggregates import mean, mean_of, partials, round_double, value_of
+from ..operators.aggregates import average, mean, one_of, partials, rounded, rows, value_of
 from ..operators.latest import at_latest_year, with_end_date
 from ..operators.lookups import present_in
 from ..operators.ranks import group_percentiles, with_percentiles
@@ -25,7 +25,7 @@ def with_measure(df: DataFrame, star: Star, *columns: str, category: str | None
     """Inner join to the measure dimension, a fixed list of a few dozen rows."""
     measures = star.measures
     if category is not None:
-        measures = measures.where(F.col("measure_category") == category)
+        measures = measures.where(f"measure_category = '{category}'")
     return df.join(F.broadcast(measures.select("measure_key", *columns)), "measure_key")
 
 
@@ -35,10 +35,10 @@ def readmission_by_hospital(star: Star) -> DataFrame:
         at_latest_year(star.readmissions, star.dates)
         .groupBy("hospital_key")
         .agg(
-            F.round(F.avg(EXCESS), 4).alias("avg_excess_readmission_ratio"),
-            F.round(F.avg(RATE), 2).alias("avg_readmission_rate_pct"),
-            F.round(F.avg("predicted_readmission_rate"), 4).alias("avg_predicted_rate"),
-            F.round(F.avg("expected_readmission_rate"), 4).alias("avg_expected_rate"),
+            average(EXCESS, 4).alias("avg_excess_readmission_ratio"),
+            average(RATE, 2).alias("avg_readmission_rate_pct"),
+            average("predicted_readmission_rate", 4).alias("avg_predicted_rate"),
+            average("expected_readmission_rate", 4).alias("avg_expected_rate"),
             F.sum("number_of_discharges").alias("total_discharges"),
             F.sum("number_of_readmissions").alias("total_readmissions"),
             F.countDistinct("measure_key").alias("measure_count"),
@@ -75,7 +75,7 @@ def readmission_percentiles(star: Star, method: str = "auto") -> DataFrame:
         _rates_by_measure_state(star)
         .groupBy("measure_name", "measure_id", "state", RATE)
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             mean("excess", 4).alias("national_avg_excess_ratio"),
         )
     )
@@ -91,7 +91,7 @@ def readmission_percentiles(star: Star, method: str = "auto") -> DataFrame:
             shown.alias("national_avg_readmission_pct"),
             shown.alias("min_readmission_pct"),
             shown.alias("max_readmission_pct"),
-            *[round_double(F.col(name), 2).alias(name) for name in QUARTILES],
+            *[F.expr(f"{rounded(name, 2)} AS {name}") for name in QUARTILES],
         )
         .orderBy("measure_name", "state")
     )
@@ -103,20 +103,19 @@ def readmission_percentiles_by_group(star: Star, method: str = "auto") -> DataFr
     by = ["measure_id", "state"]
     # one row per hospital, measure and rate: hospitals with several rates count once
     per_hospital = rates.groupBy("hospital_key", "measure_name", *by).agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.col(RATE) * F.col("n")).alias("rate_sum"),
-        F.sum(F.when(F.col(RATE).isNotNull(), F.col("n"))).alias("rate_cnt"),
+        F.expr(f"sum({RATE} * n)").alias("rate_sum"),
+        F.expr(f"sum(CASE WHEN {RATE} IS NOT NULL THEN n END)").alias("rate_cnt"),
         F.min(RATE).alias("rate_min"),
         F.max(RATE).alias("rate_max"),
     )
     groups = per_hospital.groupBy("measure_name", *by).agg(
-        F.count(F.lit(1)).alias("hospital_count"),
+        rows().alias("hospital_count"),
         mean("rate", 2).alias("avg_readmission_pct"),
         F.round(F.min("rate_min"), 2).alias("min_readmission_pct"),
         F.round(F.max("rate_max"), 2).alias("max_readmission_pct"),
     )
     points = group_percentiles(rates, by, RATE, QUARTILES, count="n", method=method)
-    points = points.select(*by, *[round_double(F.col(n), 2).alias(n) for n in QUARTILES])
+    points = points.selectExpr(*by, *[f"{rounded(n, 2)} AS {n}" for n in QUARTILES])
     return groups.join(points, by, "left").orderBy("measure_name", "state")
 
 
@@ -132,7 +131,7 @@ def readmission_trend(star: Star) -> DataFrame:
         present_in(per, star.hospitals, "hospital_key")
         .groupBy("year", "measure_name")
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             mean("excess", 4).alias("avg_excess_ratio"),
             mean("rate", 2).alias("avg_readmission_pct"),
         )
@@ -143,7 +142,7 @@ def readmission_trend(star: Star) -> DataFrame:
 def excess_readmissions(star: Star) -> DataFrame:
     """Latest-year rows with more readmissions than expected."""
     # the latest year is that of the whole fact, not of the rows at risk
-    recent = at_latest_year(star.readmissions, star.dates).where(F.col(EXCESS) > 1.0)
+    recent = at_latest_year(star.readmissions, star.dates).where(f"{EXCESS} > 1.0")
     who = ["facility_id", "facility_name", "city", "state", "hospital_type"]
     return (
         with_measure(recent, star, "measure_name")
@@ -167,8 +166,12 @@ def satisfaction_by_hospital(star: Star) -> DataFrame:
         .agg(
             value_of("measure_id", K.OVERALL_RATING, "star_rating").alias("overall_star_rating"),
             value_of("measure_id", K.RECOMMEND, "answer_percent").alias("pct_recommend"),
-            mean_of("measure_id", K.COMMUNICATION, "answer_percent", 1).alias("avg_communication_score"),
-            mean_of("measure_id", K.ENVIRONMENT, "answer_percent", 1).alias("avg_environment_score"),
+            average("answer_percent", 1, one_of("measure_id", K.COMMUNICATION)).alias(
+                "avg_communication_score"
+            ),
+            average("answer_percent", 1, one_of("measure_id", K.ENVIRONMENT)).alias(
+                "avg_environment_score"
+            ),
             F.max("completed_surveys").alias("completed_surveys"),
             F.max("response_rate_pct").alias("response_rate_pct"),
         )
@@ -193,7 +196,7 @@ def satisfaction_by_state(star: Star, method: str = "auto") -> DataFrame:
         .join(hospitals_with(star, "state"), "hospital_key")
     )
     grouped = per.groupBy("state", "measure_id", "measure_name", "answer_percent").agg(
-        F.count(F.lit(1)).alias("hospital_count"), mean("stars", 2).alias("avg_star_rating")
+        rows().alias("hospital_count"), mean("stars", 2).alias("avg_star_rating")
     )
     median = {"median_pct_always": 0.5}
     return (
@@ -205,14 +208,14 @@ def satisfaction_by_state(star: Star, method: str = "auto") -> DataFrame:
             "hospital_count",
             F.round("answer_percent", 1).alias("avg_pct_always"),
             "avg_star_rating",
-            round_double(F.col("median_pct_always"), 1).alias("median_pct_always"),
+            F.expr(f"{rounded('median_pct_always', 1)} AS median_pct_always"),
         )
         .orderBy("state", "measure_name")
     )
 
 
 def satisfaction_trend(star: Star) -> DataFrame:
-    rating = star.measures.where(F.col("measure_id") == K.OVERALL_RATING).select("measure_key")
+    rating = star.measures.where(f"measure_id = '{K.OVERALL_RATING}'").select("measure_key")
     per = (
         with_end_date(star.satisfaction, star.dates)
         .join(F.broadcast(rating), "measure_key")
@@ -225,7 +228,7 @@ def satisfaction_trend(star: Star) -> DataFrame:
         .agg(
             mean("stars", 2).alias("avg_star_rating"),
             mean("answer", 1).alias("avg_answer_pct"),
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
         )
         .orderBy("year", "state")
     )
@@ -237,10 +240,10 @@ def readmission_and_satisfaction(star: Star) -> DataFrame:
         at_latest_year(star.readmissions, star.dates)
         .groupBy("hospital_key")
         .agg(
-            F.round(F.avg(RATE), 2).alias("avg_readmission_pct"),
-            F.round(F.avg(EXCESS), 4).alias("avg_excess_ratio"),
+            average(RATE, 2).alias("avg_readmission_pct"),
+            average(EXCESS, 4).alias("avg_excess_ratio"),
         )
-        .where(F.col("avg_readmission_pct").isNotNull())
+        .where("avg_readmission_pct IS NOT NULL")
     )
     stars = (
         with_measure(at_latest_year(star.satisfaction, star.dates), star, "measure_id")
@@ -249,7 +252,7 @@ def readmission_and_satisfaction(star: Star) -> DataFrame:
             value_of("measure_id", K.OVERALL_RATING, "star_rating").alias("overall_star_rating"),
             value_of("measure_id", K.RECOMMEND, "answer_percent").alias("pct_would_recommend"),
         )
-        .where(F.col("overall_star_rating").isNotNull())
+        .where("overall_star_rating IS NOT NULL")
     )
     who = ["facility_id", "facility_name", "state", "hospital_type"]
     return (

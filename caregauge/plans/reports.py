@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import labels
 from ..functions.clean import derived_rate
-from ..operators.aggregates import count_by, round_double, spread_pivot
+from ..operators.aggregates import average, count_by, rounded, spread_pivot
 from ..operators.growth import year_over_year
 from ..operators.latest import with_end_date
 from ..operators.lookups import lookup, top_n
@@ -73,7 +73,7 @@ def state_map(states: DataFrame) -> DataFrame:
 
 
 def average_stars(scorecard: DataFrame, target: int = 4) -> DataFrame:
-    return scorecard.agg(F.round(F.avg("overall_star_rating"), 4).alias("avg_star_rating")).select(
+    return scorecard.agg(average("overall_star_rating", 4).alias("avg_star_rating")).select(
         "avg_star_rating", F.lit(1).alias("low"), F.lit(5).alias("high"), F.lit(target).alias("target")
     )
 
@@ -81,7 +81,7 @@ def average_stars(scorecard: DataFrame, target: int = 4) -> DataFrame:
 def survey_domains(detail: DataFrame) -> DataFrame:
     domains = detail.where(F.col("measure_id").isin(list(K.DOMAINS)))
     return domains.groupBy("measure_name").agg(
-        F.round(F.avg("avg_answer_pct"), 4).alias("avg_answer_pct")
+        average("avg_answer_pct", 4).alias("avg_answer_pct")
     )
 
 
@@ -110,8 +110,8 @@ def hospital_history(star: Star, facility_id: str) -> DataFrame:
         .agg(
             F.sum("number_of_discharges").alias("total_discharges"),
             F.sum("number_of_readmissions").alias("total_readmissions"),
-            F.round(F.avg(RATE), 2).alias("avg_readmission_pct"),
-            F.round(F.avg(EXCESS), 4).alias("avg_excess_ratio"),
+            average(RATE, 2).alias("avg_readmission_pct"),
+            average(EXCESS, 4).alias("avg_excess_ratio"),
         )
         .orderBy("year")
     )
@@ -155,7 +155,7 @@ def efficiency_ranking(utilization: DataFrame) -> DataFrame:
 
 def excess_bed_days(scorecard: DataFrame, per_readmission=K.BED_DAYS_PER_READMISSION) -> DataFrame:
     return scorecard.agg(
-        F.sum(F.col("total_readmissions") * F.lit(per_readmission)).alias("total_excess_bed_days")
+        F.expr(f"sum(total_readmissions * {per_readmission}) AS total_excess_bed_days")
     )
 
 
@@ -172,7 +172,7 @@ def _score_by_measure(quality: DataFrame, category: str, *by: str) -> DataFrame:
     return (
         quality.where(F.col("measure_category") == category)
         .groupBy(*by, "measure_name")
-        .agg(F.round(F.avg("national_avg_score"), 4).alias("avg_score"))
+        .agg(average("national_avg_score", 4).alias("avg_score"))
     )
 
 
@@ -187,16 +187,10 @@ def infection_rates(quality: DataFrame, reference: float = 1.0) -> DataFrame:
 def comparison_shares(quality: DataFrame) -> DataFrame:
     """Better, same and worse as percent of the compared rows of each measure."""
     kinds = ["better", "same", "worse"]
-    sums = quality.groupBy("measure_name").agg(
-        *[F.sum(f"hospitals_{k}").alias(k) for k in kinds]
-    )
-    whole = F.nullif(sum((F.col(k) for k in kinds[1:]), F.col(kinds[0])), F.lit(0))
-    return sums.select(
-        "measure_name",
-        *[
-            round_double(F.col(k).cast("double") * 100 / whole.cast("double"), 4).alias(f"pct_{k}")
-            for k in kinds
-        ],
+    sums = quality.groupBy("measure_name").agg(*[F.sum(f"hospitals_{k}").alias(k) for k in kinds])
+    whole = "nullif(CAST(better + same + worse AS DOUBLE), 0D)"
+    return sums.selectExpr(
+        "measure_name", *[f"{rounded(f'{k} * 100D / {whole}', 4)} AS pct_{k}" for k in kinds]
     )
 
 
@@ -228,32 +222,31 @@ def outcome_quadrants(scorecard: DataFrame, mortality_cut: float, hai_cut: float
 
 def national_average(scorecard: DataFrame) -> DataFrame:
     """Average hospital rate with every slicer ignored: pass the unfiltered scorecard."""
-    return scorecard.agg(F.round(F.avg(LATEST_RATE), 4).alias("national_avg_rate"))
+    return scorecard.agg(average(LATEST_RATE, 4).alias("national_avg_rate"))
 
 
 def against_national(chosen: DataFrame, scorecard: DataFrame) -> DataFrame:
     """Each chosen hospital's rate minus the average over all hospitals."""
-    average = national_average(scorecard).scalar()
+    overall = national_average(scorecard).scalar()
     return chosen.select(
         "facility_id",
         "state",
         LATEST_RATE,
-        (F.col(LATEST_RATE) - average).alias("difference_from_national"),
+        (F.col(LATEST_RATE) - overall).alias("difference_from_national"),
     )
 
 
 def share_above_national(scorecard: DataFrame) -> DataFrame:
     """Share of hospitals with more than half their measures above; 0 without hospitals."""
-    above = F.count(F.when(F.col("pct_above_national") > 50, 1)).cast("double")
-    hospitals = F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0))
+    share = "count_if(pct_above_national > 50) / nullif(CAST(count(1) AS DOUBLE), 0D)"
     return scorecard.agg(
-        F.coalesce(round_double(above / hospitals, 6).cast("double"), F.lit(0.0)).alias("share_above")
+        F.expr(f"coalesce(CAST({rounded(share, 6)} AS DOUBLE), 0D) AS share_above")
     )
 
 
 def top_performer_count(scorecard: DataFrame) -> DataFrame:
     return scorecard.agg(
-        F.count(F.when(F.col("performance_tier") == K.TOP, 1)).alias("top_performers")
+        F.expr(f"count_if(performance_tier = '{K.TOP}') AS top_performers")
     )
 
 
@@ -269,10 +262,8 @@ def state_survey_matrix(star: Star) -> DataFrame:
         .agg(F.sum("answer_percent").alias("s"), F.count("answer_percent").alias("n"))
         .join(star.hospitals.select("hospital_key", "state"), "hospital_key")
     )
-    wide = per.groupBy("state").pivot("measure_id", ids).agg(
-        (F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("avg")
-    )
-    return wide.select("state", *[F.round(F.col(f"`{m}`"), 4).alias(m) for m in ids])
+    cell = F.expr("round(sum(s) / nullif(sum(n), 0), 4)")
+    return per.groupBy("state").pivot("measure_id", ids).agg(cell)
 
 
 def readmission_sheet(star: Star) -> DataFrame:
@@ -284,7 +275,7 @@ def readmission_sheet(star: Star) -> DataFrame:
     return lookup(rows, star.hospitals, "hospital_key", wanted).select(
         "hospital_key",
         derived_rate("number_of_readmissions", "number_of_discharges").alias(RATE),
-        labels.ratio_flag(F.col(EXCESS)).alias("ratio_flag"),
+        labels.ratio_flag(EXCESS).alias("ratio_flag"),
         "hospital_type",
-        labels.rating_band(F.col("overall_rating")).alias("rating_band"),
+        labels.rating_band("overall_rating").alias("rating_band"),
     )

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.clean import percent
-from ..functions.labels import performance_tier
-from ..operators.aggregates import deviation, mean, mean_of, partials, total, value_of
+from ..functions.labels import compared, performance_tier
+from ..operators.aggregates import average, deviation, mean, one_of, partials, rows, total, value_of
 from ..operators.fanout import repeated_count, repeated_mean, repeated_sum
 from ..operators.latest import at_latest_year, with_end_date
 from ..schemas import Star
 from .efficiency import VOLUMES, categorised, dated_volumes
-from .outcomes import compared, fanned_out
+from .outcomes import fanned_out
 from .performance import EXCESS, RATE, hospitals_with, with_measure
 
 
@@ -23,8 +23,8 @@ def hospital_scorecard(star: Star) -> DataFrame:
         at_latest_year(star.readmissions, star.dates)
         .groupBy("hospital_key")
         .agg(
-            F.round(F.avg(RATE), 2).alias("avg_readmission_rate_pct"),
-            F.round(F.avg(EXCESS), 4).alias("avg_excess_ratio"),
+            average(RATE, 2).alias("avg_readmission_rate_pct"),
+            average(EXCESS, 4).alias("avg_excess_ratio"),
             F.sum("number_of_discharges").alias("total_discharges"),
             F.sum("number_of_readmissions").alias("total_readmissions"),
         )
@@ -35,19 +35,23 @@ def hospital_scorecard(star: Star) -> DataFrame:
         .agg(
             value_of("measure_id", K.OVERALL_RATING, "star_rating").alias("overall_star_rating"),
             value_of("measure_id", K.RECOMMEND, "answer_percent").alias("pct_would_recommend"),
-            mean_of("measure_id", K.COMMUNICATION, "answer_percent", 1).alias("avg_communication_pct"),
-            mean_of("measure_id", K.ENVIRONMENT, "answer_percent", 1).alias("avg_environment_pct"),
+            average("answer_percent", 1, one_of("measure_id", K.COMMUNICATION)).alias(
+                "avg_communication_pct"
+            ),
+            average("answer_percent", 1, one_of("measure_id", K.ENVIRONMENT)).alias(
+                "avg_environment_pct"
+            ),
         )
     )
     quality = (
         with_measure(at_latest_year(star.quality, star.dates), star, "measure_category")
         .groupBy("hospital_key")
         .agg(
-            mean_of("measure_category", [K.MORTALITY], "score", 4).alias("avg_mortality_rate"),
-            mean_of("measure_category", [K.SAFETY], "score", 4).alias("avg_hai_sir"),
-            F.count(F.when(compared(K.BETTER), 1)).alias("quality_above_national"),
-            F.count(F.when(compared(K.WORSE), 1)).alias("quality_below_national"),
-            F.count(F.lit(1)).alias("quality_measures_total"),
+            average("score", 4, one_of("measure_category", [K.MORTALITY])).alias("avg_mortality_rate"),
+            average("score", 4, one_of("measure_category", [K.SAFETY])).alias("avg_hai_sir"),
+            F.expr(f"count_if({compared(K.BETTER)})").alias("quality_above_national"),
+            F.expr(f"count_if({compared(K.WORSE)})").alias("quality_below_national"),
+            rows().alias("quality_measures_total"),
         )
     )
     who = [
@@ -65,9 +69,7 @@ def hospital_scorecard(star: Star) -> DataFrame:
         *quality.columns[1:],
         percent("quality_above_national", "quality_measures_total", 1).alias("pct_above_national"),
         performance_tier(
-            F.col("overall_rating"),
-            F.col("avg_readmission_rate_pct"),
-            F.col("overall_star_rating"),
+            "overall_rating", "avg_readmission_rate_pct", "overall_star_rating"
         ).alias("performance_tier"),
     )
 
@@ -86,7 +88,7 @@ def readmission_trends(star: Star, rules=K.CATEGORY_RULES_SHORT) -> DataFrame:
         per.join(hospitals_with(star, "state", "hospital_type"), "hospital_key")
         .groupBy(*period, "state", "hospital_type", *measure)
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             total("discharges").alias("total_discharges"),
             total("readmissions").alias("total_readmissions"),
             mean("rate", 2).alias("avg_readmission_pct"),
@@ -103,7 +105,7 @@ def quality_summary(star: Star) -> DataFrame:
         "worse": compared(K.WORSE),
     }
     measure = ["measure_category", "measure_id", "measure_name"]
-    scored = star.quality.where(F.col("score").isNotNull())
+    scored = star.quality.where("score IS NOT NULL")
     per = (
         with_measure(with_end_date(scored, star.dates), star, *measure)
         .groupBy("hospital_key", "year", *measure)
@@ -113,7 +115,7 @@ def quality_summary(star: Star) -> DataFrame:
         per.join(hospitals_with(star, "state", "hospital_type"), "hospital_key")
         .groupBy("year", "state", "hospital_type", *measure)
         .agg(
-            F.count(F.lit(1)).alias("hospital_count"),
+            rows().alias("hospital_count"),
             mean("score", 4).alias("national_avg_score"),
             deviation("score", 4).alias("score_std_dev"),
             F.round(F.min("score_min"), 4).alias("min_score"),
@@ -134,8 +136,8 @@ def satisfaction_detail(star: Star) -> DataFrame:
         with_measure(with_end_date(star.satisfaction, star.dates), star, "measure_id", "measure_name")
         .groupBy("hospital_key", "year", "measure_id", "measure_name")
         .agg(
-            F.round(F.avg("star_rating"), 2).alias("avg_star_rating"),
-            F.round(F.avg("answer_percent"), 1).alias("avg_answer_pct"),
+            average("star_rating", 2).alias("avg_star_rating"),
+            average("answer_percent", 1).alias("avg_answer_pct"),
             F.max("completed_surveys").alias("completed_surveys"),
             F.max("response_rate_pct").alias("response_rate_pct"),
         )
@@ -148,12 +150,13 @@ def satisfaction_detail(star: Star) -> DataFrame:
 
 def state_summary(star: Star) -> DataFrame:
     """Per state over the product of the three facts; see ``operators.fanout``."""
-    rating = F.col("overall_rating")
-    weighted = fanned_out(star, "state", "overall_rating").withColumns(
-        {"rating_sum": rating, "rating_cnt": F.when(rating.isNotNull(), 1).otherwise(0)}
+    weighted = fanned_out(star, "state", "overall_rating").selectExpr(
+        "*",
+        "overall_rating AS rating_sum",
+        "CASE WHEN overall_rating IS NOT NULL THEN 1 ELSE 0 END AS rating_cnt",
     )
     return weighted.groupBy("state").agg(
-        F.count(F.lit(1)).alias("hospital_count"),
+        rows().alias("hospital_count"),
         repeated_mean("rating", "all_rows", 2).alias("avg_overall_rating"),
         repeated_mean("rate", "readmission_others", 2).alias("avg_readmission_pct"),
         repeated_mean("excess", "readmission_others", 4).alias("avg_excess_ratio"),
@@ -162,10 +165,10 @@ def state_summary(star: Star) -> DataFrame:
         repeated_mean("recommend", "survey_others", 1).alias("avg_pct_recommend"),
         repeated_mean("mortality", "quality_others", 4).alias("avg_mortality_rate"),
         repeated_mean("hai", "quality_others", 4).alias("avg_hai_sir"),
-        repeated_count(rating == 5).alias("hospitals_5star"),
-        repeated_count(rating == 4).alias("hospitals_4star"),
-        repeated_count(rating == 3).alias("hospitals_3star"),
-        repeated_count(rating <= 2).alias("hospitals_1_2star"),
+        repeated_count("overall_rating = 5").alias("hospitals_5star"),
+        repeated_count("overall_rating = 4").alias("hospitals_4star"),
+        repeated_count("overall_rating = 3").alias("hospitals_3star"),
+        repeated_count("overall_rating <= 2").alias("hospitals_1_2star"),
     )
 
 

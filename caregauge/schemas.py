@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -51,18 +51,28 @@ HEADER_NAMES = {
 }
 
 
-@dataclass(frozen=True)
 class Star:
     """Dimensions and facts of one data set.
 
     ``hospitals`` is keyed by hospital_key (unique facility_id), ``measures`` by
-    measure_key (unique measure_id), ``dates`` by date_key (yyyyMMdd). Each fact
-    carries hospital_key, measure_key (may be NULL) and end_date_key.
+    measure_key (unique measure_id), ``dates`` by date_key (yyyyMMdd). The facts
+    ``readmissions``, ``satisfaction`` and ``quality`` carry hospital_key, measure_key
+    (may be NULL), start_date_key and end_date_key. Each is a frame, or a function that
+    returns one and is called when a query first needs it.
     """
 
-    hospitals: DataFrame
-    dates: DataFrame
-    measures: DataFrame
-    readmissions: DataFrame
-    satisfaction: DataFrame
-    quality: DataFrame
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        self._tables = tables
+
+    def _table(self, name: str) -> DataFrame:
+        found = self._tables[name]
+        if callable(found):
+            found = self._tables[name] = found()
+        return found
+
+    hospitals = property(lambda self: self._table("hospitals"))
+    dates = property(lambda self: self._table("dates"))
+    measures = property(lambda self: self._table("measures"))
+    readmissions = property(lambda self: self._table("readmissions"))
+    satisfaction = property(lambda self: self._table("satisfaction"))
+    quality = property(lambda self: self._table("quality"))

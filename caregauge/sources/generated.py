@@ -13,32 +13,32 @@ def date_dimension(
     spark: SparkSession, start: str = K.CALENDAR_START, end: str = K.CALENDAR_END
 ) -> DataFrame:
     """One row per day with calendar and October-to-September fiscal attributes."""
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    days = spark.range(1).select(F.explode(F.sequence(first, last)).alias("d"))
-    d = F.col("d")
-    weekday = F.dayofweek(d)
+    days = spark.range(0, 1, 1, 1).selectExpr(
+        f"explode(sequence(DATE '{start}', DATE '{end}')) AS full_date"
+    )
     return days.select(
-        C.date_key(d).alias("date_key"),
-        d.alias("full_date"),
-        F.year(d).alias("year"),
-        F.quarter(d).alias("quarter"),
-        F.month(d).alias("month"),
-        F.date_format(d, "MMMM").alias("month_name"),
-        C.us_week(d).alias("week_of_year"),
-        weekday.alias("day_of_week"),
-        F.date_format(d, "EEEE").alias("day_name"),
-        weekday.isin(1, 7).alias("is_weekend"),
-        C.fiscal_year(d).alias("fiscal_year"),
-        C.fiscal_quarter(d).alias("fiscal_quarter"),
+        C.date_key("full_date").alias("date_key"),
+        "full_date",
+        F.year("full_date").alias("year"),
+        F.quarter("full_date").alias("quarter"),
+        F.month("full_date").alias("month"),
+        F.date_format("full_date", "MMMM").alias("month_name"),
+        C.us_week("full_date").alias("week_of_year"),
+        F.dayofweek("full_date").alias("day_of_week"),
+        F.date_format("full_date", "EEEE").alias("day_name"),
+        F.expr("dayofweek(full_date) IN (1, 7)").alias("is_weekend"),
+        C.fiscal_year("full_date").alias("fiscal_year"),
+        C.fiscal_quarter("full_date").alias("fiscal_quarter"),
     )
 
 
 def measure_seed(spark: SparkSession) -> DataFrame:
     """The seeded measures, as an inline relation of literals."""
-    names = [
-        "measure_id", "measure_name", "measure_category", "higher_is_better", "unit_of_measure",
-    ]
-    rows = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, seed)]) for seed in K.MEASURE_SEED
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = ", ".join(
+        f"('{m}', '{name}', '{category}', {higher}, '{unit}')"
+        for m, name, category, higher, unit in K.MEASURE_SEED
+    )
+    return spark.sql(
+        f"SELECT * FROM VALUES {rows}"
+        " AS seed(measure_id, measure_name, measure_category, higher_is_better, unit_of_measure)"
+    )
