@@ -39,8 +39,11 @@ def at_latest_year(fact: DataFrame, dates: DataFrame, *columns: str) -> DataFram
     """Rows of a fact whose end date lies in the fact's latest year.
 
     The year is an uncorrelated sub-query. It selects the days of the calendar, and the
-    same bound on the yyyyMMdd key goes down to the fact scan.
+    same bound goes down to the fact scan: on the yyyyMMdd key, and on the partitions of
+    a table that is partitioned by ``end_year``.
     """
     year = latest_year(fact, dates).scalar()
     recent = fact.where(F.col("end_date_key").between(year * 10000 + 101, year * 10000 + 1231))
+    if "end_year" in fact.columns:
+        recent = recent.where(F.col("end_year") == year)
     return with_end_date(recent, dates.where(F.col("year") == year), *columns)

@@ -61,29 +61,47 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def broken_references(star: Star) -> DataFrame:
-    """Rows per fact and key whose value is set but missing from its dimension."""
-    out = []
+    """Rows per fact and key whose value is set but missing from its dimension.
+
+    Each fact is read once: its keys become rows, are counted per value (so that no
+    fact row travels to the join), and are looked for among all dimensions' keys.
+    """
     facts = {
         "fact_readmissions": star.readmissions,
         "fact_patient_satisfaction": star.satisfaction,
         "fact_quality_metrics": star.quality,
     }
-    targets = {
-        "hospital_key": (star.hospitals, "hospital_key"),
-        "measure_key": (star.measures, "measure_key"),
-        "start_date_key": (star.dates, "date_key"),
-        "end_date_key": (star.dates, "date_key"),
-    }
-    for fact_name, fact in facts.items():
-        for key, (dimension, target) in targets.items():
-            # counted per key first: no fact row travels to the join
-            per_key = fact.where(F.col(key).isNotNull()).groupBy(key).agg(
-                F.count(F.lit(1)).alias("n")
-            )
-            lost = missing_from(per_key, dimension.select(F.col(target).alias(key)), key)
-            out.append(
-                lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count")).select(
-                    F.lit(fact_name).alias("table_name"), F.lit(key).alias("key_name"), "row_count"
-                )
+    keys = ["hospital_key", "measure_key", "start_date_key", "end_date_key"]
+    used = _stack(
+        [
+            fact.selectExpr(*[f"CAST({k} AS BIGINT) AS {k}" for k in keys])
+            .unpivot([], keys, "key_name", "key_value")
+            .where("key_value IS NOT NULL")
+            .groupBy("key_name", "key_value")
+            .agg(F.expr("count(1) AS n"))
+            .selectExpr(f"'{name}' AS table_name", "*")
+            for name, fact in facts.items()
+        ]
+    )
+    known = _stack(
+        [
+            dimension.selectExpr(f"'{key}' AS key_name", f"CAST({column} AS BIGINT) AS key_value")
+            for key, dimension, column in (
+                ("hospital_key", star.hospitals, "hospital_key"),
+                ("measure_key", star.measures, "measure_key"),
+                ("start_date_key", star.dates, "date_key"),
+                ("end_date_key", star.dates, "date_key"),
             )
-    return _stack(out)
+        ]
+    )
+    lost = used.join(known, ["key_name", "key_value"], "left_anti")
+    counts = lost.groupBy("table_name", "key_name").agg(F.sum("n").alias("n"))
+    # twelve rows: one per fact and key
+    every = star.dates.sparkSession.sql(
+        "SELECT * FROM VALUES "
+        + ", ".join(f"('{f}', '{k}')" for f in facts for k in keys)
+        + " AS every(table_name, key_name)"
+    )
+    return every.join(counts, ["table_name", "key_name"], "left").selectExpr(
+        "table_name", "key_name", "coalesce(n, 0) AS row_count"
+    )

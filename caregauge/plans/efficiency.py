@@ -69,7 +69,7 @@ def volume_growth(star: Star) -> DataFrame:
     return (
         grown.join(hospitals_with(star, *who), "hospital_key")
         .select(*who, *grown.columns[1:])
-        .orderBy(F.desc("current_year"), F.desc("yoy_growth_pct"))
+        .orderBy(F.desc("current_year"), F.desc("yoy_growth_pct"), "facility_id")
     )
 
 
@@ -90,7 +90,7 @@ def volume_by_category(star: Star, rules=K.CATEGORY_RULES) -> DataFrame:
             total("readmissions").alias("total_readmissions"),
             mean("rate", 2).alias("avg_readmission_pct"),
         )
-        .orderBy("year", F.desc("total_discharges"))
+        .orderBy("year", F.desc("total_discharges"), "clinical_category", "state")
     )
 
 
@@ -127,7 +127,7 @@ def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
             volume_tier("total_discharges").alias("volume_tier"),
             "efficiency_percentile",
         )
-        .orderBy(F.desc("year"), F.desc("total_discharges"))
+        .orderBy(F.desc("year"), F.desc("total_discharges"), "facility_id")
     )
 
 
@@ -157,5 +157,5 @@ def readmission_burden(
             F.expr(f"round(total_readmissions * {bed_days}, 0)").alias("est_readmission_bed_days"),
             "efficiency_percentile",
         )
-        .orderBy(F.desc("year"), F.desc("avg_readmission_pct"))
+        .orderBy(F.desc("year"), F.desc("avg_readmission_pct"), "facility_id")
     )

@@ -51,7 +51,7 @@ def _outcome_by_hospital(
     return (
         per.join(hospitals_with(star, *who), "hospital_key")
         .select(*who, *per.columns[1:])
-        .orderBy(F.desc(composite))
+        .orderBy(F.desc(composite), "facility_id")
     )
 
 
@@ -127,7 +127,7 @@ def overall_scorecard(star: Star) -> DataFrame:
         performance_tier("overall_rating", "avg_readmission_pct", "overall_stars").alias(
             "performance_tier"
         ),
-    ).orderBy(F.desc("overall_rating"), F.asc("avg_readmission_pct"))
+    ).orderBy(F.desc("overall_rating"), "avg_readmission_pct", "facility_id")
 
 
 def fanned_out(star: Star, *columns: str) -> DataFrame:
@@ -170,7 +170,7 @@ def state_benchmark(star: Star) -> DataFrame:
             repeated_count("overall_rating = 4").alias("four_star_hospitals"),
             repeated_count("overall_rating <= 2").alias("low_rated_hospitals"),
         )
-        .orderBy("state_avg_readmission_pct")
+        .orderBy("state_avg_readmission_pct", "state")
     )
 
 
@@ -191,7 +191,7 @@ def state_benchmark_corrected(star: Star) -> DataFrame:
             F.expr("count_if(overall_rating = 4)").alias("four_star_hospitals"),
             F.expr("count_if(overall_rating <= 2)").alias("low_rated_hospitals"),
         )
-        .orderBy("state_avg_readmission_pct")
+        .orderBy("state_avg_readmission_pct", "state")
     )
 
 
@@ -207,5 +207,5 @@ def hospital_type_comparison(star: Star) -> DataFrame:
             repeated_mean("mortality", "quality_others", 4).alias("avg_mortality_rate"),
             repeated_mean("hai", "quality_others", 4).alias("avg_hai_sir"),
         )
-        .orderBy("avg_readmission_pct")
+        .orderBy("avg_readmission_pct", "hospital_type")
     )

@@ -48,7 +48,7 @@ def readmission_by_hospital(star: Star) -> DataFrame:
     return (
         per.join(hospitals_with(star, *who), "hospital_key")
         .select(*who, *per.columns[1:])
-        .orderBy(F.desc("avg_readmission_rate_pct"))
+        .orderBy(F.desc("avg_readmission_rate_pct"), "facility_id")
     )
 
 
@@ -93,7 +93,7 @@ def readmission_percentiles(star: Star, method: str = "auto") -> DataFrame:
             shown.alias("max_readmission_pct"),
             *[F.expr(f"{rounded(name, 2)} AS {name}") for name in QUARTILES],
         )
-        .orderBy("measure_name", "state")
+        .orderBy("measure_name", "state", "national_avg_readmission_pct")
     )
 
 
@@ -147,7 +147,7 @@ def excess_readmissions(star: Star) -> DataFrame:
     return (
         with_measure(recent, star, "measure_name")
         .join(hospitals_with(star, *who), "hospital_key")
-        .orderBy(F.desc(EXCESS))
+        .orderBy(F.desc(EXCESS), "facility_id", "measure_name", "number_of_discharges")
         .select(
             *who,
             "measure_name",
@@ -180,7 +180,7 @@ def satisfaction_by_hospital(star: Star) -> DataFrame:
     return (
         per.join(hospitals_with(star, *who), "hospital_key")
         .select(*who, *per.columns[1:])
-        .orderBy(F.desc("overall_star_rating"), F.desc("pct_recommend"))
+        .orderBy(F.desc("overall_star_rating"), F.desc("pct_recommend"), "facility_id")
     )
 
 
@@ -210,7 +210,7 @@ def satisfaction_by_state(star: Star, method: str = "auto") -> DataFrame:
             "avg_star_rating",
             F.expr(f"{rounded('median_pct_always', 1)} AS median_pct_always"),
         )
-        .orderBy("state", "measure_name")
+        .orderBy("state", "measure_name", "avg_pct_always")
     )
 
 
@@ -259,5 +259,5 @@ def readmission_and_satisfaction(star: Star) -> DataFrame:
         rates.join(stars, "hospital_key")
         .join(hospitals_with(star, *who), "hospital_key")
         .select(*who, *rates.columns[1:], *stars.columns[1:])
-        .orderBy(F.desc("avg_readmission_pct"))
+        .orderBy(F.desc("avg_readmission_pct"), "facility_id")
     )

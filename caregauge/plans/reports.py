@@ -40,23 +40,23 @@ def facility_readmissions(star: Star, facility_id: str) -> DataFrame:
 def worse_than_expected(scorecard: DataFrame) -> DataFrame:
     return (
         scorecard.where(F.col("avg_excess_ratio") > 1.0)
+        .orderBy(F.desc("avg_excess_ratio"), "facility_id")
         .select("facility_name", "state", LATEST_RATE, "avg_excess_ratio")
-        .orderBy(F.desc("avg_excess_ratio"))
     )
 
 
 def states_by_rate(states: DataFrame) -> DataFrame:
-    return states.orderBy(F.asc("avg_readmission_pct"))
+    return states.orderBy("avg_readmission_pct", "state")
 
 
 def top_performers(scorecard: DataFrame) -> DataFrame:
     return (
         scorecard.where(F.col("performance_tier") == K.TOP)
+        .orderBy(F.desc("overall_star_rating"), LATEST_RATE, "facility_id")
         .select(
             "facility_name", "state", "hospital_type", "overall_star_rating", LATEST_RATE,
             "avg_mortality_rate", "performance_tier",
         )
-        .orderBy(F.desc("overall_star_rating"), F.asc(LATEST_RATE))
     )
 
 
