@@ -13,10 +13,17 @@ def _cases(pairs, rest: str | None) -> Column:
     return F.expr(f"CASE {whens} ELSE {'NULL' if rest is None else repr(rest)} END")
 
 
-def keyword_label(text: str, rules, rest: str | None = "Other") -> Column:
-    """Label of the first rule with a keyword contained in the text, case ignored."""
+def keyword_label(text: str, rules, rest: str | None = "Other", lowered: bool = False) -> Column:
+    """Label of the first rule with a keyword contained in the text, case ignored.
+
+    ``lowered`` says that the text is in lower case already.
+    """
+    t = text if lowered else f"lower({text})"
     return _cases(
-        [(" OR ".join(f"{text} ILIKE '%{w}%'" for w in words), label) for words, label in rules],
+        [
+            (" OR ".join(f"contains({t}, '{w.lower()}')" for w in words), label)
+            for words, label in rules
+        ],
         rest,
     )
 

@@ -83,6 +83,14 @@ def percent_rank(
     return _join_same(df, ranked, [*by, order], "inner")
 
 
+def _array(points: Mapping[str, float]) -> str:
+    return f"array({', '.join(f'{p}D' for p in points.values())})"
+
+
+def _named(points: Mapping[str, float]) -> list[str]:
+    return [f"_points[{i}] AS {name}" for i, name in enumerate(points)]
+
+
 def group_percentiles(
     df: DataFrame,
     by: Sequence[str],
@@ -98,9 +106,8 @@ def group_percentiles(
     """
     known = df.where(f"{value} IS NOT NULL")
     if _windowed(df, method):
-        return known.groupBy(*by).agg(
-            *[F.expr(f"percentile({value}, {p}D, {count}) AS {name}") for name, p in points.items()]
-        )
+        all_points = F.expr(f"percentile({value}, {_array(points)}, {count}) AS _points")
+        return known.groupBy(*by).agg(all_points).selectExpr(*by, *_named(points))
     counted = known.groupBy(*by, value).agg(F.expr(f"sum({count}) AS n"))
     placed = running_counts(counted, by, value, "n")
 
@@ -124,8 +131,7 @@ def with_percentiles(
     """Each row with the percentiles of its group over the rows of ``df``."""
     if _windowed(df, method):
         group = f"OVER (PARTITION BY {', '.join(by)})"
-        return df.selectExpr(
-            "*", *[f"percentile({value}, {p}D) {group} AS {name}" for name, p in points.items()]
-        )
+        all_points = F.expr(f"percentile({value}, {_array(points)}) {group}")
+        return df.withColumn("_points", all_points).selectExpr(*df.columns, *_named(points))
     df = checkpointed(df)
     return _join_same(df, group_percentiles(df, by, value, points, method="range"), by, "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UNKNOWN_SIZE = 1 << 62
 
@@ -37,6 +38,19 @@ def source_bytes(df: DataFrame) -> int:
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
+# A side whose source files are no larger than this may be sent to every task.
+BROADCAST_LIMIT = 16 * 1024 * 1024
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """The frame with a broadcast hint if its sources are small, else as it is.
+
+    Spark's own estimate multiplies the sides of joins below and so misses small
+    dimensions; a larger one is left to a shuffled join, which splits hot keys.
+    """
+    return F.broadcast(df) if source_bytes(df) <= BROADCAST_LIMIT else df
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Session settings the operators count on: adaptive plans that split hot keys."""
     for key, value in {

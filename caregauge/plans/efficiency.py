@@ -14,7 +14,7 @@ from ..operators.latest import with_end_date
 from ..operators.lookups import present_in
 from ..operators.ranks import percent_rank
 from ..schemas import Star
-from .performance import EXCESS, RATE, hospitals_with
+from .performance import EXCESS, RATE
 
 VOLUMES = {
     "discharges": "number_of_discharges",
@@ -43,7 +43,7 @@ def discharge_volume(star: Star) -> DataFrame:
     """Per year, state and type. The average is per fact row, whatever its name says."""
     per = dated_volumes(star).groupBy("hospital_key", "year").agg(*partials(VOLUMES))
     return (
-        per.join(hospitals_with(star, "state", "hospital_type"), "hospital_key")
+        per.join(star.hospitals_with("state", "hospital_type"), "hospital_key")
         .groupBy("year", "state", "hospital_type")
         .agg(
             rows().alias("hospital_count"),
@@ -67,7 +67,7 @@ def volume_growth(star: Star) -> DataFrame:
     grown = year_over_year(annual, ["hospital_key"], "current_year", "current_discharges")
     who = ["facility_id", "facility_name", "state"]
     return (
-        grown.join(hospitals_with(star, *who), "hospital_key")
+        grown.join(star.hospitals_with(*who), "hospital_key")
         .select(*who, *grown.columns[1:])
         .orderBy(F.desc("current_year"), F.desc("yoy_growth_pct"), "facility_id")
     )
@@ -82,7 +82,7 @@ def volume_by_category(star: Star, rules=K.CATEGORY_RULES) -> DataFrame:
         .agg(*partials(VOLUMES))
     )
     return (
-        per.join(hospitals_with(star, "state"), "hospital_key")
+        per.join(star.hospitals_with("state"), "hospital_key")
         .groupBy("year", "clinical_category", "state")
         .agg(
             rows().alias("hospital_count"),
@@ -110,12 +110,12 @@ def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
         rows().alias("conditions_tracked"),
         total("readmissions").alias("total_readmissions"),
     )
-    per = present_in(per, star.hospitals, "hospital_key")
+    per = present_in(per, star.hospitals_with(), "hospital_key")
     per = per.withColumn("_share", ratio("total_readmissions", "total_discharges"))
     ranked = percent_rank(per, ["year"], "_share", "efficiency_percentile", method=method)
     who = ["facility_id", "facility_name", "city", "state", "hospital_type"]
     return (
-        ranked.join(hospitals_with(star, *who), "hospital_key")
+        ranked.join(star.hospitals_with(*who), "hospital_key")
         .select(
             *who,
             "year",
@@ -143,11 +143,11 @@ def readmission_burden(
             F.sum("number_of_readmissions").alias("total_readmissions"),
         )
     )
-    per = present_in(per, star.hospitals, "hospital_key")
+    per = present_in(per, star.hospitals_with(), "hospital_key")
     ranked = percent_rank(per, ["year"], RATE, "efficiency_percentile", method=method)
     who = ["facility_id", "facility_name", "state"]
     return (
-        ranked.join(hospitals_with(star, *who), "hospital_key")
+        ranked.join(star.hospitals_with(*who), "hospital_key")
         .select(
             *who,
             "year",

@@ -13,6 +13,7 @@ from .. import constants as K
 from ..functions import clean
 from ..functions.calendar import date_key
 from ..functions.labels import keyword_label
+from ..operators.storage import sent_if_small
 
 
 def _keyed(staging: DataFrame, hospitals: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def _keyed(staging: DataFrame, hospitals: DataFrame) -> DataFrame:
     A hospital with very many rows is split by the adaptive skew join where the
     dimension is too large for Spark to send around by itself.
     """
-    known = hospitals.select("hospital_key", F.col("facility_id").alias("_facility"))
+    known = sent_if_small(hospitals.selectExpr("hospital_key", "facility_id AS _facility"))
     return (
         staging.where(clean.not_blank("facility_id"))
         .join(known, F.expr("trim(facility_id) = _facility"))
@@ -56,8 +57,8 @@ def load_readmissions(
     name as a measure id first, which the delivered samples would need.
     """
     discharges = clean.number("number_of_discharges", "int")
-    rows = staging.where(discharges.isNotNull())
-    by_words = keyword_label("measure_name", K.MEASURE_ID_RULES, None)
+    rows = staging.where(discharges.isNotNull()).withColumn("_name", F.lower("measure_name"))
+    by_words = keyword_label("_name", K.MEASURE_ID_RULES, None, lowered=True)
     if match_ids:
         ids = [seed[0] for seed in K.MEASURE_SEED if seed[2] == K.READMISSION]
         own = clean.code("measure_name")

@@ -15,7 +15,7 @@ from ..operators.fanout import fanout_partials, repeated_count, repeated_mean
 from ..operators.latest import at_latest_year, with_end_date
 from ..operators.lookups import present_in
 from ..schemas import Star
-from .performance import EXCESS, RATE, hospitals_with, with_measure
+from .performance import EXCESS, RATE, with_measure
 
 
 def _outcome_by_hospital(
@@ -49,7 +49,7 @@ def _outcome_by_hospital(
     )
     who = ["facility_id", "facility_name", "city", "state", "hospital_type", group]
     return (
-        per.join(hospitals_with(star, *who), "hospital_key")
+        per.join(star.hospitals_with(*who), "hospital_key")
         .select(*who, *per.columns[1:])
         .orderBy(F.desc(composite), "facility_id")
     )
@@ -78,7 +78,7 @@ def quality_trend(star: Star) -> DataFrame:
         .agg(*partials({"score": "score"}, flags, squares=["score"]))
     )
     return (
-        present_in(per, star.hospitals, "hospital_key")
+        present_in(per, star.hospitals_with(), "hospital_key")
         .groupBy(*by)
         .agg(
             rows().alias("hospital_count"),
@@ -113,7 +113,7 @@ def overall_scorecard(star: Star) -> DataFrame:
         "facility_id", "facility_name", "city", "state", "hospital_type", "hospital_ownership",
         "overall_rating",
     ]
-    joined = hospitals_with(star, *who)
+    joined = star.hospitals.select("hospital_key", *who)
     for per in (rates, stars, labels):
         joined = joined.join(per, "hospital_key", "left")
     return joined.select(
@@ -141,7 +141,7 @@ def fanned_out(star: Star, *columns: str) -> DataFrame:
 
     recommend = f"CASE WHEN measure_id = '{K.RECOMMEND}' THEN answer_percent END"
     return fanout_partials(
-        hospitals_with(star, *columns),
+        star.hospitals.select("hospital_key", *columns),
         "hospital_key",
         {
             "readmission": (

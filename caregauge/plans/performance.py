@@ -17,10 +17,6 @@ EXCESS = "excess_readmission_ratio"
 QUARTILES = {"p25": 0.25, "median_pct": 0.5, "p75": 0.75}
 
 
-def hospitals_with(star: Star, *columns: str) -> DataFrame:
-    return star.hospitals.select("hospital_key", *columns)
-
-
 def with_measure(df: DataFrame, star: Star, *columns: str, category: str | None = None) -> DataFrame:
     """Inner join to the measure dimension, a fixed list of a few dozen rows."""
     measures = star.measures
@@ -46,7 +42,7 @@ def readmission_by_hospital(star: Star) -> DataFrame:
     )
     who = ["facility_id", "facility_name", "city", "state", "hospital_type", "readmission_group"]
     return (
-        per.join(hospitals_with(star, *who), "hospital_key")
+        per.join(star.hospitals_with(*who), "hospital_key")
         .select(*who, *per.columns[1:])
         .orderBy(F.desc("avg_readmission_rate_pct"), "facility_id")
     )
@@ -62,7 +58,7 @@ def _rates_by_measure_state(star: Star) -> DataFrame:
         .groupBy("hospital_key", "measure_id", "measure_name", RATE)
         .agg(*partials({"excess": EXCESS}))
     )
-    return per.join(hospitals_with(star, "state"), "hospital_key")
+    return per.join(star.hospitals_with("state"), "hospital_key")
 
 
 def readmission_percentiles(star: Star, method: str = "auto") -> DataFrame:
@@ -128,7 +124,7 @@ def readmission_trend(star: Star) -> DataFrame:
         .agg(*partials({"excess": EXCESS, "rate": RATE}))
     )
     return (
-        present_in(per, star.hospitals, "hospital_key")
+        present_in(per, star.hospitals_with(), "hospital_key")
         .groupBy("year", "measure_name")
         .agg(
             rows().alias("hospital_count"),
@@ -146,7 +142,7 @@ def excess_readmissions(star: Star) -> DataFrame:
     who = ["facility_id", "facility_name", "city", "state", "hospital_type"]
     return (
         with_measure(recent, star, "measure_name")
-        .join(hospitals_with(star, *who), "hospital_key")
+        .join(star.hospitals_with(*who), "hospital_key")
         .orderBy(F.desc(EXCESS), "facility_id", "measure_name", "number_of_discharges")
         .select(
             *who,
@@ -178,7 +174,7 @@ def satisfaction_by_hospital(star: Star) -> DataFrame:
     )
     who = ["facility_id", "facility_name", "city", "state", "hospital_type", "patient_exp_group"]
     return (
-        per.join(hospitals_with(star, *who), "hospital_key")
+        per.join(star.hospitals_with(*who), "hospital_key")
         .select(*who, *per.columns[1:])
         .orderBy(F.desc("overall_star_rating"), F.desc("pct_recommend"), "facility_id")
     )
@@ -193,7 +189,7 @@ def satisfaction_by_state(star: Star, method: str = "auto") -> DataFrame:
         )
         .groupBy("hospital_key", "measure_id", "measure_name", "answer_percent")
         .agg(*partials({"stars": "star_rating"}))
-        .join(hospitals_with(star, "state"), "hospital_key")
+        .join(star.hospitals_with("state"), "hospital_key")
     )
     grouped = per.groupBy("state", "measure_id", "measure_name", "answer_percent").agg(
         rows().alias("hospital_count"), mean("stars", 2).alias("avg_star_rating")
@@ -223,7 +219,7 @@ def satisfaction_trend(star: Star) -> DataFrame:
         .agg(*partials({"stars": "star_rating", "answer": "answer_percent"}))
     )
     return (
-        per.join(hospitals_with(star, "state"), "hospital_key")
+        per.join(star.hospitals_with("state"), "hospital_key")
         .groupBy("year", "state")
         .agg(
             mean("stars", 2).alias("avg_star_rating"),
@@ -257,7 +253,7 @@ def readmission_and_satisfaction(star: Star) -> DataFrame:
     who = ["facility_id", "facility_name", "state", "hospital_type"]
     return (
         rates.join(stars, "hospital_key")
-        .join(hospitals_with(star, *who), "hospital_key")
+        .join(star.hospitals_with(*who), "hospital_key")
         .select(*who, *rates.columns[1:], *stars.columns[1:])
         .orderBy(F.desc("avg_readmission_pct"), "facility_id")
     )

@@ -260,7 +260,7 @@ def state_survey_matrix(star: Star) -> DataFrame:
         with_measure(star.satisfaction, star, "measure_id", category=K.EXPERIENCE)
         .groupBy("hospital_key", "measure_id")
         .agg(F.sum("answer_percent").alias("s"), F.count("answer_percent").alias("n"))
-        .join(star.hospitals.select("hospital_key", "state"), "hospital_key")
+        .join(star.hospitals_with("state"), "hospital_key")
     )
     cell = F.expr("round(sum(s) / nullif(sum(n), 0), 4)")
     return per.groupBy("state").pivot("measure_id", ids).agg(cell)
@@ -272,7 +272,7 @@ def readmission_sheet(star: Star) -> DataFrame:
         "hospital_key", "measure_key", "number_of_discharges", "number_of_readmissions", EXCESS
     )
     wanted = {"hospital_type": "Not Found", "overall_rating": None}
-    return lookup(rows, star.hospitals, "hospital_key", wanted).select(
+    return lookup(rows, star.hospitals_with(*wanted), "hospital_key", wanted).select(
         "hospital_key",
         derived_rate("number_of_readmissions", "number_of_discharges").alias(RATE),
         labels.ratio_flag(EXCESS).alias("ratio_flag"),

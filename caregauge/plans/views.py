@@ -14,7 +14,7 @@ from ..operators.latest import at_latest_year, with_end_date
 from ..schemas import Star
 from .efficiency import VOLUMES, categorised, dated_volumes
 from .outcomes import fanned_out
-from .performance import EXCESS, RATE, hospitals_with, with_measure
+from .performance import EXCESS, RATE, with_measure
 
 
 def hospital_scorecard(star: Star) -> DataFrame:
@@ -59,7 +59,7 @@ def hospital_scorecard(star: Star) -> DataFrame:
         "hospital_type", "hospital_ownership", "emergency_services", "overall_rating",
         "readmission_group", "safety_group", "mortality_group", "patient_exp_group",
     ]
-    joined = hospitals_with(star, *who)
+    joined = star.hospitals.select("hospital_key", *who)
     for per in (rates, survey, quality):
         joined = joined.join(per, "hospital_key", "left")
     return joined.select(
@@ -85,7 +85,7 @@ def readmission_trends(star: Star, rules=K.CATEGORY_RULES_SHORT) -> DataFrame:
         .agg(*partials(VOLUMES))
     )
     return (
-        per.join(hospitals_with(star, "state", "hospital_type"), "hospital_key")
+        per.join(star.hospitals_with("state", "hospital_type"), "hospital_key")
         .groupBy(*period, "state", "hospital_type", *measure)
         .agg(
             rows().alias("hospital_count"),
@@ -112,7 +112,7 @@ def quality_summary(star: Star) -> DataFrame:
         .agg(*partials({"score": "score"}, flags, squares=["score"]))
     )
     return (
-        per.join(hospitals_with(star, "state", "hospital_type"), "hospital_key")
+        per.join(star.hospitals_with("state", "hospital_type"), "hospital_key")
         .groupBy("year", "state", "hospital_type", *measure)
         .agg(
             rows().alias("hospital_count"),
@@ -143,7 +143,7 @@ def satisfaction_detail(star: Star) -> DataFrame:
         )
     )
     who = ["facility_id", "facility_name", "city", "state", "hospital_type", "patient_exp_group"]
-    return per.join(hospitals_with(star, *who), "hospital_key").select(
+    return per.join(star.hospitals_with(*who), "hospital_key").select(
         "year", *who, *per.columns[2:]
     )
 

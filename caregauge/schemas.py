@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from .operators.storage import BROADCAST_LIMIT, source_bytes
+
 
 def _text(names: str, **other) -> StructType:
     return StructType([StructField(n, other.get(n, StringType())) for n in names.split()])
@@ -70,6 +73,13 @@ class Star:
             found = self._tables[name] = found()
         return found
 
+    def hospitals_with(self, *columns: str) -> DataFrame:
+        """Key and columns of the hospitals, as a side to join to: broadcast if small."""
+        if "small" not in self._tables:
+            self._tables["small"] = source_bytes(self.hospitals) <= BROADCAST_LIMIT
+        side = self.hospitals.select("hospital_key", *columns)
+        return F.broadcast(side) if self._tables["small"] else side
+
     hospitals = property(lambda self: self._table("hospitals"))
     dates = property(lambda self: self._table("dates"))
     measures = property(lambda self: self._table("measures"))
