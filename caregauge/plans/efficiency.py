@@ -99,13 +99,16 @@ def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
 
     Percentile 0 is the hospital with the smallest share of readmissions.
     """
-    measured = dated_volumes(star).join(
-        F.broadcast(star.measures.select("measure_key")), "measure_key"
-    )
     # per measure first, so that a hospital's measures are counted without a distinct
     volumes = {k: VOLUMES[k] for k in ("discharges", "readmissions")}
-    per_measure = measured.groupBy("hospital_key", "year", "measure_key").agg(*partials(volumes))
-    per = per_measure.groupBy("hospital_key", "year").agg(
+    measured = (
+        dated_volumes(star)
+        .where("measure_key IS NOT NULL")
+        .groupBy("hospital_key", "year", "measure_key")
+        .agg(*partials(volumes))
+        .join(F.broadcast(star.measures.select("measure_key")), "measure_key", "left_semi")
+    )
+    per = measured.groupBy("hospital_key", "year").agg(
         total("discharges").alias("total_discharges"),
         rows().alias("conditions_tracked"),
         total("readmissions").alias("total_readmissions"),

@@ -16,33 +16,41 @@ from ..functions.labels import keyword_label
 from ..operators.storage import sent_if_small
 
 
-def _keyed(staging: DataFrame, hospitals: DataFrame) -> DataFrame:
-    """Rows of known hospitals, with the hospital key and both date keys.
-
-    A hospital with very many rows is split by the adaptive skew join where the
-    dimension is too large for Spark to send around by itself.
-    """
-    known = sent_if_small(hospitals.selectExpr("hospital_key", "facility_id AS _facility"))
-    return (
-        staging.where(clean.not_blank("facility_id"))
-        .join(known, F.expr("trim(facility_id) = _facility"))
-        .withColumns({d: clean.us_date(d) for d in ("start_date", "end_date")})
-        .withColumns({f"{d}_key": date_key(d) for d in ("start_date", "end_date")})
-    )
-
+def _loaded(
+    staging: DataFrame,
+    hospitals: DataFrame,
+    measures: DataFrame,
+    measure_id: Column,
+    key: str,
+    numbers: dict[str, Column],
+) -> DataFrame:
+    """Cleaned rows of known hospitals with keys, surrogate key and load time.
 
-def _measured(df: DataFrame, measures: DataFrame, measure_id: Column) -> DataFrame:
-    """Left lookup of the measure key; an unknown measure leaves NULL.
+    Rows are cleaned and find their measure before they meet the hospitals, so that a
+    shuffled join moves narrow typed columns instead of delivered text. A hospital with
+    very many rows is split there by the adaptive skew join.
 
-    The measure dimension is a fixed list of a few dozen rows, hence the broadcast.
+    An unknown measure leaves a NULL key. The measure dimension is a fixed list of a few
+    dozen rows, hence the broadcast.
     """
-    known = measures.select("measure_key", F.col("measure_id").alias("_measure"))
-    return df.join(F.broadcast(known), measure_id == F.col("_measure"), "left")
-
-
-def _finished(df: DataFrame, key: str, columns: list[Column | str]) -> DataFrame:
-    """Adds a surrogate key over the row's content and the load time."""
-    out = df.select("hospital_key", "measure_key", "start_date_key", "end_date_key", *columns)
+    clean_rows = staging.where(clean.not_blank("facility_id")).select(
+        F.trim("facility_id").alias("_facility"),
+        measure_id.alias("_measure"),
+        *[clean.us_date(d).alias(d) for d in ("start_date", "end_date")],
+        *[c.alias(n) for n, c in numbers.items()],
+    )
+    known_measures = F.broadcast(measures.selectExpr("measure_key", "measure_id AS _measure"))
+    known_hospitals = sent_if_small(hospitals.selectExpr("hospital_key", "facility_id AS _facility"))
+    out = (
+        clean_rows.join(known_measures, "_measure", "left")
+        .join(known_hospitals, "_facility")
+        .select(
+            "hospital_key",
+            "measure_key",
+            *[date_key(d).alias(f"{d}_key") for d in ("start_date", "end_date")],
+            *numbers,
+        )
+    )
     return out.select(
         F.xxhash64(*out.columns).alias(key), "*", F.current_timestamp().alias("created_at")
     )
@@ -56,69 +64,59 @@ def load_readmissions(
     The measure follows from keywords in its delivered name. ``match_ids`` tries the
     name as a measure id first, which the delivered samples would need.
     """
-    discharges = clean.number("number_of_discharges", "int")
-    rows = staging.where(discharges.isNotNull()).withColumn("_name", F.lower("measure_name"))
-    by_words = keyword_label("_name", K.MEASURE_ID_RULES, None, lowered=True)
+    named = staging.withColumn("_name", F.lower("measure_name"))
+    measure_id = keyword_label("_name", K.MEASURE_ID_RULES, None, lowered=True)
     if match_ids:
         ids = [seed[0] for seed in K.MEASURE_SEED if seed[2] == K.READMISSION]
         own = clean.code("measure_name")
-        by_words = F.when(own.isin(ids), own).otherwise(by_words)
-    df = _measured(_keyed(rows, hospitals), measures, by_words)
+        measure_id = F.when(own.isin(ids), own).otherwise(measure_id)
     rate = "decimal(8,4)"
-    numbers = df.withColumns(
-        {
-            "number_of_discharges": discharges,
-            "number_of_readmissions": clean.number("number_of_readmissions", "int"),
-            "predicted_readmission_rate": clean.number("predicted_readmission_rate", rate),
-            "expected_readmission_rate": clean.number("expected_readmission_rate", rate),
-            "excess_readmission_ratio": clean.number("excess_readmission_ratio", rate),
-        }
+    numbers = {
+        "number_of_discharges": clean.number("number_of_discharges", "int"),
+        "number_of_readmissions": clean.number("number_of_readmissions", "int"),
+        "predicted_readmission_rate": clean.number("predicted_readmission_rate", rate),
+        "expected_readmission_rate": clean.number("expected_readmission_rate", rate),
+        "excess_readmission_ratio": clean.number("excess_readmission_ratio", rate),
+    }
+    loaded = _loaded(
+        named.where(numbers["number_of_discharges"].isNotNull()),
+        hospitals, measures, measure_id, "readmission_key", numbers,
     )
     derived = clean.derived_rate("number_of_readmissions", "number_of_discharges")
-    return _finished(
-        numbers.withColumn("readmission_rate_pct", derived),
-        "readmission_key",
-        [
-            "number_of_discharges",
-            "number_of_readmissions",
-            "predicted_readmission_rate",
-            "expected_readmission_rate",
-            "excess_readmission_ratio",
-            "readmission_rate_pct",
-        ],
-    )
+    return loaded.withColumn("readmission_rate_pct", derived)
 
 
 def load_satisfaction(staging: DataFrame, hospitals: DataFrame, measures: DataFrame) -> DataFrame:
     """Survey fact; rows keep their place when all their numbers are suppressed."""
-    rows = staging.where(F.col("hcahps_measure_id").isNotNull())
-    df = _measured(_keyed(rows, hospitals), measures, F.trim("hcahps_measure_id"))
-    return _finished(
-        df,
+    return _loaded(
+        staging.where("hcahps_measure_id IS NOT NULL"),
+        hospitals,
+        measures,
+        F.trim("hcahps_measure_id"),
         "satisfaction_key",
-        [
-            clean.number("patient_survey_star_rating", "decimal(3,1)").alias("star_rating"),
-            clean.number("hcahps_answer_percent", "decimal(5,2)").alias("answer_percent"),
-            clean.number("number_of_completed_surveys", "int").alias("completed_surveys"),
-            clean.number("survey_response_rate_percent", "decimal(5,2)").alias("response_rate_pct"),
-        ],
+        {
+            "star_rating": clean.number("patient_survey_star_rating", "decimal(3,1)"),
+            "answer_percent": clean.number("hcahps_answer_percent", "decimal(5,2)"),
+            "completed_surveys": clean.number("number_of_completed_surveys", "int"),
+            "response_rate_pct": clean.number("survey_response_rate_percent", "decimal(5,2)"),
+        },
     )
 
 
 def load_quality(staging: DataFrame, hospitals: DataFrame, measures: DataFrame) -> DataFrame:
     """Quality fact; a suppressed score is NULL and its comparison label stays."""
-    rows = staging.where(F.col("measure_id").isNotNull())
-    df = _measured(_keyed(rows, hospitals), measures, F.trim("measure_id"))
-    return _finished(
-        df,
+    return _loaded(
+        staging.where("measure_id IS NOT NULL"),
+        hospitals,
+        measures,
+        F.trim("measure_id"),
         "quality_key",
-        [
-            F.trim("condition").alias("condition"),
-            *[
-                clean.number(c, "decimal(10,4)").alias(c)
-                for c in ("score", "lower_estimate", "higher_estimate")
-            ],
-            clean.number("denominator", "int").alias("denominator"),
-            F.trim("compared_to_national").alias("compared_to_national"),
-        ],
+        {
+            "condition": F.trim("condition"),
+            "score": clean.number("score", "decimal(10,4)"),
+            "lower_estimate": clean.number("lower_estimate", "decimal(10,4)"),
+            "higher_estimate": clean.number("higher_estimate", "decimal(10,4)"),
+            "denominator": clean.number("denominator", "int"),
+            "compared_to_national": F.trim("compared_to_national"),
+        },
     )

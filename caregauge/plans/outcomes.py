@@ -28,19 +28,21 @@ def _outcome_by_hospital(
     category has measures. ``scope`` "fact" takes the latest year of the whole fact,
     "category" that of the category.
     """
-    fact = star.quality
+    of_category = F.broadcast(
+        star.measures.where(f"measure_category = '{category}'").select("measure_key", "measure_id")
+    )
+
+    def kept(fact: DataFrame) -> DataFrame:
+        return fact.join(of_category.select("measure_key"), "measure_key", "left_semi")
+
     if scope == "category":
-        fact = fact.join(
-            F.broadcast(
-                star.measures.where(f"measure_category = '{category}'").select("measure_key")
-            ),
-            "measure_key",
-            "left_semi",
-        )
+        recent = at_latest_year(kept(star.quality), star.dates)
+    else:
+        recent = kept(at_latest_year(star.quality, star.dates))
     per_measure = (
-        with_measure(at_latest_year(fact, star.dates), star, "measure_id", category=category)
-        .groupBy("hospital_key", "measure_id")
+        recent.groupBy("hospital_key", "measure_key")
         .agg(*partials({"score": "score"}, {"worse": compared(K.WORSE)}))
+        .join(of_category, "measure_key")
     )
     per = per_measure.groupBy("hospital_key").agg(
         *[value_of("measure_id", m, "score_max").alias(c) for c, m in columns.items()],
@@ -72,11 +74,12 @@ def infections_by_hospital(star: Star, scope: str = "fact") -> DataFrame:
 def quality_trend(star: Star) -> DataFrame:
     flags = {"better": compared(K.BETTER), "same": compared(K.SAME), "worse": compared(K.WORSE)}
     by = ["year", "measure_category", "measure_id", "measure_name"]
-    per = (
-        with_measure(with_end_date(star.quality, star.dates), star, *by[1:])
-        .groupBy("hospital_key", *by)
+    counted = (
+        with_end_date(star.quality.where("measure_key IS NOT NULL"), star.dates)
+        .groupBy("hospital_key", "year", "measure_key")
         .agg(*partials({"score": "score"}, flags, squares=["score"]))
     )
+    per = with_measure(counted, star, *by[1:])
     return (
         present_in(per, star.hospitals_with(), "hospital_key")
         .groupBy(*by)

@@ -18,7 +18,11 @@ QUARTILES = {"p25": 0.25, "median_pct": 0.5, "p75": 0.75}
 
 
 def with_measure(df: DataFrame, star: Star, *columns: str, category: str | None = None) -> DataFrame:
-    """Inner join to the measure dimension, a fixed list of a few dozen rows."""
+    """Inner join to the measure dimension, a fixed list of a few dozen rows.
+
+    Facts are grouped by the measure key first where they can be, so that names do not
+    travel as grouping keys.
+    """
     measures = star.measures
     if category is not None:
         measures = measures.where(f"measure_category = '{category}'")
@@ -50,14 +54,13 @@ def readmission_by_hospital(star: Star) -> DataFrame:
 
 def _rates_by_measure_state(star: Star) -> DataFrame:
     """Latest-year readmission facts counted per hospital, measure and rate, with state."""
-    per = (
-        with_measure(
-            at_latest_year(star.readmissions, star.dates),
-            star, "measure_id", "measure_name", category=K.READMISSION,
-        )
-        .groupBy("hospital_key", "measure_id", "measure_name", RATE)
+    counted = (
+        at_latest_year(star.readmissions, star.dates)
+        .where("measure_key IS NOT NULL")
+        .groupBy("hospital_key", "measure_key", RATE)
         .agg(*partials({"excess": EXCESS}))
     )
+    per = with_measure(counted, star, "measure_id", "measure_name", category=K.READMISSION)
     return per.join(star.hospitals_with("state"), "hospital_key")
 
 
@@ -182,13 +185,14 @@ def satisfaction_by_hospital(star: Star) -> DataFrame:
 
 def satisfaction_by_state(star: Star, method: str = "auto") -> DataFrame:
     """Per state, survey measure and distinct answer share, with the group's median."""
-    per = (
-        with_measure(
-            at_latest_year(star.satisfaction, star.dates),
-            star, "measure_id", "measure_name", category=K.EXPERIENCE,
-        )
-        .groupBy("hospital_key", "measure_id", "measure_name", "answer_percent")
+    counted = (
+        at_latest_year(star.satisfaction, star.dates)
+        .where("measure_key IS NOT NULL")
+        .groupBy("hospital_key", "measure_key", "answer_percent")
         .agg(*partials({"stars": "star_rating"}))
+    )
+    per = (
+        with_measure(counted, star, "measure_id", "measure_name", category=K.EXPERIENCE)
         .join(star.hospitals_with("state"), "hospital_key")
     )
     grouped = per.groupBy("state", "measure_id", "measure_name", "answer_percent").agg(

@@ -256,10 +256,13 @@ def top_performer_count(scorecard: DataFrame) -> DataFrame:
 def state_survey_matrix(star: Star) -> DataFrame:
     """Average answer share per state and survey measure, over the survey rows."""
     ids = [m[0] for m in K.MEASURE_SEED if m[2] == K.EXPERIENCE]
-    per = (
-        with_measure(star.satisfaction, star, "measure_id", category=K.EXPERIENCE)
-        .groupBy("hospital_key", "measure_id")
+    counted = (
+        star.satisfaction.where("measure_key IS NOT NULL")
+        .groupBy("hospital_key", "measure_key")
         .agg(F.sum("answer_percent").alias("s"), F.count("answer_percent").alias("n"))
+    )
+    per = (
+        with_measure(counted, star, "measure_id", category=K.EXPERIENCE)
         .join(star.hospitals_with("state"), "hospital_key")
     )
     cell = F.expr("round(sum(s) / nullif(sum(n), 0), 4)")

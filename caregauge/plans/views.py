@@ -80,9 +80,10 @@ def readmission_trends(star: Star, rules=K.CATEGORY_RULES_SHORT) -> DataFrame:
     period = ["year", "quarter"]
     per = (
         dated_volumes(star, "quarter")
-        .join(F.broadcast(categorised(star, rules)), "measure_key")
-        .groupBy("hospital_key", *period, *measure)
+        .where("measure_key IS NOT NULL")
+        .groupBy("hospital_key", *period, "measure_key")
         .agg(*partials(VOLUMES))
+        .join(F.broadcast(categorised(star, rules)), "measure_key")
     )
     return (
         per.join(star.hospitals_with("state", "hospital_type"), "hospital_key")
@@ -105,12 +106,13 @@ def quality_summary(star: Star) -> DataFrame:
         "worse": compared(K.WORSE),
     }
     measure = ["measure_category", "measure_id", "measure_name"]
-    scored = star.quality.where("score IS NOT NULL")
-    per = (
-        with_measure(with_end_date(scored, star.dates), star, *measure)
-        .groupBy("hospital_key", "year", *measure)
+    scored = star.quality.where("score IS NOT NULL AND measure_key IS NOT NULL")
+    counted = (
+        with_end_date(scored, star.dates)
+        .groupBy("hospital_key", "year", "measure_key")
         .agg(*partials({"score": "score"}, flags, squares=["score"]))
     )
+    per = with_measure(counted, star, *measure)
     return (
         per.join(star.hospitals_with("state", "hospital_type"), "hospital_key")
         .groupBy("year", "state", "hospital_type", *measure)
@@ -132,9 +134,9 @@ def quality_summary(star: Star) -> DataFrame:
 
 def satisfaction_detail(star: Star) -> DataFrame:
     """Per year, hospital and survey measure."""
-    per = (
-        with_measure(with_end_date(star.satisfaction, star.dates), star, "measure_id", "measure_name")
-        .groupBy("hospital_key", "year", "measure_id", "measure_name")
+    counted = (
+        with_end_date(star.satisfaction.where("measure_key IS NOT NULL"), star.dates)
+        .groupBy("hospital_key", "year", "measure_key")
         .agg(
             average("star_rating", 2).alias("avg_star_rating"),
             average("answer_percent", 1).alias("avg_answer_pct"),
@@ -142,9 +144,10 @@ def satisfaction_detail(star: Star) -> DataFrame:
             F.max("response_rate_pct").alias("response_rate_pct"),
         )
     )
+    per = with_measure(counted, star, "measure_id", "measure_name")
     who = ["facility_id", "facility_name", "city", "state", "hospital_type", "patient_exp_group"]
     return per.join(star.hospitals_with(*who), "hospital_key").select(
-        "year", *who, *per.columns[2:]
+        "year", *who, "measure_id", "measure_name", *counted.columns[3:]
     )
 
 
