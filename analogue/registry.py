@@ -10,7 +10,7 @@ from pyspark.sql.types import DateType, DecimalType, IntegerType, ShortType, Tim
 
 from caregauge import constants as K
 from caregauge.operators.lookups import pick
-from caregauge.operators.storage import configure
+from caregauge.operators.storage import configure, sent_if_small
 from caregauge.plans import (
     audits,
     dimensions,
@@ -92,7 +92,7 @@ def _load(staged: Query, load, key: str) -> Query:
         fact = load(staged(spark, sf_dir), hospitals, measures)
         named = F.broadcast(measures.select("measure_key", "measure_id"))
         return (
-            fact.join(hospitals, "hospital_key")
+            fact.join(sent_if_small(hospitals), "hospital_key")
             .join(named, "measure_key", "left")
             .drop("hospital_key", "measure_key", key, "created_at")
         )
