@@ -66,7 +66,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _hundredths(c: str) -> str:
-    return f"CAST(round({c} * 100) AS BIGINT)"
+    """Nearest whole number of hundredths of a value that is not negative."""
+    return f"CAST({c} * 100 + 0.5D AS BIGINT)"
 
 
 def _ymd(d: str) -> str:
@@ -97,10 +98,9 @@ def _places(whole: str, places: int, dtype: str) -> str:
 
 def _placed(spark: SparkSession, sf_dir: str, name: str, nation: str) -> DataFrame:
     """With nation and region, two fixed lists of 25 and 5 rows."""
-    nations = table(spark, sf_dir, "nation").join(
-        F.broadcast(table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey")
-    )
-    return table(spark, sf_dir, name).join(F.broadcast(nations), F.expr(f"{nation} = n_nationkey"))
+    nations, regions = (F.broadcast(table(spark, sf_dir, t)) for t in ("nation", "region"))
+    placed = table(spark, sf_dir, name).join(nations, F.expr(f"{nation} = n_nationkey"))
+    return placed.join(regions, F.expr("n_regionkey = r_regionkey"))
 
 
 def _rating(balance: str) -> str:
