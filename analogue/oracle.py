@@ -666,6 +666,30 @@ def oracle_sql() -> dict[str, str]:
     # report data sets
     card = lambda body: q(body, _scorecard)
     trend = lambda body, *more: q(body, _trends, *more)
+    out["report_scorecard_survey"] = q(
+        "SELECT c.facility_id, c.facility_name, c.state, performance_tier, year, measure_id, measure_name,"
+        " avg_star_rating, avg_answer_pct FROM scorecard c LEFT JOIN detail d ON c.facility_id = d.facility_id",
+        _scorecard,
+        _detail,
+    )
+    beside = "avg_readmission_pct avg_excess_ratio avg_star_rating avg_mortality_rate avg_hai_sir".split()
+    out["report_scorecard_state"] = q(
+        "SELECT facility_id, facility_name, c.state, avg_readmission_rate_pct, c.avg_excess_ratio,"
+        " overall_star_rating, performance_tier, "
+        + ", ".join(f"s.{c} AS state_{c}" for c in beside)
+        + " FROM scorecard c LEFT JOIN states s ON c.state = s.state",
+        _scorecard,
+        _product,
+        _states,
+    )
+    out["report_scorecard_trends"] = q(
+        f"""SELECT facility_id, c.state, c.hospital_type, performance_tier, t.year,
+        {big('sum(t.total_discharges)')} AS peer_discharges, {big('sum(t.total_readmissions)')} AS peer_readmissions
+        FROM scorecard c LEFT JOIN trends t ON c.state = t.state AND c.hospital_type = t.hospital_type
+        GROUP BY 1, 2, 3, 4, 5""",
+        _scorecard,
+        _trends,
+    )
     out["report_top20_readmission"] = card(
         "SELECT facility_id, facility_name, avg_readmission_rate_pct FROM scorecard"
         " ORDER BY avg_readmission_rate_pct DESC NULLS LAST, facility_id LIMIT 20"

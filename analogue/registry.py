@@ -196,6 +196,9 @@ def queries() -> dict[str, Query]:
         "core_row_counts": audits.star_row_counts,
         "referential_integrity": audits.broken_references,
         # report data sets
+        "report_scorecard_survey": lambda s: reports.scorecard_with_survey(card(s), detail(s)),
+        "report_scorecard_state": lambda s: reports.scorecard_with_state(card(s), states(s)),
+        "report_scorecard_trends": lambda s: reports.scorecard_with_trends(card(s), trends(s)),
         "report_top20_readmission": lambda s: reports.highest_readmission_rates(card(s)),
         "report_state_map": lambda s: reports.state_map(states(s)),
         "report_average_stars": lambda s: reports.average_stars(card(s)),

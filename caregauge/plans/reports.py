@@ -60,6 +60,49 @@ def top_performers(scorecard: DataFrame) -> DataFrame:
     )
 
 
+# -- relationships of the report model -----------------------------------------------------
+
+
+def scorecard_with_survey(scorecard: DataFrame, detail: DataFrame) -> DataFrame:
+    """Each hospital with its survey rows; one without any stays, once."""
+    survey = detail.select(
+        "facility_id", "year", "measure_id", "measure_name", "avg_star_rating", "avg_answer_pct"
+    )
+    card = scorecard.select("facility_id", "facility_name", "state", "performance_tier")
+    return card.join(survey, "facility_id", "left")
+
+
+def scorecard_with_state(scorecard: DataFrame, states: DataFrame) -> DataFrame:
+    """Each hospital beside the figures of its state."""
+    figures = states.selectExpr(
+        "state",
+        "avg_readmission_pct AS state_avg_readmission_pct",
+        "avg_excess_ratio AS state_avg_excess_ratio",
+        "avg_star_rating AS state_avg_star_rating",
+        "avg_mortality_rate AS state_avg_mortality_rate",
+        "avg_hai_sir AS state_avg_hai_sir",
+    )
+    card = scorecard.select(
+        "facility_id", "facility_name", "state", LATEST_RATE, "avg_excess_ratio",
+        "overall_star_rating", "performance_tier",
+    )
+    return card.join(figures, "state", "left")
+
+
+def scorecard_with_trends(scorecard: DataFrame, trends: DataFrame) -> DataFrame:
+    """Each hospital beside the yearly volume of its state and type.
+
+    The trend view has no facility, so the relationship runs over state and type. Trends
+    are summed per year first: a hospital has one row per year, not one per measure.
+    """
+    yearly = trends.groupBy("state", "hospital_type", "year").agg(
+        F.sum("total_discharges").alias("peer_discharges"),
+        F.sum("total_readmissions").alias("peer_readmissions"),
+    )
+    card = scorecard.select("facility_id", "state", "hospital_type", "performance_tier")
+    return card.join(yearly, ["state", "hospital_type"], "left")
+
+
 # -- hospital page -----------------------------------------------------------------------
 
 
