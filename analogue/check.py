@@ -6,7 +6,6 @@ ranked by a window, as on data too large for either.
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
@@ -27,10 +26,8 @@ def _key(row: tuple) -> tuple:
     return tuple((v is None, str(v)) for v in row)
 
 
-def _same(a, b) -> bool:
-    if isinstance(a, float) and isinstance(b, float):
-        return a == b or math.isclose(a, b, rel_tol=1e-12)
-    return a == b and type(a) is type(b)
+# The column types both sides are to show.
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def compare(spark: SparkSession, con, name: str, sf_dir: str) -> str | None:
@@ -41,13 +38,17 @@ def compare(spark: SparkSession, con, name: str, sf_dir: str) -> str | None:
     found = con.sql(oracle_sql()[name])
     if sorted(found.columns) != columns:
         return f"columns {columns} != {sorted(found.columns)}"
+    types = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
+    shown = {c: str(t) for c, t in zip(found.columns, found.types)}
+    if types != shown:
+        return f"types {[(c, types[c], shown[c]) for c in columns if types[c] != shown[c]]}"
     order = [found.columns.index(c) for c in columns]
     theirs = sorted((tuple(r[i] for i in order) for r in found.fetchall()), key=_key)
     if len(ours) != len(theirs):
         return f"{len(ours)} rows != {len(theirs)}"
     if not ours:
         return "empty"
-    bad = [(a, b) for a, b in zip(ours, theirs) if not all(map(_same, a, b))]
+    bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
     return f"{len(bad)} of {len(ours)} rows differ, {columns}: {bad[0]}" if bad else None
 
 
