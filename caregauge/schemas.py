@@ -54,6 +54,34 @@ HEADER_NAMES = {
 }
 
 
+_KEYS = "hospital_key BIGINT, measure_key BIGINT, start_date_key INT, end_date_key INT"
+
+# Columns of the saved core tables, by their place in the star. Stated, so that reading
+# needs no look into files and works on a table without rows.
+CORE = {
+    "hospitals": "hospital_key BIGINT, facility_id STRING, facility_name STRING, city STRING,"
+    " state STRING, zip_code STRING, county_name STRING, hospital_type STRING,"
+    " hospital_ownership STRING, emergency_services BOOLEAN, overall_rating INT,"
+    " mortality_group STRING, safety_group STRING, readmission_group STRING,"
+    " patient_exp_group STRING, created_at TIMESTAMP, updated_at TIMESTAMP",
+    "dates": "date_key INT, full_date DATE, year INT, quarter INT, month INT, month_name STRING,"
+    " week_of_year INT, day_of_week INT, day_name STRING, is_weekend BOOLEAN, fiscal_year INT,"
+    " fiscal_quarter INT",
+    "measures": "measure_key BIGINT, measure_id STRING, measure_name STRING,"
+    " measure_category STRING, higher_is_better BOOLEAN, unit_of_measure STRING",
+    "readmissions": f"readmission_key BIGINT, {_KEYS}, number_of_discharges INT,"
+    " number_of_readmissions INT, predicted_readmission_rate DECIMAL(8,4),"
+    " expected_readmission_rate DECIMAL(8,4), excess_readmission_ratio DECIMAL(8,4),"
+    " readmission_rate_pct DECIMAL(8,4), created_at TIMESTAMP, end_year INT",
+    "satisfaction": f"satisfaction_key BIGINT, {_KEYS}, star_rating DECIMAL(3,1),"
+    " answer_percent DECIMAL(5,2), completed_surveys INT, response_rate_pct DECIMAL(5,2),"
+    " created_at TIMESTAMP, end_year INT",
+    "quality": f"quality_key BIGINT, {_KEYS}, condition STRING, score DECIMAL(10,4),"
+    " lower_estimate DECIMAL(10,4), higher_estimate DECIMAL(10,4), denominator INT,"
+    " compared_to_national STRING, created_at TIMESTAMP, end_year INT",
+}
+
+
 class Star:
     """Dimensions and facts of one data set.
 

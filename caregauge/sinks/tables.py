@@ -58,5 +58,6 @@ def export_reports(views: Mapping[str, DataFrame], folder: str, fmt: str = "parq
         writer.format(fmt).save(f"{folder}/{name}")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
