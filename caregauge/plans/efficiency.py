@@ -77,7 +77,7 @@ def volume_by_category(star: Star, rules=K.CATEGORY_RULES) -> DataFrame:
     """Per year, clinical category and state; ``rules`` may be the corrected list."""
     per = (
         dated_volumes(star)
-        .join(F.broadcast(categorised(star, rules)), "measure_key")
+        .join(star.side("measures", categorised(star, rules)), "measure_key")
         .groupBy("hospital_key", "year", "clinical_category")
         .agg(*partials(VOLUMES))
     )
@@ -106,7 +106,7 @@ def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
         .where("measure_key IS NOT NULL")
         .groupBy("hospital_key", "year", "measure_key")
         .agg(*partials(volumes))
-        .join(F.broadcast(star.measures.select("measure_key")), "measure_key", "left_semi")
+        .join(star.side("measures", star.measures.select("measure_key")), "measure_key", "left_semi")
     )
     per = measured.groupBy("hospital_key", "year").agg(
         total("discharges").alias("total_discharges"),

@@ -30,8 +30,7 @@ def _loaded(
     shuffled join moves narrow typed columns instead of delivered text. A hospital with
     very many rows is split there by the adaptive skew join.
 
-    An unknown measure leaves a NULL key. The measure dimension is a fixed list of a few
-    dozen rows, hence the broadcast.
+    An unknown measure leaves a NULL key.
     """
     clean_rows = staging.where(clean.not_blank("facility_id")).select(
         F.trim("facility_id").alias("_facility"),
@@ -39,7 +38,7 @@ def _loaded(
         *[clean.us_date(d).alias(d) for d in ("start_date", "end_date")],
         *[c.alias(n) for n, c in numbers.items()],
     )
-    known_measures = F.broadcast(measures.selectExpr("measure_key", "measure_id AS _measure"))
+    known_measures = sent_if_small(measures.selectExpr("measure_key", "measure_id AS _measure"))
     known_hospitals = sent_if_small(hospitals.selectExpr("hospital_key", "facility_id AS _facility"))
     out = (
         clean_rows.join(known_measures, "_measure", "left")

@@ -28,9 +28,8 @@ def _outcome_by_hospital(
     category has measures. ``scope`` "fact" takes the latest year of the whole fact,
     "category" that of the category.
     """
-    of_category = F.broadcast(
-        star.measures.where(f"measure_category = '{category}'").select("measure_key", "measure_id")
-    )
+    in_category = star.measures.where(f"measure_category = '{category}'")
+    of_category = star.side("measures", in_category.select("measure_key", "measure_id"))
 
     def kept(fact: DataFrame) -> DataFrame:
         return fact.join(of_category.select("measure_key"), "measure_key", "left_semi")
@@ -136,8 +135,8 @@ def overall_scorecard(star: Star) -> DataFrame:
 def fanned_out(star: Star, *columns: str) -> DataFrame:
     """Hospitals with the partial aggregates of their three facts and the multipliers."""
     category = star.measures.select("measure_key", "measure_id", "measure_category")
-    quality = star.quality.join(F.broadcast(category), "measure_key", "left")
-    survey = star.satisfaction.join(F.broadcast(category), "measure_key", "left")
+    quality = star.quality.join(star.side("measures", category), "measure_key", "left")
+    survey = star.satisfaction.join(star.side("measures", category), "measure_key", "left")
 
     def scores(kind: str) -> str:
         return f"CASE WHEN measure_category = '{kind}' THEN score END"

@@ -18,7 +18,7 @@ QUARTILES = {"p25": 0.25, "median_pct": 0.5, "p75": 0.75}
 
 
 def with_measure(df: DataFrame, star: Star, *columns: str, category: str | None = None) -> DataFrame:
-    """Inner join to the measure dimension, a fixed list of a few dozen rows.
+    """Inner join to the measure dimension.
 
     Facts are grouped by the measure key first where they can be, so that names do not
     travel as grouping keys.
@@ -26,7 +26,7 @@ def with_measure(df: DataFrame, star: Star, *columns: str, category: str | None
     measures = star.measures
     if category is not None:
         measures = measures.where(f"measure_category = '{category}'")
-    return df.join(F.broadcast(measures.select("measure_key", *columns)), "measure_key")
+    return df.join(star.side("measures", measures.select("measure_key", *columns)), "measure_key")
 
 
 def readmission_by_hospital(star: Star) -> DataFrame:
@@ -218,7 +218,7 @@ def satisfaction_trend(star: Star) -> DataFrame:
     rating = star.measures.where(f"measure_id = '{K.OVERALL_RATING}'").select("measure_key")
     per = (
         with_end_date(star.satisfaction, star.dates)
-        .join(F.broadcast(rating), "measure_key")
+        .join(star.side("measures", rating), "measure_key")
         .groupBy("hospital_key", "year")
         .agg(*partials({"stars": "star_rating", "answer": "answer_percent"}))
     )

@@ -83,7 +83,7 @@ def readmission_trends(star: Star, rules=K.CATEGORY_RULES_SHORT) -> DataFrame:
         .where("measure_key IS NOT NULL")
         .groupBy("hospital_key", *period, "measure_key")
         .agg(*partials(VOLUMES))
-        .join(F.broadcast(categorised(star, rules)), "measure_key")
+        .join(star.side("measures", categorised(star, rules)), "measure_key")
     )
     return (
         per.join(star.hospitals_with("state", "hospital_type"), "hospital_key")

@@ -94,6 +94,7 @@ class Star:
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
         self._tables = tables
+        self._small: dict[str, bool] = {}
 
     def _table(self, name: str) -> DataFrame:
         found = self._tables[name]
@@ -101,12 +102,19 @@ class Star:
             found = self._tables[name] = found()
         return found
 
+    def side(self, name: str, df: DataFrame) -> DataFrame:
+        """A frame made from dimension ``name``, as a side to join facts to.
+
+        Broadcast if the dimension's source files are small, which is looked up once;
+        else left to a shuffled join, which splits hot keys.
+        """
+        if name not in self._small:
+            self._small[name] = source_bytes(self._table(name)) <= BROADCAST_LIMIT
+        return F.broadcast(df) if self._small[name] else df
+
     def hospitals_with(self, *columns: str) -> DataFrame:
-        """Key and columns of the hospitals, as a side to join to: broadcast if small."""
-        if "small" not in self._tables:
-            self._tables["small"] = source_bytes(self.hospitals) <= BROADCAST_LIMIT
-        side = self.hospitals.select("hospital_key", *columns)
-        return F.broadcast(side) if self._tables["small"] else side
+        """Key and columns of the hospitals, as a side to join to."""
+        return self.side("hospitals", self.hospitals.select("hospital_key", *columns))
 
     hospitals = property(lambda self: self._table("hospitals"))
     dates = property(lambda self: self._table("dates"))
