@@ -13,17 +13,29 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from caregauge.llm.common import slices, texts
+from caregauge.llm.tokens import CACHED_WORDS, WordIds, batches_of, id_lists
 
 NONE = np.iinfo(np.int64).max
 #: Words of up to so many symbols are merged many at a time.
 SHORT = 64
-CACHED_WORDS = 500_000
 # Fixed value: white space as the tokenizer's pattern engine has it.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
+def unassigned() -> str:
+    """A class of the code points without a category in Python's tables."""
+    free = [a for a in range(0x110000) if unicodedata.category(chr(a)) == "Cn"]
+    first = [a for a, b in zip(free, [-2, *free]) if a != b + 1]
+    last = [a for a, b in zip(free, [*free[1:], -2]) if a + 1 != b]
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last)) + "]"
+
+
+UNASSIGNED = re.compile(unassigned())
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable bytes for themselves, the others by code
     points from 256 on."""
@@ -35,12 +47,13 @@ def byte_letters() -> list[str]:
     return letters
 
 
-class Bpe:
+class Bpe(WordIds):
     """Vocabulary and merges of a tokenizer file whose steps are: canonical composition, white
     space to one space, lower case, a pattern whose matches are the words, bytes as letters,
     merges with a suffix at the word's end."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
+        super().__init__(cached_words)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
@@ -50,6 +63,9 @@ class Bpe:
             raise ValueError(f"{path}: not the kind of tokenizer that this encoder knows")
         vocab: dict[str, int] = model["vocab"]
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        # Letters that Python's tables don't have yet are cut by the library's.
+        self.newer = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        self.normalizer = Tokenizer.from_file(path).normalizer
         suffix = model["end_of_word_suffix"] or ""
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], dtype=np.int64)
@@ -67,7 +83,6 @@ class Bpe:
         self.keys, self.key_ranks = keys[order], order
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = np.array([names.get(i, "") for i in range(most)], dtype=object)
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -196,32 +211,26 @@ class Bpe:
         return self.cut_plain(chunk)
 
     def cut_plain(self, part: str) -> list[str]:
+        if UNASSIGNED.search(part):
+            return [w for w, _ in self.newer.pre_tokenize_str(self.normalizer.normalize_str(part))]
         part = SPACES.sub(" ", unicodedata.normalize("NFC", part))
         # Each letter by itself: the final form of a sigma is not chosen.
         part = "".join([c.lower() for c in part]) if "Σ" in part else part.lower()
         return self.pattern.findall(part)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        cut = {c: self.cut(c) for c in {c for p in parts for c in p if c not in self.chunks}}
-        new = {w for ws in cut.values() for w in ws if isinstance(w, str) and w not in self.words}
-        words = self.encode_words(sorted(new))
-        if len(self.words) + len(words) <= CACHED_WORDS:
-            self.words.update(words)
-        chunks = {
-            c: b"".join(
-                [
-                    w.to_bytes(4, "little") if isinstance(w, int) else words[w] if w in words else self.words[w]
-                    for w in ws
-                ]
-            )
-            for c, ws in cut.items()
-        }
-        if len(self.chunks) + len(chunks) <= CACHED_WORDS:
-            self.chunks.update(chunks)
-        known = self.chunks
-        return [b"".join([chunks[c] if c in chunks else known[c] for c in p]) for p in parts]
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        cut = list(map(self.cut, words))
+        new = {w for ws in cut for w in ws if isinstance(w, str) and w not in self.words}
+        fresh = self.encode_words(sorted(new))
+        if len(self.words) + len(fresh) <= self.limit:
+            self.words.update(fresh)
+
+        def raw(w: str | int) -> bytes:
+            if isinstance(w, int):
+                return w.to_bytes(4, "little")
+            return fresh[w] if w in fresh else self.words[w]
+
+        return [b"".join(map(raw, ws)) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by spaces, special ones included, as the file names no decoder."""
@@ -240,13 +249,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path)
-        for batch in slices(batches):
-            raw = coder.encode(batch.column("text").to_pylist())
-            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"]
-            )
+        for batch in batches_of(batches):
+            ids = id_lists(*coder.encode(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     docs = texts(docs)
     return docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")

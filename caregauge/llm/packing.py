@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caregauge.llm.common import slices, texts, written
-from caregauge.llm.tokens import text_encoder
+from caregauge.llm.common import texts, written
+from caregauge.llm.tokens import batches_of, id_lists, text_encoder, with_end
 
 CAPACITY = 2048
 #: Pieces that one task packs; a partition's loss is a part of its last bin.
@@ -34,27 +34,24 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches):
-            rows, piece, start, raw = [], [], [], []
-            for i, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    raw.append(ids[at : at + 4 * capacity])
-            length = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-            ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-            values = np.frombuffer(b"".join(raw), dtype="<i4")
+        for batch in batches_of(batches):
+            ends, ids = with_end(*encoder.encode(batch.column("text")), end_id)
+            many = -(-np.diff(ends) // capacity)
+            row = np.repeat(np.arange(len(many)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(capacity, np.diff(ends)[row] - start)
+            cuts = np.concatenate(([0], np.cumsum(length)))
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
-                    pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()),
+                    batch.column("doc_id").take(pa.array(row)),
+                    pa.array(piece.astype(np.int32)),
+                    pa.array(start),
                     pa.array(length),
-                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                    pa.array(crc, pa.int64()),
+                    id_lists(cuts, ids),
                 ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
             )

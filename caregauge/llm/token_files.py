@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caregauge.llm.common import slices, texts
-from caregauge.llm.tokens import text_encoder
+from caregauge.llm.tokens import batches_of, id_lists, text_encoder, with_end
 
 #: Row groups of so many bytes and pages of so many bytes or rows: a read of a few documents
 #: takes the pages that the page index names, a read of the counts leaves the ids alone.
@@ -31,17 +31,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1)
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
         before = 0
-        for batch in slices(batches):
-            raw = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-            ends = np.concatenate(([0], np.cumsum(n)))
-            ids = pa.ListArray.from_arrays(
-                pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-            )
+        for batch in batches_of(batches):
+            ends, ids = with_end(*encoder.encode(batch.column("text")), end_id)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(before + ends[:-1]), ids],
+                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(before + ends[:-1]), id_lists(ends, ids)],
                 names=["doc_id", "n_tokens", "first", "ids"],
             )
             before += int(ends[-1])

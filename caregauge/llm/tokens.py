@@ -2,27 +2,109 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words a worker remembers; later ones are encoded each time they occur.
-CACHED_WORDS = 800_000
+#: Words a worker remembers; later ones are encoded in each batch they occur in.
+CACHED_WORDS = 600_000
+#: Text that is encoded at once, unless a single text has more.
+BATCH_BYTES = 8 << 20
 
+# Marks that end words often, and the letters before them.
+ENDS = frozenset(".,")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-class TextEncoder:
+
+def batches_of(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BATCH_BYTES of text at most, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+class WordIds:
+    """Ids of texts from the ids of the parts between their spaces and line ends.
+
+    Each different part of a batch is looked up once, and encoded if it is not known.
+    """
+
+    def __init__(self, cached_words: int = CACHED_WORDS) -> None:
+        self.limit = cached_words
+        self.known: dict[str, bytes] = {}
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word."""
+        raise NotImplementedError
+
+    def plainer(self, texts: pa.Array, words: pa.Array) -> pa.Array:
+        """Words with the same ids as the given ones, and fewer different ones."""
+        return words
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (and end)."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = self.plainer(texts, parts.flatten()).dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        raw = list(map(self.known.get, different))
+        new = [w for w, ids in zip(different, raw) if ids is None]
+        if new:
+            fresh = iter(found := self.ids_of(new))
+            raw = [next(fresh) if ids is None else ids for ids in raw]
+            if len(self.known) + len(new) <= self.limit:
+                self.known.update(zip(new, found))
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(raw), dtype="<u4")
+        words = coded.indices.to_numpy(zero_copy_only=False)
+        many = sizes[words]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        values = flat[np.arange(ends[-1]) + np.repeat(starts[words] - ends[:-1], many)]
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        return ends[offsets - offsets[0]], values
+
+    def encode_texts(self, texts: list[str]) -> list[list[int]]:
+        ends, values = self.encode(pa.array(texts, pa.string()))
+        return [values[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def with_end(ends: np.ndarray, values: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same ids with ``end_id`` after each text's."""
+    out_ends = ends + np.arange(len(ends))
+    out = np.empty(out_ends[-1], dtype="<u4")
+    own = np.ones(len(out), dtype=bool)
+    own[out_ends[1:] - 1] = False
+    out[own] = values
+    out[~own] = end_id
+    return out_ends, out
+
+
+def id_lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view("<i4")))
+
+
+class TextEncoder(WordIds):
     """``Tokenizer.encode(text, add_special_tokens=False).ids`` for many texts.
 
     The tokenizer drops white space before it looks for tokens, so that a text's ids are those of
-    the parts between spaces and line ends, one after the other. Each different part is encoded
-    once per batch by the library, many in one call, with a control letter between spaces after
+    its parts. New parts are encoded in one call, with a control letter between spaces after
     each, which is a token of its own. Parts that hold this letter or may hold a special token
     go alone.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
+        super().__init__(cached_words)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -38,38 +120,58 @@ class TextEncoder:
         contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(re.search(r"\s", c) for c in contents):
             raise ValueError(f"{path} has tokens with white space")
-        self.hints = (*{c[:2] for c in contents}, self.parting)
-        self.limit = cached_words
-        self.known: dict[str, bytes] = {}
+        self.hints = {c[:2] for c in contents}
+        self.alone = re.compile("|".join(map(re.escape, {*self.hints, self.parting})))
+        file = json.loads(self.tokenizer.to_str())
+        steps = str(file["normalizer"])
+        self.lowers = "'Lowercase'" in steps and "'Prepend'" not in steps
+        first_split = ((file["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        choices = first_split.get("pattern", {}).get("Regex", "").split("|")
+        # Letters and marks are words of their own: a mark after a letter begins a new one.
+        self.marks_apart = {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= {*choices} and first_split.get("invert") is True
+        self.cores: dict[str, bytes] = {}
+
+    def plainer(self, texts: pa.Array, words: pa.Array) -> pa.Array:
+        """ASCII words in lower case, if the tokenizer lowers letters itself and no text may hold
+        a special token, which is cut out before."""
+        if not self.lowers or any(pc.any(pc.match_substring(texts, h)).as_py() for h in self.hints):
+            return words
+        return pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if not any(h in w for h in self.hints)]
-        joined = self._one(f" {self.parting} ".join(plain))
-        ids = np.array(joined, dtype="<u4")
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        if not self.marks_apart:
+            return self.ids_of_all(words)
+        cores = [w[:-1] if w[-1:] in ENDS and w[-2:-1] in LETTERS else w for w in words]
+        new = list({*cores, *ENDS} - self.cores.keys())
+        found = dict(zip(new, self.ids_of_all(new)))
+        known = self.cores
+        if len(known) + len(found) <= self.limit:
+            known.update(found)
+        ids = [found[c] if c in found else known[c] for c in cores]
+        ends = {e: found[e] if e in found else known[e] for e in ENDS}
+        return [x if w is c else x + ends[w[-1]] for w, c, x in zip(words, cores, ids)]
+
+    def ids_of_all(self, words: list[str]) -> list[bytes]:
+        search = self.alone.search
+        plain = [w for w in words if not search(w)]
+        # Strings of a thousand words cost the library least for each word.
+        after = f" {self.parting} "
+        joined = [after.join([*plain[at : at + 1_000], ""]) for at in range(0, len(plain), 1_000)]
+        encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, dtype="<u4") for e in encoded)])
         cuts = np.flatnonzero(ids == self.parting_id)
-        if plain and len(cuts) != len(plain) - 1:
+        if len(cuts) != len(plain):
             raise RuntimeError("words and ids differ in number")
-        starts = np.concatenate(([0], cuts + 1)) * 4
-        ends = np.concatenate((cuts, [len(ids)])) * 4
+        starts = (np.concatenate(([0], cuts[:-1] + 1)) * 4).tolist()
+        ends = (cuts * 4).tolist()
         raw = ids.tobytes()
-        found = {w: raw[a:b] for w, a, b in zip(plain, starts.tolist(), ends.tolist())}
-        for w in set(words) - found.keys():
-            found[w] = np.array(self._one(w), dtype="<u4").tobytes()
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for p in parts for w in p if w not in known}
-        fresh = self._words(list(new)) if new else {}
-        if len(known) + len(fresh) <= self.limit:
-            known.update(fresh)
-            return [b"".join([known[w] for w in p]) for p in parts]
-        return [b"".join([known[w] if w in known else fresh[w] for w in p]) for p in parts]
+        if len(plain) == len(words):
+            return [raw[a:b] for a, b in zip(starts, ends)]
+        found = {w: raw[a:b] for w, a, b in zip(plain, starts, ends)}
+        return [found[w] if w in found else np.array(self._one(w), dtype="<u4").tobytes() for w in words]
 
 
 @lru_cache(maxsize=2)
