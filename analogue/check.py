@@ -1,7 +1,6 @@
 """Runs registered queries against their SQL: python -m analogue.check [sf_dir] [name ...]
 
-With LARGE=1 nothing counts as small: no side is broadcast for its size and no group is
-ranked by a window, as on data too large for either.
+With LARGE=1 nothing counts as small: no side is broadcast for its size.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from caregauge import schemas
-from caregauge.operators import ranks, storage
+from caregauge.operators import storage
 
 from .oracle import oracle_sql
 from .registry import queries
@@ -69,7 +68,7 @@ def main(sf_dir: str = "/root/testdata/sf0.01", *names: str) -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     if os.environ.get("LARGE"):
-        storage.BROADCAST_LIMIT = schemas.BROADCAST_LIMIT = ranks.WINDOW_LIMIT = 0
+        storage.BROADCAST_LIMIT = schemas.BROADCAST_LIMIT = 0
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     con = connect(sf_dir)

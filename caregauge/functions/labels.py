@@ -68,6 +68,11 @@ def rating_band(rating: str) -> Column:
     )
 
 
+def same_text(column: str, text: str) -> str:
+    """SQL condition: the column holds this text, case ignored."""
+    return f"upper({column}) = '{text.upper()}'"
+
+
 def compared(label: str, column: str = "compared_to_national") -> str:
     """SQL condition: the comparison label, case ignored."""
     return f"lower({column}) = '{label.lower()}'"

@@ -51,15 +51,19 @@ def mean(name: str, scale: int) -> Column:
 def deviation(name: str, scale: int) -> Column:
     """Sample standard deviation from moments; NULL below two values.
 
-    Exact in decimals while the moments fit, in doubles beyond that.
+    Exact in whole ten-thousandths, as far as 38 digits hold the sum of squares: with n
+    values, sum s = q * n + r and sum of squares Q, the squared distances from the mean are
+    (Q - q * q * n - 2 * q * r) - r * r / n, where nothing large cancels in doubles.
     """
-    n, s, sq = f"sum({name}_cnt)", f"sum({name}_sum)", f"sum({name}_sq)"
-    s_fit = f"try_cast({s} AS DECIMAL(18,4))"
-    exact = f"try_cast({n} AS DECIMAL(13,0)) * try_cast({sq} AS DECIMAL(22,8)) - {s_fit} * {s_fit}"
-    wide = f"CAST({n} AS DOUBLE) * CAST({sq} AS DOUBLE) - CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE)"
-    spread = f"greatest(coalesce(CAST({exact} AS DOUBLE), {wide}), 0D)"
-    pairs = f"nullif(CAST({n} AS DOUBLE) * CAST({n} - 1 AS DOUBLE), 0D)"
-    return F.expr(rounded(f"sqrt({spread} / {pairs})", scale))
+    n = f"CAST(sum({name}_cnt) AS DECIMAL(38,0))"
+    s = f"CAST(sum({name}_sum) * 10000 AS DECIMAL(38,0))"
+    squares = f"CAST(sum({name}_sq) * 100000000 AS DECIMAL(38,0))"
+    some = f"nullif({n}, 0)"
+    q, r = f"CAST({s} div {some} AS DECIMAL(38,0))", f"({s} % {some})"
+    near = f"CAST({squares} - {q} * {q} * {n} - 2 * {q} * {r} AS DOUBLE)"
+    rest = f"CAST({r} AS DOUBLE) * CAST({r} AS DOUBLE) / CAST({some} AS DOUBLE)"
+    below = f"nullif(CAST({n} - 1 AS DOUBLE), 0D)"
+    return F.expr(rounded(f"sqrt(greatest({near} - {rest}, 0D) / {below}) / 10000D", scale))
 
 
 def _quotient(top: str, bottom: str, scale: int) -> str:
@@ -81,25 +85,39 @@ def average(value: str, scale: int, where: str | None = None) -> Column:
 
 def value_of(id_column: str, wanted: str, value: str) -> Column:
     """One cell of a pivot: the largest value among the rows of one id."""
-    return F.expr(f"max(CASE WHEN {id_column} = '{wanted}' THEN {value} END)")
+    return F.expr(f"max(CASE WHEN upper({id_column}) = '{wanted.upper()}' THEN {value} END)")
 
 
 def one_of(id_column: str, wanted: Iterable[str]) -> str:
-    """SQL condition: the id is among the wanted ones."""
-    return f"{id_column} IN ({', '.join(repr(w) for w in wanted)})"
+    """SQL condition: the id is among the wanted ones, case ignored."""
+    return f"upper({id_column}) IN ({', '.join(repr(w.upper()) for w in wanted)})"
 
 
 def ordered_list(text: str, count: str, separator: str = ", ") -> Column:
     """Sorted, separated list of texts, each repeated as often as it was counted.
 
     Takes rows already counted per (group, text), so that a group collects one entry
-    per distinct text however many rows stood behind it. NULL when nothing counts.
+    per distinct text however many rows stood behind it. The text itself grows with the
+    counts; where they are large, ``counted_list`` is the one to use. NULL when nothing
+    counts; a count that no text can hold raises.
     """
-    entries = f"array_sort(collect_list(CASE WHEN {count} > 0 THEN struct({text}, {count}) END))"
-    repeated = f"flatten(transform({entries}, e -> array_repeat(e.{text}, CAST(e.{count} AS INT))))"
+    entries = f"array_sort(collect_list(CASE WHEN {count} > 0 THEN struct({text} AS t, {count} AS n) END))"
+    most = "2147483647"
+    times = f"CASE WHEN e.n > {most} THEN raise_error('a text cannot hold so many entries') ELSE int(least(e.n, {most})) END"
+    repeated = f"flatten(transform({entries}, e -> array_repeat(e.t, {times})))"
     return F.expr(f"nullif(array_join({repeated}, '{separator}'), '')")
 
 
+def counted_list(text: str, count: str, separator: str = ", ") -> Column:
+    """Sorted, separated list of texts, each once, with its count where that is over one.
+
+    Grows with the number of different texts alone. NULL when nothing counts.
+    """
+    entries = f"array_sort(collect_list(CASE WHEN {count} > 0 THEN struct({text} AS t, {count} AS n) END))"
+    shown = f"transform({entries}, e -> concat(e.t, CASE WHEN e.n > 1 THEN concat(' x', e.n) ELSE '' END))"
+    return F.expr(f"nullif(array_join({shown}, '{separator}'), '')")
+
+
 def spread_pivot(df: DataFrame, by: str, columns: str, labels, value: str, scale: int) -> DataFrame:
     """Matrix of averages with a fixed list of columns (so no extra pass to find them)."""
     return df.groupBy(by).pivot(columns, list(labels)).agg(average(value, scale))

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from .aggregates import partials, rounded
 
-# Row products up to this many are summed as exact decimals, larger ones as doubles.
-EXACT_ROWS = 10**14
-
 
 def _product(facts: Iterable[str]) -> str:
     """SQL for the rows of a left join to these facts. Three facts of up to a trillion
@@ -48,29 +45,26 @@ def fanout_partials(
     )
 
 
-def _repeated(amount: str, others: str) -> tuple[str, str, str]:
-    """Sum of an amount times a row product: whether exact fits, the exact sum, the wide one."""
-    fits = f"{others} <= {EXACT_ROWS}"
-    exact = f"sum(CASE WHEN {fits} THEN CAST({amount} * {others} AS DECIMAL(38,4)) END)"
-    wide = f"sum(CAST({amount} AS DOUBLE) * CAST({others} AS DOUBLE))"
-    return f"min({fits})", exact, wide
-
+def _repeated(amount: str, others: str) -> str:
+    """Exact sum of an amount times a row product, up to 34 digits before the point.
 
-def _either(amount: str, others: str, dtype: str) -> str:
-    fits, exact, wide = _repeated(amount, others)
-    return f"CASE WHEN {fits} THEN CAST({exact} AS {dtype}) ELSE CAST({wide} AS {dtype}) END"
+    A product or sum beyond that raises, whatever the session does about overflows.
+    """
+    product = f"CAST(try_multiply({amount}, {others}) AS DECIMAL(38,4))"
+    whole = f"try_sum({product})"
+    lost = f"count({product}) < count({amount}) OR (count({amount}) > 0 AND {whole} IS NULL)"
+    return f"CASE WHEN {lost} THEN raise_error('{amount} times {others} is too large') ELSE {whole} END"
 
 
 def repeated_sum(value: str, others: str) -> Column:
     """Sum over the product, of a whole number."""
-    return F.expr(_either(f"{value}_sum", others, "DECIMAL(38,0)"))
+    return F.expr(f"CAST({_repeated(f'{value}_sum', others)} AS DECIMAL(38,0))")
 
 
 def repeated_mean(value: str, others: str, scale: int) -> Column:
-    """Average over the product; the quotient is formed in doubles."""
-    top = _either(f"{value}_sum", others, "DOUBLE")
-    bottom = _either(f"{value}_cnt", others, "DOUBLE")
-    return F.expr(rounded(f"({top}) / nullif({bottom}, 0D)", scale))
+    """Average over the product; only the quotient is formed in doubles."""
+    top, bottom = (f"CAST({_repeated(f'{value}_{part}', others)} AS DOUBLE)" for part in ("sum", "cnt"))
+    return F.expr(rounded(f"{top} / nullif({bottom}, 0D)", scale))
 
 
 def repeated_count(condition: str, others: str = "all_rows") -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import sent_if_small
+
 
 def latest_per_key(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """The newest row per key (an SQL expression), as ``key`` plus the given columns.
@@ -20,18 +22,23 @@ def latest_per_key(df: DataFrame, key: str, order: str, columns: list[str]) -> D
 def with_end_date(fact: DataFrame, dates: DataFrame, *columns: str) -> DataFrame:
     """Inner join to the calendar on the end date.
 
-    The calendar has one row per day of a few years whatever the size of the facts,
-    hence the broadcast.
+    The calendar has one row per day of the years covered, whatever the size of the
+    facts; it is broadcast if its source is as small as that.
     """
     calendar = dates.selectExpr("date_key AS end_date_key", "year", *columns)
-    return fact.join(F.broadcast(calendar), "end_date_key")
+    return fact.join(sent_if_small(calendar), "end_date_key")
 
 
 def latest_year(fact: DataFrame, dates: DataFrame) -> DataFrame:
     """One row: the largest calendar year among the fact's end dates.
 
-    Reads one column of the fact and shuffles one row per task.
+    Reads one column of the fact and shuffles one row per task. Of a table partitioned by
+    ``end_year`` it reads the last year alone, unless the calendar ends before that.
     """
+    if "end_year" in fact.columns:
+        within = dates.agg(F.max("year")).scalar()
+        last = fact.where(F.col("end_year") <= within).agg(F.max("end_year")).scalar()
+        fact = fact.where(F.col("end_year") == last)
     return with_end_date(fact.select("end_date_key"), dates).agg(F.max("year").alias("year"))
 
 

@@ -1,9 +1,9 @@
 """Exact percentiles and percent ranks, also for groups too large for one task.
 
-A plain window gathers a whole group in one task. That is the shortest way while the
-source files are small; beyond a limit the rows are first counted per distinct value,
-the distinct values are range-partitioned, and positions follow from the sizes of the
-partitions before. Both ways give the same numbers.
+A plain window gathers a whole group in one task. Here the rows are first counted per
+distinct value; values fall into buckets by an expression of the value alone, positions
+are those within the bucket plus the sizes of the buckets below. The plan is lazy and
+the same for any amount of data.
 """
 
 from __future__ import annotations
@@ -14,16 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import rounded
-from .storage import checkpointed, source_bytes
 
-# Source files up to this size may be ranked by a window.
-WINDOW_LIMIT = 256 * 1024 * 1024
-
-
-def _windowed(df: DataFrame, method: str) -> bool:
-    if method not in ("auto", "window", "range"):
-        raise ValueError(f"unknown method {method!r}")
-    return method == "window" or (method == "auto" and source_bytes(df) <= WINDOW_LIMIT)
+# Buckets per doubling of a value. Any number gives the same results: more buckets make
+# the largest sorted unit smaller and the list of bucket sizes of a group longer.
+BUCKETS = 64
+# Values that differ by less than this may share a bucket however small they are.
+FINEST = 0.0001
 
 
 def _join_same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
@@ -33,49 +29,54 @@ def _join_same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: s
     return left.join(renamed, F.expr(same), how).drop(*[f"_{c}" for c in columns])
 
 
-def running_counts(values: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
+def bucket_of(value: str, buckets: int = BUCKETS) -> str:
+    """SQL for the bucket of a number: never smaller for a larger number, NULL for NULL.
+
+    Below ``buckets`` steps of FINEST each step is a bucket, beyond that each doubling of
+    the value has ``buckets`` of them; so a group has a few thousand at most.
+    """
+    steps = f"(abs(CAST({value} AS DOUBLE)) / {FINEST}D)"
+    power = f"floor(log2({steps}))"
+    size = f"CASE WHEN {steps} < {buckets} THEN floor({steps}) ELSE" \
+        f" ({power} - floor(log2({buckets}D))) * {buckets} + floor({steps} / pow(2, {power}) * {buckets}) END"
+    return f"CAST(CASE WHEN {value} < 0 THEN -1 - ({size}) ELSE {size} END AS BIGINT)"
+
+
+def running_counts(
+    values: DataFrame, by: Sequence[str], value: str, count: str, buckets: int = BUCKETS
+) -> DataFrame:
     """Adds ``before`` (rows of the group with a smaller value) and ``total`` (all rows).
 
-    ``values`` holds distinct (by, value) with a row count; NULL sorts first. The range
-    partitioning is written to the checkpoint folder once, since the offsets and the
-    rows must see the very same partitions. A group's slice of one partition is the
-    largest unit any task sorts; offsets come from one row per group and partition.
+    ``values`` holds distinct (by, value) with a row count; NULL sorts first. The largest
+    unit a task sorts are the distinct values of one bucket of one group, or the buckets
+    of one group.
     """
     keys = ", ".join(by)
-    parts = checkpointed(
-        values.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id())
-    )
+    parts = values.withColumn("part", F.expr(bucket_of(value, buckets)))
     offsets = (
         parts.groupBy(*by, "part")
         .agg(F.expr(f"sum({count}) AS size"))
         .selectExpr(
             *by,
             "part",
-            f"sum(size) OVER (PARTITION BY {keys} ORDER BY part) - size AS offset",
+            f"sum(size) OVER (PARTITION BY {keys} ORDER BY part NULLS FIRST) - size AS offset",
             f"sum(size) OVER (PARTITION BY {keys}) AS total",
         )
     )
-    local = parts.withColumn(
-        "local",
-        F.expr(f"sum({count}) OVER (PARTITION BY {keys}, part ORDER BY {value}) - {count}"),
-    )
+    order = f"PARTITION BY {keys}, part ORDER BY {value} ROWS UNBOUNDED PRECEDING"
+    local = parts.withColumn("local", F.expr(f"sum({count}) OVER ({order}) - {count}"))
     return _join_same(local, offsets, [*by, "part"], "inner").selectExpr(
         *by, value, count, "local + offset AS before", "total"
     )
 
 
 def percent_rank(
-    df: DataFrame, by: Sequence[str], order: str, out: str, scale: int = 1, method: str = "auto"
+    df: DataFrame, by: Sequence[str], order: str, out: str, scale: int = 1, buckets: int = BUCKETS
 ) -> DataFrame:
     """Percent rank within ``by`` on an ascending column (NULL first), times 100."""
-    if _windowed(df, method):
-        rank = f"percent_rank() OVER (PARTITION BY {', '.join(by)} ORDER BY {order} ASC NULLS FIRST)"
-        return df.withColumn(out, F.expr(rounded(f"{rank} * 100", scale)))
-    # read twice below, so computed once
-    df = checkpointed(df)
     counted = df.groupBy(*by, order).agg(F.expr("count(1) AS n"))
     share = "coalesce(CAST(before AS DOUBLE) / nullif(CAST(total - 1 AS DOUBLE), 0D), 0D)"
-    ranked = running_counts(counted, by, order, "n").selectExpr(
+    ranked = running_counts(counted, by, order, "n", buckets).selectExpr(
         *by, order, f"{rounded(f'{share} * 100', scale)} AS {out}"
     )
     # One ranked row per distinct value: a value shared by very many rows is split by
@@ -83,21 +84,13 @@ def percent_rank(
     return _join_same(df, ranked, [*by, order], "inner")
 
 
-def _array(points: Mapping[str, float]) -> str:
-    return f"array({', '.join(f'{p}D' for p in points.values())})"
-
-
-def _named(points: Mapping[str, float]) -> list[str]:
-    return [f"_points[{i}] AS {name}" for i, name in enumerate(points)]
-
-
 def group_percentiles(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     points: Mapping[str, float],
     count: str = "1",
-    method: str = "auto",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Interpolated percentiles: one row per group, one double column per point.
 
@@ -105,11 +98,8 @@ def group_percentiles(
     any value has no row.
     """
     known = df.where(f"{value} IS NOT NULL")
-    if _windowed(df, method):
-        all_points = F.expr(f"percentile({value}, {_array(points)}, {count}) AS _points")
-        return known.groupBy(*by).agg(all_points).selectExpr(*by, *_named(points))
     counted = known.groupBy(*by, value).agg(F.expr(f"sum({count}) AS n"))
-    placed = running_counts(counted, by, value, "n")
+    placed = running_counts(counted, by, value, "n", buckets)
 
     def at(position: str) -> str:
         holds = f"before <= {position} AND {position} < before + n"
@@ -126,12 +116,11 @@ def group_percentiles(
 
 
 def with_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, points: Mapping[str, float], method: str = "auto"
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    points: Mapping[str, float],
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Each row with the percentiles of its group over the rows of ``df``."""
-    if _windowed(df, method):
-        group = f"OVER (PARTITION BY {', '.join(by)})"
-        all_points = F.expr(f"percentile({value}, {_array(points)}) {group}")
-        return df.withColumn("_points", all_points).selectExpr(*df.columns, *_named(points))
-    df = checkpointed(df)
-    return _join_same(df, group_percentiles(df, by, value, points, method="range"), by, "left")
+    return _join_same(df, group_percentiles(df, by, value, points, buckets=buckets), by, "left")

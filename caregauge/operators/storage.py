@@ -1,8 +1,8 @@
-"""Checkpoints and the size of a plan's sources."""
+"""The size of a plan's sources, and session settings."""
 
 from __future__ import annotations
 
-import tempfile
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,23 +10,6 @@ from pyspark.sql import functions as F
 UNKNOWN_SIZE = 1 << 62
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="caregauge-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def source_bytes(df: DataFrame) -> int:
     """Bytes of everything the plan reads, by Spark's own statistics.
 
@@ -51,15 +34,26 @@ def sent_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if source_bytes(df) <= BROADCAST_LIMIT else df
 
 
+# Session settings the operators count on: adaptive plans that split hot keys.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Session settings the operators count on: adaptive plans that split hot keys."""
-    for key, value in {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    }.items():
-        if spark.conf.get(key, None) != value:
+    """Sets SETTINGS in a session of the caller's own."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key) != value:
             spark.conf.set(key, value)
     return spark
+
+
+def advise(spark: SparkSession) -> None:
+    """Warns of settings that differ from SETTINGS; changes none."""
+    other = [f"{k}={v}" for k, v in SETTINGS.items() if spark.conf.get(k) != v]
+    if other:
+        warnings.warn(f"this session should have {', '.join(other)} (see storage.configure)", stacklevel=3)

@@ -12,7 +12,7 @@ from ..operators.aggregates import mean, partials, rows, total
 from ..operators.growth import year_over_year
 from ..operators.latest import with_end_date
 from ..operators.lookups import present_in
-from ..operators.ranks import percent_rank
+from ..operators.ranks import BUCKETS, percent_rank
 from ..schemas import Star
 from .performance import EXCESS, RATE
 
@@ -94,7 +94,7 @@ def volume_by_category(star: Star, rules=K.CATEGORY_RULES) -> DataFrame:
     )
 
 
-def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
+def utilization_intensity(star: Star, buckets: int = BUCKETS) -> DataFrame:
     """Density, readmission share, volume tier and percentile per hospital and year.
 
     Percentile 0 is the hospital with the smallest share of readmissions.
@@ -115,7 +115,7 @@ def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
     )
     per = present_in(per, star.hospitals_with(), "hospital_key")
     per = per.withColumn("_share", ratio("total_readmissions", "total_discharges"))
-    ranked = percent_rank(per, ["year"], "_share", "efficiency_percentile", method=method)
+    ranked = percent_rank(per, ["year"], "_share", "efficiency_percentile", buckets=buckets)
     who = ["facility_id", "facility_name", "city", "state", "hospital_type"]
     return (
         ranked.join(star.hospitals_with(*who), "hospital_key")
@@ -135,7 +135,7 @@ def utilization_intensity(star: Star, method: str = "auto") -> DataFrame:
 
 
 def readmission_burden(
-    star: Star, bed_days=K.BED_DAYS_PER_READMISSION, method: str = "auto"
+    star: Star, bed_days=K.BED_DAYS_PER_READMISSION, buckets: int = BUCKETS
 ) -> DataFrame:
     """Estimated bed-days per hospital, year and distinct rate, ranked by the rate."""
     per = (
@@ -147,7 +147,7 @@ def readmission_burden(
         )
     )
     per = present_in(per, star.hospitals_with(), "hospital_key")
-    ranked = percent_rank(per, ["year"], RATE, "efficiency_percentile", method=method)
+    ranked = percent_rank(per, ["year"], RATE, "efficiency_percentile", buckets=buckets)
     who = ["facility_id", "facility_name", "state"]
     return (
         ranked.join(star.hospitals_with(*who), "hospital_key")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.clean import percent
-from ..functions.labels import compared, performance_tier
-from ..operators.aggregates import average, deviation, mean, ordered_list, partials, rows, value_of
+from ..functions.labels import compared, performance_tier, same_text
+from ..operators.aggregates import average, counted_list, deviation, mean, ordered_list, partials, rows, value_of
 from ..operators.fanout import fanout_partials, repeated_count, repeated_mean
 from ..operators.latest import at_latest_year, with_end_date
 from ..operators.lookups import present_in
@@ -28,7 +28,7 @@ def _outcome_by_hospital(
     category has measures. ``scope`` "fact" takes the latest year of the whole fact,
     "category" that of the category.
     """
-    in_category = star.measures.where(f"measure_category = '{category}'")
+    in_category = star.measures.where(same_text("measure_category", category))
     of_category = star.side("measures", in_category.select("measure_key", "measure_id"))
 
     def kept(fact: DataFrame) -> DataFrame:
@@ -56,10 +56,12 @@ def _outcome_by_hospital(
     )
 
 
-def mortality_by_hospital(star: Star, scope: str = "fact") -> DataFrame:
+def mortality_by_hospital(star: Star, scope: str = "fact", counted: bool = False) -> DataFrame:
+    """``worse_than_national`` names a measure once per row, or ``counted`` once with its count."""
+    listed = counted_list if counted else ordered_list
     return _outcome_by_hospital(
         star, K.MORTALITY, K.MORTALITY_COLUMNS, "composite_mortality_rate", "mortality_group", scope,
-        ("worse_than_national", ordered_list("measure_id", "worse")),
+        ("worse_than_national", listed("measure_id", "worse")),
     )
 
 
@@ -139,7 +141,7 @@ def fanned_out(star: Star, *columns: str) -> DataFrame:
     survey = star.satisfaction.join(star.side("measures", category), "measure_key", "left")
 
     def scores(kind: str) -> str:
-        return f"CASE WHEN measure_category = '{kind}' THEN score END"
+        return f"CASE WHEN {same_text('measure_category', kind)} THEN score END"
 
     recommend = f"CASE WHEN measure_id = '{K.RECOMMEND}' THEN answer_percent END"
     return fanout_partials(

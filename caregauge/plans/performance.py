@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.labels import same_text
 from ..operators.aggregates import average, mean, one_of, partials, rounded, rows, value_of
 from ..operators.latest import at_latest_year, with_end_date
 from ..operators.lookups import present_in
-from ..operators.ranks import group_percentiles, with_percentiles
+from ..operators.ranks import BUCKETS, group_percentiles, with_percentiles
 from ..schemas import Star
 
 RATE = "readmission_rate_pct"
@@ -25,7 +26,7 @@ def with_measure(df: DataFrame, star: Star, *columns: str, category: str | None
     """
     measures = star.measures
     if category is not None:
-        measures = measures.where(f"measure_category = '{category}'")
+        measures = measures.where(same_text("measure_category", category))
     return df.join(star.side("measures", measures.select("measure_key", *columns)), "measure_key")
 
 
@@ -64,7 +65,7 @@ def _rates_by_measure_state(star: Star) -> DataFrame:
     return per.join(star.hospitals_with("state"), "hospital_key")
 
 
-def readmission_percentiles(star: Star, method: str = "auto") -> DataFrame:
+def readmission_percentiles(star: Star, buckets: int = BUCKETS) -> DataFrame:
     """Per measure, state and distinct rate, with quartiles over the distinct rates.
 
     The rate is part of the grouping, so counts are per rate and the average, smallest
@@ -80,7 +81,7 @@ def readmission_percentiles(star: Star, method: str = "auto") -> DataFrame:
     )
     shown = F.round(RATE, 2)
     return (
-        with_percentiles(grouped, ["measure_id", "state"], RATE, QUARTILES, method)
+        with_percentiles(grouped, ["measure_id", "state"], RATE, QUARTILES, buckets)
         .select(
             "measure_name",
             "measure_id",
@@ -96,7 +97,7 @@ def readmission_percentiles(star: Star, method: str = "auto") -> DataFrame:
     )
 
 
-def readmission_percentiles_by_group(star: Star, method: str = "auto") -> DataFrame:
+def readmission_percentiles_by_group(star: Star, buckets: int = BUCKETS) -> DataFrame:
     """One row per measure and state, quartiles over all rows of the group."""
     rates = _rates_by_measure_state(star).withColumnRenamed("rows", "n")
     by = ["measure_id", "state"]
@@ -113,7 +114,7 @@ def readmission_percentiles_by_group(star: Star, method: str = "auto") -> DataFr
         F.round(F.min("rate_min"), 2).alias("min_readmission_pct"),
         F.round(F.max("rate_max"), 2).alias("max_readmission_pct"),
     )
-    points = group_percentiles(rates, by, RATE, QUARTILES, count="n", method=method)
+    points = group_percentiles(rates, by, RATE, QUARTILES, count="n", buckets=buckets)
     points = points.selectExpr(*by, *[f"{rounded(n, 2)} AS {n}" for n in QUARTILES])
     return groups.join(points, by, "left").orderBy("measure_name", "state")
 
@@ -183,7 +184,7 @@ def satisfaction_by_hospital(star: Star) -> DataFrame:
     )
 
 
-def satisfaction_by_state(star: Star, method: str = "auto") -> DataFrame:
+def satisfaction_by_state(star: Star, buckets: int = BUCKETS) -> DataFrame:
     """Per state, survey measure and distinct answer share, with the group's median."""
     counted = (
         at_latest_year(star.satisfaction, star.dates)
@@ -200,7 +201,7 @@ def satisfaction_by_state(star: Star, method: str = "auto") -> DataFrame:
     )
     median = {"median_pct_always": 0.5}
     return (
-        with_percentiles(grouped, ["state", "measure_id"], "answer_percent", median, method)
+        with_percentiles(grouped, ["state", "measure_id"], "answer_percent", median, buckets)
         .select(
             "state",
             "measure_id",

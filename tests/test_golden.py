@@ -35,10 +35,10 @@ def test_readmission_by_hospital(star):
     ]
 
 
-@pytest.mark.parametrize("method", ["window", "range"])
-def test_readmission_percentiles(star, method):
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_readmission_percentiles(star, buckets):
     found = {(r.measure_id, r.state, str(r.min_readmission_pct)): tuple(map(float, (r.p25, r.median_pct, r.p75)))
-             for r in performance.readmission_percentiles(star, method).collect()}
+             for r in performance.readmission_percentiles(star, buckets).collect()}
     assert found == {
         ("READM-30-CABG", "MN", "10.21"): (10.21,) * 3, ("READM-30-COPD-HRRP", "MN", "15.81"): (15.81,) * 3,
         ("READM-30-HIP-KNEE", "MN", "4.80"): (4.8,) * 3,
@@ -46,7 +46,7 @@ def test_readmission_percentiles(star, method):
         ("READM-30-COPD-HRRP", "AL", "17.61"): (18.23, 18.84, 19.46),
         ("READM-30-COPD-HRRP", "AL", "20.07"): (18.23, 18.84, 19.46),
     }
-    per_group = performance.readmission_percentiles_by_group(star, method)
+    per_group = performance.readmission_percentiles_by_group(star, buckets)
     assert [tuple(r) for r in per_group.select("measure_id", "state", "hospital_count").collect()] == [
         ("READM-30-CABG", "MN", 1), ("READM-30-COPD-HRRP", "AL", 2), ("READM-30-COPD-HRRP", "MN", 1),
         ("READM-30-HIP-KNEE", "MN", 1),
@@ -157,10 +157,10 @@ def test_volume(star):
     assert growth.count() == 8 and growth.where("yoy_growth_pct IS NOT NULL").count() == 0
 
 
-@pytest.mark.parametrize("method", ["window", "range"])
-def test_utilization(star, method):
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_utilization(star, buckets):
     found = by_facility(
-        efficiency.utilization_intensity(star, method), "total_discharges", "conditions_tracked", "total_readmissions",
+        efficiency.utilization_intensity(star, buckets), "total_discharges", "conditions_tracked", "total_readmissions",
         "discharge_density", "overall_readmit_pct", "volume_tier", "efficiency_percentile",
     )
     assert found == {
@@ -168,7 +168,7 @@ def test_utilization(star, method):
         "010001": ("289", "1", "58", "289", "20.07", "Low Volume", "100.0"),
         "010005": ("176", "1", "31", "176", "17.61", "Low Volume", "50.0"),
     }
-    burden = efficiency.readmission_burden(star, method=method)
+    burden = efficiency.readmission_burden(star, buckets=buckets)
     assert burden.count() == 24
     assert texts(burden.where("facility_id = '010007'").select("est_readmission_bed_days", "efficiency_percentile")) == [
         # four of the 24 rates are higher: 19 / 23

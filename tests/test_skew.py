@@ -26,7 +26,6 @@ CONF = {
 def large(spark, monkeypatch):
     for module in (storage, schemas):
         monkeypatch.setattr(module, "BROADCAST_LIMIT", 0)
-    monkeypatch.setattr(ranks, "WINDOW_LIMIT", 0)
     storage.configure(spark)
     before = {k: spark.conf.get(k, None) for k in CONF}
     for k, v in CONF.items():
@@ -93,13 +92,10 @@ def test_percentiles_of_a_hot_state(large):
     )
     points = performance.QUARTILES
 
-    def found(method):
-        df = ranks.group_percentiles(rows, ["state"], "rate", points, method=method)
-        return {r[0]: pytest.approx(tuple(r)[1:]) for r in df.collect()}, {
-            tuple(map(str, r)) for r in ranks.percent_rank(rows, ["state"], "rate", "p", method=method).distinct().collect()
-        }
-
-    by_range, by_window, automatic = found("range"), found("window"), found("auto")
-    assert by_range[1] == by_window[1] == automatic[1]
-    plain = {k: v.expected for k, v in by_window[0].items()}
-    assert {k: by_range[0][k] == v for k, v in plain.items()} == dict.fromkeys(plain, True)
+    df = ranks.group_percentiles(rows, ["state"], "rate", points)
+    plain = rows.groupBy("state").agg(*[F.expr(f"percentile(rate, {p}D)") for p in points.values()])
+    want = {r[0]: tuple(r)[1:] for r in plain.collect()}
+    assert {r[0]: tuple(r)[1:] for r in df.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    window = "round(CAST(percent_rank() OVER (PARTITION BY state ORDER BY rate) * 100 AS DECIMAL(24,12)), 1)"
+    ranked = ranks.percent_rank(rows, ["state"], "rate", "p").distinct().collect()
+    assert sorted(map(str, ranked)) == sorted(map(str, rows.withColumn("p", F.expr(window)).distinct().collect()))
