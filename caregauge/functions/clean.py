@@ -16,10 +16,12 @@ def number(c: str, dtype: str, suppressed=_LOOK_NUMERIC) -> Column:
     """Text as a number: NULL for suppressed texts and for what does not parse.
 
     A blank counts as suppressed. Fractions are rounded to the scale of a decimal
-    type; a fraction in an integer column, or a value too wide, gives NULL.
-    ``suppressed`` adds numerals that stand for a suppressed value.
+    type; a fraction in an integer column, a value too wide, or a number with an
+    exponent gives NULL. ``suppressed`` adds numerals that stand for a suppressed value.
     """
     parsed = f"try_cast({c} AS {dtype})"
+    if dtype.lower().startswith("decimal"):
+        parsed = f"CASE WHEN NOT contains({c}, 'e') AND NOT contains({c}, 'E') THEN {parsed} END"
     if suppressed:
         texts = ", ".join(f"'{t.upper()}'" for t in suppressed)
         parsed = f"CASE WHEN upper(trim({c})) NOT IN ({texts}) THEN {parsed} END"
@@ -29,16 +31,14 @@ def number(c: str, dtype: str, suppressed=_LOOK_NUMERIC) -> Column:
 def us_date(c: str) -> Column:
     """MM/DD/YYYY (or ISO) text as a date, NULL when neither fits.
 
-    Puts the parts in ISO order and casts, which is several times cheaper than parsing
-    by a pattern that fails on every other row.
+    Puts the three parts in ISO order and casts, which is several times cheaper than
+    parsing by a pattern that fails on every other row.
     """
     t = f"trim({c})"
-    year, month = f"substring_index({t}, '/', -1)", f"substring_index({t}, '/', 1)"
-    day = f"substring_index(substring_index({t}, '/', 2), '/', -1)"
-    return F.expr(
-        f"coalesce(try_cast(concat_ws('-', {year}, {month}, {day}) AS DATE),"
-        f" CASE WHEN length({t}) = 10 THEN try_cast({t} AS DATE) END)"
-    )
+    parts = f"split({t}, '/')"
+    iso = f"concat({parts}[2], '-', {parts}[0], '-', {parts}[1])"
+    shown = f"CASE WHEN size({parts}) = 3 THEN {iso} WHEN length({t}) = 10 THEN {t} END"
+    return F.expr(f"try_cast({shown} AS DATE)")
 
 
 def sentence_case(c: str) -> Column:

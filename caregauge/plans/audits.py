@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import not_blank
+from ..functions.clean import code, not_blank
 from ..operators.lookups import missing_from
 from ..schemas import Star
+from ..sources.files import CORRUPT
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -40,8 +41,9 @@ def star_row_counts(star: Star) -> DataFrame:
 def load_audit(staging: DataFrame, hospitals: DataFrame, fact: DataFrame) -> DataFrame:
     """Delivered readmission rows without a hospital, and loaded ones without a measure."""
     ids = staging.where(not_blank("facility_id")).select(
-        F.trim("facility_id").alias("facility_id")
+        code("facility_id").alias("facility_id")
     )
+    hospitals = hospitals.select(code("facility_id").alias("facility_id"))
     # counted per id before the join: a hot id joins as one row
     per_id = ids.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"))
     unmatched = missing_from(per_id, hospitals, "facility_id").agg(
@@ -55,6 +57,18 @@ def load_audit(staging: DataFrame, hospitals: DataFrame, fact: DataFrame) -> Dat
     )
 
 
+def corrupt_lines(staging: DataFrame, delivery: str) -> DataFrame:
+    """Delivered lines, and those of another width than the header, which are not loaded.
+
+    Takes staging read with its corrupt lines.
+    """
+    first = staging.columns[0]  # a column must be read beside the lines' text
+    return staging.agg(
+        F.expr(f"count({first}) + count_if({first} IS NULL)").alias("line_count"),
+        F.expr(f"count_if({CORRUPT} IS NOT NULL)").alias("corrupt_count"),
+    ).select(F.lit(delivery).alias("delivery"), "line_count", "corrupt_count")
+
+
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")

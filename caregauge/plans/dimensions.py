@@ -36,32 +36,38 @@ REFRESHED = [
 
 
 def load_measures(spark: SparkSession, existing: DataFrame | None = None) -> DataFrame:
-    """The measure dimension: the existing rows plus the seeds not among them."""
+    """The measure dimension: the existing rows plus the seeds not among them, case ignored."""
     seed = measure_seed(spark).withColumn("measure_key", F.xxhash64("measure_id"))
     if existing is None:
         return seed
     # 25 seeds against a dimension: the seed side is the one to send around
-    known = existing.join(F.broadcast(seed.select("measure_id")), "measure_id", "left_semi")
+    ids = existing.select(clean.code("measure_id").alias("measure_id"))
+    known = ids.join(F.broadcast(seed.select("measure_id")), "measure_id", "left_semi")
     return existing.unionByName(missing_from(seed, known, "measure_id"))
 
 
 def clean_hospitals(staging: DataFrame) -> DataFrame:
-    """One cleaned row per facility id, from its latest delivery; blank ids drop out."""
+    """One cleaned row per facility id, from its latest delivery; blank ids drop out.
+
+    Ids that differ in case alone are one hospital; the key is formed from the upper-case
+    id, the id itself stays as last delivered.
+    """
     columns = [
+        "facility_id",
         "facility_name", "city", "state", "zip_code", "county_name", "hospital_type",
         "hospital_ownership", "emergency_services", "hospital_overall_rating",
         "mortality_group", "safety_group", "readmission_group", "patient_exp_group",
     ]
     latest = latest_per_key(
         staging.where(clean.not_blank("facility_id")),
-        "trim(facility_id)",
+        "upper(trim(facility_id))",
         "raw_load_ts",
         columns,
     )
     now = F.current_timestamp()
     return latest.select(
         F.xxhash64("key").alias("hospital_key"),
-        F.col("key").alias("facility_id"),
+        F.trim("facility_id").alias("facility_id"),
         F.trim("facility_name").alias("facility_name"),
         clean.sentence_case("city").alias("city"),
         clean.code("state").alias("state"),
@@ -78,8 +84,10 @@ def clean_hospitals(staging: DataFrame) -> DataFrame:
 
 
 def insert_hospitals(staging: DataFrame, existing: DataFrame) -> DataFrame:
-    """The hospitals of a delivery that the dimension does not hold."""
-    return missing_from(clean_hospitals(staging), existing, "facility_id").select(HOSPITAL_COLUMNS)
+    """The hospitals of a delivery that the dimension does not hold, by id, case ignored."""
+    held = existing.select(clean.code("facility_id").alias("_id"))
+    new = clean_hospitals(staging).withColumn("_id", clean.code("facility_id"))
+    return missing_from(new, held, "_id").select(HOSPITAL_COLUMNS)
 
 
 def upsert_hospitals(staging: DataFrame, existing: DataFrame) -> DataFrame:
@@ -89,7 +97,7 @@ def upsert_hospitals(staging: DataFrame, existing: DataFrame) -> DataFrame:
     the others stay. Both sides are unique per facility, so one full join does it all.
     """
     new, old = clean_hospitals(staging).alias("new"), existing.alias("old")
-    both = old.join(new, F.expr("old.facility_id = new.facility_id"), "full_outer")
+    both = old.join(new, F.expr("upper(trim(old.facility_id)) = upper(trim(new.facility_id))"), "full_outer")
 
     def next_value(c: str) -> str:
         first, other = ("new", "old") if c in REFRESHED else ("old", "new")

@@ -30,16 +30,16 @@ def _loaded(
     shuffled join moves narrow typed columns instead of delivered text. A hospital with
     very many rows is split there by the adaptive skew join.
 
-    An unknown measure leaves a NULL key.
+    Ids match whatever their case. An unknown measure leaves a NULL key.
     """
     clean_rows = staging.where(clean.not_blank("facility_id")).select(
-        F.trim("facility_id").alias("_facility"),
-        measure_id.alias("_measure"),
+        clean.code("facility_id").alias("_facility"),
+        F.upper(measure_id).alias("_measure"),
         *[clean.us_date(d).alias(d) for d in ("start_date", "end_date")],
         *[c.alias(n) for n, c in numbers.items()],
     )
-    known_measures = sent_if_small(measures.selectExpr("measure_key", "measure_id AS _measure"))
-    known_hospitals = sent_if_small(hospitals.selectExpr("hospital_key", "facility_id AS _facility"))
+    known_measures = sent_if_small(measures.selectExpr("measure_key", "upper(trim(measure_id)) AS _measure"))
+    known_hospitals = sent_if_small(hospitals.selectExpr("hospital_key", "upper(trim(facility_id)) AS _facility"))
     out = (
         clean_rows.join(known_measures, "_measure", "left")
         .join(known_hospitals, "_facility")
@@ -119,3 +119,20 @@ def load_quality(staging: DataFrame, hospitals: DataFrame, measures: DataFrame)
             "compared_to_national": F.trim("compared_to_national"),
         },
     )
+
+
+# What tells a delivered row from another: hospital, measure and period.
+NATURAL_KEY = ("hospital_key", "measure_key", "start_date_key", "end_date_key")
+
+
+def carried_on(earlier: DataFrame, delivered: DataFrame) -> DataFrame:
+    """The earlier rows of a fact and those of a new delivery.
+
+    Where the delivery has rows for a hospital, measure and period, they take the place of
+    the earlier ones, so that a correction replaces what it corrects and a repeated delivery
+    changes nothing. All rows of one delivery stay. NULL keys match each other.
+    """
+    new = delivered.select(*[F.col(c).alias(f"_{c}") for c in NATURAL_KEY]).distinct()
+    same = F.expr(" AND ".join(f"{c} <=> _{c}" for c in NATURAL_KEY))
+    kept = earlier.select(delivered.columns).join(new, same, "left_anti")
+    return kept.unionByName(delivered)

@@ -13,20 +13,36 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def _by_year(df: DataFrame) -> DataFrame:
+    """With ``end_year``, and the rows of a year together in files of the advisory size.
+
+    The rebalancing splits a large year over tasks and merges small ones.
+    """
+    year = F.floor(F.col("end_date_key") / 10000).cast("int")
+    return df.withColumn("end_year", year).hint("rebalance", "end_year")
+
+
 def write_fact(df: DataFrame, path: str) -> None:
     """A fact partitioned by end-date year, which prunes every latest-year query.
 
     A row without an end date goes to the default partition.
     """
-    year = F.floor(F.col("end_date_key") / 10000).cast("int")
-    write_table(df.withColumn("end_year", year), path, ["end_year"])
+    write_table(_by_year(df), path, ["end_year"])
+
+
+def append_fact(df: DataFrame, path: str) -> None:
+    """More rows of a fact written by ``write_fact``, in the same partitions."""
+    append_rows(_by_year(df), path, ["end_year"])
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Appends; ``partition_by`` must be that of the table, or readers miss the new files."""
+    df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def append_absent(df: DataFrame, path: str, key: Sequence[str]) -> None:
+def append_absent(
+    df: DataFrame, path: str, key: Sequence[str], partition_by: Sequence[str] = ()
+) -> None:
     """Appends the rows whose key the table does not hold yet; safe to repeat.
 
     Keys compare NULL-safe, and a key new to the table is taken once.
@@ -35,7 +51,7 @@ def append_absent(df: DataFrame, path: str, key: Sequence[str]) -> None:
     table = spark.read.parquet(path).select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
     fresh = df.dropDuplicates(list(key))
     same = [fresh[c].eqNullSafe(F.col(f"_{c}")) for c in key]
-    append_rows(fresh.join(table, same, "left_anti"), path)
+    append_rows(fresh.join(table, same, "left_anti"), path, partition_by)
 
 
 def create_views(views: Mapping[str, DataFrame]) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -13,23 +13,54 @@ from ..schemas import HEADER_NAMES
 CORRUPT = "_corrupt_record"
 
 
-def read_staging(spark: SparkSession, path, schema: StructType, keep_corrupt: bool = False) -> DataFrame:
-    """A CSV file with one header line, columns taken by position, plus raw_load_ts.
+# Standard quoting: a quote inside a quoted text is doubled, a backslash is a letter. A line
+# break ends a line even inside quotes, so that large files are read by many tasks;
+# ``multi_line`` reads such texts whole, one task per file.
+QUOTING = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
-    Lines of the wrong width are read as far as they go; ``keep_corrupt`` adds their
-    text in ``_corrupt_record``. A list of paths or a folder is read as one table.
+
+def _load_time(delivered_at: str | None) -> Column:
+    """The delivery's time: as given, or that of each file."""
+    if delivered_at is None:
+        return F.col("_metadata.file_modification_time")
+    return F.lit(delivered_at).cast("timestamp")
+
+
+def read_staging(
+    spark: SparkSession,
+    path,
+    schema: StructType,
+    keep_corrupt: bool = False,
+    by_name: bool = False,
+    delivered_at: str | None = None,
+    multi_line: bool = False,
+) -> DataFrame:
+    """A CSV file with one header line, plus raw_load_ts.
+
+    Columns are taken by position, or ``by_name`` of the header (of the first file, if a
+    folder or a list of paths is read as one table). Lines of the wrong width are read as
+    far as they go; ``keep_corrupt`` adds their text in ``_corrupt_record``, by position
+    only. The load time is that of each file, unless ``delivered_at`` names one.
     """
+    reader = spark.read.options(**QUOTING, multiLine=multi_line, header=True)
+    if by_name:
+        if keep_corrupt:
+            raise ValueError("corrupt lines are told by position only")
+        raw = reader.csv(path).withColumn("_load_time", _load_time(delivered_at))
+        load_time = F.col("_load_time").alias("raw_load_ts")
+        return _renamed(raw, schema, [load_time])
     if keep_corrupt:
         schema = StructType(schema.fields + [StructField(CORRUPT, StringType())])
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    return df.withColumn("raw_load_ts", F.current_timestamp())
+    if keep_corrupt:
+        reader = reader.option("columnPruning", False)  # else only the columns used are looked at
+    df = reader.schema(schema).option("enforceSchema", True).csv(path)
+    return df.withColumn("raw_load_ts", _load_time(delivered_at))
+
+
+def parse_lines(lines: DataFrame, line: str, schema: StructType) -> DataFrame:
+    """Lines of text (without the header line) as staging columns, by the reader's rules."""
+    fields = StructType(schema.fields + [StructField(CORRUPT, StringType())])
+    return lines.select(F.from_csv(F.col(line), fields.toDDL(), QUOTING).alias("row")).select("row.*")
 
 
 def staging_name(header: str) -> str:
@@ -43,6 +74,10 @@ def rename_headers(df: DataFrame, schema: StructType) -> DataFrame:
 
     A column the file lacks is NULL; a column the staging table lacks is dropped.
     """
+    return _renamed(df, schema, [])
+
+
+def _renamed(df: DataFrame, schema: StructType, more: list[Column]) -> DataFrame:
     found = {staging_name(c): c for c in df.columns}
     return df.select(
         *[
@@ -50,5 +85,6 @@ def rename_headers(df: DataFrame, schema: StructType) -> DataFrame:
             if f.name in found
             else F.lit(None).cast(f.dataType).alias(f.name)
             for f in schema.fields
-        ]
+        ],
+        *more,
     )

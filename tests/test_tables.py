@@ -1,9 +1,11 @@
+import os
+
 import sample
 from conftest import rows
 from pyspark.sql import functions as F
 
 from caregauge.operators import latest
-from caregauge.plans import views
+from caregauge.plans import dimensions, views
 from caregauge.schemas import HOSPITAL_FILE, QUALITY_FILE, READMISSION_FILE, SURVEY_FILE
 from caregauge.sources import files
 from caregauge.sources.generated import date_dimension
@@ -50,6 +52,49 @@ def test_fact_partitions_are_pruned_by_the_latest_year(spark, tmp_path):
     assert any("end_year" in line.split("PartitionFilters")[1].split("]")[0] for line in pruned)
 
 
+def test_quotes_commas_and_backslashes(spark, tmp_path):
+    lines = [HEADER, r'1,"St. ""X"" Hospital, Inc",AL,"a\b\",10,,1.0,2,3,4,07/01/2021,06/30/2024', '2,"",AL,X,11,,,,,,,']
+    (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
+    got = files.read_staging(spark, str(tmp_path / "r.csv"), READMISSION_FILE).orderBy("facility_id").collect()
+    assert [(r.facility_name, r.measure_name, r.number_of_discharges) for r in got] == [
+        ('St. "X" Hospital, Inc', "a\\b\\", "10"), (None, "X", "11"),
+    ]
+    (tmp_path / "m.csv").write_text(HEADER + '\n1,"two\nlines",AL,X,10,,,,,,,\n')
+    one = files.read_staging(spark, str(tmp_path / "m.csv"), READMISSION_FILE, multi_line=True).first()
+    assert (one.facility_name, one.number_of_discharges) == ("two\nlines", "10")
+
+
+def test_reads_columns_by_header(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("State,Number of Discharges,Unknown,Facility ID\nAL,12,x,7\n")
+    got = files.read_staging(spark, str(tmp_path / "r.csv"), READMISSION_FILE, by_name=True, delivered_at="2024-05-06 00:00:00")
+    assert got.columns == [*READMISSION_FILE.fieldNames(), "raw_load_ts"]
+    row = got.first()
+    assert (row.facility_id, row.state, row.number_of_discharges, row.end_date) == ("7", "AL", "12", None)
+    assert str(row.raw_load_ts) == "2024-05-06 00:00:00"
+
+
+def test_the_newer_file_of_a_folder_wins(spark, tmp_path):
+    header = ",".join(HOSPITAL_FILE.fieldNames())
+    rest = "," * (len(HOSPITAL_FILE.fields) - 2)
+    for name, at in (("a old name", 2_000_000_000), ("z new name", 2_000_000_100), ("m older name", 1_900_000_000)):
+        path = tmp_path / f"{at % 7}.csv"
+        path.write_text(f"{header}\n1,{name}{rest}\n")
+        os.utime(path, (at, at))
+    staged = files.read_staging(spark, str(tmp_path), HOSPITAL_FILE)
+    assert dimensions.clean_hospitals(staged).first().facility_name == "z new name"
+
+
+def test_appended_facts_are_read_back(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    schema = "i int, end_date_key int"
+    tables.write_fact(spark.createDataFrame([(1, 20230630), (2, None)], schema), path)
+    tables.append_fact(spark.createDataFrame([(3, 20240630), (4, 20230101), (5, None)], schema), path)
+    assert sorted(r.i for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5]
+    more = spark.createDataFrame([(3, 20240630, 2024), (6, 20240630, 2024)], schema + ", end_year int")
+    tables.append_absent(more, path, ["i"], ["end_year"])
+    assert sorted(r.i for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5, 6]
+
+
 def test_append_absent_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     first = spark.createDataFrame([("a", 1), ("b", None)], "k string, n int")
