@@ -112,7 +112,8 @@ cal AS (
 ),
 line0 AS (
   SELECT *, CAST(round(l_discount * 100) AS BIGINT) AS off_, CAST(round(l_tax * 100) AS BIGINT) AS tax_,
-         CAST(l_quantity AS BIGINT) * 20 + l_linenumber AS d_,
+         CAST(l_quantity AS BIGINT) * CASE l_suppkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END
+           + l_linenumber AS d_,
          CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS p_,
          (l_linenumber * 2 + 8) * 10000 AS e_
   FROM lineitem
@@ -546,9 +547,24 @@ def oracle_sql() -> dict[str, str]:
     mort = ("Mortality", K.MORTALITY_COLUMNS, "mortality_group", "composite_mortality_rate", _worse_list())
     hai = ("Safety", K.INFECTION_COLUMNS, "safety_group", "composite_hai_sir", _worse_count())
     out["mortality_by_hospital"] = _outcome(*mort)
-    out["mortality_by_hospital_category_year"] = _outcome(*mort, _of_category("Mortality"))
+    counts = (
+        "(SELECT hospital_key, string_agg(measure_id || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, ', ' ORDER BY measure_id)"
+        f" AS counted FROM (SELECT hospital_key, measure_id, count(*) AS n FROM Q WHERE {WORSE}"
+        f" AND measure_category = 'Mortality' AND {latest('qm')} GROUP BY 1, 2) GROUP BY 1)"
+    )
+    out["mortality_by_hospital_counted"] = (
+        f"WITH plain AS ({_outcome(*mort)}), {COMMON.strip()}"
+        " SELECT plain.* REPLACE (counted AS worse_than_national) FROM plain JOIN hosp USING (facility_id)"
+        f" LEFT JOIN {counts} USING (hospital_key)"
+    )
+    early = "ELSE 0 END - CASE WHEN CAST(round(value * 100) AS BIGINT) {} 5000 THEN 10000 ELSE 0 END AS key_"
+    out["mortality_by_hospital_category_year"] = _outcome(*mort, _of_category("Mortality")).replace(
+        "ELSE 0 END AS key_", early.format("<")
+    )
     out["hai_by_hospital"] = _outcome(*hai)
-    out["hai_by_hospital_category_year"] = _outcome(*hai, _of_category("Safety"))
+    out["hai_by_hospital_category_year"] = _outcome(*hai, _of_category("Safety")).replace(
+        "ELSE 0 END AS key_", early.format(">=")
+    )
     out["quality_trend"] = q(
         f"""SELECT year, measure_category, measure_id, measure_name, count(DISTINCT hospital_key) AS hospital_count,
         {r('avg(score)', 4)} AS national_avg_score, {r('stddev_samp(score)', 4)} AS score_std_dev,
@@ -718,6 +734,37 @@ def oracle_sql() -> dict[str, str]:
         {big('sum(readmissions)')} AS total_readmissions, {r('avg(rate)', 2)} AS avg_readmission_pct,
         {r('avg(excess)', 4)} AS avg_excess_ratio FROM R WHERE facility_id = '000000007' GROUP BY 1, 2"""
     )
+    out["report_survey_history"] = q(
+        f"""SELECT facility_id, year, measure_id, measure_name, {r('avg(stars)', 2)} AS avg_star_rating,
+        {r('avg(answer)', 1)} AS avg_answer_pct, max(surveys) AS completed_surveys
+        FROM S WHERE facility_id = '000000007' AND measure_id IS NOT NULL GROUP BY 1, 2, 3, 4"""
+    )
+    out["report_quality_history"] = q(
+        f"""SELECT facility_id, year, measure_category, measure_id, {r('avg(score)', 4)} AS avg_score,
+        count(*) FILTER ({BETTER}) AS better, count(*) FILTER ({WORSE}) AS worse
+        FROM Q WHERE facility_id = '000000007' AND measure_id IS NOT NULL GROUP BY 1, 2, 3, 4"""
+    )
+    out["report_sliced_by_owner_and_tier"] = card(
+        "SELECT facility_id, hospital_ownership, performance_tier, avg_readmission_rate_pct FROM scorecard"
+        f" WHERE hospital_ownership = 'Owner ASIA' AND performance_tier IN ('{K.BELOW}', '{K.AVERAGE}')"
+    )
+    states_ = "state IN ('NATION_3', 'NATION_7')"
+    out["report_sliced_trends"] = trend(
+        f"SELECT * FROM trends WHERE year IN (1996, 1997) AND clinical_category IN ('Pneumonia', 'Orthopaedics') AND {states_}"
+    )
+    out["report_sliced_utilization"] = q(
+        "SELECT facility_id, year, volume_tier, total_discharges FROM utilization"
+        " WHERE volume_tier IN ('Mid Volume', 'Low Volume') AND year = 1996",
+        _use,
+    )
+    out["report_sliced_quality"] = q(
+        f"SELECT * FROM quality_summary WHERE measure_category = 'Safety' AND {states_}", _quality
+    )
+    out["report_sliced_comparison"] = q(
+        f"""SELECT measure_id, label AS compared_to_national, count(*) AS row_count FROM qm
+        JOIN cal ON end_date_key = date_key JOIN meas USING (measure_key)
+        WHERE label IN ('{K.WORSE}', '{K.SAME}') AND measure_category = 'Mortality' AND year IN (2023, 2024) GROUP BY 1, 2"""
+    )
     total = big("sum(total_discharges)") + " AS total_discharges"
     out["report_annual_volume"] = trend(f"SELECT year, {total} FROM trends GROUP BY 1")
     out["report_annual_volume_by_state"] = trend(f"SELECT year, state, {total} FROM trends GROUP BY 1, 2")
@@ -795,6 +842,9 @@ def oracle_sql() -> dict[str, str]:
     out["report_state_survey_matrix"] = q(
         f"SELECT state, {cells} FROM fs JOIN hosp USING (hospital_key) JOIN meas USING (measure_key) GROUP BY 1"
     )
+    out["report_state_survey_matrix_year"] = out["report_state_survey_matrix"].replace(
+        "JOIN meas USING (measure_key) GROUP BY 1", "JOIN meas USING (measure_key) WHERE end_date_key // 10000 = 1996 GROUP BY 1"
+    )
     out["report_readmission_sheet"] = q(
         f"""SELECT hospital_key, {dbl('rate')} AS readmission_rate_pct,
         CASE WHEN excess > 1 THEN 'Above Expected' WHEN excess < 1 THEN 'Below Expected' ELSE 'At Expected' END AS ratio_flag,
@@ -806,15 +856,45 @@ def oracle_sql() -> dict[str, str]:
 
     # loads
     out["load_date_dimension"] = q(
-        f"""SELECT year, quarter, month(full_date) AS month, monthname(full_date) AS month_name,
+        f"""SELECT date_key, CAST(full_date AS VARCHAR) AS full_date, year, quarter, month(full_date) AS month, monthname(full_date) AS month_name,
         (dayofyear(full_date) + dayofweek(date_trunc('year', full_date)) - 1) // 7 + 1 AS week_of_year,
         dayofweek(full_date) + 1 AS day_of_week, dayname(full_date) AS day_name,
         dayofweek(full_date) IN (0, 6) AS is_weekend,
         year + CASE WHEN month(full_date) >= 10 THEN 1 ELSE 0 END AS fiscal_year,
         CASE WHEN month(full_date) >= 10 THEN 1 ELSE (month(full_date) + 2) // 3 + 1 END AS fiscal_quarter,
-        count(*) AS row_count
-        FROM line0 JOIN cal ON {_ymd('l_shipdate')} = date_key GROUP BY ALL"""
-    )
+        coalesce(n, 0) AS row_count
+        FROM cal LEFT JOIN (SELECT end_date_key, count(*) AS n FROM fr GROUP BY 1) ON end_date_key = date_key"""
+    )
+    names = "measure_id, measure_name, measure_category, higher_is_better, unit_of_measure"
+    out["load_measures_after_earlier_load"] = q(
+        f"""SELECT * FROM earlier UNION ALL SELECT {names} FROM meas
+        WHERE lower(measure_id) NOT IN (SELECT measure_id FROM earlier)""",
+        f"""earlier AS (SELECT DISTINCT lower(m) AS measure_id, 'Earlier ' || lower(m) AS measure_name,
+        'Earlier' AS measure_category, true AS higher_is_better, '%' AS unit_of_measure
+        FROM (SELECT {_quality_measure(text)} AS m FROM event0) WHERE m IS NOT NULL)""",
+    )
+    lettered = _readmission_load.replace("SELECT facility_id, measure_id,", "SELECT replace(facility_id, '1', 'B') AS facility_id, measure_id,", 1)
+    out["load_readmissions_mixed_case"] = lettered.replace(
+        big(_ymd("l_shipdate")) + " AS end_date_key",
+        big(f"CASE WHEN l_returnflag = 'A' OR month(l_shipdate) <> 1 THEN {_ymd('l_shipdate')} END") + " AS end_date_key",
+    )
+    both = _readmission_load.replace(
+        "SELECT facility_id, measure_id,",
+        "SELECT year(l_shipdate) <= 1996 AS earlier_, year(l_shipdate) >= 1996 AND l_quantity > 10 AS later_, facility_id, measure_id,",
+        1,
+    )
+    out["load_two_deliveries"] = f"""WITH both_ AS ({both})
+        SELECT * EXCLUDE (earlier_, later_) FROM both_ WHERE later_
+        UNION ALL SELECT * EXCLUDE (earlier_, later_) FROM both_ a WHERE earlier_ AND NOT EXISTS (
+          SELECT 1 FROM both_ b WHERE later_ AND a.facility_id = b.facility_id AND a.end_date_key = b.end_date_key
+          AND a.measure_id IS NOT DISTINCT FROM b.measure_id AND a.start_date_key IS NOT DISTINCT FROM b.start_date_key)"""
+    whole = lambda shown: f"CASE WHEN o_orderkey % 50 <> 0 THEN {shown} END"
+    out["parse_delivered_lines"] = f"""SELECT CAST(o_custkey AS VARCHAR) AS facility_id,
+        CASE WHEN o_orderkey % 50 = 0 THEN 'short' ELSE 'St. "' || o_orderstatus || '" Hospital, Inc' END AS facility_name,
+        o_orderstatus AS state, {whole("o_orderpriority || ', all \\ causes'")} AS measure_name,
+        {whole("CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR)")} AS number_of_discharges,
+        {whole("'1.5'")} AS excess_readmission_ratio, {whole("' padded '")} AS predicted_readmission_rate,
+        {whole("'12/31/2020'")} AS end_date, o_orderkey % 50 = 0 AS is_corrupt FROM orders"""
     out["load_measure_dimension"] = q(
         f"""SELECT measure_id, measure_name, measure_category, higher_is_better, unit_of_measure,
         {big('coalesce(n, 0)')} AS fact_rows

@@ -21,13 +21,16 @@ from caregauge.plans import (
     reports,
     views,
 )
-from caregauge.schemas import Star
+from caregauge.schemas import READMISSION_FILE, Star
+from caregauge.sources import files
 
 from . import star as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 FACILITY = "000000007"
 STATES = ["NATION_3", "NATION_7"]
+# The ranked queries again with few wide buckets, which must not change a row.
+COARSE = 2
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -83,23 +86,61 @@ def _upsert_hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _load(staged: Query, load, key: str) -> Query:
-    """A fact load with business keys in place of the surrogate ones."""
+def _with_ids(fact: DataFrame, hospitals: DataFrame, measures: DataFrame, key: str) -> DataFrame:
+    """A loaded fact with business keys in place of the surrogate ones."""
+    named = F.broadcast(measures.select("measure_key", "measure_id"))
+    return (
+        fact.join(sent_if_small(hospitals), "hospital_key")
+        .join(named, "measure_key", "left")
+        .drop("hospital_key", "measure_key", key, "created_at")
+    )
+
 
+def _load(staged: Query, load, key: str) -> Query:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         hospitals = _loaded_hospitals(spark, sf_dir).select("hospital_key", "facility_id")
         measures = dimensions.load_measures(spark)
         fact = load(staged(spark, sf_dir), hospitals, measures)
-        named = F.broadcast(measures.select("measure_key", "measure_id"))
-        return (
-            fact.join(sent_if_small(hospitals), "hospital_key")
-            .join(named, "measure_key", "left")
-            .drop("hospital_key", "measure_key", key, "created_at")
-        )
+        return _with_ids(fact, hospitals, measures, key)
 
     return build
 
 
+def _load_mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose ids differ in case from those of the hospitals, and some unusable dates."""
+    lettered = F.expr("replace(facility_id, '1', 'B')")
+    delivered = _deliveries(spark, sf_dir).withColumn("facility_id", lettered)
+    hospitals = dimensions.clean_hospitals(delivered).select("hospital_key", "facility_id")
+    measures = dimensions.load_measures(spark)
+    staged = source.mixed_case(source.staged_readmissions(spark, sf_dir))
+    return _with_ids(facts.load_readmissions(staged, hospitals, measures), hospitals, measures, "readmission_key")
+
+
+def _two_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load, and a second one with later years and some of the first one's periods again."""
+    hospitals = _loaded_hospitals(spark, sf_dir).select("hospital_key", "facility_id")
+    measures = dimensions.load_measures(spark)
+    first, second = (
+        facts.load_readmissions(source.staged_readmissions(spark, sf_dir, rows), hospitals, measures)
+        for rows in ("year(l_shipdate) <= 1996", "year(l_shipdate) >= 1996 AND l_quantity > 10")
+    )
+    return _with_ids(facts.carried_on(first, second), hospitals, measures, "readmission_key")
+
+
+def _delivered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = files.parse_lines(source.delivered_lines(spark, sf_dir), "line", READMISSION_FILE)
+    return parsed.select(
+        "facility_id", "facility_name", "state", "measure_name", "number_of_discharges",
+        "excess_readmission_ratio", "predicted_readmission_rate", "end_date",
+        F.col(files.CORRUPT).isNotNull().alias("is_corrupt"),
+    )
+
+
+def _measures_after_earlier_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    earlier = source.existing_measures(spark, sf_dir)
+    return dimensions.load_measures(spark, earlier).drop("measure_key")
+
+
 def _load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     hospitals = _loaded_hospitals(spark, sf_dir)
     staged = source.staged_readmissions(spark, sf_dir)
@@ -113,17 +154,12 @@ def _duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _date_dimension(star: Star) -> DataFrame:
-    """Readmission rows per attribute combination of the calendar."""
-    columns = [
-        "year", "quarter", "month", "month_name", "week_of_year", "day_of_week", "day_name",
-        "is_weekend", "fiscal_year", "fiscal_quarter",
-    ]
-    per_day = star.readmissions.groupBy("end_date_key").agg(F.count(F.lit(1)).alias("n"))
-    days = star.dates.withColumnRenamed("date_key", "end_date_key")
+    """Every day of the calendar with the number of readmission rows that end on it."""
+    per_day = star.readmissions.groupBy("end_date_key").agg(F.count(F.lit(1)).alias("row_count"))
     return (
-        per_day.join(F.broadcast(days), "end_date_key")
-        .groupBy(*columns)
-        .agg(F.sum("n").alias("row_count"))
+        star.dates.join(per_day, F.col("date_key") == F.col("end_date_key"), "left")
+        .drop("end_date_key")
+        .withColumn("row_count", F.coalesce("row_count", F.lit(0)))
     )
 
 
@@ -152,14 +188,14 @@ def queries() -> dict[str, Query]:
         # performance
         "readmit_by_hospital_latest": performance.readmission_by_hospital,
         "readmit_percentiles": performance.readmission_percentiles,
-        "readmit_percentiles_range": lambda s: performance.readmission_percentiles(s, "range"),
+        "readmit_percentiles_range": lambda s: performance.readmission_percentiles(s, COARSE),
         "readmit_percentiles_by_group": performance.readmission_percentiles_by_group,
-        "readmit_percentiles_by_group_range": lambda s: performance.readmission_percentiles_by_group(s, "range"),
+        "readmit_percentiles_by_group_range": lambda s: performance.readmission_percentiles_by_group(s, COARSE),
         "readmit_trend_annual": performance.readmission_trend,
         "readmit_excess_at_risk": performance.excess_readmissions,
         "satisfaction_by_hospital": performance.satisfaction_by_hospital,
         "satisfaction_state_domain": performance.satisfaction_by_state,
-        "satisfaction_state_domain_range": lambda s: performance.satisfaction_by_state(s, "range"),
+        "satisfaction_state_domain_range": lambda s: performance.satisfaction_by_state(s, COARSE),
         "satisfaction_trend": performance.satisfaction_trend,
         "readmit_vs_satisfaction": performance.readmission_and_satisfaction,
         # efficiency
@@ -168,14 +204,13 @@ def queries() -> dict[str, Query]:
         "volume_by_category": efficiency.volume_by_category,
         "volume_by_category_corrected": lambda s: efficiency.volume_by_category(s, K.CATEGORY_RULES_CORRECTED),
         "utilization_intensity": efficiency.utilization_intensity,
-        "utilization_intensity_range": lambda s: efficiency.utilization_intensity(s, "range"),
+        "utilization_intensity_range": lambda s: efficiency.utilization_intensity(s, COARSE),
         "readmission_burden": efficiency.readmission_burden,
-        "readmission_burden_range": lambda s: efficiency.readmission_burden(s, method="range"),
+        "readmission_burden_range": lambda s: efficiency.readmission_burden(s, buckets=COARSE),
         # outcomes
         "mortality_by_hospital": outcomes.mortality_by_hospital,
-        "mortality_by_hospital_category_year": lambda s: outcomes.mortality_by_hospital(s, "category"),
+        "mortality_by_hospital_counted": lambda s: outcomes.mortality_by_hospital(s, counted=True),
         "hai_by_hospital": outcomes.infections_by_hospital,
-        "hai_by_hospital_category_year": lambda s: outcomes.infections_by_hospital(s, "category"),
         "quality_trend": outcomes.quality_trend,
         "scorecard_all_periods": outcomes.overall_scorecard,
         "state_peer_benchmark": outcomes.state_benchmark,
@@ -205,7 +240,9 @@ def queries() -> dict[str, Query]:
         "report_survey_domains": lambda s: reports.survey_domains(detail(s)),
         "report_volume_and_rate": lambda s: reports.volume_and_rate(card(s)),
         "report_tier_distribution": lambda s: reports.tier_distribution(card(s)),
-        "report_hospital_detail": lambda s: reports.hospital_detail(card(s), FACILITY),
+        "report_hospital_detail": lambda s: card(s, F.col("facility_id") == FACILITY),
+        "report_survey_history": lambda s: reports.survey_history(s, FACILITY),
+        "report_quality_history": lambda s: reports.quality_history(s, FACILITY),
         "report_hospital_history": lambda s: reports.hospital_history(s, FACILITY),
         "report_annual_volume": lambda s: reports.annual_volume(trends(s)),
         "report_annual_volume_by_state": lambda s: reports.annual_volume(trends(s), "state"),
@@ -222,8 +259,22 @@ def queries() -> dict[str, Query]:
         "report_peer_table": lambda s: reports.peer_table(card(s)),
         "report_outcome_quadrants": lambda s: reports.outcome_quadrants(card(s), 7.5, 1.0),
         "report_sliced_scorecard": lambda s: pick(
-            card(s), state=STATES, hospital_type=["BUILDING"], performance_tier=None
+            card(s, F.col("state").isin(STATES) & F.col("hospital_type").isin("BUILDING")), performance_tier=None
         ).select("facility_id", "state", "hospital_type", "performance_tier"),
+        "report_sliced_by_owner_and_tier": lambda s: pick(
+            card(s, F.col("hospital_ownership") == "Owner ASIA"), performance_tier=[K.BELOW, K.AVERAGE]
+        ).select("facility_id", "hospital_ownership", "performance_tier", "avg_readmission_rate_pct"),
+        "report_sliced_trends": lambda s: pick(
+            trends(s), year=[1996, 1997], clinical_category=["Pneumonia", "Orthopaedics"], state=STATES
+        ),
+        "report_sliced_utilization": lambda s: pick(
+            efficiency.utilization_intensity(s), volume_tier=["Mid Volume", "Low Volume"], year=[1996]
+        ).select("facility_id", "year", "volume_tier", "total_discharges"),
+        "report_sliced_quality": lambda s: pick(quality(s), measure_category=[K.SAFETY], state=STATES),
+        "report_sliced_comparison": lambda s: reports.comparison_counts(
+            s, compared_to_national=[K.WORSE, K.SAME], measure_category=[K.MORTALITY], year=[2023, 2024]
+        ),
+        "report_state_survey_matrix_year": lambda s: reports.state_survey_matrix(s, years=[1996]),
         "report_national_average": lambda s: reports.national_average(card(s)),
         "report_against_national": lambda s: reports.against_national(pick(card(s), state=STATES), card(s)),
         "report_share_above_national": lambda s: reports.share_above_national(card(s)),
@@ -235,6 +286,17 @@ def queries() -> dict[str, Query]:
         "load_measure_dimension": _measure_dimension,
     }
     on_files: dict[str, Query] = {
+        # data whose categories end in different years
+        "mortality_by_hospital_category_year": lambda spark, d: outcomes.mortality_by_hospital(
+            source.star(spark, d, early=K.MORTALITY), "category"
+        ),
+        "hai_by_hospital_category_year": lambda spark, d: outcomes.infections_by_hospital(
+            source.star(spark, d, early=K.SAFETY), "category"
+        ),
+        "load_readmissions_mixed_case": _load_mixed_case,
+        "load_two_deliveries": _two_deliveries,
+        "parse_delivered_lines": _delivered_lines,
+        "load_measures_after_earlier_load": _measures_after_earlier_load,
         "load_hospitals": lambda spark, d: _without_keys(_loaded_hospitals(spark, d)),
         "insert_new_hospitals": _insert_hospitals,
         "upsert_hospitals": _upsert_hospitals,

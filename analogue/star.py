@@ -145,7 +145,8 @@ def hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Whole numbers behind a readmission row.
 _OFF, _TAX = _hundredths("l_discount"), _hundredths("l_tax")
-_DISCHARGES = "(CAST(l_quantity AS BIGINT) * 20 + l_linenumber)"
+# providers differ in volume, so that every volume tier occurs
+_DISCHARGES = "(CAST(l_quantity AS BIGINT) * CASE l_suppkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END + l_linenumber)"
 _READMISSIONS = f"({_DISCHARGES} * ({_TAX} + {_OFF} + 1 + l_suppkey % 10) div 100)"
 _PREDICTED = f"({_hundredths('l_extendedprice')} div CAST(l_quantity AS BIGINT))"
 _EXPECTED = "((l_linenumber * 2 + 8) * 10000)"
@@ -224,12 +225,16 @@ def _quality_measure(shown) -> str:
     )
 
 
-def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, sf_dir: str, early: str | None = None) -> DataFrame:
+    """``early`` puts the rows of Mortality, or those of Safety, a year back."""
+    key = _EVENT_KEY
+    if early is not None:
+        key = f"({key} - CASE WHEN {_VALUE} {'<' if early == K.MORTALITY else '>='} 5000 THEN 10000 ELSE 0 END)"
     return table(spark, sf_dir, "events").selectExpr(
         "user_id AS hospital_key",
         f"{_quality_measure(_key_of)} AS measure_key",
-        f"{_EVENT_KEY} - 10000 AS start_date_key",
-        f"{_EVENT_KEY} AS end_date_key",
+        f"{key} - 10000 AS start_date_key",
+        f"{key} AS end_date_key",
         f"CASE WHEN NOT ({_SUPPRESSED}) THEN {_places(_SCORE, 4, 'DECIMAL(10,4)')} END AS score",
         f"{_LABEL} AS compared_to_national",
     )
@@ -240,7 +245,7 @@ def measures(spark: SparkSession) -> DataFrame:
     return measure_seed(spark).selectExpr("*", f"{key} AS measure_key")
 
 
-def star(spark: SparkSession, sf_dir: str) -> Star:
+def star(spark: SparkSession, sf_dir: str, early: str | None = None) -> Star:
     configure(spark)
     return Star(
         hospitals=lambda: hospitals(spark, sf_dir),
@@ -248,7 +253,7 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
         measures=lambda: measures(spark),
         readmissions=lambda: readmissions(spark, sf_dir),
         satisfaction=lambda: satisfaction(spark, sf_dir),
-        quality=lambda: quality(spark, sf_dir),
+        quality=lambda: quality(spark, sf_dir, early),
     )
 
 
@@ -299,12 +304,41 @@ def _text(c: str) -> str:
     return f"CAST({c} AS STRING)"
 
 
-def staged_readmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed_case(delivered: DataFrame) -> DataFrame:
+    """Some ids in another case, some dates with a part too many."""
+    return delivered.withColumns(
+        {
+            "facility_id": F.expr("replace(facility_id, '1', 'b')"),
+            "end_date": F.expr("CASE WHEN end_date LIKE '1/%' THEN concat('1/', end_date) ELSE end_date END"),
+        }
+    )
+
+
+def delivered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of a readmission file: quoted quotes and commas, some lines too short."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "CASE WHEN o_orderkey % 50 = 0 THEN concat(o_custkey, ',short,', o_orderstatus) ELSE"
+        " concat(o_custkey, ',\"St. \"\"', o_orderstatus, '\"\" Hospital, Inc\",', o_orderstatus, ',\"', o_orderpriority,"
+        " ', all \\\\ causes\",', CAST(o_totalprice AS BIGINT), ',,1.5,', '\" padded \"', ',,,01/02/2020,12/31/2020') END AS line",
+    )
+
+
+def existing_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A measure dimension of an earlier load: those of the events, in lower case."""
+    used = table(spark, sf_dir, "events").selectExpr(f"lower({_quality_measure(_quoted)}) AS measure_id").distinct()
+    return used.where("measure_id IS NOT NULL").selectExpr(
+        "measure_id", "concat('Earlier ', measure_id) AS measure_name", "'Earlier' AS measure_category",
+        "true AS higher_is_better", "'%' AS unit_of_measure", "xxhash64(measure_id) AS measure_key",
+    )
+
+
+def staged_readmissions(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
     def nth(texts: list[str]) -> str:
         return f"element_at(array({', '.join(map(_quoted, texts))}), l_linenumber)"
 
     end = _us_text("l_shipdate")
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return table(spark, sf_dir, "lineitem").where(rows).selectExpr(
         _facility("l_suppkey"),
         f"{nth(READMISSION_NAMES)} AS measure_name",
         f"CASE WHEN {_OFF} = 0 THEN {nth(SUPPRESSED_TEXTS)} ELSE concat(' ', {_DISCHARGES}) END"

@@ -14,7 +14,7 @@ from ..functions.clean import derived_rate
 from ..operators.aggregates import average, count_by, rounded, spread_pivot
 from ..operators.growth import year_over_year
 from ..operators.latest import with_end_date
-from ..operators.lookups import lookup, top_n
+from ..operators.lookups import lookup, pick, top_n
 from ..schemas import Star
 from .performance import EXCESS, RATE, with_measure
 
@@ -24,12 +24,14 @@ LATEST_RATE = "avg_readmission_rate_pct"
 # -- documented look-ups ---------------------------------------------------------------
 
 
+def one_hospital(star: Star, facility_id: str, *columns: str) -> DataFrame:
+    """Key and columns of the hospital with this id, case ignored, as a side to join to."""
+    same = labels.same_text("facility_id", facility_id)
+    return star.side("hospitals", star.hospitals.where(same).select("hospital_key", *columns))
+
+
 def facility_readmissions(star: Star, facility_id: str) -> DataFrame:
-    one = star.hospitals.where(F.col("facility_id") == facility_id)
-    # facility ids are unique: at most one row goes to the tasks
-    rows = star.readmissions.join(
-        F.broadcast(one.select("hospital_key", "facility_name", "state")), "hospital_key"
-    )
+    rows = star.readmissions.join(one_hospital(star, facility_id, "facility_name", "state"), "hospital_key")
     return (
         with_measure(rows, star, "measure_name")
         .select("facility_name", "state", "measure_name", RATE, EXCESS)
@@ -138,15 +140,13 @@ def tier_distribution(scorecard: DataFrame) -> DataFrame:
 
 
 def hospital_detail(scorecard: DataFrame, facility_id: str) -> DataFrame:
-    return scorecard.where(F.col("facility_id") == facility_id)
+    """One hospital of a scorecard; ``views.hospital_scorecard`` can be built for it alone."""
+    return scorecard.where(labels.same_text("facility_id", facility_id))
 
 
 def hospital_history(star: Star, facility_id: str) -> DataFrame:
     """Yearly readmission figures of one hospital."""
-    one = star.hospitals.where(F.col("facility_id") == facility_id)
-    rows = star.readmissions.join(
-        F.broadcast(one.select("hospital_key", "facility_id")), "hospital_key"
-    )
+    rows = star.readmissions.join(one_hospital(star, facility_id, "facility_id"), "hospital_key")
     return (
         with_end_date(rows, star.dates)
         .groupBy("facility_id", "year")
@@ -160,6 +160,42 @@ def hospital_history(star: Star, facility_id: str) -> DataFrame:
     )
 
 
+def survey_history(star: Star, facility_id: str) -> DataFrame:
+    """Yearly survey figures of one hospital, per measure."""
+    rows = star.satisfaction.join(one_hospital(star, facility_id, "facility_id"), "hospital_key")
+    return (
+        with_measure(with_end_date(rows, star.dates), star, "measure_id", "measure_name")
+        .groupBy("facility_id", "year", "measure_id", "measure_name")
+        .agg(
+            average("star_rating", 2).alias("avg_star_rating"),
+            average("answer_percent", 1).alias("avg_answer_pct"),
+            F.max("completed_surveys").alias("completed_surveys"),
+        )
+        .orderBy("year", "measure_id")
+    )
+
+
+def quality_history(star: Star, facility_id: str) -> DataFrame:
+    """Yearly quality scores of one hospital, per measure."""
+    rows = star.quality.join(one_hospital(star, facility_id, "facility_id"), "hospital_key")
+    return (
+        with_measure(with_end_date(rows, star.dates), star, "measure_id", "measure_category")
+        .groupBy("facility_id", "year", "measure_category", "measure_id")
+        .agg(
+            average("score", 4).alias("avg_score"),
+            F.expr(f"count_if({labels.compared(K.BETTER)})").alias("better"),
+            F.expr(f"count_if({labels.compared(K.WORSE)})").alias("worse"),
+        )
+        .orderBy("year", "measure_id")
+    )
+
+
+def comparison_counts(star: Star, **choices) -> DataFrame:
+    """Quality rows per measure and label, for the chosen slicers."""
+    rows = with_measure(with_end_date(star.quality, star.dates), star, "measure_id", "measure_category")
+    return pick(rows, **choices).groupBy("measure_id", "compared_to_national").agg(F.expr("count(1) AS row_count"))
+
+
 # -- efficiency page ---------------------------------------------------------------------
 
 
@@ -213,7 +249,7 @@ def volume_tiers(utilization: DataFrame) -> DataFrame:
 
 def _score_by_measure(quality: DataFrame, category: str, *by: str) -> DataFrame:
     return (
-        quality.where(F.col("measure_category") == category)
+        quality.where(labels.same_text("measure_category", category))
         .groupBy(*by, "measure_name")
         .agg(average("national_avg_score", 4).alias("avg_score"))
     )
@@ -296,11 +332,20 @@ def top_performer_count(scorecard: DataFrame) -> DataFrame:
 # -- sheets ------------------------------------------------------------------------------
 
 
-def state_survey_matrix(star: Star) -> DataFrame:
-    """Average answer share per state and survey measure, over the survey rows."""
-    ids = [m[0] for m in K.MEASURE_SEED if m[2] == K.EXPERIENCE]
+def state_survey_matrix(star: Star, ids=None, years=None) -> DataFrame:
+    """Average answer share per state and survey measure, over the survey rows.
+
+    ``ids`` names the columns; else they are the dimension's survey measures, a short list
+    that is looked up first. ``years`` keeps the rows of some years.
+    """
+    if ids is None:
+        surveyed = star.measures.where(labels.same_text("measure_category", K.EXPERIENCE))
+        ids = [r[0] for r in surveyed.select("measure_id").distinct().orderBy("measure_id").collect()]
+    rows = star.satisfaction.where("measure_key IS NOT NULL")
+    if years is not None:
+        rows = pick(with_end_date(rows, star.dates), year=years)
     counted = (
-        star.satisfaction.where("measure_key IS NOT NULL")
+        rows
         .groupBy("hospital_key", "measure_key")
         .agg(F.sum("answer_percent").alias("s"), F.count("answer_percent").alias("n"))
     )

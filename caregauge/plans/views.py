@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -17,10 +17,25 @@ from .outcomes import fanned_out
 from .performance import EXCESS, RATE, with_measure
 
 
-def hospital_scorecard(star: Star) -> DataFrame:
-    """One row per hospital, each fact at its own latest year."""
+def of_hospitals(fact: DataFrame, star: Star, hospitals: DataFrame) -> DataFrame:
+    """A fact's rows of some of the hospitals."""
+    return fact.join(star.side("hospitals", hospitals.select("hospital_key")), "hospital_key", "left_semi")
+
+
+def hospital_scorecard(star: Star, chosen: Column | None = None) -> DataFrame:
+    """One row per hospital, each fact at its own latest year.
+
+    ``chosen``, a condition on the hospitals, keeps each fact to the chosen ones before it is
+    aggregated; the latest years are those of the whole facts.
+    """
+    hospitals = star.hospitals if chosen is None else star.hospitals.where(chosen)
+
+    def latest(fact: DataFrame) -> DataFrame:
+        recent = at_latest_year(fact, star.dates)
+        return recent if chosen is None else of_hospitals(recent, star, hospitals)
+
     rates = (
-        at_latest_year(star.readmissions, star.dates)
+        latest(star.readmissions)
         .groupBy("hospital_key")
         .agg(
             average(RATE, 2).alias("avg_readmission_rate_pct"),
@@ -30,7 +45,7 @@ def hospital_scorecard(star: Star) -> DataFrame:
         )
     )
     survey = (
-        with_measure(at_latest_year(star.satisfaction, star.dates), star, "measure_id")
+        with_measure(latest(star.satisfaction), star, "measure_id")
         .groupBy("hospital_key")
         .agg(
             value_of("measure_id", K.OVERALL_RATING, "star_rating").alias("overall_star_rating"),
@@ -44,7 +59,7 @@ def hospital_scorecard(star: Star) -> DataFrame:
         )
     )
     quality = (
-        with_measure(at_latest_year(star.quality, star.dates), star, "measure_category")
+        with_measure(latest(star.quality), star, "measure_category")
         .groupBy("hospital_key")
         .agg(
             average("score", 4, one_of("measure_category", [K.MORTALITY])).alias("avg_mortality_rate"),
@@ -59,7 +74,7 @@ def hospital_scorecard(star: Star) -> DataFrame:
         "hospital_type", "hospital_ownership", "emergency_services", "overall_rating",
         "readmission_group", "safety_group", "mortality_group", "patient_exp_group",
     ]
-    joined = star.hospitals.select("hospital_key", *who)
+    joined = hospitals.select("hospital_key", *who)
     for per in (rates, survey, quality):
         joined = joined.join(per, "hospital_key", "left")
     return joined.select(
