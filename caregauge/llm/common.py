@@ -48,6 +48,14 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def hash_sample(df: DataFrame, rows: int, total: int, *keys: str) -> DataFrame:
+    """About ``rows`` of a frame's ``total`` rows (all, if there are no more), by a hash of unique
+    keys: each task decides for itself, and the same rows are chosen every time."""
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:

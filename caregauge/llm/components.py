@@ -16,14 +16,14 @@ def _state(links: DataFrame) -> tuple:
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least one of the node and its neighbours."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     moved = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.filter("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(links.groupBy("u").agg(F.min("v").alias("m")))
     moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -34,8 +34,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder, so that no lineage grows and a lost executor costs
     its tasks alone; rounds end when the links no longer change (their number grows with the
-    logarithm of the longest path). Hot nodes are aggregated before they move and their joins are
-    split by adaptive execution.
+    logarithm of the longest path). Hot nodes are aggregated before they move, and the least
+    neighbours are written too, so that adaptive execution can split the joins of hot nodes.
     """
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     links = written(links)

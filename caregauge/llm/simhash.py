@@ -11,18 +11,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caregauge.llm.common import slices, texts, written
+from caregauge.llm.common import hash_sample, slices, texts, written
 from caregauge.llm.components import components
 
 SHINGLE_WORDS = 3
 MOST_BITS = 3
 SEED = 42
-#: Fingerprints, at most, that the tree over the shards is fitted on.
-SAMPLE = 32_768
+ALL_BITS = np.int64(-1)
+HALVES = (np.int64(0xFFFFFFFF), np.int64(-1 << 32))
+#: Fingerprints, about, that the trees over the shards are fitted on.
+SAMPLE = 65_536
 #: Fingerprints that a shard should hold, and those of one task at most; a shard with more is
-#: dealt over blocks, and each pair of blocks is a task.
-SHARD_ROWS = 2_048
-TASK_ROWS = 16_384
+#: dealt over blocks, and each pair of blocks is a task. Within a task smaller trees follow.
+SHARD_ROWS = 8_192
+TASK_ROWS = 262_144
+INNER_ROWS = 1_024
 
 
 def fingerprint(text: str, words_each: int = SHINGLE_WORDS) -> int:
@@ -63,18 +66,21 @@ def distance(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
 class VantageTree:
     """Splits Hamming space into shards, by distance to one vantage point after the other.
 
-    A fingerprint x goes to the outer branch if d(x, v) > mu, and to the inner one if
-    d(x, v) <= mu + radius. Two fingerprints within ``radius`` of each other meet in a shard: if
-    not both are outside, one has d <= mu and by the triangle bound the other d <= mu + radius.
+    Distances count the bits of ``mask`` alone. A fingerprint x goes to the outer branch if
+    d(x, v) > mu, and to the inner one if d(x, v) <= mu + radius. Two fingerprints within
+    ``radius`` of each other meet in a shard: if not both are outside, one has d <= mu and by
+    the triangle bound the other d <= mu + radius.
     """
 
-    def __init__(self, sample: np.ndarray, rows: int, radius: int, shard_rows: int = SHARD_ROWS) -> None:
-        self.radius = radius
+    def __init__(
+        self, sample: np.ndarray, rows: int, radius: int, mask: np.int64 = ALL_BITS, shard_rows: int = SHARD_ROWS
+    ) -> None:
+        self.radius, self.mask = radius, mask
         self.nodes: list[tuple[np.int64, int, int, int]] = []  # vantage point, mu, inner, outer
         self.shards = 0
         self.random = np.random.default_rng(SEED)
         self.each = rows / max(1, len(sample))
-        self.root = self._grow(sample, shard_rows)
+        self.root = self._grow(sample & mask, shard_rows)
 
     def _grow(self, sample: np.ndarray, shard_rows: int) -> int:
         """Index of the node, or -1 - shard."""
@@ -101,6 +107,7 @@ class VantageTree:
 
     def shards_of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``found`` and the shards they go to."""
+        found = found & self.mask
         rows, shards = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
         todo = [(self.root, np.arange(len(found)))]
         while todo:
@@ -117,6 +124,14 @@ class VantageTree:
         return np.concatenate(rows), np.concatenate(shards)
 
 
+def vantage_trees(sample: np.ndarray, rows: int, shard_rows: int = SHARD_ROWS) -> list[VantageTree]:
+    """A tree for each half of the bits: of MOST_BITS differing bits, one half has at most half.
+
+    So each tree needs a small radius only, and few fingerprints lie near its boundaries.
+    """
+    return [VantageTree(sample, rows, MOST_BITS // len(HALVES), mask, shard_rows) for mask in HALVES]
+
+
 def linked(found: np.ndarray, radius: int = MOST_BITS) -> np.ndarray:
     """For each fingerprint the least one of its component under links of up to ``radius`` bits.
 
@@ -154,28 +169,38 @@ def linked(found: np.ndarray, radius: int = MOST_BITS) -> np.ndarray:
 
 
 def link_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    found = rows["fp"].to_numpy(dtype=np.int64)
-    root = linked(found)
-    other = found != root
-    return pd.DataFrame({"u": found[other], "v": root[other]})
+    """Links that join the components of a shard's fingerprints, through trees of its own."""
+    found = np.unique(rows["fp"].to_numpy(dtype=np.int64))
+    u, v = [], []
+    for tree in vantage_trees(found[:: max(1, len(found) // SAMPLE)], len(found), INNER_ROWS):
+        at, shards = tree.shards_of(found)
+        order = np.argsort(shards, kind="stable")
+        for own in np.split(at[order], np.flatnonzero(np.diff(shards[order])) + 1):
+            root = linked(found[own])
+            other = found[own] != root
+            u.append(found[own][other])
+            v.append(root[other])
+    return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}).drop_duplicates()
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
     """Links (u, v) that join the fingerprints of each component, from the written table of
     different fingerprints ``fp``; at most one per fingerprint and task, never all pairs."""
-    spark = distinct.sparkSession
     rows = distinct.count()
-    chosen = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
-    tree = VantageTree(chosen["fp"].to_numpy(dtype=np.int64), rows, MOST_BITS)
+    chosen = hash_sample(distinct.select("fp"), SAMPLE, rows, "fp").toPandas()
+    trees = vantage_trees(np.sort(chosen["fp"].to_numpy(dtype=np.int64)), rows)
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 16):
             found = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            at, shards = tree.shards_of(found)
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(found[at])], names=["shard", "fp"])
+            before = 0
+            for tree in trees:
+                at, shards = tree.shards_of(found)
+                yield pa.RecordBatch.from_arrays([pa.array(before + shards), pa.array(found[at])], names=["shard", "fp"])
+                before += tree.shards
 
     shards = written(distinct.select("fp").mapInArrow(dealt, "shard int, fp long"))
-    # One row per shard; the tree has at most as many shards as the sample has fingerprints.
+    # One row per shard; a tree has at most as many shards as the sample has fingerprints.
     sizes = shards.groupBy("shard").count()
     large = sizes.filter(F.col("count") > TASK_ROWS).select(
         "shard", F.ceil(F.col("count") / (TASK_ROWS // 2)).cast("int").alias("blocks")
@@ -207,7 +232,8 @@ def near_duplicates(printed: DataFrame) -> DataFrame:
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the joins can split a component or fingerprint with very many rows.
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return printed.join(classes, "fp")
 

@@ -89,18 +89,19 @@ def test_linked_within_a_shard():
 
 def test_every_near_pair_meets_in_a_shard():
     fps = np.unique(close_fingerprints(2, 600))
-    tree = simhash.VantageTree(fps[::2], len(fps), 3, shard_rows=32)
-    rows, shards = tree.shards_of(fps)
-    assert tree.shards > 4 and set(rows.tolist()) == set(range(len(fps)))
-    homes = defaultdict(set)
-    for r, s in zip(rows.tolist(), shards.tolist()):
-        homes[r].add(s)
-    assert all(homes[a] & homes[b] for a, b in slow_links(fps))
+    for trees in (simhash.vantage_trees(fps[::2], len(fps), 32), [simhash.VantageTree(fps[::2], len(fps), 3, shard_rows=32)]):
+        homes = defaultdict(set)
+        for n, tree in enumerate(trees):
+            rows, shards = tree.shards_of(fps)
+            assert tree.shards > 4 and set(rows.tolist()) == set(range(len(fps)))
+            for r, s in zip(rows.tolist(), shards.tolist()):
+                homes[r].add((n, s))
+        assert all(homes[a] & homes[b] for a, b in slow_links(fps))
 
 
 @pytest.mark.parametrize("shard_rows,task_rows", [(2_048, 16_384), (40, 60)])
 def test_near_duplicates(spark, monkeypatch, shard_rows, task_rows):
-    monkeypatch.setattr(simhash.VantageTree.__init__, "__defaults__", (shard_rows,))
+    monkeypatch.setattr(simhash.vantage_trees, "__defaults__", (shard_rows,))
     monkeypatch.setattr(simhash, "TASK_ROWS", task_rows)
     fps = close_fingerprints(3, 500)
     fps = np.concatenate((fps, np.repeat(fps[:1], 100)))
