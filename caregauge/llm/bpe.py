@@ -13,12 +13,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, pre_tokenizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from caregauge.llm.common import slices, texts
-from caregauge.llm.tokens import CACHED_WORDS, WordIds, batches_of, id_lists
+from caregauge.llm.tokens import WordIds, batches_of, id_lists
 
 NONE = np.iinfo(np.int64).max
+#: Words and parts of texts that a worker remembers.
+CACHED_WORDS = 300_000
 #: Words of up to so many symbols are merged many at a time.
 SHORT = 64
 # Fixed value: white space as the tokenizer's pattern engine has it.
@@ -33,7 +35,9 @@ def unassigned() -> str:
     return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last)) + "]"
 
 
-UNASSIGNED = re.compile(unassigned())
+@lru_cache(maxsize=1)
+def unassigned_letter() -> re.Pattern[str]:
+    return re.compile(unassigned())
 
 
 def byte_letters() -> list[str]:
@@ -65,7 +69,9 @@ class Bpe(WordIds):
         self.pattern = regex.compile(split["pattern"]["Regex"])
         # Letters that Python's tables don't have yet are cut by the library's.
         self.newer = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.normalizer = normalizers.Sequence(
+            [normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()]
+        )
         suffix = model["end_of_word_suffix"] or ""
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], dtype=np.int64)
@@ -81,8 +87,6 @@ class Bpe(WordIds):
         self.ranks = {int(k): r for r, k in enumerate(keys.tolist())}
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], order
-        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.names = np.array([names.get(i, "") for i in range(most)], dtype=object)
         self.words: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -211,7 +215,7 @@ class Bpe(WordIds):
         return self.cut_plain(chunk)
 
     def cut_plain(self, part: str) -> list[str]:
-        if UNASSIGNED.search(part):
+        if not part.isascii() and unassigned_letter().search(part):
             return [w for w, _ in self.newer.pre_tokenize_str(self.normalizer.normalize_str(part))]
         part = SPACES.sub(" ", unicodedata.normalize("NFC", part))
         # Each letter by itself: the final form of a sigma is not chosen.
@@ -232,8 +236,19 @@ class Bpe(WordIds):
 
         return [b"".join(map(raw, ws)) for ws in cut]
 
+
+class Tokens:
+    """Texts of ids: tokens joined by spaces, special ones included, as the file names no decoder."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        if file["decoder"] is not None:
+            raise ValueError(f"{path}: not the kind of tokenizer that this decoder knows")
+        names = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], dtype=object)
+
     def decode(self, ids: np.ndarray) -> str:
-        """Tokens joined by spaces, special ones included, as the file names no decoder."""
         return " ".join(self.names[ids].tolist())
 
 
@@ -242,6 +257,11 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    return Tokens(path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, ids array<int>) of every text. A null or empty text has no ids; special
     tokens in a text are taken as the library takes them; a word of any length is merged whole;
@@ -261,8 +281,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` to rows (doc_id, ids); a null list decodes to an empty text."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
-        for batch in slices(batches):
+        coder = tokens(path)
+        for batch in slices(batches, 256):
             ids = batch.column("ids")
             values = ids.values.to_numpy(zero_copy_only=False)
             ends = ids.offsets.to_numpy()

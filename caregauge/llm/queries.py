@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from caregauge.llm import bpe, chat, cover_tree, packing, quality, secret_scan, sharding, simhash, token_files, warc
-from caregauge.llm.common import sends_package, shared_folder, table
+from caregauge.llm.common import sends_package, shared_folder, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,8 +30,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, encoded and decoded again."""
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    """All documents, encoded and decoded again; the ids are written in between, so that a task
+    has one Python worker at a time."""
+    encoded = written(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER))
+    decoded = bpe.decode(encoded, TOKENIZER)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

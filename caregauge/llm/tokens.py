@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers; later ones are encoded in each batch they occur in.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000
 #: Text that is encoded at once, unless a single text has more.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 # Marks that end words often, and the letters before them.
 ENDS = frozenset(".,")
