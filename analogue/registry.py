@@ -100,8 +100,10 @@ def _load(staged: Query, load, key: str) -> Query:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         hospitals = _loaded_hospitals(spark, sf_dir).select("hospital_key", "facility_id")
         measures = dimensions.load_measures(spark)
-        fact = load(staged(spark, sf_dir), hospitals, measures)
-        return _with_ids(fact, hospitals, measures, key)
+        # Text that is formed here stands for a file: the exchange keeps its forming apart from
+        # its cleaning (merged, each text would be formed once per use), and uses all cores.
+        delivered = staged(spark, sf_dir).hint("rebalance")
+        return _with_ids(load(delivered, hospitals, measures), hospitals, measures, key)
 
     return build
 
