@@ -30,11 +30,12 @@ WINDOW = 20
 HEX_BITS, MIXED_BITS, SINGLE_CASE_BITS = 2.9, 3.7, 3.5
 #: Strings that look random and are none: example keys, identifiers with groups of a known
 #: shape, dates, addresses and paths of words.
+PART = r"(?:(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}|[0-9]{1,4})"
 ALLOWED = re.compile(
     r"(?i:example|sample|dummy|placeholder|xxxx|test)"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     r"|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"|^(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]{1,4})(?:[/_+=-]+(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]{1,4}))+$"
+    rf"|^{PART}(?:[/_+=-]+{PART})+$"
     r"|^(?:0123456789|abcdefghij|ABCDEFGHIJ)"
 )
 N_LOG_N = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]

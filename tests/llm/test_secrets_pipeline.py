@@ -57,6 +57,7 @@ def test_entropy_adds_spans_and_the_allow_list_takes_them():
         f"example-{KEY}",
         "123e4567-e89b-12d3-a456-426614174000",
         "some/path/of/words/2024/index_page",
+        "https://www.example.org/some/long/path/page2024.html",
         "donaudampfschifffahrtsgesellschaft",
         "12345678901234567890123",
         "2024-05-01T10-20-30-4567-ab",
