@@ -50,7 +50,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"))
 
 
-def numbered(conversations: DataFrame) -> DataFrame:
+def numbered(conversations: DataFrame, stride: int = STRIDE) -> DataFrame:
     """Turns with their place ``pos`` from 1, the tokens before them ``start`` and the long turns
     before them ``long_before``.
 
@@ -64,7 +64,7 @@ def numbered(conversations: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumns({"tokens": tokens(F.col("text")) + MARK_TOKENS, "chunk": F.floor(F.col("turn") / CHUNK_TURNS)})
-    turns = turns.withColumn("long", (F.col("tokens") > STRIDE).cast("int"))
+    turns = turns.withColumn("long", (F.col("tokens") > stride).cast("int"))
     sums = {"turns": F.count("*"), "sum_tokens": F.sum("tokens"), "sum_long": F.sum("long")}
     chunks = turns.groupBy("conv_id", "chunk").agg(*[c.alias(n) for n, c in sums.items()])
     earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,20 +95,25 @@ def numbered(conversations: DataFrame) -> DataFrame:
     )
 
 
-def windows(conversations: DataFrame) -> DataFrame:
+def windows(
+    conversations: DataFrame,
+    stride: int = STRIDE,
+    history_turns: int = HISTORY_TURNS,
+    history_tokens: int = HISTORY_TOKENS,
+) -> DataFrame:
     """Rows (conv_id, window, n_repeated, formatted, loss): a window's text, how many of its turns
     stand in an earlier window, and the spans (start, length in code points) of its new
     assistant turns.
 
     A turn is new in one window, that of the stride in which it starts by the prefix sum of
     tokens; ``window`` orders them. A later window begins with the conversation's first turn, if
-    that is a system turn, and with up to HISTORY_TURNS turns before its own that have
-    HISTORY_TOKENS tokens at most together; these are outside the mask. Turns are never cut.
+    that is a system turn, and with up to ``history_turns`` turns before its own that have
+    ``history_tokens`` tokens at most together; these are outside the mask. Turns are never cut.
     A null role or text is empty, a null conv_id a conversation, repeated rows are turns of their
     own; extra columns are left out.
     """
-    turns = written(numbered(conversations)).withColumn(
-        "window", F.struct(F.floor(F.col("start") / STRIDE).alias("stride"), "long_before", "long")
+    turns = written(numbered(conversations, stride)).withColumn(
+        "window", F.struct(F.floor(F.col("start") / stride).alias("stride"), "long_before", "long")
     )
     spans = turns.groupBy("conv_id", "window").agg(F.min("pos").alias("first_pos"), F.min("start").alias("first_start"))
     later = spans.filter("first_pos > 1")
@@ -118,11 +123,11 @@ def windows(conversations: DataFrame) -> DataFrame:
     repeated_system = later.join(system, later["conv_id"].eqNullSafe(system["of_conv"])).select(
         "conv_id", "window", F.lit(0).alias("kind"), "pos", "role", "text"
     )
-    wanted = later.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("first_pos") - HISTORY_TURNS), F.col("first_pos") - 1)))
+    wanted = later.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("first_pos") - history_turns), F.col("first_pos") - 1)))
     known = turns.select(F.col("conv_id").alias("of_conv"), "pos", "role", "text", "start")
     history = (
         wanted.join(known, wanted["conv_id"].eqNullSafe(known["of_conv"]) & (wanted["at"] == known["pos"]))
-        .filter((F.col("first_start") - F.col("start") <= HISTORY_TOKENS) & ~((F.col("pos") == 1) & (F.col("role") == "system")))
+        .filter((F.col("first_start") - F.col("start") <= history_tokens) & ~((F.col("pos") == 1) & (F.col("role") == "system")))
         .select("conv_id", "window", F.lit(1).alias("kind"), "pos", "role", "text")
     )
     new = turns.select("conv_id", "window", F.lit(2).alias("kind"), "pos", "role", "text")

@@ -94,7 +94,9 @@ def random_window(word: str) -> bool:
     return False
 
 
-def entropy_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+def entropy_spans(
+    text: str, taken: list[tuple[int, str, int]], allowed: re.Pattern[str] = ALLOWED
+) -> list[tuple[int, str, int]]:
     """Candidate strings with a random window, unless allowed or within reach of a base span."""
     found = []
     for m in CANDIDATE.finditer(text):
@@ -103,15 +105,15 @@ def entropy_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[in
             continue
         if any(a < m.end() and m.start() < b for a, _, b in taken):
             continue
-        if random_window(word) and not ALLOWED.search(word):
+        if random_window(word) and not allowed.search(word):
             found.append((m.start(), "entropy", m.end()))
     return found
 
 
-def spans(text: str) -> list[tuple[str, int, int]]:
+def spans(text: str, allowed: re.Pattern[str] = ALLOWED) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then by kind as listed."""
     found = base_spans(text)
-    found += entropy_spans(text, found)
+    found += entropy_spans(text, found, allowed)
     return [(k, a, b) for a, k, b in sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))]
 
 
@@ -120,16 +122,16 @@ SPANS = T.ArrayType(
 )
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def find_secrets(docs: DataFrame, allowed: re.Pattern[str] = ALLOWED) -> DataFrame:
     """Rows (doc_id, secrets array<struct<kind, start, stop>>) of whole texts; ``stop`` is
-    exclusive. A null or empty text has none; repeated rows give repeated results; extra columns
+    exclusive; ``allowed`` takes entropy spans away. A null or empty text has none; repeated rows give repeated results; extra columns
     are left out."""
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [
-                [{"kind": k, "start": a, "stop": b} for k, a, b in spans(t)] for t in batch.column("text").to_pylist()
+                [{"kind": k, "start": a, "stop": b} for k, a, b in spans(t, allowed)] for t in batch.column("text").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, arrow)], names=["doc_id", "secrets"])
 
@@ -138,7 +140,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, schema)
 
 
-def mask(text: str, most: str = "[{}]") -> str:
+def mask(text: str, shown: str = "[{}]") -> str:
     """The text with each secret replaced by its kind in brackets; overlapping ones as one."""
     out, at = [], 0
     merged: list[list] = []
@@ -148,7 +150,7 @@ def mask(text: str, most: str = "[{}]") -> str:
         else:
             merged.append([kind, a, b])
     for kind, a, b in merged:
-        out += [text[at:a], most.format(kind.upper())]
+        out += [text[at:a], shown.format(kind.upper())]
         at = b
     return "".join([*out, text[at:]])
 

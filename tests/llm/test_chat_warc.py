@@ -67,6 +67,15 @@ def test_history_is_repeated_outside_the_mask(formatted):
     assert sum(len(r["loss"]) for r in rows) == sum(role == "assistant" for _, _, role, _ in by_conversation()[1])
 
 
+def test_other_budgets_read_back_the_same(spark, formatted):
+    given = spark.createDataFrame(conversation_rows(), "conv_id long, turn long, role string, text string")
+    small = chat.written(chat.windows(given, stride=20, history_turns=3, history_tokens=500))
+    assert small.count() > formatted.count()
+    columns = ["conv_id", "n_turns", "turns_sha256", "loss_sha256"]
+    a, b = (chat.digests(chat.read_windows(w)).select(columns) for w in (small, formatted))
+    assert a.exceptAll(b).count() == 0
+
+
 def test_no_python_and_no_rows(spark, formatted):
     given = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     out = chat.digests(chat.read_windows(chat.windows(given)))
