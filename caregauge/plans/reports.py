@@ -22,6 +22,7 @@ LATEST_RATE = "avg_readmission_rate_pct"
 
 
 # -- documented look-ups ---------------------------------------------------------------
+# The output columns of the look-ups and report tables.
 
 
 def one_hospital(star: Star, facility_id: str, *columns: str) -> DataFrame:

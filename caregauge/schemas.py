@@ -56,7 +56,7 @@ HEADER_NAMES = {
 
 _KEYS = "hospital_key BIGINT, measure_key BIGINT, start_date_key INT, end_date_key INT"
 
-# Columns of the saved core tables, by their place in the star. Stated, so that reading
+# Columns of the saved core tables, by their place in the star. Stated, so that reading
 # needs no look into files and works on a table without rows.
 CORE = {
     "hospitals": "hospital_key BIGINT, facility_id STRING, facility_name STRING, city STRING,"

@@ -31,45 +31,45 @@ FEW, NOT_AVAILABLE = "Too Few to Report", "Not Available"
 # id -> measure code, discharges, excess ratio, predicted, expected, readmissions
 READMISSIONS = {
     "010001": [
-        ("HF-HRRP", 487, "0.9823", "21.2", "21.6", 103),
-        ("AMI-HRRP", 312, "1.0245", "14.8", "14.5", 46),
-        ("PN-HRRP", 623, "0.9512", "16.4", "17.2", 102),
-        ("COPD-HRRP", 289, "1.0678", "20.1", "18.8", 58),
+        ("READM-30-HF-HRRP", 487, "0.9823", "21.2", "21.6", 103),
+        ("READM-30-AMI-HRRP", 312, "1.0245", "14.8", "14.5", 46),
+        ("READM-30-PN-HRRP", 623, "0.9512", "16.4", "17.2", 102),
+        ("READM-30-COPD-HRRP", 289, "1.0678", "20.1", "18.8", 58),
     ],
     "010005": [
-        ("HF-HRRP", 298, "0.8934", "19.8", "22.2", 59),
-        ("AMI-HRRP", 189, "0.9123", "13.4", "14.7", 25),
-        ("PN-HRRP", 445, "0.8756", "15.1", "17.2", 67),
-        ("COPD-HRRP", 176, "0.9234", "17.6", "19.1", 31),
+        ("READM-30-HF-HRRP", 298, "0.8934", "19.8", "22.2", 59),
+        ("READM-30-AMI-HRRP", 189, "0.9123", "13.4", "14.7", 25),
+        ("READM-30-PN-HRRP", 445, "0.8756", "15.1", "17.2", 67),
+        ("READM-30-COPD-HRRP", 176, "0.9234", "17.6", "19.1", 31),
     ],
     "010007": [
-        ("HF-HRRP", FEW, NOT_AVAILABLE, NOT_AVAILABLE, NOT_AVAILABLE, FEW),
-        ("PN-HRRP", 156, "1.1823", "19.8", "16.7", 31),
+        ("READM-30-HF-HRRP", FEW, NOT_AVAILABLE, NOT_AVAILABLE, NOT_AVAILABLE, FEW),
+        ("READM-30-PN-HRRP", 156, "1.1823", "19.8", "16.7", 31),
     ],
     "060001": [
-        ("HF-HRRP", 2341, "0.8102", "17.2", "21.2", 403),
-        ("AMI-HRRP", 1876, "0.7834", "11.4", "14.6", 214),
-        ("PN-HRRP", 1543, "0.7923", "13.2", "16.7", 204),
-        ("COPD-HRRP", 987, "0.8234", "15.8", "19.2", 156),
-        ("HIP-KNEE", 3456, "0.8012", "4.8", "6.0", 166),
-        ("CABG", 1234, "0.7645", "10.2", "13.3", 126),
+        ("READM-30-HF-HRRP", 2341, "0.8102", "17.2", "21.2", 403),
+        ("READM-30-AMI-HRRP", 1876, "0.7834", "11.4", "14.6", 214),
+        ("READM-30-PN-HRRP", 1543, "0.7923", "13.2", "16.7", 204),
+        ("READM-30-COPD-HRRP", 987, "0.8234", "15.8", "19.2", 156),
+        ("READM-30-HIP-KNEE", 3456, "0.8012", "4.8", "6.0", 166),
+        ("READM-30-CABG", 1234, "0.7645", "10.2", "13.3", 126),
     ],
     "140010": [
-        ("HF-HRRP", 1987, "0.8634", "18.3", "21.2", 364),
-        ("AMI-HRRP", 1456, "0.8912", "12.6", "14.1", 184),
-        ("PN-HRRP", 1876, "0.8723", "14.5", "16.6", 272),
+        ("READM-30-HF-HRRP", 1987, "0.8634", "18.3", "21.2", 364),
+        ("READM-30-AMI-HRRP", 1456, "0.8912", "12.6", "14.1", 184),
+        ("READM-30-PN-HRRP", 1876, "0.8723", "14.5", "16.6", 272),
     ],
     "330101": [
-        ("HF-HRRP", 3456, "0.9523", "20.1", "21.1", 695),
-        ("AMI-HRRP", 2345, "0.9234", "13.2", "14.3", 310),
+        ("READM-30-HF-HRRP", 3456, "0.9523", "20.1", "21.1", 695),
+        ("READM-30-AMI-HRRP", 2345, "0.9234", "13.2", "14.3", 310),
     ],
     "050625": [
-        ("HF-HRRP", 2123, "0.9012", "19.0", "21.1", 403),
-        ("AMI-HRRP", 1789, "0.8834", "12.5", "14.2", 224),
+        ("READM-30-HF-HRRP", 2123, "0.9012", "19.0", "21.1", 403),
+        ("READM-30-AMI-HRRP", 1789, "0.8834", "12.5", "14.2", 224),
     ],
     "450639": [
-        ("HF-HRRP", 1234, "1.0234", "21.6", "21.1", 267),
-        ("AMI-HRRP", 987, "1.0456", "14.8", "14.2", 146),
+        ("READM-30-HF-HRRP", 1234, "1.0234", "21.6", "21.1", 267),
+        ("READM-30-AMI-HRRP", 987, "1.0456", "14.8", "14.2", 146),
     ],
 }
 
@@ -154,7 +154,7 @@ def staged_readmissions(spark):
         READMISSION_FILE,
         [
             {
-                "facility_id": i, "measure_name": f"READM-30-{m}", "number_of_discharges": d,
+                "facility_id": i, "measure_name": m, "number_of_discharges": d,
                 "excess_readmission_ratio": x, "predicted_readmission_rate": p,
                 "expected_readmission_rate": e, "number_of_readmissions": n,
                 "start_date": "07/01/2021", "end_date": "06/30/2024",
