@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caregauge.llm.common import written
+
 # Fixed values of the archive format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,10 +38,11 @@ def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     empty payload, and a null page_id is never the least. Extra columns are left out.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    # A written side: the join with it can then split a digest with very many pages.
     headed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(
         {"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": sha1_base32(payload)}
     )
-    copied = (
+    copied = written(
         headed.filter(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
@@ -83,12 +86,12 @@ def record(date: str = DATE) -> Column:
     return F.concat(F.concat_ws(end, *lines), F.lit(end), block)
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE) -> None:
     """Writes the pages as compressed archives, originals with their payload and revisits without.
 
     Spark's own text writer commits the files, so that a lost executor leaves no half file.
     """
-    resolve(pages, least_bytes).select(record().alias("value")).write.options(
+    resolve(pages, least_bytes).select(record(date).alias("value")).write.options(
         lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE
     ).text(folder)
 
@@ -160,12 +163,15 @@ def archived_pages(spark: SparkSession, folder: str, id_type: str = "long") -> D
         F.octet_length("payload").cast("long").alias("bytes"),
         F.when(own, sha1_base32(F.col("payload"))).alias("digest"),
     )
-    originals = (
+    # Written, so that a response with very many revisits does not meet them in one task.
+    originals = written(
         records.filter(F.col("type") == "response")
         .groupBy(F.col("record_id").alias("original"))
         .agg(F.max("bytes").alias("original_bytes"), F.max("digest").alias("original_digest"))
     )
-    return records.join(originals, records["refers_to"] == originals["original"], "left").select(
+    # Responses refer to nothing; with a key of their own they are dealt over all tasks.
+    wanted = F.coalesce(records["refers_to"], F.concat(F.lit("response "), records["record_id"]))
+    return records.join(originals, wanted == originals["original"], "left").select(
         F.expr(f"try_cast(record_id as {id_type})").alias("page_id"),
         F.coalesce("bytes", "original_bytes").alias("payload_bytes"),
         F.coalesce("digest", "original_digest").alias("payload_digest"),
