@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caregauge.llm.common import slices, written
+from caregauge.llm.common import hash_sample, slices, written
 from caregauge.llm.components import components
 
 COSINE = 0.93
-#: Vectors, at most, that the cells (the tree's upper levels) are fitted on, and their numbers.
+#: Vectors, about, that the cells (the tree's upper levels) are fitted on, and their numbers.
 SAMPLE_ROWS = 16_384
 SAMPLE_NUMBERS = 8 << 20
 #: Vectors that a cell should hold, and those of one side of a task at most; a cell with more is
@@ -158,7 +158,9 @@ def expand(
     close = d <= ra[:, None] + rb[None, :] + far + SLACK
     if twin:
         close = np.triu(close)
-    whole = close & (d + ra[:, None] + rb[None, :] + SLACK < far)
+    alone_left = np.array([len(left.members[n]) == 1 for n in ca])
+    alone_right = np.array([len(right.members[n]) == 1 for n in cb])
+    whole = close & (d + ra[:, None] + rb[None, :] + SLACK < far) & ~(alone_left[:, None] & alone_right[None, :])
     if twin:
         np.fill_diagonal(whole, False)
     for x, y in np.argwhere(whole):
@@ -167,8 +169,6 @@ def expand(
         links.counts[theirs] += links.weight[mine].sum()
         links.join(np.concatenate((mine, theirs)), np.full(len(mine) + len(theirs), mine[0]))
     pairs = np.argwhere(close & ~whole)
-    alone_left = np.array([len(left.members[n]) == 1 for n in ca])
-    alone_right = np.array([len(right.members[n]) == 1 for n in cb])
     single = alone_left[pairs[:, 0]] & alone_right[pairs[:, 1]]
     if single.any():  # nodes of one point: the points' own cosines decide
         x, y = pairs[single].T
@@ -263,11 +263,10 @@ def cosine_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sizes = points.groupBy("label", "length").agg(F.count("*").alias("of_label"))
     points = written(points.join(sizes, ["label", "length"]))
     # Labels and lengths of the sample bound what comes to the driver.
-    longest = points.agg(F.max("length")).first()[0] or 1
+    total, longest = points.agg(F.count("*"), F.coalesce(F.max("length"), F.lit(1))).first()
     most = int(min(SAMPLE_ROWS, max(256, SAMPLE_NUMBERS // longest)))
-    sample = points.select("label", "length", "embedding", "of_label", "node").orderBy(F.xxhash64("node"), "node").limit(most)
-    sample = sample.toPandas()
-    cells = Cells(sample)
+    sample = hash_sample(points.select("label", "length", "embedding", "of_label", "node"), most, total, "node")
+    cells = Cells(sample.toPandas().sort_values("node"))
 
     def assigned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2_048):
@@ -358,21 +357,17 @@ def cosine_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         .join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    # Written, so that the joins can split a component or vector with very many rows.
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("least")))
     classes = rooted.join(least, "root").select(
         "label", "embedding", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
-    marked = rows.withColumn("own", F.when(fits, F.col("label")))
-    classes = classes.withColumnsRenamed({"label": "class_label", "embedding": "class_embedding"})
-    joined = marked.join(
-        classes,
-        (marked["own"] == classes["class_label"]) & (marked["embedding"] == classes["class_embedding"]),
-        "left",
-    )
+    unlinked = rows.filter(~fits).withColumns({"least": F.lit(None).cast(rows.schema["vec_id"].dataType), "links": F.lit(0).cast("long")})
+    joined = rows.filter(fits).join(classes, ["label", "embedding"]).unionByName(unlinked)
     component = F.coalesce("least", "vec_id")
     return joined.select(
         "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("links").cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )
