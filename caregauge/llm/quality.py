@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caregauge.llm.common import slices, texts
+from caregauge.llm.common import hash_sample, slices, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 5
-#: Labelled rows, at most, that the forest and its threshold are fitted on.
+#: Labelled rows, about, that the forest and its threshold are fitted on.
 LABELLED_ROWS = 20_000
 TREES, TREE_ROWS, SEED = 128, 256, 7
 #: Share of the labelled good rows that the threshold must keep.
@@ -201,15 +201,16 @@ def with_statistics(docs: DataFrame, *others: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> IsolationForest | None:
-    """Forest and threshold from at most ``rows`` labelled documents, chosen by a hash of the
+    """Forest and threshold from about ``rows`` labelled documents, chosen by a hash of the
     doc_id; None without any. Rows that the base rules reject are not shown to the forest, as
     it does not decide on them. Null labels and doc_ids are left out; of several labels of a
     document the worst counts."""
     named = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     # The sample is bounded by ``rows``, so that it may be sent to every task.
-    some = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = hash_sample(named, rows, named.count(), "doc_id")
     labelled = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    found = with_statistics(labelled, "good").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(rows).toPandas()
+    found = with_statistics(labelled, "good").dropDuplicates().limit(2 * rows).toPandas()
+    found = found.sort_values(["doc_id", *STATISTICS])
     stats = found[list(STATISTICS)].to_numpy(dtype=np.int64)
     judged = ~base_failed(stats)
     stats, good = stats[judged], found["good"].to_numpy()[judged] > 0
