@@ -18,6 +18,8 @@ from caregauge.llm.tokens import batches_of, id_lists, text_encoder, with_end
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2_000
+#: Offsets of so many files, a few MB, may be sent to every task.
+BROADCAST_FILES = 50_000
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> None:
@@ -71,6 +73,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
     earlier = F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("file", F.coalesce(earlier, F.lit(0)).alias("before"))
+    if len(rows.inputFiles()) <= BROADCAST_FILES:  # else the lists of ids move to a shuffled join
+        offsets = F.broadcast(offsets)
     return rows.join(offsets, "file").select(
         "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids"
     )
