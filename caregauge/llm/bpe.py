@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 from caregauge.llm.common import slices, texts
-from caregauge.llm.tokens import WordIds, batches_of, id_lists
+from caregauge.llm.tokens import CACHED_WORDS, WordIds, batches_of, id_lists, lowers, marks_apart
 
 NONE = np.iinfo(np.int64).max
-#: Words and parts of texts that a worker remembers.
-CACHED_WORDS = 300_000
+#: Words, as the pattern cuts them, whose ids a worker remembers.
+CACHED_PIECES = 200_000
 #: Words of up to so many symbols are merged many at a time.
 SHORT = 64
 # Fixed value: white space as the tokenizer's pattern engine has it.
@@ -78,7 +78,8 @@ class Bpe(WordIds):
         self.last = np.array([vocab[x + suffix] for x in letters], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.hints = tuple({t[:2] for t in self.special})
+        self.hints = frozenset(t[:2] for t in self.special)
+        self.lowers, self.marks_apart = lowers(file), marks_apart(file)
         most = max([*vocab.values(), *self.special.values()]) + 1
         self.base = most
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -87,7 +88,7 @@ class Bpe(WordIds):
         self.ranks = {int(k): r for r, k in enumerate(keys.tolist())}
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], order
-        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, NONE if there is none."""
@@ -224,15 +225,15 @@ class Bpe(WordIds):
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         cut = list(map(self.cut, words))
-        new = {w for ws in cut for w in ws if isinstance(w, str) and w not in self.words}
+        new = {w for ws in cut for w in ws if isinstance(w, str) and w not in self.pieces}
         fresh = self.encode_words(sorted(new))
-        if len(self.words) + len(fresh) <= self.limit:
-            self.words.update(fresh)
+        if len(self.pieces) + len(fresh) <= CACHED_PIECES:
+            self.pieces.update(fresh)
 
         def raw(w: str | int) -> bytes:
             if isinstance(w, int):
                 return w.to_bytes(4, "little")
-            return fresh[w] if w in fresh else self.words[w]
+            return fresh[w] if w in fresh else self.pieces[w]
 
         return [b"".join(map(raw, ws)) for ws in cut]
 

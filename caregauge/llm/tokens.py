@@ -13,15 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers; later ones are encoded in each batch they occur in.
-CACHED_WORDS = 450_000
+CACHED_WORDS = 400_000
 #: Text that is encoded at once, unless a single text has more.
 BATCH_BYTES = 4 << 20
 
-# Marks that end words often, and the letters before them.
-ENDS = frozenset(".,")
-LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-
-
 def batches_of(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of BATCH_BYTES of text at most, or of one row."""
     for batch in batches:
@@ -37,42 +32,60 @@ def batches_of(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterato
 class WordIds:
     """Ids of texts from the ids of the parts between their spaces and line ends.
 
-    Each different part of a batch is looked up once, and encoded if it is not known.
+    Each different part of a batch is looked up once, and encoded if it is not known. Known
+    parts are one Arrow array, and their ids another one, so that many take little memory.
     """
 
+    #: Whether the tokenizer lowers letters itself, and whether marks after letters begin a token
+    #: of their own; how its special tokens begin. Set by the subclasses.
+    lowers = marks_apart = False
+    hints: frozenset[str] = frozenset()
+
     def __init__(self, cached_words: int = CACHED_WORDS) -> None:
         self.limit = cached_words
-        self.known: dict[str, bytes] = {}
+        self.known = pa.array([], pa.string())
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word."""
         raise NotImplementedError
 
-    def plainer(self, texts: pa.Array, words: pa.Array) -> pa.Array:
-        """Words with the same ids as the given ones, and fewer different ones."""
-        return words
+    def parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts of all texts, and where each text's begin. Parts with the same ids are made alike:
+        a full stop or comma is parted from the letter before it, ASCII letters are lowered
+        (not where a special token may stand, which the tokenizer cuts out before)."""
+        texts = pc.replace_substring(texts, "\n", " ")
+        if self.marks_apart:
+            texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,]) ", r"\1 \2 ")
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten()
+        if self.lowers and not any(pc.any(pc.match_substring(texts, h)).as_py() for h in self.hints):
+            words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        return words, offsets - offsets[0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (and end)."""
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        coded = self.plainer(texts, parts.flatten()).dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        raw = list(map(self.known.get, different))
-        new = [w for w, ids in zip(different, raw) if ids is None]
-        if new:
-            fresh = iter(found := self.ids_of(new))
-            raw = [next(fresh) if ids is None else ids for ids in raw]
-            if len(self.known) + len(new) <= self.limit:
-                self.known.update(zip(new, found))
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        words, offsets = self.parts(texts)
+        coded = words.dictionary_encode()
+        different = coded.dictionary
+        place = pc.index_in(different, value_set=self.known)
+        new = different.filter(pc.is_null(place))
+        found = self.ids_of(new.to_pylist()) if len(new) else []
+        sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4))
+        flat = np.concatenate((self.flat, np.frombuffer(b"".join(found), dtype="<u4")))
+        at = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.sizes) + np.arange(len(new))
+        if len(sizes) <= self.limit:
+            self.known = pa.concat_arrays([self.known, new])
+            self.sizes, self.flat = sizes, flat
         starts = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(raw), dtype="<u4")
-        words = coded.indices.to_numpy(zero_copy_only=False)
-        many = sizes[words]
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
+        many = sizes[at]
         ends = np.concatenate(([0], np.cumsum(many)))
-        values = flat[np.arange(ends[-1]) + np.repeat(starts[words] - ends[:-1], many)]
-        offsets = parts.offsets.to_numpy().astype(np.int64)
-        return ends[offsets - offsets[0]], values
+        values = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], many)]
+        return ends[offsets], values
 
     def encode_texts(self, texts: list[str]) -> list[list[int]]:
         ends, values = self.encode(pa.array(texts, pa.string()))
@@ -94,6 +107,19 @@ def id_lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view("<i4")))
 
 
+def lowers(file: dict) -> bool:
+    """Whether a tokenizer (as its file has it) lowers all letters."""
+    steps = str(file["normalizer"])
+    return "'Lowercase'" in steps and "'Prepend'" not in steps
+
+
+def marks_apart(file: dict) -> bool:
+    """Whether letters and other marks are tokens of their own, whatever stands beside them."""
+    splits = (file["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    choices = {*splits[0].get("pattern", {}).get("Regex", "").split("|")}
+    return {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= choices and splits[0].get("invert") is True
+
+
 class TextEncoder(WordIds):
     """``Tokenizer.encode(text, add_special_tokens=False).ids`` for many texts.
 
@@ -120,41 +146,16 @@ class TextEncoder(WordIds):
         contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(re.search(r"\s", c) for c in contents):
             raise ValueError(f"{path} has tokens with white space")
-        self.hints = {c[:2] for c in contents}
+        self.hints = frozenset(c[:2] for c in contents)
         self.alone = re.compile("|".join(map(re.escape, {*self.hints, self.parting})))
         file = json.loads(self.tokenizer.to_str())
-        steps = str(file["normalizer"])
-        self.lowers = "'Lowercase'" in steps and "'Prepend'" not in steps
-        first_split = ((file["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        choices = first_split.get("pattern", {}).get("Regex", "").split("|")
-        # Letters and marks are words of their own: a mark after a letter begins a new one.
-        self.marks_apart = {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= {*choices} and first_split.get("invert") is True
-        self.cores: dict[str, bytes] = {}
-
-    def plainer(self, texts: pa.Array, words: pa.Array) -> pa.Array:
-        """ASCII words in lower case, if the tokenizer lowers letters itself and no text may hold
-        a special token, which is cut out before."""
-        if not self.lowers or any(pc.any(pc.match_substring(texts, h)).as_py() for h in self.hints):
-            return words
-        return pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        self.lowers = lowers(file)
+        self.marks_apart = marks_apart(file)
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids_of(self, words: list[str]) -> list[bytes]:
-        if not self.marks_apart:
-            return self.ids_of_all(words)
-        cores = [w[:-1] if w[-1:] in ENDS and w[-2:-1] in LETTERS else w for w in words]
-        new = list({*cores, *ENDS} - self.cores.keys())
-        found = dict(zip(new, self.ids_of_all(new)))
-        known = self.cores
-        if len(known) + len(found) <= self.limit:
-            known.update(found)
-        ids = [found[c] if c in found else known[c] for c in cores]
-        ends = {e: found[e] if e in found else known[e] for e in ENDS}
-        return [x if w is c else x + ends[w[-1]] for w, c, x in zip(words, cores, ids)]
-
-    def ids_of_all(self, words: list[str]) -> list[bytes]:
         search = self.alone.search
         plain = [w for w in words if not search(w)]
         # Strings of a thousand words cost the library least for each word.
