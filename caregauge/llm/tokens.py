@@ -27,6 +27,7 @@ def batches_of(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterato
             upto = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+            pa.default_memory_pool().release_unused()  # a worker stays; what it freed need not
 
 
 class WordIds:
