@@ -11,7 +11,7 @@ from caregauge.llm import cover_tree, simhash
 from caregauge.llm.common import written
 from caregauge.llm.components import components
 
-from .conftest import messy, prose
+from .conftest import messy
 
 
 def classes(n, links):
