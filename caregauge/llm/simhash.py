@@ -221,7 +221,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(printed: DataFrame) -> DataFrame:
-    """Adds ``component_id`` to the written rows (doc_id, fp): the least doc_id that links reach.
+    """Adds ``component_id`` to the written rows (doc_id, fp): the least doc_id that links reach;
+    and ``root``: the least fingerprint, which unlike a null or repeated doc_id names one component.
 
     Rows with equal fingerprints are linked, those of texts without words (fingerprint 0)
     included. Null doc_ids do not count as least, unless there is no other; repeated rows are
@@ -234,7 +235,7 @@ def near_duplicates(printed: DataFrame) -> DataFrame:
     )
     # Written, so that the joins can split a component or fingerprint with very many rows.
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    classes = rooted.join(least, "root").select("fp", "root", "component_id")
     return printed.join(classes, "fp")
 
 
@@ -251,7 +252,8 @@ def hexed(fp: Column) -> Column:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the least doc_id of each component, with all its columns. Rows that repeat it
-    go; of different texts with that doc_id and fingerprint the least text stays."""
+    go; of different texts with that doc_id and fingerprint the least text stays. Components are
+    told apart by their fingerprints, so that null or repeated doc_ids merge none of them."""
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
     table = docs.toDF(*plain)
@@ -267,7 +269,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         )
     )
     classes = near_duplicates(printed.select(F.col(key).alias("doc_id"), "fp", "none", "id"))
-    kept = classes.groupBy("component_id").agg(F.min(F.struct("none", "id", "fp")).alias("least"))
+    kept = classes.groupBy("root").agg(F.min(F.struct("none", "id", "fp")).alias("least"))
     rows = printed.join(kept.select("least.*"), ["none", "id", "fp"])
     turn = F.row_number().over(Window.partitionBy("none", "id", "fp").orderBy(text))
     rows = rows.withColumn("turn", turn).filter("turn = 1")

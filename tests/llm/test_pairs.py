@@ -11,7 +11,7 @@ from caregauge.llm import cover_tree, simhash
 from caregauge.llm.common import written
 from caregauge.llm.components import components
 
-from .conftest import messy
+from .conftest import messy, prose
 
 
 def classes(n, links):
@@ -134,6 +134,13 @@ def test_one_document_of_each_group_stays(documents, no_documents):
     assert simhash.one_of_each(no_documents).count() == 0
 
 
+def test_unrelated_documents_with_null_or_repeated_ids_stay(spark):
+    a, b, c, d, e = (prose(800 + k, 60) for k in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (9, d), (3, e), (None, e)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, a), (0, b), (7, c), (7, d), (3, e)])
+
+
 def vectors(seed, n, size, labels):
     r = np.random.default_rng(seed)
     centres = r.normal(size=(max(1, n // 12), size))
