@@ -24,10 +24,15 @@ ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 
 #: Candidate strings: runs of the letters that keys are written in.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Window lengths and bits a letter at which a window counts, by the window's letters. Both kinds
-#: need a digit and a letter in the window; mixed ones need letters of either case as well.
+#: Window lengths and bits a letter at which a window counts, by the window's letters. These three
+#: hold for two digits and more; mixed windows have letters of either case.
 WINDOW = 20
 HEX_BITS, MIXED_BITS, SINGLE_CASE_BITS = 2.9, 3.7, 3.5
+#: With one digit or none a window may be words, and needs more: at least EVEN letters of either
+#: case, fewer of one, and of a single case with one digit and without. A window of less than two
+#: letters is a number.
+EVEN = 5
+EVEN_BITS, UNEVEN_BITS, SINGLE_DIGIT_BITS, WORD_BITS = 3.75, 4.0, 3.6, 3.7
 #: Strings that look random and are none: example keys, identifiers with groups of a known
 #: shape, dates, addresses and paths of words.
 PART = r"(?:(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}|[0-9]{1,4})"
@@ -38,7 +43,8 @@ ALLOWED = re.compile(
     rf"|^{PART}(?:[/_+=-]+{PART})+$"
     r"|^(?:0123456789|abcdefghij|ABCDEFGHIJ)"
 )
-N_LOG_N = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
+#: Up to one letter more than a window: the next one is added before the first one goes.
+N_LOG_N = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 2))]
 
 LOWER, UPPER, DIGIT, OTHER = range(4)
 CLASS = {c: (DIGIT if c.isdigit() else LOWER if c.islower() else UPPER if c.isupper() else OTHER) for c in map(chr, range(128))}
@@ -84,12 +90,16 @@ def random_window(word: str) -> bool:
             odd -= gone not in HEX_LETTERS
         if i < WINDOW - 1:
             continue
-        letters = classes[LOWER] + classes[UPPER]
-        if classes[DIGIT] < 2 or letters < 2:
+        if classes[LOWER] + classes[UPPER] < 2:
             continue
-        bits = math.log2(WINDOW) - total / WINDOW
-        both = classes[LOWER] and classes[UPPER]
-        if bits >= (HEX_BITS if not odd else MIXED_BITS if both else SINGLE_CASE_BITS):
+        lesser = min(classes[LOWER], classes[UPPER])
+        if classes[DIGIT] >= 2:
+            least = HEX_BITS if not odd else MIXED_BITS if lesser else SINGLE_CASE_BITS
+        elif lesser:
+            least = EVEN_BITS if lesser >= EVEN else UNEVEN_BITS
+        else:
+            least = SINGLE_DIGIT_BITS if classes[DIGIT] else WORD_BITS
+        if math.log2(WINDOW) - total / WINDOW >= least:
             return True
     return False
 
@@ -101,7 +111,7 @@ def entropy_spans(
     found = []
     for m in CANDIDATE.finditer(text):
         word = m.group()
-        if word.isalpha() or word.isdigit():
+        if word.isdigit():
             continue
         if any(a < m.end() and m.start() < b for a, _, b in taken):
             continue

@@ -67,6 +67,20 @@ def test_entropy_adds_spans_and_the_allow_list_takes_them():
     assert [s[0] for s in secret_scan.spans(f"token={KEY}")] == ["assign"]
 
 
+@pytest.mark.parametrize("extra,least", [("0123456789", (0.96, 0.98, 0.99, 0.99)), ("0123456789+/", (0.96, 0.98, 0.99, 0.99)), ("", (0.88, 0.95, 0.98, 0.99))])
+def test_share_of_random_keys_that_is_found(extra, least):
+    r = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for size, share in zip((20, 24, 32, 40), least):
+        keys = ["".join(r.choices(letters + letters.upper() + extra, k=size)) for _ in range(1_000)]
+        assert sum(secret_scan.spans(f"key {k} end") != [] for k in keys) >= share * len(keys)
+
+
+def test_words_and_runs_are_no_keys():
+    for fine in ("electroencephalographically", "Rindfleischetikettierungsueberwachung", "getDocumentsByClassName", "z" * 500, "-" * 60):
+        assert secret_scan.spans(fine) == []
+
+
 def test_secrets_of_messy_documents(documents, no_documents):
     rows = secret_scan.find_secrets(documents).collect()
     assert len(rows) == len(messy())
