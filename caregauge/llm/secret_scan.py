@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -33,15 +34,25 @@ HEX_BITS, MIXED_BITS, SINGLE_CASE_BITS = 2.9, 3.7, 3.5
 #: letters is a number.
 EVEN = 5
 EVEN_BITS, UNEVEN_BITS, SINGLE_DIGIT_BITS, WORD_BITS = 3.75, 4.0, 3.6, 3.7
-#: Strings that look random and are none: example keys, identifiers with groups of a known
-#: shape, dates, addresses and paths of words.
-PART = r"(?:(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}|[0-9]{1,4})"
+#: Strings that look random and are none: identifiers with groups of a known shape, dates, words,
+#: alphabets, and a key right beside a word that calls it an example. Each holds for a whole
+#: segment of a candidate, so that what stands beside a key in a path takes no key away. A word
+#: is shorter than a window; longer ones are for the entropy to tell.
+SEGMENT = re.compile(r"[^/=]+")
+PART = r"(?:(?:[a-z]{1,19}|[A-Z]{1,19}|[A-Z][a-z]{1,18})[0-9]{0,4}|[0-9]{1,4})"
+STAND_IN = r"(?i:example|sample|dummy|placeholder|test)[0-9]{0,4}"
+RUNS = "|".join(
+    first + "".join(f"(?:{c}" for c in more) + ")?" * len(more)
+    for first, more in (("0123456789", ""), ("abcdefghij", "klmnopqrstuvwxyz"), ("ABCDEFGHIJ", "KLMNOPQRSTUVWXYZ"))
+)
 ALLOWED = re.compile(
-    r"(?i:example|sample|dummy|placeholder|xxxx|test)"
+    rf"^(?:{PART}[_+-]+)*{STAND_IN}[_+-]+[A-Za-z0-9]+$"
+    rf"|^[A-Za-z0-9]+[_+-]+{STAND_IN}$"
+    rf"|^(?:{PART}[_+-]+)*[A-Za-z0-9]*(?:xxxx|XXXX)[A-Za-z0-9]*$"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    rf"|^{PART}(?:[/_+=-]+{PART})+$"
-    r"|^(?:0123456789|abcdefghij|ABCDEFGHIJ)"
+    rf"|^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:[Tt_-][0-9]{{2}}(?:-?[0-9]{{2}}){{0,2}}[0-9]{{0,9}}[Zz]?)?(?:[_+-]+{PART})*$"
+    rf"|^{PART}(?:[_+-]+{PART})*$"
+    rf"|^(?:{RUNS})+$"
 )
 #: Up to one letter more than a window: the next one is added before the first one goes.
 N_LOG_N = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 2))]
@@ -104,19 +115,48 @@ def random_window(word: str) -> bool:
     return False
 
 
+def uncovered(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches from ``start`` to ``end`` outside the ordered, disjoint ones that are taken;
+    those of a window's length and more."""
+    at = bisect.bisect_right(taken, start, key=lambda s: s[1])
+    while at < len(taken) and taken[at][0] < end:
+        if taken[at][0] - start >= WINDOW:
+            yield start, taken[at][0]
+        start = taken[at][1]
+        at += 1
+    if end - start >= WINDOW:
+        yield start, end
+
+
+def random_beside_allowed(word: str, allowed: re.Pattern[str]) -> bool:
+    """Whether a random window of the word touches a segment that is not allowed."""
+    if not random_window(word):
+        return False
+    for m in SEGMENT.finditer(word):
+        near = word[max(0, m.start() - WINDOW + 1) : m.end() + WINDOW - 1]
+        if not allowed.search(m.group().strip("_+-")) and random_window(near):
+            return True
+    return False
+
+
 def entropy_spans(
     text: str, taken: list[tuple[int, str, int]], allowed: re.Pattern[str] = ALLOWED
 ) -> list[tuple[int, str, int]]:
-    """Candidate strings with a random window, unless allowed or within reach of a base span."""
+    """What base spans leave uncovered of candidate strings, if it has a random window that touches
+    a segment (parted by / and =) which is not allowed."""
     found = []
+    merged: list[tuple[int, int]] = []
+    for a, _, b in sorted(taken):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+        else:
+            merged.append((a, b))
     for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if word.isdigit():
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
+        if m.group().isdigit():
             continue
-        if random_window(word) and not allowed.search(word):
-            found.append((m.start(), "entropy", m.end()))
+        for a, b in uncovered(m.start(), m.end(), merged):
+            if random_beside_allowed(text[a:b], allowed):
+                found.append((a, "entropy", b))
     return found
 
 
@@ -134,7 +174,8 @@ SPANS = T.ArrayType(
 
 def find_secrets(docs: DataFrame, allowed: re.Pattern[str] = ALLOWED) -> DataFrame:
     """Rows (doc_id, secrets array<struct<kind, start, stop>>) of whole texts; ``stop`` is
-    exclusive; ``allowed`` takes entropy spans away. A null or empty text has none; repeated rows give repeated results; extra columns
+    exclusive; ``allowed`` is searched in the segments of a candidate, and takes
+    entropy spans of allowed segments away. A null or empty text has none; repeated rows give repeated results; extra columns
     are left out."""
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
