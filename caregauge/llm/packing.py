@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,8 +19,11 @@ from caregauge.llm.tokens import batches_of, id_lists, text_encoder, with_end
 CAPACITY = 2048
 #: Pieces that one task packs; a partition's loss is a part of its last bin.
 PARTITION_ROWS = 50_000
-#: Exchanges of documents between partitions with gaps, at most.
-ROUNDS = 4
+#: Pieces that a partition gives up in one exchange, as a multiple of ``PARTITION_ROWS``: a task
+#: then holds twice that, however many rounds there are.
+GIVEN_UP = 8
+#: Exchanges of documents between partitions with gaps, at most; None for as many as save bins.
+ROUNDS: int | None = None
 
 PIECES = "piece int, start long, length long, ids_crc32 long, ids array<int>"
 
@@ -109,9 +113,17 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def packer(capacity: int, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def emptiest(bins: np.ndarray, filled: np.ndarray, most: int) -> np.ndarray:
+    """Whether each piece is in one of the bins with the most room that hold ``most`` pieces or less."""
+    order = np.argsort(filled, kind="stable")
+    chosen = np.zeros(len(filled), dtype=bool)
+    chosen[order[np.cumsum(np.bincount(bins)[order]) <= most]] = True
+    return chosen[bins]
+
+
+def packer(capacity: int, turn: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Packs one partition; ``loose`` marks the documents of bins with room in a partition whose
-    bound does not certify its number of bins."""
+    bound does not certify its number of bins (of the emptiest, if there are over ``most``)."""
 
     def pack_partition(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row").reset_index(drop=True)
@@ -123,7 +135,7 @@ def packer(capacity: int, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         return rows.assign(
             sequence_id=first + bins,
             offset=offsets,
-            loose=(filled[bins] < capacity) & (not certified),
+            loose=(filled[bins] < capacity) & (not certified) & emptiest(bins, filled, most),
         )
 
     return pack_partition
@@ -135,8 +147,8 @@ def place(items: DataFrame, capacity: int = CAPACITY, partition_rows: int = PART
     Full rows are sequences of their own. The rest is dealt over partitions, packed best-fit
     decreasing, and held against the partition's lower bound. Partitions with more bins than
     their bound give up the documents of bins with room; these are dealt anew over half as many
-    partitions and packed again, as long as that saves bins. ``items`` must be a written table
-    (its rows are numbered). Repeated rows are rows like any others; no row is lost.
+    partitions and packed again, until fewer than two such partitions are left or that saves no
+    bins. ``items`` must be a written table (its rows are numbered). Repeated rows are rows like any others; no row is lost.
     """
     fields = [f for f in items.schema.fields]
     numbered = items.withColumn("row", F.monotonically_increasing_id())
@@ -154,12 +166,12 @@ def place(items: DataFrame, capacity: int = CAPACITY, partition_rows: int = PART
 
     def packed(rows: DataFrame, parts: int, turn: int) -> DataFrame:
         dealt = rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
-        return written(dealt.groupBy("part").applyInPandas(packer(capacity, turn), schema))
+        return written(dealt.groupBy("part").applyInPandas(packer(capacity, turn, GIVEN_UP * partition_rows), schema))
 
     rest = numbered.filter(~full)
     state = packed(rest, max(1, -(-rest.count() // partition_rows)), 0)
     done: list[DataFrame] = [whole]
-    for turn in range(1, ROUNDS + 1):
+    for turn in itertools.count(1) if ROUNDS is None else range(1, ROUNDS + 1):
         loose = state.filter("loose")
         parts, bins, rows = loose.agg(
             F.count_distinct("part"), F.sum((F.col("offset") == 0).cast("long")), F.count("*")

@@ -124,6 +124,24 @@ def test_partitions_with_gaps_exchange_documents(spark, monkeypatch):
     assert packing.lower_bound(lengths, 100) <= together < apart
 
 
+def test_exchange_goes_on_until_no_partitions_with_gaps_are_left(spark, monkeypatch):
+    # Even lengths never fill an odd bin, and the bound does not see it: all bins have some room.
+    lengths = 2 * np.random.default_rng(4).integers(30, 100, 128_000)
+    items = packing.written(spark.createDataFrame(packing.pd.DataFrame({"name": np.arange(len(lengths)), "length": lengths})))
+    together = check_places(packing.place(items, 301, partition_rows=1_000).collect(), 301)
+    monkeypatch.setattr(packing, "ROUNDS", 4)
+    rows = packing.place(items, 301, partition_rows=1_000).collect()
+    assert len({x["name"] for x in rows}) == len(rows) == len(lengths)
+    assert packing.lower_bound(lengths, 301) <= together < check_places(rows, 301)
+
+
+def test_partitions_give_up_their_emptiest_bins():
+    bins, filled = np.array([0, 1, 1, 2, 0, 2]), np.array([9, 4, 7])
+    assert packing.emptiest(bins, filled, 4).tolist() == [False, True, True, True, False, True]
+    assert packing.emptiest(bins, filled, 3).tolist() == [False, True, True, False, False, False]
+    assert packing.emptiest(bins, filled, 9).all()
+
+
 def test_token_files(spark, documents, no_documents, tokenizer):
     folder = shared_folder(spark)
     token_files.write_token_files(documents, folder, tokenizer)
