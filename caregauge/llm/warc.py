@@ -153,7 +153,8 @@ def archived_pages(spark: SparkSession, folder: str, id_type: str = "long") -> D
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) read from archives.
 
     Size and digest come from the payloads themselves; revisit records take those of the response
-    that they refer to.
+    that they refer to, and of responses with that id the one whose payload has the digest that
+    the revisit record names. Without such a response both are null.
     """
     own = F.col("payload").isNotNull()
     records = read_archives(spark, folder).select(
@@ -162,16 +163,18 @@ def archived_pages(spark: SparkSession, folder: str, id_type: str = "long") -> D
         "refers_to",
         F.octet_length("payload").cast("long").alias("bytes"),
         F.when(own, sha1_base32(F.col("payload"))).alias("digest"),
+        F.col("digest").alias("named_digest"),
     )
     # Written, so that a response with very many revisits does not meet them in one task.
     originals = written(
         records.filter(F.col("type") == "response")
-        .groupBy(F.col("record_id").alias("original"))
-        .agg(F.max("bytes").alias("original_bytes"), F.max("digest").alias("original_digest"))
+        .groupBy(F.col("record_id").alias("original"), F.col("digest").alias("original_digest"))
+        .agg(F.max("bytes").alias("original_bytes"))
     )
     # Responses refer to nothing; with a key of their own they are dealt over all tasks.
     wanted = F.coalesce(records["refers_to"], F.concat(F.lit("response "), records["record_id"]))
-    return records.join(originals, wanted == originals["original"], "left").select(
+    same = (wanted == originals["original"]) & (records["named_digest"] == originals["original_digest"])
+    return records.join(originals, same, "left").select(
         F.expr(f"try_cast(record_id as {id_type})").alias("page_id"),
         F.coalesce("bytes", "original_bytes").alias("payload_bytes"),
         F.coalesce("digest", "original_digest").alias("payload_digest"),

@@ -115,6 +115,17 @@ def test_archives(spark, least):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_revisits_of_an_id_with_two_payloads(spark):
+    html = {1: "<p>one</p>", 2: "<p>the second one</p>", 3: "<p>three, the longest one</p>"}
+    rows = [(3, k) for k in html] + [(5, 1), (6, 2), (7, 3), (8, 2)]
+    pages = spark.createDataFrame([(p, "u", html[k]) for p, k in rows], "page_id long, url string, html string")
+    folder = shared_folder(spark)
+    warc.write_archives(pages, folder)
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.archived_pages(spark, folder).collect())
+    want = [(p, len(html[k]), base64.b32encode(hashlib.sha1(html[k].encode()).digest()).decode()) for p, k in rows]
+    assert got == sorted(want)
+
+
 def test_records(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     folder = shared_folder(spark)
