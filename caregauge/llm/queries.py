@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caregauge.llm import bpe, chat, cover_tree, packing, quality, secret_scan, sharding, simhash, token_files, warc
+from caregauge.llm import (
+    bpe,
+    chat,
+    cover_tree,
+    packing,
+    prefix_trie,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    token_files,
+    warc,
+)
 from caregauge.llm.common import sends_package, shared_folder, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -104,6 +116,12 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.cosine_links(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, after the first turns of some are replaced by shared ones."""
+    lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_history(lists))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_best_fit_packing,
@@ -116,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_secret_scan,
         op10_embedding_neardup,
+        op12_prefix_trie,
     ]
     return {f.__name__: sends_package(f) for f in own} | {"pipeline": corpus_pipeline.run}
 
