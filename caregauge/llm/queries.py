@@ -19,6 +19,7 @@ from caregauge.llm import (
     secret_scan,
     sharding,
     simhash,
+    spelling,
     token_files,
     warc,
 )
@@ -122,6 +123,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_shared_history(lists))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_best_fit_packing,
@@ -135,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_secret_scan,
         op10_embedding_neardup,
         op12_prefix_trie,
+        op13_spelling_variants,
     ]
     return {f.__name__: sends_package(f) for f in own} | {"pipeline": corpus_pipeline.run}
 
