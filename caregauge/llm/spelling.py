@@ -20,31 +20,36 @@ END = 0
 
 
 class RankIndex:
-    """Wavelet matrix over a sequence of symbols: how many of each, and how many smaller ones, precede a place."""
+    """Wavelet matrix over the symbols before sorted suffixes: ranks of each symbol, and counts of smaller ones."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int):
-        self.levels: list[tuple[int, np.ndarray, int]] = []
-        self.starts = np.zeros(alphabet + 1, np.int64)
+        self.starts = np.zeros(alphabet + 1, np.int32)
         np.cumsum(np.bincount(symbols, minlength=alphabet), out=self.starts[1:])
+        every, base = np.arange(alphabet), np.zeros(alphabet, np.int32)
+        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
         for bit in range(max(1, int(alphabet - 1).bit_length()) - 1, -1, -1):
             zero = (symbols >> bit & 1) == 0
             zeros = np.zeros(len(symbols) + 1, np.int32)
             np.cumsum(zero, out=zeros[1:])
-            self.levels.append((bit, zeros, int(zeros[-1])))
+            one = (every >> bit & 1) == 1
+            base = np.where(one, zeros[-1] + base - zeros[base], zeros[base])
+            self.levels.append((one, zeros, zeros[-1]))
             symbols = np.concatenate([symbols[zero], symbols[~zero]])
-
-    def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of ``symbol``: occurrences before low and before high; and smaller symbols in [low, high)."""
-        smaller = np.zeros(len(symbol), np.int64)
-        base = np.zeros(len(symbol), np.int64)
-        for bit, zeros, all_zeros in self.levels:
-            one = (symbol >> bit & 1) == 1
-            z_base, z_low, z_high = zeros[base], zeros[low], zeros[high]
-            smaller += np.where(one, z_high - z_low, 0)
-            base = np.where(one, all_zeros + base - z_base, z_base)
+        #: Where a symbol's occurrences end up, less where they are to begin.
+        self.shift = self.starts[:-1] - base
+
+    def extend(self, symbol: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First rank and number of the suffixes of [low, low + size) with ``symbol`` put before
+        them; and how many symbols before those suffixes are smaller."""
+        high = low + size
+        smaller = np.zeros(len(symbol), np.int32)
+        for ones, zeros, all_zeros in self.levels:
+            one = ones[symbol]
+            z_low, z_high = zeros[low], zeros[high]
+            smaller += (z_high - z_low) * one
             low = np.where(one, all_zeros + low - z_low, z_low)
             high = np.where(one, all_zeros + high - z_high, z_high)
-        return low - base, high - base, smaller
+        return low + self.shift[symbol], high - low, smaller
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -94,17 +99,14 @@ class BidirectionalIndex:
         return np.where(known, at + 1, -1).astype(np.int64)
 
     def all(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, self.size, np.int64)
+        return np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, self.size, np.int32)
 
     def extend(self, interval, symbol: np.ndarray, to_left: bool):
         """Intervals of the patterns with ``symbol`` put before (or after) them."""
         low, back, size = interval
-        index = self.ranks[to_left]
         near, far = (low, back) if to_left else (back, low)
-        known = symbol >= 0
-        wanted = np.where(known, symbol, 0)
-        first, last, smaller = index.rank(wanted, near, near + size)
-        near, far, size = index.starts[wanted] + first, far + smaller, np.where(known, last - first, 0)
+        near, found, smaller = self.ranks[to_left].extend(np.maximum(symbol, END), near, size)
+        far, size = far + smaller, np.where(symbol >= 0, found, 0)
         return (near, far, size) if to_left else (far, near, size)
 
     def letters_beside(self, interval, to_left: bool) -> tuple[np.ndarray, np.ndarray]:
