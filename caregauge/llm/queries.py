@@ -13,6 +13,7 @@ from caregauge.llm import (
     bpe,
     chat,
     cover_tree,
+    main_text,
     packing,
     prefix_trie,
     quality,
@@ -117,6 +118,12 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.cosine_links(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; the model is fitted on some whose markup names their article."""
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.fit(pages))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, after the first turns of some are replaced by shared ones."""
     lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
@@ -141,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_secret_scan,
         op10_embedding_neardup,
+        op11_html_extraction,
         op12_prefix_trie,
         op13_spelling_variants,
     ]
