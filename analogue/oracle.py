@@ -806,7 +806,6 @@ def oracle_sql() -> dict[str, str]:
     out["report_comparison_shares"] = q(
         f"SELECT measure_name, {shares} FROM quality_summary GROUP BY 1", _quality
     )
-    out["report_hospital_types"] = out["hospital_type_comparison"]
     out["report_peer_table"] = card(
         "SELECT facility_id, facility_name, state, hospital_type, avg_readmission_rate_pct, avg_excess_ratio,"
         " overall_star_rating, avg_mortality_rate, avg_hai_sir, pct_above_national, performance_tier FROM scorecard"
@@ -880,14 +879,18 @@ def oracle_sql() -> dict[str, str]:
     )
     both = _readmission_load.replace(
         "SELECT facility_id, measure_id,",
-        "SELECT year(l_shipdate) <= 1996 AS earlier_, year(l_shipdate) >= 1996 AND l_quantity > 10 AS later_, facility_id, measure_id,",
+        "SELECT year(l_shipdate) <= 1996 AS earlier_, year(l_shipdate) > 1996 OR (year(l_shipdate) = 1996 AND l_quantity > 10) AS later_,"
+        " CASE WHEN measure_id IS NULL THEN d_ % 2 = 1 END AS unknown_, facility_id, measure_id,",
         1,
     )
     out["load_two_deliveries"] = f"""WITH both_ AS ({both})
-        SELECT * EXCLUDE (earlier_, later_) FROM both_ WHERE later_
-        UNION ALL SELECT * EXCLUDE (earlier_, later_) FROM both_ a WHERE earlier_ AND NOT EXISTS (
+        SELECT * EXCLUDE (earlier_, later_, unknown_) FROM both_ WHERE later_
+        UNION ALL SELECT * EXCLUDE (earlier_, later_, unknown_) FROM both_ a WHERE earlier_ AND NOT EXISTS (
           SELECT 1 FROM both_ b WHERE later_ AND a.facility_id = b.facility_id AND a.end_date_key = b.end_date_key
-          AND a.measure_id IS NOT DISTINCT FROM b.measure_id AND a.start_date_key IS NOT DISTINCT FROM b.start_date_key)"""
+          AND a.measure_id IS NOT DISTINCT FROM b.measure_id AND a.unknown_ IS NOT DISTINCT FROM b.unknown_
+          AND a.start_date_key IS NOT DISTINCT FROM b.start_date_key)"""
+    out["load_increments"] = out["load_two_deliveries"]
+    out["load_by_header"] = out["load_by_position"] = out["load_appended"] = _readmission_load
     whole = lambda shown: f"CASE WHEN o_orderkey % 50 <> 0 THEN {shown} END"
     out["parse_delivered_lines"] = f"""SELECT CAST(o_custkey AS VARCHAR) AS facility_id,
         CASE WHEN o_orderkey % 50 = 0 THEN 'short' ELSE 'St. "' || o_orderstatus || '" Hospital, Inc' END AS facility_name,
@@ -902,6 +905,10 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT measure_key FROM fs UNION ALL SELECT measure_key FROM qm) GROUP BY 1) USING (measure_key)"""
     )
     out["load_hospitals"] = _hospital_load
+    out["report_hospital_types"] = out["hospital_type_comparison"]
+    out["view_satisfaction_by_name"] = out["vw_satisfaction_detail"]
+    out["materialised_scorecard"] = out["vw_hospital_scorecard"]
+    out["exported_trends"] = out["vw_readmission_trends"]
     out["insert_new_hospitals"] = _hospital_insert
     out["upsert_hospitals"] = _hospital_upsert
     out["load_readmissions"] = _readmission_load

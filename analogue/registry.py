@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,17 @@ from caregauge.plans import (
     dimensions,
     efficiency,
     facts,
+    increments,
     outcomes,
     performance,
     reports,
     views,
 )
-from caregauge.schemas import READMISSION_FILE, Star
+from caregauge.schemas import HOSPITAL_FILE, READMISSION_FILE, Star
+from caregauge.sinks import tables
 from caregauge.sources import files
 
+from . import scratch
 from . import star as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,7 +96,7 @@ def _with_ids(fact: DataFrame, hospitals: DataFrame, measures: DataFrame, key: s
     return (
         fact.join(sent_if_small(hospitals), "hospital_key")
         .join(named, "measure_key", "left")
-        .drop("hospital_key", "measure_key", key, "created_at")
+        .drop("hospital_key", "measure_key", "unknown_measure", key, "created_at")
     )
 
 
@@ -118,17 +122,107 @@ def _load_mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_ids(facts.load_readmissions(staged, hospitals, measures), hospitals, measures, "readmission_key")
 
 
+# A delivery up to a year, and one of that year's larger rows and of all later years.
+TWO_DELIVERIES = ("year(l_shipdate) <= 1996", "year(l_shipdate) > 1996 OR (year(l_shipdate) = 1996 AND l_quantity > 10)")
+
+
+def _two_staged(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [source.delivered_twice(source.staged_readmissions(spark, sf_dir, rows)) for rows in TWO_DELIVERIES]
+
+
 def _two_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A load, and a second one with later years and some of the first one's periods again."""
     hospitals = _loaded_hospitals(spark, sf_dir).select("hospital_key", "facility_id")
     measures = dimensions.load_measures(spark)
-    first, second = (
-        facts.load_readmissions(source.staged_readmissions(spark, sf_dir, rows), hospitals, measures)
-        for rows in ("year(l_shipdate) <= 1996", "year(l_shipdate) >= 1996 AND l_quantity > 10")
-    )
+    first, second = (facts.load_readmissions(staged, hospitals, measures) for staged in _two_staged(spark, sf_dir))
     return _with_ids(facts.carried_on(first, second), hospitals, measures, "readmission_key")
 
 
+def _hospital_files(spark: SparkSession, sf_dir: str, place: str) -> str:
+    return scratch.delivered(source.file_of(_deliveries(spark, sf_dir).drop("raw_load_ts"), HOSPITAL_FILE), f"{place}/hospitals")
+
+
+def _increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two deliveries as files, loaded into the same tables one after the other, and the second one
+    again, which changes nothing; read back from the tables."""
+    place = scratch.folder(spark)
+    hospitals = _hospital_files(spark, sf_dir, place)
+    for n, staged in enumerate([*_two_staged(spark, sf_dir), None]):
+        rows = f"{place}/readmissions{min(n, 1)}"
+        if staged is not None:
+            scratch.delivered(source.file_of(staged, READMISSION_FILE), rows)
+        files_ = {"readmissions": rows} | ({"hospitals": hospitals} if n == 0 else {})
+        star = increments.load_into(spark, files_, f"{place}/core").star
+    hospitals = star.hospitals.select("hospital_key", "facility_id")
+    return _with_ids(star.readmissions.drop("end_year"), hospitals, star.measures, "readmission_key")
+
+
+def _load_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readmission files of two column orders, one with a column less, in one folder."""
+    place = f"{scratch.folder(spark)}/readmissions"
+    staged = source.staged_readmissions(spark, sf_dir)
+    odd = F.expr("pmod(xxhash64(facility_id, end_date), 2) = 1")
+    whole = source.file_of(staged, READMISSION_FILE)
+    headers = {c: c.replace("_", " ").title().replace("Id", "ID") for c in whole.columns}
+    scratch.delivered(whole.where(odd), place, headers)
+    scratch.delivered(staged.where(~odd).select(*staged.columns[::-1]), place, headers)
+    read = files.read_staging(spark, place, READMISSION_FILE, by_name=True)
+    hospitals = _loaded_hospitals(spark, sf_dir).select("hospital_key", "facility_id")
+    measures = dimensions.load_measures(spark)
+    return _with_ids(facts.load_readmissions(read, hospitals, measures), hospitals, measures, "readmission_key")
+
+
+def _load_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readmission files in the order of the staging columns, whatever their header says."""
+    whole = source.file_of(source.staged_readmissions(spark, sf_dir), READMISSION_FILE)
+    place = scratch.delivered(whole, f"{scratch.folder(spark)}/readmissions", {"measure_name": "Measure", "state": "ST"})
+    read = files.read_staging(spark, place, READMISSION_FILE, keep_corrupt=True)
+    hospitals = _loaded_hospitals(spark, sf_dir).select("hospital_key", "facility_id")
+    measures = dimensions.load_measures(spark)
+    return _with_ids(facts.load_readmissions(read, hospitals, measures), hospitals, measures, "readmission_key")
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact written for some years, appended to by others, and then offered all rows again by
+    their keys, which adds nothing."""
+    place = f"{scratch.folder(spark)}/fact"
+    load = _load(source.staged_readmissions, facts.load_readmissions, "readmission_key")
+    rows = load(spark, sf_dir).withColumn("hospital_key", F.xxhash64("facility_id"))
+    tables.write_fact(rows.where("end_date_key < 19960000"), place)
+    tables.append_fact(rows.where("end_date_key >= 19960000 OR end_date_key IS NULL"), place)
+    held = spark.read.parquet(place)
+    tables.append_absent(
+        held.select("hospital_key", "end_date_key", "end_year", *[c for c in held.columns if c not in ("hospital_key", "end_date_key", "end_year")]),
+        place, ["hospital_key", "end_date_key"], ["end_year"],
+    )
+    return tables.read_table(spark, place).select(rows.columns).drop("hospital_key")
+
+
+def _by_view(name: str) -> Callable[[Star], DataFrame]:
+    """A view by its name in SQL."""
+
+    def build(star: Star) -> DataFrame:
+        tables.create_views({name: views.all_views(star)[name]})
+        return star.dates.sparkSession.sql(f"SELECT * FROM {name}")
+
+    return build
+
+
+def _materialised(star: Star) -> DataFrame:
+    """The scorecard as a saved table by state, saved twice, as a refresh does."""
+    card, name = views.hospital_scorecard(star), f"mv_scorecard_{uuid.uuid4().hex}"
+    tables.materialise(card, name)
+    return tables.materialise(card, name).select(card.columns)
+
+
+def _exported(star: Star) -> DataFrame:
+    """The trend view as report files, read back."""
+    place, trends = scratch.folder(star.dates.sparkSession), views.readmission_trends(star)
+    tables.export_reports({"vw_readmission_trends": trends}, place, "csv")
+    # names with commas and quotes come back as they went
+    return star.dates.sparkSession.read.schema(trends.schema).csv(f"{place}/vw_readmission_trends", header=True)
+
+
 def _delivered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = files.parse_lines(source.delivered_lines(spark, sf_dir), "line", READMISSION_FILE)
     return parsed.select(
@@ -224,6 +318,9 @@ def queries() -> dict[str, Query]:
         "vw_quality_summary": quality,
         "vw_satisfaction_detail": detail,
         "vw_state_benchmark": states,
+        "view_satisfaction_by_name": _by_view("vw_satisfaction_detail"),
+        "materialised_scorecard": _materialised,
+        "exported_trends": _exported,
         # documented look-ups
         "facility_readmissions": lambda s: reports.facility_readmissions(s, FACILITY),
         "hospitals_above_expected": lambda s: reports.worse_than_expected(card(s)),
@@ -297,6 +394,10 @@ def queries() -> dict[str, Query]:
         ),
         "load_readmissions_mixed_case": _load_mixed_case,
         "load_two_deliveries": _two_deliveries,
+        "load_increments": _increments,
+        "load_by_header": _load_by_header,
+        "load_by_position": _load_by_position,
+        "load_appended": _appended,
         "parse_delivered_lines": _delivered_lines,
         "load_measures_after_earlier_load": _measures_after_earlier_load,
         "load_hospitals": lambda spark, d: _without_keys(_loaded_hospitals(spark, d)),

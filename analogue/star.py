@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caregauge import constants as K
 from caregauge.functions.clean import derived_rate
@@ -356,6 +357,17 @@ def staged_readmissions(spark: SparkSession, sf_dir: str, rows: str = "true") ->
     )
 
 
+def file_of(staged: DataFrame, schema: StructType) -> DataFrame:
+    """Staged text with all columns of a delivered file, in its order; those it has no text for are NULL."""
+    return staged.select(*[F.col(c) if c in staged.columns else F.lit(None).cast("string").alias(c) for c in schema.names])
+
+
+def delivered_twice(staged: DataFrame) -> DataFrame:
+    """Two unknown measures rather than one, by the parity of the row's number of discharges."""
+    odd = F.expr("try_cast(trim(number_of_discharges) AS INT) % 2 = 1 AND measure_name = 'All causes'")
+    return staged.withColumn("measure_name", F.when(odd, "Any other cause").otherwise(F.col("measure_name")))
+
+
 def staged_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         _facility("o_custkey"),

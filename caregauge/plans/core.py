@@ -12,9 +12,9 @@ from .. import constants as K
 from ..operators.storage import advise
 from ..schemas import CORE, HOSPITAL_FILE, QUALITY_FILE, READMISSION_FILE, SURVEY_FILE, Star
 from ..sinks.tables import export_reports, read_table, write_fact, write_table
-from ..sources.files import CORRUPT, read_staging
+from ..sources.files import CORRUPT, no_rows, read_staging
 from ..sources.generated import date_dimension
-from . import dimensions, facts, views
+from . import dimensions, facts, gates, views
 from .audits import corrupt_lines
 
 # Star table -> folder of the saved core tables.
@@ -76,8 +76,11 @@ def build_core(
 
     The calendar covers its usual range and all dates of the facts; with ``start`` and
     ``end`` it covers just those days, and a fact that ends outside stops the load.
-    Columns are taken by position or, with ``by_name``, by header. By position, lines of
+    Columns are taken by position or, with ``by_name``, by each file's header. Lines of
     another width than the header are not loaded; the table ``load_audit`` counts them.
+    Keys that collide or that a dimension lacks raise ``gates.LoadRefused``; the tables of
+    ``previous`` are then still the ones to use. ``increments.load_into`` loads into the
+    tables of one folder and writes touched years only.
     """
     if previous is not None and previous.rstrip("/") == target.rstrip("/"):
         raise ValueError("the tables of the earlier load cannot be replaced while they are read")
@@ -87,10 +90,8 @@ def build_core(
 
     def delivered(name: str, schema):
         if name not in files:
-            return spark.createDataFrame([], schema)
-        if by_name:
-            return read_staging(spark, files[name], schema, by_name=True)
-        staged = read_staging(spark, files[name], schema, keep_corrupt=True)
+            return no_rows(spark, schema)
+        staged = read_staging(spark, files[name], schema, keep_corrupt=True, by_name=by_name)
         audit.append(corrupt_lines(staged, name))
         return staged.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
@@ -126,7 +127,9 @@ def build_core(
     write_table(date_dimension(spark, start or first, end or last), place("dates"))
     if audit:
         write_table(reduce(DataFrame.unionByName, audit), f"{target}/load_audit")
-    return open_core(spark, target)
+    star = open_core(spark, target)
+    gates.refuse(gates.collisions(star.hospitals, star.measures) | gates.dangling(star))
+    return star
 
 
 def publish(star: Star, folder: str, fmt: str = "parquet") -> None:

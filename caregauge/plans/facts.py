@@ -23,6 +23,7 @@ def _loaded(
     measure_id: Column,
     key: str,
     numbers: dict[str, Column],
+    delivered: str,
 ) -> DataFrame:
     """Cleaned rows of known hospitals with keys, surrogate key and load time.
 
@@ -30,11 +31,14 @@ def _loaded(
     shuffled join moves narrow typed columns instead of delivered text. A hospital with
     very many rows is split there by the adaptive skew join.
 
-    Ids match whatever their case. An unknown measure leaves a NULL key.
+    Ids match whatever their case. An unknown measure leaves a NULL key; ``unknown_measure`` then
+    is a hash of what the column ``delivered`` calls it. The surrogate key is a hash of the row,
+    so that equal delivered rows share it.
     """
     clean_rows = staging.where(clean.not_blank("facility_id")).select(
         clean.code("facility_id").alias("_facility"),
         F.upper(measure_id).alias("_measure"),
+        F.xxhash64(clean.code(delivered)).alias("_delivered"),
         *[clean.us_date(d).alias(d) for d in ("start_date", "end_date")],
         *[c.alias(n) for n, c in numbers.items()],
     )
@@ -46,6 +50,7 @@ def _loaded(
         .select(
             "hospital_key",
             "measure_key",
+            F.when(F.col("measure_key").isNull(), F.col("_delivered")).alias("unknown_measure"),
             *[date_key(d).alias(f"{d}_key") for d in ("start_date", "end_date")],
             *numbers,
         )
@@ -79,7 +84,7 @@ def load_readmissions(
     }
     loaded = _loaded(
         named.where(numbers["number_of_discharges"].isNotNull()),
-        hospitals, measures, measure_id, "readmission_key", numbers,
+        hospitals, measures, measure_id, "readmission_key", numbers, "measure_name",
     )
     derived = clean.derived_rate("number_of_readmissions", "number_of_discharges")
     return loaded.withColumn("readmission_rate_pct", derived)
@@ -99,6 +104,7 @@ def load_satisfaction(staging: DataFrame, hospitals: DataFrame, measures: DataFr
             "completed_surveys": clean.number("number_of_completed_surveys", "int"),
             "response_rate_pct": clean.number("survey_response_rate_percent", "decimal(5,2)"),
         },
+        "hcahps_measure_id",
     )
 
 
@@ -118,11 +124,17 @@ def load_quality(staging: DataFrame, hospitals: DataFrame, measures: DataFrame)
             "denominator": clean.number("denominator", "int"),
             "compared_to_national": F.trim("compared_to_national"),
         },
+        "measure_id",
     )
 
 
-# What tells a delivered row from another: hospital, measure and period.
-NATURAL_KEY = ("hospital_key", "measure_key", "start_date_key", "end_date_key")
+# What tells a delivered row from another: hospital, measure (an unknown one by what it was
+# called) and period.
+NATURAL_KEY = ("hospital_key", "measure_key", "unknown_measure", "start_date_key", "end_date_key")
+
+
+def _same_key(other: str = "_") -> Column:
+    return F.expr(" AND ".join(f"{c} <=> {other}{c}" for c in NATURAL_KEY))
 
 
 def carried_on(earlier: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -130,9 +142,33 @@ def carried_on(earlier: DataFrame, delivered: DataFrame) -> DataFrame:
 
     Where the delivery has rows for a hospital, measure and period, they take the place of
     the earlier ones, so that a correction replaces what it corrects and a repeated delivery
-    changes nothing. All rows of one delivery stay. NULL keys match each other.
+    changes nothing. All rows of one delivery stay. NULL keys match each other; unknown measures
+    match by what the deliveries call them.
     """
     new = delivered.select(*[F.col(c).alias(f"_{c}") for c in NATURAL_KEY]).distinct()
-    same = F.expr(" AND ".join(f"{c} <=> _{c}" for c in NATURAL_KEY))
-    kept = earlier.select(delivered.columns).join(new, same, "left_anti")
+    kept = earlier.select(delivered.columns).join(new, _same_key(), "left_anti")
     return kept.unionByName(delivered)
+
+
+def changed_keys(earlier: DataFrame, delivered: DataFrame, row_key: str) -> DataFrame:
+    """Natural keys, each with an underscore before its name, whose delivered rows differ from the earlier ones.
+
+    Rows are compared by their surrogate key, a hash of all their columns: by number and sum for
+    each natural key, so that a key with very many rows is combined before it moves.
+    """
+
+    def summed(fact: DataFrame, *sums: str) -> DataFrame:
+        return fact.groupBy(*NATURAL_KEY).agg(
+            F.count(F.lit(1)).alias(sums[0]), F.sum(F.col(row_key).cast("decimal(20,0)")).alias(sums[1])
+        )
+
+    held = summed(earlier, "held_rows", "held_sum")
+    new = summed(delivered, "new_rows", "new_sum").withColumnsRenamed({c: f"_{c}" for c in NATURAL_KEY})
+    both = new.join(held, _same_key(), "left")
+    return both.where("NOT (new_rows <=> held_rows AND new_sum <=> held_sum)").select(*[f"_{c}" for c in NATURAL_KEY])
+
+
+def with_changes(earlier: DataFrame, delivered: DataFrame, changed: DataFrame) -> DataFrame:
+    """The earlier rows with those of the changed keys replaced by the delivered ones."""
+    kept = earlier.join(changed, _same_key(), "left_anti")
+    return kept.unionByName(delivered.join(changed, _same_key(), "left_semi").select(kept.columns))

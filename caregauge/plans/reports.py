@@ -31,8 +31,19 @@ def one_hospital(star: Star, facility_id: str, *columns: str) -> DataFrame:
     return star.side("hospitals", star.hospitals.where(same).select("hospital_key", *columns))
 
 
+def rows_of(fact: DataFrame, star: Star, facility_id: str, *columns: str) -> DataFrame:
+    """One hospital's rows of a fact, with columns of the hospital.
+
+    Its key is an uncorrelated sub-query, so that the scan itself is given the key: of a fact in
+    the layout of ``sinks.tables`` it reads a few pages.
+    """
+    hospital = star.hospitals.where(labels.same_text("facility_id", facility_id))
+    own = fact.where(F.col("hospital_key") == hospital.select("hospital_key").scalar())
+    return own.join(one_hospital(star, facility_id, *columns), "hospital_key")
+
+
 def facility_readmissions(star: Star, facility_id: str) -> DataFrame:
-    rows = star.readmissions.join(one_hospital(star, facility_id, "facility_name", "state"), "hospital_key")
+    rows = rows_of(star.readmissions, star, facility_id, "facility_name", "state")
     return (
         with_measure(rows, star, "measure_name")
         .select("facility_name", "state", "measure_name", RATE, EXCESS)
@@ -147,7 +158,7 @@ def hospital_detail(scorecard: DataFrame, facility_id: str) -> DataFrame:
 
 def hospital_history(star: Star, facility_id: str) -> DataFrame:
     """Yearly readmission figures of one hospital."""
-    rows = star.readmissions.join(one_hospital(star, facility_id, "facility_id"), "hospital_key")
+    rows = rows_of(star.readmissions, star, facility_id, "facility_id")
     return (
         with_end_date(rows, star.dates)
         .groupBy("facility_id", "year")
@@ -163,7 +174,7 @@ def hospital_history(star: Star, facility_id: str) -> DataFrame:
 
 def survey_history(star: Star, facility_id: str) -> DataFrame:
     """Yearly survey figures of one hospital, per measure."""
-    rows = star.satisfaction.join(one_hospital(star, facility_id, "facility_id"), "hospital_key")
+    rows = rows_of(star.satisfaction, star, facility_id, "facility_id")
     return (
         with_measure(with_end_date(rows, star.dates), star, "measure_id", "measure_name")
         .groupBy("facility_id", "year", "measure_id", "measure_name")
@@ -178,7 +189,7 @@ def survey_history(star: Star, facility_id: str) -> DataFrame:
 
 def quality_history(star: Star, facility_id: str) -> DataFrame:
     """Yearly quality scores of one hospital, per measure."""
-    rows = star.quality.join(one_hospital(star, facility_id, "facility_id"), "hospital_key")
+    rows = rows_of(star.quality, star, facility_id, "facility_id")
     return (
         with_measure(with_end_date(rows, star.dates), star, "measure_id", "measure_category")
         .groupBy("facility_id", "year", "measure_category", "measure_id")
@@ -336,12 +347,11 @@ def top_performer_count(scorecard: DataFrame) -> DataFrame:
 def state_survey_matrix(star: Star, ids=None, years=None) -> DataFrame:
     """Average answer share per state and survey measure, over the survey rows.
 
-    ``ids`` names the columns; else they are the dimension's survey measures, a short list
-    that is looked up first. ``years`` keeps the rows of some years.
+    ``ids`` names the columns; by default they are the survey measures of the seed, and a caller
+    whose dimension holds others passes theirs. ``years`` keeps the rows of some years.
     """
     if ids is None:
-        surveyed = star.measures.where(labels.same_text("measure_category", K.EXPERIENCE))
-        ids = [r[0] for r in surveyed.select("measure_id").distinct().orderBy("measure_id").collect()]
+        ids = sorted(seed[0] for seed in K.MEASURE_SEED if seed[2] == K.EXPERIENCE)
     rows = star.satisfaction.where("measure_key IS NOT NULL")
     if years is not None:
         rows = pick(with_end_date(rows, star.dates), year=years)

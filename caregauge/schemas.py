@@ -54,7 +54,7 @@ HEADER_NAMES = {
 }
 
 
-_KEYS = "hospital_key BIGINT, measure_key BIGINT, start_date_key INT, end_date_key INT"
+_KEYS = "hospital_key BIGINT, measure_key BIGINT, unknown_measure BIGINT, start_date_key INT, end_date_key INT"
 
 # Columns of the saved core tables, by their place in the star. Stated, so that reading
 # needs no look into files and works on a table without rows.
@@ -88,7 +88,8 @@ class Star:
     ``hospitals`` is keyed by hospital_key (unique facility_id), ``measures`` by
     measure_key (unique measure_id), ``dates`` by date_key (yyyyMMdd). The facts
     ``readmissions``, ``satisfaction`` and ``quality`` carry hospital_key, measure_key
-    (may be NULL), start_date_key and end_date_key. Each is a frame, or a function that
+    (may be NULL; loaded facts then say in ``unknown_measure`` which one was delivered),
+    start_date_key and end_date_key. Each is a frame, or a function that
     returns one and is called when a query first needs it.
     """
 

@@ -13,26 +13,57 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def with_year(df: DataFrame) -> DataFrame:
+    """With ``end_year``, by which facts are partitioned; NULL without an end date."""
+    return df.withColumn("end_year", F.floor(F.col("end_date_key") / 10000).cast("int"))
+
+
 def _by_year(df: DataFrame) -> DataFrame:
-    """With ``end_year``, and the rows of a year together in files of the advisory size.
+    """With ``end_year``, the rows of a year together in files of the advisory size, each in the
+    order of its hospitals.
 
     The rebalancing splits a large year over tasks and merges small ones.
     """
-    year = F.floor(F.col("end_date_key") / 10000).cast("int")
-    return df.withColumn("end_year", year).hint("rebalance", "end_year")
+    order = [c for c in ("end_year", "hospital_key") if c == "end_year" or c in df.columns]
+    return with_year(df).hint("rebalance", "end_year").sortWithinPartitions(*order)
+
+
+# One hospital's rows are found without reading the rest: pages in the order of hospitals,
+# their bounds in the page index, and a Bloom filter that says that a row group has no row of it.
+FACT_LAYOUT = {
+    "parquet.block.size": 32 << 20,
+    "parquet.page.row.count.limit": 4_000,
+    "parquet.bloom.filter.enabled#hospital_key": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
 
 
 def write_fact(df: DataFrame, path: str) -> None:
-    """A fact partitioned by end-date year, which prunes every latest-year query.
+    """A fact partitioned by end-date year, which prunes every latest-year query, each file in the
+    order of its hospitals, which prunes look-ups of one.
 
     A row without an end date goes to the default partition.
     """
-    write_table(_by_year(df), path, ["end_year"])
+    _by_year(df).write.mode("overwrite").options(**FACT_LAYOUT).partitionBy("end_year").parquet(path)
 
 
 def append_fact(df: DataFrame, path: str) -> None:
     """More rows of a fact written by ``write_fact``, in the same partitions."""
-    append_rows(_by_year(df), path, ["end_year"])
+    _by_year(df).write.mode("append").options(**FACT_LAYOUT).partitionBy("end_year").parquet(path)
+
+
+def replace_years(df: DataFrame, path: str, row_key: str) -> None:
+    """The years of a fact that ``df`` has rows of are replaced by these rows; files of other years
+    stay as they are.
+
+    Each file holds a range of hospitals of a year, so that a look-up opens one file a year;
+    ``row_key`` splits a hospital with very many rows over several. Ranges are found by a sample, so
+    ``df`` should be read from files. It must not be made from the years it replaces.
+    """
+    ordered = ("end_year", "hospital_key", row_key)
+    ranged = with_year(df).repartitionByRange(*ordered).sortWithinPartitions(*ordered)
+    writer = ranged.write.mode("overwrite").options(**FACT_LAYOUT, partitionOverwriteMode="dynamic")
+    writer.partitionBy("end_year").parquet(path)
 
 
 def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
