@@ -59,6 +59,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1)
             "parquet.page.row.count.limit": PAGE_ROWS,
             "parquet.enable.dictionary": "false",
             "parquet.enable.dictionary#ids.list.element": "true",
+            # a file for each range, whatever the session says: ``first`` counts within the file
+            "maxRecordsPerFile": 0,
         }
     ).parquet(folder)
 
@@ -66,11 +68,17 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1)
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids): ``start`` counts the ids of all documents before.
 
-    Files are in document order by name; each file's total is read from its counts alone. Filters
-    on doc_id and column choices reach the scan.
+    Files are in document order by the number of the range in their name (a number, not a text:
+    it is padded to five digits only); each file's total is read from its counts alone. Filters
+    on doc_id and column choices reach the scan. A file of another name, or two of one number, raise.
     """
-    rows = spark.read.parquet(folder).select("*", F.col("_metadata.file_name").alias("file"))
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-", 1)
+    rows = spark.read.parquet(folder).select("*", F.expr("_metadata.file_name").alias("name"), named.cast("long").alias("file"))
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("tokens"), F.min("name").alias("a"), F.max("name").alias("b"))
+    single = F.when(F.col("a") == F.col("b"), F.col("tokens")).otherwise(
+        F.raise_error(F.concat(F.lit("two token files of one range: "), "a", F.lit(", "), "b")).cast("long")
+    )
+    totals = totals.select("file", single.alias("tokens"))
     earlier = F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("file", F.coalesce(earlier, F.lit(0)).alias("before"))
     if len(rows.inputFiles()) <= BROADCAST_FILES:  # else the lists of ids move to a shuffled join

@@ -160,6 +160,35 @@ def test_token_files(spark, documents, no_documents, tokenizer):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_starts_whatever_the_files_are(spark, documents, tokenizer, tmp_path):
+    """File numbers of more digits than their padding, and a session that splits files by rows."""
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "5")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_token_files(documents, str(tmp_path / "t"), tokenizer)
+    finally:
+        for key in ("files.maxRecordsPerFile", "adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(f"spark.sql.{key}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    lengths = [len(library(t or "")) + 1 for _, t in sorted(messy(), key=lambda r: (r[0] is not None, r[0] or 0))]
+    want = sorted(zip(np.cumsum([0, *lengths]).tolist(), lengths))
+
+    def starts():
+        return sorted((r["start"], r["n_tokens"]) for r in token_files.read_token_files(spark, str(tmp_path / "t")).collect())
+
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    assert len(files) > 2 and starts() == want
+    for number, file in enumerate(files):
+        file.rename(file.with_name(f"part-{99_998 + number:05}-{file.name.split('-', 2)[2]}"))
+    spark.catalog.clearCache()
+    assert starts() == want
+    (tmp_path / "t" / files[0].name).write_bytes((tmp_path / "t" / f"part-99998-{files[0].name.split('-', 2)[2]}").read_bytes())
+    (tmp_path / "t" / f"part-00000-other.parquet").write_bytes((tmp_path / "t" / files[0].name).read_bytes())
+    with pytest.raises(Exception, match="two token files"):
+        starts()
+
+
 def test_selective_reads_reach_the_scan(spark, documents, tokenizer):
     folder = shared_folder(spark)
     token_files.write_token_files(documents, folder, tokenizer)
