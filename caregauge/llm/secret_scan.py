@@ -48,7 +48,8 @@ RUNS = "|".join(
 ALLOWED = re.compile(
     rf"^(?:{PART}[_+-]+)*{STAND_IN}[_+-]+[A-Za-z0-9]+$"
     rf"|^[A-Za-z0-9]+[_+-]+{STAND_IN}$"
-    rf"|^(?:{PART}[_+-]+)*[A-Za-z0-9]*(?:xxxx|XXXX)[A-Za-z0-9]*$"
+    # letters and digits to the end, then a mark among them: each looked for once
+    rf"|^(?:{PART}[_+-]+)*(?=[A-Za-z0-9]+$)[A-Za-z0-9]*(?:xxxx|XXXX)"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     rf"|^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:[Tt_-][0-9]{{2}}(?:-?[0-9]{{2}}){{0,2}}[0-9]{{0,9}}[Zz]?)?(?:[_+-]+{PART})*$"
     rf"|^{PART}(?:[_+-]+{PART})*$"

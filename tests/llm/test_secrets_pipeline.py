@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -181,3 +182,16 @@ def test_same_patterns_as_plain_regexes():
     text = " ".join(t or "" for _, t in messy()) + f" secret='{KEY}' " + "deadbeefdeadbeef00 AKIA" + "Z" * 20
     hexes = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
     assert [(a, b) for k, a, b in secret_scan.spans(text) if k == "hex"] == hexes
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000 + "_key9Zq3LmT7vBw2RkY8sNd4HfJ", "xxxX" * 250_000 + "-a", "a1_" * 300_000 + "x" * 1000 + "+", "X" * 1_000_000])
+def test_long_candidates_take_linear_time(text):
+    begin = time.process_time()
+    list(secret_scan.SEGMENT.finditer(text))
+    secret_scan.ALLOWED.search(text)
+    assert time.process_time() - begin < 5
+
+
+def test_marked_candidates_are_allowed():
+    for text, allowed in {"abc_xxxx12": True, "abXXXXcd": True, "xxxx9Zq3Lm_aB3q": False, "a_b_9xxxxZ": True, "xxx": True, "aB3xxxx-Zq9": False}.items():
+        assert bool(secret_scan.ALLOWED.search(text)) == allowed, text
