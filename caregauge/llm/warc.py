@@ -6,7 +6,8 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from caregauge.llm.common import written
@@ -17,8 +18,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEX_32, BASE_32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Date of records whose pages carry none.
 DATE = "2024-01-01T00:00:00Z"
-#: Records of one archive file, at most; a reader holds one file at a time.
+#: Records of one archive file, at most, and bytes of its payloads, about; a reader holds one
+#: packed file at a time.
 RECORDS_PER_FILE = 4_096
+FILE_BYTES = 64 << 20
+#: Bytes that are unpacked at a time, about.
+PIECE = 1 << 20
 ID = "urn:x-page:"
 
 
@@ -29,21 +34,25 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.concat(*parts), HEX_32, BASE_32)
 
 
-def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def resolve(pages: DataFrame, least_bytes: int = 0, seen: Observation | None = None) -> DataFrame:
     """Rows (page_id, url, html, payload_bytes, payload_digest, refers_to).
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the least page_id
     is original, the others refer to it; shorter ones are all original, and so is each row that
     repeats the least page_id. Only digests go through the count of copies; a null html is an
-    empty payload, and a null page_id is never the least. Extra columns are left out.
+    empty payload, and a null page_id is never the least. Extra columns are left out. ``seen``
+    observes ``n`` and ``bytes`` of all payloads on the way.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     # A written side: the join with it can then split a digest with very many pages.
     headed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(
         {"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": sha1_base32(payload)}
     )
+    counted = headed
+    if seen is not None:
+        counted = headed.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"))
     copied = written(
-        headed.filter(F.col("payload_bytes") >= least_bytes)
+        counted.filter(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .filter("copies > 1 and first_id is not null")
@@ -89,53 +98,129 @@ def record(date: str = DATE) -> Column:
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE) -> None:
     """Writes the pages as compressed archives, originals with their payload and revisits without.
 
-    Spark's own text writer commits the files, so that a lost executor leaves no half file.
+    Spark's own text writer commits the files, so that a lost executor leaves no half file. A
+    file takes as many records as ``FILE_BYTES`` hold pages of the mean size.
     """
-    resolve(pages, least_bytes).select(record(date).alias("value")).write.options(
-        lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE
+    seen = Observation()
+    resolved = resolve(pages, least_bytes, seen)
+    try:
+        mean = (seen.get["bytes"] or 0) // max(seen.get["n"], 1)
+    except Py4JJavaError:  # a table without rows is planned away, and what observes it too
+        mean = 0
+    most = max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(mean, 1)))
+    resolved.select(record(date).alias("value")).write.options(
+        lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=most
     ).text(folder)
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record; Content-Length says where a block ends."""
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode().split("\r\n")
-        if lines[0] != VERSION:
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        end = head + 4 + int(headers["Content-Length"])
-        yield headers, data[head + 4 : end]
-        at = end + 4
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of an archive file in pieces: of all its gzip members one after the other, or
+    of a file that is not packed. A file that ends within a member raises."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), PIECE):
+            yield data[at : at + PIECE]
+        return
+    member, fed = zlib.decompressobj(31), False
+    for at in range(0, len(data), PIECE):
+        taken, more = data[at : at + PIECE], False
+        while taken or more:
+            if not fed:
+                taken = taken.lstrip(b"\0")  # padding between members
+                if not taken:
+                    break
+            out = member.decompress(taken, 4 * PIECE)
+            fed = True
+            if out:
+                yield out
+            more = len(out) == 4 * PIECE and not member.eof
+            taken = member.unconsumed_tail
+            if member.eof:
+                taken = member.unused_data
+                member, fed = zlib.decompressobj(31), False
+    if fed:
+        raise EOFError("the archive ends within a gzip member")
+
+
+def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record, of any type and version;
+    Content-Length says where a block ends. Data that is no record, or ends within one, raises."""
+    pieces, held, at = iter(pieces), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(piece)
+        return True
+
+    while True:
+        while True:  # line ends between records
+            while at < len(held) and held[at] in b"\r\n":
+                at += 1
+            if at < len(held) or not more():
+                break
+        if at >= len(held):
+            return
+        while (head := held.find(b"\r\n\r\n", at)) < 0:
+            if (len(held) - at >= 5 and not held.startswith(b"WARC/", at)) or not more():
+                raise ValueError("no record where one should begin")
+        lines = held[at:head].decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"no record where one should begin: {lines[0][:80]}")
+        headers: dict[str, str] = {}
+        name = ""
+        for line in lines[1:]:
+            if line[:1] in (" ", "\t"):  # a header goes on
+                headers[name] = f"{headers.get(name, '')} {line.strip()}"
+            else:
+                name, _, value = line.partition(":")
+                name = name.strip().lower()
+                headers[name] = value.strip()
+        at = head + 4
+        size = int(headers["content-length"])
+        while len(held) - at < size:
+            if not more():
+                raise EOFError("the archive ends within a record")
+        yield headers, bytes(held[at : at + size])
+        at += size
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (record_id, type, uri, date, digest, refers_to, payload) of all records; the payload of
-    a revisit record is null. ``record_id`` and ``refers_to`` are the page_ids as texts."""
+    """Rows (record_id, type, uri, date, digest, refers_to, payload) of all records of all
+    ``.gz`` and ``.warc`` files, with one gzip member a file or one a record.
+
+    ``payload`` is what follows the HTTP headers of a response's block, null for other records;
+    headers that a record lacks are null. Ids are those of the records; for records that
+    ``write_archives`` made, the page_ids as texts.
+    """
     schema = "record_id string, type string, uri string, date string, digest string, refers_to string, payload binary"
     arrow = pa.schema([(n, pa.binary() if n == "payload" else pa.string()) for n in (x.split()[0] for x in schema.split(", "))])
 
     def page(urn: str | None) -> str | None:
-        return None if urn is None else urn[len(ID) + 1 : -1]
+        if urn is None:
+            return None
+        urn = urn.strip("<>")
+        return urn.removeprefix(ID)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                data = zlib.decompressobj(31)
                 found, size = [], 0
-                for headers, block in parsed(data.decompress(content.as_py())):
-                    payload = block.partition(b"\r\n\r\n")[2] if headers["WARC-Type"] == "response" else None
-                    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                for headers, block in parsed(unpacked(content.as_py())):
+                    kind = headers.get("warc-type")
+                    digest = headers.get("warc-payload-digest")
                     found.append(
                         (
-                            page(headers["WARC-Record-ID"]),
-                            headers["WARC-Type"],
-                            headers["WARC-Target-URI"],
-                            headers["WARC-Date"],
-                            digest,
-                            page(headers.get("WARC-Refers-To")),
-                            payload,
+                            page(headers.get("warc-record-id")),
+                            kind,
+                            headers.get("warc-target-uri"),
+                            headers.get("warc-date"),
+                            None if digest is None else digest.removeprefix("sha1:"),
+                            page(headers.get("warc-refers-to")),
+                            block.partition(b"\r\n\r\n")[2] if kind == "response" else None,
                         )
                     )
                     size += len(block)
@@ -145,7 +230,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), arrow)], schema=arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(folder).select("content")
     return files.mapInArrow(rows, schema)
 
 
@@ -157,13 +242,18 @@ def archived_pages(spark: SparkSession, folder: str, id_type: str = "long") -> D
     the revisit record names. Without such a response both are null.
     """
     own = F.col("payload").isNotNull()
-    records = read_archives(spark, folder).select(
-        "record_id",
-        "type",
-        "refers_to",
-        F.octet_length("payload").cast("long").alias("bytes"),
-        F.when(own, sha1_base32(F.col("payload"))).alias("digest"),
-        F.col("digest").alias("named_digest"),
+    # Unpacked once: sizes and digests are written, payloads are not.
+    records = written(
+        read_archives(spark, folder)
+        .where("type IN ('response', 'revisit')")
+        .select(
+            "record_id",
+            "type",
+            "refers_to",
+            F.octet_length("payload").cast("long").alias("bytes"),
+            F.when(own, sha1_base32(F.col("payload"))).alias("digest"),
+            F.col("digest").alias("named_digest"),
+        )
     )
     # Written, so that a response with very many revisits does not meet them in one task.
     originals = written(

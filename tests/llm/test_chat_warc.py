@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -140,3 +141,55 @@ def test_no_pages(spark):
     folder = shared_folder(spark)
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert warc.archived_pages(spark, folder).count() == 0
+
+
+def member(version, headers, block):
+    lines = [version, *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_reads_archives_of_others(spark, tmp_path):
+    """A gzip member for each record, other record types, versions, letter case and folded headers."""
+    answer = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    big = bytes(range(256)) * 40_000
+    records = [
+        member("WARC/1.0", [("WARC-Type", "warcinfo"), ("WARC-Date", "2020-01-01T00:00:00Z")], b"software: x\r\n\r\nmore"),
+        member("WARC/1.0", [("warc-type", "response"), ("WARC-RECORD-ID", "<urn:uuid:1>"), ("warc-target-uri", "http://a/")], answer + b"one"),
+        member("WARC/1.1", [("WARC-Type", "request"), ("WARC-Record-ID", "<urn:uuid:2>")], b"GET / HTTP/1.1\r\n\r\n"),
+        member("WARC/1.1", [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:3>"), ("WARC-Payload-Digest", "sha1:X")], answer + big),
+        member("WARC/1.1", [("WARC-Type", "resource"), ("X-Long", "a\r\n b")], b""),
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "each.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "a" / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "a" / "plain.warc").write_bytes(b"".join(records))
+    found = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    kinds = [r.type for r in found]
+    assert {k: kinds.count(k) for k in set(kinds)} == {"warcinfo": 3, "response": 6, "request": 3, "resource": 3}
+    assert {(r.record_id, r.uri, r.digest, bytes(r.payload)) for r in found if r.type == "response"} == {
+        ("urn:uuid:1", "http://a/", None, b"one"), ("urn:uuid:3", None, "X", big),
+    }
+    assert {(r.record_id, r.digest, r.payload) for r in found if r.type == "warcinfo"} == {(None, None, None)}
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7])
+def test_pieces_and_broken_archives(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    records = [member("WARC/1.1", [("WARC-Type", "x"), ("N", n)], b"\r\n\r\n" * n) for n in range(6)]
+    packed = b"".join(map(gzip.compress, records))
+    for data in (packed, gzip.compress(b"".join(records)), b"".join(records), packed + b"\0" * 40):
+        assert [(h["n"], b) for h, b in warc.parsed(warc.unpacked(data))] == [(str(n), b"\r\n\r\n" * n) for n in range(6)]
+    assert list(warc.parsed(warc.unpacked(b""))) == []
+    for data in (packed[:-9], gzip.compress(b"".join(records)[:-20]), b"".join(records)[:-30], b"no archive at all\r\n\r\n"):
+        with pytest.raises((EOFError, ValueError)):
+            list(warc.parsed(warc.unpacked(data)))
+
+
+def test_large_pages_share_no_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    pages = [(k, "http://x", f"{k}" + "x" * 500_000) for k in range(8)] + [(90, "http://y", "x" * 3_000_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.gz"))) == 9
+    back = warc.archived_pages(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in back) == [(k, len(h)) for k, _, h in pages]
