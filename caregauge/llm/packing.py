@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -20,10 +21,8 @@ CAPACITY = 2048
 #: Pieces that one task packs; a partition's loss is a part of its last bin.
 PARTITION_ROWS = 50_000
 #: Pieces that a partition gives up in one exchange, as a multiple of ``PARTITION_ROWS``: a task
-#: then holds twice that, however many rounds there are.
+#: then holds twice that, however many rounds there are. The others have exchanges of their own.
 GIVEN_UP = 8
-#: Exchanges of documents between partitions with gaps, at most; None for as many as save bins.
-ROUNDS: int | None = None
 
 PIECES = "piece int, start long, length long, ids_crc32 long, ids array<int>"
 
@@ -122,8 +121,9 @@ def emptiest(bins: np.ndarray, filled: np.ndarray, most: int) -> np.ndarray:
 
 
 def packer(capacity: int, turn: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Packs one partition; ``loose`` marks the documents of bins with room in a partition whose
-    bound does not certify its number of bins (of the emptiest, if there are over ``most``)."""
+    """Packs one partition. In one whose bound does not certify its number of bins, documents of
+    bins with room are ``loose`` or, where these are over ``most``, those of the emptiest are and
+    the others ``waiting``."""
 
     def pack_partition(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row").reset_index(drop=True)
@@ -131,63 +131,78 @@ def packer(capacity: int, turn: int, most: int) -> Callable[[pd.DataFrame], pd.D
         bins, offsets = best_fit(lengths, capacity)
         filled = np.bincount(bins, weights=lengths).astype(np.int64)
         certified = len(filled) <= lower_bound(lengths, capacity)
+        gaps, given = (filled[bins] < capacity) & (not certified), emptiest(bins, filled, most)
         first = (turn << 56) + (int(rows["part"].iloc[0]) << 28)
         return rows.assign(
             sequence_id=first + bins,
             offset=offsets,
-            loose=(filled[bins] < capacity) & (not certified) & emptiest(bins, filled, most),
+            loose=gaps & given,
+            waiting=gaps & ~given,
         )
 
     return pack_partition
 
 
-def place(items: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+def place(
+    items: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, given_up: int = GIVEN_UP, rounds: int | None = None
+) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to ``capacity``.
 
     Full rows are sequences of their own. The rest is dealt over partitions, packed best-fit
     decreasing, and held against the partition's lower bound. Partitions with more bins than
     their bound give up the documents of bins with room; these are dealt anew over half as many
     partitions and packed again, until fewer than two such partitions are left or that saves no
-    bins. ``items`` must be a written table (its rows are numbered). Repeated rows are rows like any others; no row is lost.
+    bins. Where a partition has more of them than ``given_up`` times ``partition_rows``, the rest
+    is dealt anew when the exchange of the emptiest is through, as long as that saves bins.
+    ``rounds`` ends all exchanges earlier. ``items`` must be a written table (its rows are
+    numbered). Repeated rows are rows like any others; no row is lost.
     """
     fields = [f for f in items.schema.fields]
     numbered = items.withColumn("row", F.monotonically_increasing_id())
-    extra = [T.StructField("row", T.LongType()), T.StructField("part", T.LongType())]
-    schema = T.StructType(
-        [*fields, *extra, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("loose", T.BooleanType())]
-    )
+    extra = [("row", T.LongType()), ("part", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())]
+    flags = [("loose", T.BooleanType()), ("waiting", T.BooleanType())]
+    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in (*extra, *flags))])
     names = [f.name for f in schema.fields]
     full = F.col("length") == capacity
-    whole = (
-        numbered.filter(full)
-        .withColumns({"part": F.lit(-1).cast("long"), "sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long"), "loose": F.lit(False)})
-        .select(names)
+    no = F.lit(False)
+    whole = numbered.filter(full).withColumns(
+        {"part": F.lit(-1).cast("long"), "sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long"), "loose": no, "waiting": no}
     )
+    turns = itertools.count(1) if rounds is None else iter(range(1, rounds + 1))
 
     def packed(rows: DataFrame, parts: int, turn: int) -> DataFrame:
-        dealt = rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
-        return written(dealt.groupBy("part").applyInPandas(packer(capacity, turn, GIVEN_UP * partition_rows), schema))
+        dealt = rows.select(*[f.name for f in fields], "row").withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
+        return written(dealt.groupBy("part").applyInPandas(packer(capacity, turn, given_up * partition_rows), schema))
+
+    def bins(rows: DataFrame) -> int:
+        return rows.filter("offset = 0").count()
 
     rest = numbered.filter(~full)
     state = packed(rest, max(1, -(-rest.count() // partition_rows)), 0)
-    done: list[DataFrame] = [whole]
-    for turn in itertools.count(1) if ROUNDS is None else range(1, ROUNDS + 1):
-        loose = state.filter("loose")
-        parts, bins, rows = loose.agg(
-            F.count_distinct("part"), F.sum((F.col("offset") == 0).cast("long")), F.count("*")
-        ).first()
-        if parts < 2:
-            break
-        again = packed(loose.drop("part", "sequence_id", "offset", "loose"), max(1, min(parts // 2, -(-rows // 2_000))), turn)
-        if again.filter("offset = 0").count() >= bins:
+    done: list[DataFrame] = [whole.select(names)]
+    while True:
+        held = []
+        for turn in turns:
+            loose = state.filter("loose")
+            parts, rows = loose.agg(F.count_distinct("part"), F.count("*")).first()
+            if parts < 2:
+                break
+            again = packed(loose, max(1, min(parts // 2, -(-rows // 2_000))), turn)
+            if bins(again) >= bins(loose):
+                break
+            done.append(state.filter("NOT loose AND NOT waiting"))
+            held.append(state.filter("waiting"))
+            state = again
+        done.append(state.filter("NOT waiting"))
+        waiting = functools.reduce(DataFrame.unionByName, [*held, state.filter("waiting")])
+        rows = waiting.count()
+        turn = next(turns, None) if rows else None
+        if turn is not None:
+            state = packed(waiting, -(-rows // partition_rows), turn)
+        if turn is None or bins(state) >= bins(waiting):
+            done.append(waiting)
             break
-        done.append(state.filter(~F.col("loose")))
-        state = again
-    done.append(state)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.drop("row", "part", "loose")
+    return functools.reduce(DataFrame.unionByName, done).drop("row", "part", "loose", "waiting")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

@@ -110,27 +110,23 @@ def test_pack(documents, no_documents, tokenizer):
     assert packing.pack(no_documents, tokenizer).count() == 0
 
 
-def test_partitions_with_gaps_exchange_documents(spark, monkeypatch):
-    monkeypatch.setattr(packing, "ROUNDS", 4)
+def test_partitions_with_gaps_exchange_documents(spark):
     r = np.random.default_rng(3)
     lengths = r.integers(20, 70, 4_000)
     items = packing.written(spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(lengths)], "name long, length long"))
-    monkeypatch.setattr(packing, "ROUNDS", 0)
-    apart = check_places(packing.place(items, 100, partition_rows=250).collect(), 100)
-    monkeypatch.setattr(packing, "ROUNDS", 4)
-    rows = packing.place(items, 100, partition_rows=250).collect()
+    apart = check_places(packing.place(items, 100, partition_rows=250, rounds=0).collect(), 100)
+    rows = packing.place(items, 100, partition_rows=250, rounds=4).collect()
     together = check_places(rows, 100)
     assert sorted(x["name"] for x in rows) == list(range(4_000))
     assert packing.lower_bound(lengths, 100) <= together < apart
 
 
-def test_exchange_goes_on_until_no_partitions_with_gaps_are_left(spark, monkeypatch):
+def test_exchange_goes_on_until_no_partitions_with_gaps_are_left(spark):
     # Even lengths never fill an odd bin, and the bound does not see it: all bins have some room.
     lengths = 2 * np.random.default_rng(4).integers(30, 100, 128_000)
     items = packing.written(spark.createDataFrame(packing.pd.DataFrame({"name": np.arange(len(lengths)), "length": lengths})))
     together = check_places(packing.place(items, 301, partition_rows=1_000).collect(), 301)
-    monkeypatch.setattr(packing, "ROUNDS", 4)
-    rows = packing.place(items, 301, partition_rows=1_000).collect()
+    rows = packing.place(items, 301, partition_rows=1_000, rounds=4).collect()
     assert len({x["name"] for x in rows}) == len(rows) == len(lengths)
     assert packing.lower_bound(lengths, 301) <= together < check_places(rows, 301)
 
@@ -142,6 +138,16 @@ def test_partitions_give_up_their_emptiest_bins():
     assert packing.emptiest(bins, filled, 9).all()
 
 
+def test_documents_that_wait_are_exchanged_too(spark):
+    """With little given up at once, the rest has exchanges of its own."""
+    lengths = 2 * np.random.default_rng(4).integers(30, 100, 20_000)
+    items = packing.written(spark.createDataFrame(packing.pd.DataFrame({"name": np.arange(len(lengths)), "length": lengths})))
+    apart = check_places(packing.place(items, 301, partition_rows=500, rounds=0).collect(), 301)
+    rows = packing.place(items, 301, partition_rows=500, given_up=1).collect()
+    assert len({x["name"] for x in rows}) == len(rows) == len(lengths)
+    assert packing.lower_bound(lengths, 301) <= check_places(rows, 301) <= apart
+
+
 def test_token_files(spark, documents, no_documents, tokenizer):
     folder = shared_folder(spark)
     token_files.write_token_files(documents, folder, tokenizer)
