@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caregauge.llm.common import hash_sample, slices, texts, written
@@ -252,8 +252,13 @@ def hexed(fp: Column) -> Column:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the least doc_id of each component, with all its columns. Rows that repeat it
-    go; of different texts with that doc_id and fingerprint the least text stays. Components are
-    told apart by their fingerprints, so that null or repeated doc_ids merge none of them."""
+    go; of different texts with that doc_id and fingerprint the one of the least hash stays.
+    Components are told apart by their fingerprints, so that null or repeated doc_ids merge none
+    of them.
+
+    Rows are numbered as they are written, and the ones to go are found by narrow rows. These
+    numbers alone meet the texts: sent to all tasks where Spark finds them few enough.
+    """
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
     table = docs.toDF(*plain)
@@ -265,12 +270,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
                 "fp": fingerprints(F.col(text)),
                 "none": F.col(key).isNull(),
                 "id": F.coalesce(F.col(key), F.lit("0").cast(id_type)),
+                "text_hash": F.xxhash64(text),
+                "row": F.monotonically_increasing_id(),
             }
         )
     )
-    classes = near_duplicates(printed.select(F.col(key).alias("doc_id"), "fp", "none", "id"))
-    kept = classes.groupBy("root").agg(F.min(F.struct("none", "id", "fp")).alias("least"))
-    rows = printed.join(kept.select("least.*"), ["none", "id", "fp"])
-    turn = F.row_number().over(Window.partitionBy("none", "id", "fp").orderBy(text))
-    rows = rows.withColumn("turn", turn).filter("turn = 1")
+    narrow = printed.select(F.col(key).alias("doc_id"), "fp", "none", "id", "text_hash", "row")
+    classes = written(near_duplicates(narrow).select("root", "none", "id", "fp", "text_hash", "row"))
+    # Written, so that the join can split a component with very many rows.
+    kept = written(classes.groupBy("root").agg(F.min(F.struct("none", "id", "fp", "text_hash", "row")).alias("least")))
+    gone = written(classes.join(kept, "root").where(F.col("row") != F.col("least.row")).select("row"))
+    rows = printed.join(gone, "row", "left_anti")
     return rows.select(*[F.col(p).alias(n) for p, n in zip(plain, names)])
