@@ -905,6 +905,12 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT measure_key FROM fs UNION ALL SELECT measure_key FROM qm) GROUP BY 1) USING (measure_key)"""
     )
     out["load_hospitals"] = _hospital_load
+    out["refreshed_scorecard"] = out["vw_hospital_scorecard"]
+    out["distinct_hospitals_sliced"] = q(
+        f"""SELECT state, count(DISTINCT hospital_key) AS hospital_count FROM qm JOIN hosp USING (hospital_key)
+        JOIN meas USING (measure_key) WHERE end_date_key // 10000 IN (2023, 2024)
+        AND measure_category IN ('{K.MORTALITY}', '{K.SAFETY}') GROUP BY 1"""
+    )
     out["report_hospital_types"] = out["hospital_type_comparison"]
     out["view_satisfaction_by_name"] = out["vw_satisfaction_detail"]
     out["materialised_scorecard"] = out["vw_hospital_scorecard"]

@@ -14,6 +14,7 @@ from caregauge.operators.lookups import pick
 from caregauge.operators.storage import configure, sent_if_small
 from caregauge.plans import (
     audits,
+    bitmaps,
     dimensions,
     efficiency,
     facts,
@@ -21,6 +22,7 @@ from caregauge.plans import (
     outcomes,
     performance,
     reports,
+    summaries,
     views,
 )
 from caregauge.schemas import HOSPITAL_FILE, READMISSION_FILE, Star
@@ -277,6 +279,25 @@ def _measure_dimension(star: Star) -> DataFrame:
     )
 
 
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorecard from saved sums: those of every other year first, then of the years between."""
+    star, place = source.star(spark, sf_dir), scratch.folder(spark)
+    years = {
+        t: sorted(r[0] for r in tables.with_year(getattr(star, t)).select("end_year").distinct().collect()) for t in summaries.VALUES
+    }
+    for half in (0, 1):
+        summaries.refresh(star, place, {t: found[half::2] for t, found in years.items()})
+    return summaries.scorecard(star, summaries.saved(spark, place))
+
+
+def _distinct_hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hospitals by state with quality rows of two years and two categories, from saved bitmaps."""
+    star, place = source.star(spark, sf_dir), scratch.folder(spark)
+    tables.write_table(bitmaps.hospital_bitmaps(star.quality, star), place)
+    chosen = {"year": [2023, 2024], "measure_category": [K.MORTALITY, K.SAFETY]}
+    return bitmaps.distinct_hospitals(tables.read_table(spark, place), "state", **chosen)
+
+
 def queries() -> dict[str, Query]:
     card, trends = views.hospital_scorecard, views.readmission_trends
     quality, detail, states = views.quality_summary, views.satisfaction_detail, views.state_summary
@@ -395,6 +416,8 @@ def queries() -> dict[str, Query]:
         "load_readmissions_mixed_case": _load_mixed_case,
         "load_two_deliveries": _two_deliveries,
         "load_increments": _increments,
+        "refreshed_scorecard": _refreshed,
+        "distinct_hospitals_sliced": _distinct_hospitals,
         "load_by_header": _load_by_header,
         "load_by_position": _load_by_position,
         "load_appended": _appended,

@@ -69,6 +69,11 @@ def hospital_scorecard(star: Star, chosen: Column | None = None) -> DataFrame:
             rows().alias("quality_measures_total"),
         )
     )
+    return scorecard_of(hospitals, rates, survey, quality)
+
+
+def scorecard_of(hospitals: DataFrame, rates: DataFrame, survey: DataFrame, quality: DataFrame) -> DataFrame:
+    """Hospitals with their figures of each fact, one row each at most, by ``hospital_key``."""
     who = [
         "facility_id", "facility_name", "city", "state", "zip_code", "county_name",
         "hospital_type", "hospital_ownership", "emergency_services", "overall_rating",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,11 @@ def append_fact(df: DataFrame, path: str) -> None:
     _by_year(df).write.mode("append").options(**FACT_LAYOUT).partitionBy("end_year").parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, by: Sequence[str], **options: object) -> None:
+    """The partitions that ``df`` has rows of are replaced by these; files of others stay as they are."""
+    df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **options).partitionBy(*by).parquet(path)
+
+
 def replace_years(df: DataFrame, path: str, row_key: str) -> None:
     """The years of a fact that ``df`` has rows of are replaced by these rows; files of other years
     stay as they are.
@@ -62,8 +69,7 @@ def replace_years(df: DataFrame, path: str, row_key: str) -> None:
     """
     ordered = ("end_year", "hospital_key", row_key)
     ranged = with_year(df).repartitionByRange(*ordered).sortWithinPartitions(*ordered)
-    writer = ranged.write.mode("overwrite").options(**FACT_LAYOUT, partitionOverwriteMode="dynamic")
-    writer.partitionBy("end_year").parquet(path)
+    replace_partitions(ranged, path, ["end_year"], **FACT_LAYOUT)
 
 
 def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -76,10 +82,15 @@ def append_absent(
 ) -> None:
     """Appends the rows whose key the table does not hold yet; safe to repeat.
 
-    Keys compare NULL-safe, and a key new to the table is taken once.
+    Keys compare NULL-safe, and a key new to the table is taken once. Where the partition columns
+    are part of the key, only the partitions that ``df`` has rows of are looked into.
     """
-    spark = df.sparkSession
-    table = spark.read.parquet(path).select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    held = df.sparkSession.read.parquet(path)
+    if partition_by and set(partition_by) <= set(key):
+        wanted = [[F.col(c).eqNullSafe(F.lit(v)) for c, v in row.asDict().items()] for row in df.select(*partition_by).distinct().collect()]
+        either = [reduce(and_, one) for one in wanted]
+        held = held.where(reduce(or_, either, F.lit(False)))
+    table = held.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
     fresh = df.dropDuplicates(list(key))
     same = [fresh[c].eqNullSafe(F.col(f"_{c}")) for c in key]
     append_rows(fresh.join(table, same, "left_anti"), path, partition_by)
