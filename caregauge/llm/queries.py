@@ -199,5 +199,44 @@ FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counted c ON c.a = e.
 """
 
 
+# The unsigned crc32 of the decimal id, bit by bit; prefixes as lists of turns.
+OP12 = r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+), drawn AS (
+  SELECT *, conv_id - ((conv_id % 20) + 20) % 20 AS head_id, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)),
+      lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) % 4 AS h
+  FROM own
+), lists AS (
+  SELECT d.conv_id, list_concat(coalesce(list_slice(b.turns, 1, d.h), []), list_slice(d.turns, d.h + 1, len(d.turns))) AS turns
+  FROM drawn d LEFT JOIN own b ON b.conv_id = d.head_id
+), members AS (
+  SELECT conv_id, len(turns) AS n_turns, depth, list_slice(turns, 1, depth) AS p
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM lists)
+), nodes AS (
+  SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n_turns = depth), '') AS ends,
+         CASE WHEN depth > 0 THEN (count(*) - 1) * len(regexp_extract_all(p[depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved
+  FROM members GROUP BY p, depth
+), children AS (
+  SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (p)
+), below AS (
+  SELECT list_slice(p, 1, a) AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, c.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, c.n_convs::BIGINT AS n_convs,
+       c.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens,
+       sha256(c.ends) AS ends_sha256
+FROM counted c JOIN below b USING (p)
+LEFT JOIN nodes up ON c.depth > 0 AND up.depth = c.depth - 1 AND up.p = list_slice(c.p, 1, c.depth - 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op10_embedding_neardup": OP10}
+    return {"op4_warc": OP4, "op10_embedding_neardup": OP10, "op12_prefix_trie": OP12}
