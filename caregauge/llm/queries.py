@@ -237,6 +237,48 @@ FROM counted c JOIN below b USING (p)
 LEFT JOIN nodes up ON c.depth > 0 AND up.depth = c.depth - 1 AND up.p = list_slice(c.p, 1, c.depth - 1)
 """
 
+# Letters from U+00C0 on are two bytes; words one edit apart share the word or its rest without a letter.
+OP13 = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[A-Za-z\x{C0}-\x{FF}]{5,}')) AS run
+  FROM documents
+), grouped AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS times FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT run, times, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)),
+      lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) AS h
+  FROM grouped
+), cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times
+  FROM hashed
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3
+), rests AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM rests a JOIN rests b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT rests.word, words.word FROM rests JOIN words ON rest = words.word
+  UNION SELECT words.word, rests.word FROM rests JOIN words ON rest = words.word
+), best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY words.n DESC, other) AS other, max(words.n) AS other_n
+  FROM near JOIN words ON other = words.word GROUP BY 1
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+         CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), paths AS (
+  SELECT word, word AS last_word FROM words
+  UNION ALL SELECT paths.word, formed.form FROM paths JOIN formed ON last_word = formed.word WHERE formed.form IS NOT NULL
+), ends AS (
+  SELECT paths.word, last_word AS root FROM paths JOIN formed ON last_word = formed.word WHERE formed.form IS NULL
+)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM formed JOIN ends USING (word)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op10_embedding_neardup": OP10, "op12_prefix_trie": OP12}
+    return {"op4_warc": OP4, "op10_embedding_neardup": OP10, "op12_prefix_trie": OP12, "op13_spelling_variants": OP13}
