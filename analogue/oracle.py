@@ -828,6 +828,12 @@ def oracle_sql() -> dict[str, str]:
         f" {r(f'CAST(avg_readmission_rate_pct AS DECIMAL(10,2)) - (SELECT round(CAST({avg_rate} AS DECIMAL(24,12)), 4) FROM scorecard)', 4)}"
         " AS difference_from_national FROM scorecard WHERE state IN ('NATION_3', 'NATION_7')"
     )
+    out["report_totals"] = card(
+        f"SELECT state, hospital_type, {big('grouping(state, hospital_type)')} AS level, count(*) AS hospital_count,"
+        f" {r(avg_rate, 4)} AS avg_rate, {big('sum(total_discharges)')} AS total_discharges,"
+        f" count(*) FILTER (performance_tier = '{K.TOP}') AS top_performers"
+        " FROM scorecard GROUP BY CUBE (state, hospital_type)"
+    )
     out["report_share_above_national"] = card(
         f"SELECT {r('count(*) FILTER (pct_above_national > 50) / count(*)', 6)} AS share_above FROM scorecard"
     )
@@ -906,6 +912,9 @@ def oracle_sql() -> dict[str, str]:
     )
     out["load_hospitals"] = _hospital_load
     out["refreshed_scorecard"] = out["vw_hospital_scorecard"]
+    out["colocated_scorecard"] = out["vw_hospital_scorecard"]
+    out["colocated_states"] = out["vw_state_benchmark"]
+    out["colocated_hospital_types"] = out["hospital_type_comparison"]
     out["distinct_hospitals_sliced"] = q(
         f"""SELECT state, count(DISTINCT hospital_key) AS hospital_count FROM qm JOIN hosp USING (hospital_key)
         JOIN meas USING (measure_key) WHERE end_date_key // 10000 IN (2023, 2024)

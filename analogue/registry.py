@@ -15,6 +15,7 @@ from caregauge.operators.storage import configure, sent_if_small
 from caregauge.plans import (
     audits,
     bitmaps,
+    colocated,
     dimensions,
     efficiency,
     facts,
@@ -37,6 +38,8 @@ FACILITY = "000000007"
 STATES = ["NATION_3", "NATION_7"]
 # The ranked queries again with few wide buckets, which must not change a row.
 COARSE = 2
+# Of the small tables that the registered queries save.
+BUCKETS = 8
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -290,6 +293,21 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.scorecard(star, summaries.saved(spark, place))
 
 
+def _colocated(build: Callable[[Star, dict[str, DataFrame]], DataFrame]) -> Query:
+    """A view from sums in buckets of the hospital: saved for every other year, then refreshed."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star, name = source.star(spark, sf_dir), f"sums_{uuid.uuid4().hex}"
+        dated = {t: tables.with_year(getattr(star, t)) for t in summaries.VALUES}
+        some = {t: fact.where("end_year % 2 = 0") for t, fact in dated.items()}
+        colocated.save(Star(hospitals=star.hospitals, **some), name, BUCKETS)
+        rest = {t: sorted(r[0] for r in fact.select("end_year").distinct().collect() if r[0] % 2) for t, fact in dated.items()}
+        colocated.refresh(star, name, rest, BUCKETS)
+        return build(*colocated.opened(spark, name, star))
+
+    return query
+
+
 def _distinct_hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hospitals by state with quality rows of two years and two categories, from saved bitmaps."""
     star, place = source.star(spark, sf_dir), scratch.folder(spark)
@@ -397,6 +415,7 @@ def queries() -> dict[str, Query]:
         "report_state_survey_matrix_year": lambda s: reports.state_survey_matrix(s, years=[1996]),
         "report_national_average": lambda s: reports.national_average(card(s)),
         "report_against_national": lambda s: reports.against_national(pick(card(s), state=STATES), card(s)),
+        "report_totals": lambda s: reports.with_totals(card(s), "state", "hospital_type"),
         "report_share_above_national": lambda s: reports.share_above_national(card(s)),
         "report_top_performer_count": lambda s: reports.top_performer_count(card(s)),
         "report_state_survey_matrix": reports.state_survey_matrix,
@@ -417,6 +436,9 @@ def queries() -> dict[str, Query]:
         "load_two_deliveries": _two_deliveries,
         "load_increments": _increments,
         "refreshed_scorecard": _refreshed,
+        "colocated_scorecard": _colocated(summaries.scorecard),
+        "colocated_states": _colocated(lambda s, sums: views.states_of(summaries.fanned_out(s, sums, "state", "overall_rating"))),
+        "colocated_hospital_types": _colocated(lambda s, sums: outcomes.types_of(summaries.fanned_out(s, sums, "hospital_type"))),
         "distinct_hospitals_sliced": _distinct_hospitals,
         "load_by_header": _load_by_header,
         "load_by_position": _load_by_position,

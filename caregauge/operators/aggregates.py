@@ -35,6 +35,17 @@ def partials(
     return [F.expr(x) for x in out]
 
 
+def merged(values: Mapping[str, tuple[str, str | None]]) -> list[Column]:
+    """``partials`` of partials: under each name the sum and count of a value, over the rows that
+    meet a condition, if one is given."""
+    out = ["sum(rows) AS rows"]
+    for name, (value, where) in values.items():
+        for part in ("sum", "cnt"):
+            c = f"{value}_{part}"
+            out.append(f"sum({c if where is None else f'CASE WHEN {where} THEN {c} END'}) AS {name}_{part}")
+    return [F.expr(x) for x in out]
+
+
 def rows() -> Column:
     return F.expr(ROWS)
 

@@ -34,14 +34,18 @@ def fanout_partials(
     For a fact ``f`` the column ``f_others`` is the product of the other facts' rows,
     and ``all_rows`` the product of all.
     """
+    return with_multipliers(entities, key, {n: fact.groupBy(key).agg(*partials(values)) for n, (fact, values) in facts.items()})
+
+
+def with_multipliers(entities: DataFrame, key: str, sums: Mapping[str, DataFrame]) -> DataFrame:
+    """As ``fanout_partials``, of facts that are aggregated already: one row per key at most."""
     out = entities
-    for name, (fact, values) in facts.items():
-        per = fact.groupBy(key).agg(*partials(values)).withColumnRenamed("rows", f"{name}_rows")
-        out = out.join(per, key, "left")
+    for name, per in sums.items():
+        out = out.join(per.withColumnRenamed("rows", f"{name}_rows"), key, "left")
     return out.selectExpr(
         "*",
-        *[f"{_product(m for m in facts if m != n)} AS {n}_others" for n in facts],
-        f"{_product(facts)} AS all_rows",
+        *[f"{_product(m for m in sums if m != n)} AS {n}_others" for n in sums],
+        f"{_product(sums)} AS all_rows",
     )
 
 

@@ -160,8 +160,13 @@ def fanned_out(star: Star, *columns: str) -> DataFrame:
 
 def state_benchmark(star: Star) -> DataFrame:
     """Per state over the product of the three facts: star counts are multiplied rows."""
+    return benchmark_of(fanned_out(star, "state", "overall_rating"))
+
+
+def benchmark_of(hospitals: DataFrame) -> DataFrame:
+    """The state benchmark of ``fanned_out`` hospitals."""
     return (
-        fanned_out(star, "state", "overall_rating")
+        hospitals
         .groupBy("state")
         .agg(
             rows().alias("hospital_count"),
@@ -200,8 +205,13 @@ def state_benchmark_corrected(star: Star) -> DataFrame:
 
 
 def hospital_type_comparison(star: Star) -> DataFrame:
+    return types_of(fanned_out(star, "hospital_type"))
+
+
+def types_of(hospitals: DataFrame) -> DataFrame:
+    """The type comparison of ``fanned_out`` hospitals."""
     return (
-        fanned_out(star, "hospital_type")
+        hospitals
         .groupBy("hospital_type")
         .agg(
             rows().alias("hospital_count"),

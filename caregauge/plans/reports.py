@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import labels
 from ..functions.clean import derived_rate
-from ..operators.aggregates import average, count_by, rounded, spread_pivot
+from ..operators.aggregates import average, count_by, rounded, rows, spread_pivot
 from ..operators.growth import year_over_year
 from ..operators.latest import with_end_date
 from ..operators.lookups import lookup, pick, top_n
@@ -316,6 +316,24 @@ def national_average(scorecard: DataFrame) -> DataFrame:
     return scorecard.agg(average(LATEST_RATE, 4).alias("national_avg_rate"))
 
 
+def with_totals(scorecard: DataFrame, *by: str) -> DataFrame:
+    """Hospitals, rates and discharges by the columns, with totals over each and over all, in one pass.
+
+    ``level`` says which columns a row adds up over: a bit each, the last column's the lowest; 0 is a
+    plain group.
+    """
+    sets = [[]]
+    for column in by:
+        sets += [[*held, column] for held in sets]
+    return scorecard.groupingSets([[F.col(c) for c in held] for held in sets], *by).agg(
+        F.grouping_id().cast("int").alias("level"),
+        rows().alias("hospital_count"),
+        average(LATEST_RATE, 4).alias("avg_rate"),
+        F.sum("total_discharges").alias("total_discharges"),
+        F.expr(f"count_if(performance_tier = '{K.TOP}')").alias("top_performers"),
+    )
+
+
 def against_national(chosen: DataFrame, scorecard: DataFrame) -> DataFrame:
     """Each chosen hospital's rate minus the average over all hospitals."""
     overall = national_average(scorecard).scalar()

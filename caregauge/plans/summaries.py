@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.labels import compared
-from ..operators.aggregates import mean, one_of, partials, total, value_of
+from ..functions.labels import compared, same_text
+from ..operators.aggregates import mean, merged, one_of, partials, total, value_of
+from ..operators.fanout import with_multipliers
 from ..schemas import Star
 from ..sinks.tables import read_table, replace_partitions, with_year
 from .increments import in_years
@@ -51,6 +52,30 @@ def saved(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {table: read_table(spark, f"{folder}/{table}") for table in VALUES}
 
 
+def fanned_out(star: Star, sums: Mapping[str, DataFrame], *columns: str) -> DataFrame:
+    """``outcomes.fanned_out`` out of saved sums: same figures, and no fact is read."""
+    category = star.side("measures", star.measures.select("measure_key", "measure_id", "measure_category"))
+
+    def per(table: str, **values: tuple[str, str | None]) -> DataFrame:
+        named = sums[table].join(category, "measure_key", "left")
+        return named.groupBy("hospital_key").agg(*merged(values))
+
+    recommend = f"measure_id = '{K.RECOMMEND}'"
+    return with_multipliers(
+        star.hospitals.select("hospital_key", *columns),
+        "hospital_key",
+        {
+            "readmission": per("readmissions", rate=("rate", None), excess=("excess", None), discharges=("discharges", None)),
+            "survey": per("satisfaction", stars=("stars", None), recommend=("answer", recommend)),
+            "quality": per(
+                "quality",
+                mortality=("score", str(same_text("measure_category", K.MORTALITY))),
+                hai=("score", str(same_text("measure_category", K.SAFETY))),
+            ),
+        },
+    )
+
+
 def scorecard(star: Star, sums: Mapping[str, DataFrame]) -> DataFrame:
     """The hospital scorecard out of saved sums: same rows as ``views.hospital_scorecard``."""
 

@@ -173,7 +173,12 @@ def satisfaction_detail(star: Star) -> DataFrame:
 
 def state_summary(star: Star) -> DataFrame:
     """Per state over the product of the three facts; see ``operators.fanout``."""
-    weighted = fanned_out(star, "state", "overall_rating").selectExpr(
+    return states_of(fanned_out(star, "state", "overall_rating"))
+
+
+def states_of(hospitals: DataFrame) -> DataFrame:
+    """The state view of ``fanned_out`` hospitals."""
+    weighted = hospitals.selectExpr(
         "*",
         "overall_rating AS rating_sum",
         "CASE WHEN overall_rating IS NOT NULL THEN 1 ELSE 0 END AS rating_cnt",

@@ -119,3 +119,29 @@ def export_reports(views: Mapping[str, DataFrame], folder: str, fmt: str = "parq
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, partition_by: Sequence[str] = ()) -> DataFrame:
+    """A managed table in ``buckets`` buckets of ``key``, replacing an earlier one: joins and
+    aggregates by the key of tables with as many buckets need no shuffle.
+
+    One task reads a bucket, so that no key should have very many rows; rows are dealt once, and a
+    partition has one file a bucket.
+    """
+    dealt = df.repartition(buckets, key).sortWithinPartitions(*partition_by, key)
+    writer = dealt.write.mode("overwrite").partitionBy(*partition_by).bucketBy(buckets, key).sortBy(key)
+    writer.format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def replace_bucketed(df: DataFrame, table: str, key: str, buckets: int, by: str, values: Sequence[int]) -> None:
+    """The partitions of a table of ``save_bucketed`` with these values of ``by`` are replaced by the
+    rows of ``df`` that have them; files of others stay as they are. ``buckets`` are the table's.
+
+    One insert a value, none of which is NULL: it names its partition, so that the session's overwrite
+    mode does not matter.
+    """
+    held = [c for c in df.sparkSession.table(table).columns if c != by]
+    for value in values:
+        dealt = df.where(F.col(by) == value).select(held).repartition(buckets, key).sortWithinPartitions(key)
+        df.sparkSession.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({by} = {value}) SELECT * FROM {{rows}}", rows=dealt)
