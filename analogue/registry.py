@@ -294,15 +294,16 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _colocated(build: Callable[[Star, dict[str, DataFrame]], DataFrame]) -> Query:
-    """A view from sums in buckets of the hospital: saved for every other year, then refreshed."""
+    """A view from sums in buckets of the hospital: saved for all years but each fact's last, which a
+    refresh then adds."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         star, name = source.star(spark, sf_dir), f"sums_{uuid.uuid4().hex}"
         dated = {t: tables.with_year(getattr(star, t)) for t in summaries.VALUES}
-        some = {t: fact.where("end_year % 2 = 0") for t, fact in dated.items()}
-        colocated.save(Star(hospitals=star.hospitals, **some), name, BUCKETS)
-        rest = {t: sorted(r[0] for r in fact.select("end_year").distinct().collect() if r[0] % 2) for t, fact in dated.items()}
-        colocated.refresh(star, name, rest, BUCKETS)
+        last = {t: fact.agg(F.max("end_year")).first()[0] for t, fact in dated.items()}
+        earlier = {t: fact.where(F.col("end_year").isNull() | (F.col("end_year") < last[t])) for t, fact in dated.items()}
+        colocated.save(Star(hospitals=star.hospitals, **earlier), name, BUCKETS)
+        colocated.refresh(star, name, {t: [year] for t, year in last.items()}, BUCKETS)
         return build(*colocated.opened(spark, name, star))
 
     return query
