@@ -18,8 +18,8 @@ SHARDS = 8
 JOBS = 8_192
 #: Groups that one task joins to jobs.
 TASK_GROUPS = 100_000
-#: Parts in which the rows of a group are numbered.
-PARTS = 64
+#: Rows of the written table, as a power of two, whose rows of a group are numbered together.
+BLOCK_BITS = 13
 
 
 def schedule(sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -44,15 +44,26 @@ def before_in(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def joiner(jobs: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def join_groups(rows: pd.DataFrame) -> pd.DataFrame:
-        """Joins the groups of one task to jobs; ``within`` counts the rows before a group in its job."""
-        rows = rows.sort_values(["bytes", "text_key"], ascending=[False, True]).reset_index(drop=True)
+def joiner(key: str, jobs: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def join_items(rows: pd.DataFrame) -> pd.DataFrame:
+        """Joins the items of one task to jobs; ``within`` counts the rows before an item in its job."""
+        rows = rows.sort_values(["bytes", key], ascending=[False, True]).reset_index(drop=True)
         job = schedule(rows["bytes"].to_numpy(), min(jobs, len(rows)))
         name = (int(rows["task"].iloc[0]) << 20) + job
-        return rows.assign(job=name, within=before_in(job, rows["rows"].to_numpy()))[["text_key", "job", "within"]]
+        return rows.assign(job=name, within=before_in(job, rows["rows"].to_numpy()))[[key, "job", "within"]]
 
-    return join_groups
+    return join_items
+
+
+def joined(items: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Rows (key, job, within): the items dealt by hash over tasks, each joining its own to its share of JOBS."""
+    kind = items.schema[key].dataType.simpleString()
+    dealt = items.withColumn("task", F.pmod(F.xxhash64(key), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(joiner(key, max(1, JOBS // tasks)), f"{key} {kind}, job long, within long")
+
+
+def tasks_for(count: int) -> int:
+    return max(1, -(-count // TASK_GROUPS))
 
 
 def scheduler(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -69,14 +80,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Size is the text's UTF-8 bytes and 1. Documents with equal texts form a group and share a
     shard (a null text is equal to an empty one). Groups of the mean job's size and larger are
-    jobs; the rest is dealt by hash over tasks, each of which joins its groups to its share of
-    JOBS jobs by longest-processing-time scheduling; one last task, of at most twice JOBS jobs
-    however many documents there are, puts jobs into shards in the same way. So shards differ by
-    a small job at most, unless one group is larger than a shard's share.
-
-    Slots number a shard's rows from 0 without gaps: by job, group, part of the group and
-    doc_id; the parts keep a group of very many rows out of one task. Repeated rows have slots of
-    their own; an empty table gives an empty one; extra columns are left out.
+    jobs; the rest is dealt by hash over tasks of TASK_GROUPS groups, each of which joins its
+    groups to its share of JOBS jobs by longest-processing-time scheduling. Where there are more
+    tasks than JOBS, their jobs are joined once more in the same way. One last task, of at most
+    twice JOBS jobs, puts jobs into shards. So shards differ by a small job at most, unless one
+    group is larger than a shard's share.
+
+    Slots number a shard's rows from 0 without gaps: by job, group, block of the written rows and
+    doc_id. A group has as many blocks as its rows need, so that one of very many rows is numbered
+    by many tasks, whatever its doc_ids; a task adds up the counts of a group's blocks. Repeated
+    rows have slots of their own; an empty table gives an empty one; extra columns are left out.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select(
@@ -84,20 +97,28 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         (F.octet_length("text") + 1).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    rows = written(rows)
+    rows = written(rows).withColumn("part", F.shiftright("row", BLOCK_BITS))
     parts = rows.groupBy("text_key", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
     parts = written(parts)
     groups = parts.groupBy("text_key").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
     groups = written(groups)
     count, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     large = F.col("bytes") * JOBS >= F.lit(total)
-    tasks = min(max(1, -(-count // TASK_GROUPS)), JOBS)
-    small = groups.filter(~large).withColumn("task", F.pmod(F.xxhash64("text_key"), F.lit(tasks)))
-    joined = small.groupBy("task").applyInPandas(joiner(max(1, JOBS // tasks)), "text_key binary, job long, within long")
+    tasks = tasks_for(count)
+    small = joined(groups.filter(~large), "text_key", tasks)
+    if tasks > JOBS:
+        small = written(small)
+        inner = small.join(groups, "text_key").groupBy(F.col("job").alias("inner")).agg(
+            F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")
+        )
+        outer = joined(inner, "inner", tasks_for(tasks)).withColumnsRenamed({"job": "outer", "within": "before"})
+        small = small.join(outer, small["job"] == outer["inner"]).select(
+            "text_key", F.col("outer").alias("job"), (F.col("before") + F.col("within")).alias("within")
+        )
     own = groups.filter(large).select("text_key", (-1 - F.monotonically_increasing_id()).alias("job"), F.lit(0).cast("long").alias("within"))
-    placed = written(joined.unionByName(own)).join(groups, "text_key")
+    placed = written(small.unionByName(own)).join(groups, "text_key")
     jobs = placed.groupBy("job").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
     shards_of = jobs.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(scheduler(shards), "job long, shard int, first long")
     starts = placed.join(shards_of, "job").select(
@@ -107,7 +128,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cells = parts.join(starts, "text_key").select(
         "text_key", "part", "shard", (F.col("group_start") + F.coalesce(earlier, F.lit(0))).alias("start")
     )
-    turn = F.row_number().over(Window.partitionBy("text_key", "part").orderBy("doc_id"))
-    return rows.join(cells, ["text_key", "part"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("start") + turn - 1).cast("long").alias("slot")
+    # Numbered before the join, and a left one, so that rows are never dealt by the text alone.
+    turn = F.row_number().over(Window.partitionBy("text_key", "part").orderBy("doc_id", "row"))
+    return rows.withColumn("turn", turn).join(cells, ["text_key", "part"], "left").select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("turn") - 1).cast("long").alias("slot")
     )

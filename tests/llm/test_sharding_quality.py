@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caregauge.llm import quality, sharding
 
@@ -30,10 +31,11 @@ def test_shards_of_messy_documents(documents, no_documents):
     assert sharding.shard(no_documents).count() == 0
 
 
-@pytest.mark.parametrize("jobs", [64, 8_192])
-def test_shards_are_near_equal_beside_a_hot_group(spark, monkeypatch, jobs):
+@pytest.mark.parametrize("jobs,task_groups", [(64, 100), (8_192, 100), (40, 20)])
+def test_shards_are_near_equal_beside_a_hot_group(spark, monkeypatch, jobs, task_groups):
+    """With 40 jobs and 20 groups a task there are more tasks than jobs, which are joined twice."""
     monkeypatch.setattr(sharding, "JOBS", jobs)
-    monkeypatch.setattr(sharding, "TASK_GROUPS", 100)
+    monkeypatch.setattr(sharding, "TASK_GROUPS", task_groups)
     rows = [(k, "hot text " * 6) for k in range(600)] + [(1_000 + k, prose(k, 1 + k % 40)) for k in range(900)]
     load = check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 8)
     total = sum(load.values())
@@ -42,6 +44,43 @@ def test_shards_are_near_equal_beside_a_hot_group(spark, monkeypatch, jobs):
     assert rest[-1] - rest[0] <= max(2 * total / jobs, 400)
 
 
+def longest_first(sizes, shards):
+    """The loads of plain longest-processing-time scheduling, by looking at all shards each time."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return sorted(loads)
+
+
+def test_loads_are_those_of_plain_scheduling(spark):
+    texts = [prose(k % 700, 1 + k % 90) for k in range(1_000)] + ["again"] * 300 + [None, ""]
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    load = check_shards(rows, 8)
+    groups = Counter()
+    for t in texts:
+        groups[t or ""] += len((t or "").encode()) + 1
+    assert sorted(load.values()) == longest_first(groups.values(), 8)
+
+
+def test_rows_that_repeat_are_numbered_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_BITS", 7)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rows = [(None, "the same text")] * 10_000 + [(k, prose(k, 5)) for k in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        placed = sharding.shard(docs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    check_shards(placed, 8)
+    assert len(placed) == 30_000
+    same = Counter(r["task"] for r in placed if r["doc_id"] is None)
+    assert len(same) > 8 and max(same.values()) < 10_000 / 4
+
+
 def test_schedule_is_longest_first_to_the_least_loaded():
     assert sharding.schedule(np.array([3, 9, 5, 5, 4]), 2).tolist() == [1, 0, 1, 1, 0]
     assert sharding.before_in(np.array([1, 0, 1, 1, 0]), np.array([2, 3, 4, 5, 6])).tolist() == [0, 0, 2, 6, 3]
