@@ -58,3 +58,9 @@ def opened(spark: SparkSession, prefix: str, star: Star) -> tuple[Star, dict[str
     end_year = F.nullif(F.col("part"), F.lit(NO_YEAR))
     sums = {t: spark.table(f"{prefix}_{t}").withColumn("end_year", end_year).drop("part") for t in VALUES}
     return Star(hospitals=spark.table(f"{prefix}_hospitals"), **tables), sums
+
+
+def drop(spark: SparkSession, prefix: str) -> None:
+    """Drops the tables that ``save`` made, with their files; those that are gone are passed over."""
+    for table in ("hospitals", *VALUES):
+        spark.sql(f"DROP TABLE IF EXISTS {prefix}_{table}")

@@ -90,3 +90,45 @@ def test_totals_in_one_pass(spark):
     for level in (0, 1, 2):
         assert sum(n for (at, *_), (n, _) in by_level.items() if at == level) == card.count()
     assert rows(reports.with_totals(card).select("level", "hospital_count")) == [(0, card.count())]
+
+
+def test_dropped_tables_are_gone(spark):
+    star = sample.loaded_star(spark)
+    name = saved(spark, star)
+    for _ in range(2):
+        colocated.drop(spark, name)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(name)]
+    colocated.save(star, name, 4)  # nothing is left that would be in the way
+    assert spark.table(f"{name}_hospitals").count() == star.hospitals.count()
+
+
+def scans(plan):
+    """The file scans of a plan as it ran, with its sub-queries; a reused exchange scans nothing."""
+    name = plan.nodeName()
+    if name == "ReusedExchange":
+        return []
+    if name.startswith("Scan"):
+        return [plan.simpleString(1000)]
+    inner = [plan.subqueries(), plan.children()]
+    found = [seq.apply(k) for seq in inner for k in range(seq.size())]
+    if name == "AdaptiveSparkPlan":
+        found.append(plan.executedPlan())
+    elif name.endswith("QueryStage"):
+        found.append(plan.plan())
+    return [s for child in found for s in scans(child)]
+
+
+def test_national_comparison_scans_a_fact_once(spark, tmp_path):
+    given = sample.loaded_star(spark)
+    facts = {}
+    for table in summaries.VALUES:
+        getattr(given, table).write.parquet(str(tmp_path / table))
+        facts[table] = spark.read.schema(getattr(given, table).schema).parquet(str(tmp_path / table))
+    star = Star(hospitals=given.hospitals, dates=given.dates, measures=given.measures, **facts)
+    card = views.hospital_scorecard(star)
+    some = reports.against_national(card.where("state = 'MN'"), card)
+    assert some.count() < card.count()
+    some.collect()
+    read = scans(some._jdf.queryExecution().executedPlan())
+    assert sum("readmission_rate_pct" in s for s in read) == 1
+    assert not any("answer_percent" in s or "score" in s for s in read)  # facts that the rate does not need
