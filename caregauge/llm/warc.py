@@ -24,6 +24,11 @@ RECORDS_PER_FILE = 4_096
 FILE_BYTES = 64 << 20
 #: Bytes that are unpacked at a time, about.
 PIECE = 1 << 20
+#: Repeated digests, at most, that pages are joined with as they are; where there are more, only
+#: pages that a filter of their bits lets through. A filter has BITS_EACH bits a digest, as a power
+#: of two from 2 ** LEAST_BITS to 2 ** MOST_BITS (128 MB), which is what is broadcast at most.
+JOINED_DIGESTS = 100_000
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 20, 30
 ID = "urn:x-page:"
 
 
@@ -34,14 +39,38 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.concat(*parts), HEX_32, BASE_32)
 
 
+def filter_bits(count: int) -> int:
+    """The power of two of a filter's bits for so many digests."""
+    return min(MOST_BITS, max(LEAST_BITS, (count * BITS_EACH - 1).bit_length()))
+
+
+def held_back(headed: DataFrame, copied: DataFrame, bits: int) -> DataFrame:
+    """The rows with ``may_repeat``: false only if ``copied`` has no row with the payload digest.
+
+    A hash of each digest in ``copied`` sets one of 2 ** ``bits`` bits, which are collected in
+    pieces of 4 KB and sent to every task.
+    """
+    place = F.pmod(F.xxhash64("payload_digest"), F.lit(1 << bits)) + 1
+    pieces = copied.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("set_bits")
+    )
+    at = F.bitmap_bit_position(place).cast("int")
+    octet = F.conv(F.hex(F.substring("set_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = octet.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
+    marked = headed.withColumn("piece", F.bitmap_bucket_number(place)).join(F.broadcast(pieces), "piece", "left")
+    return marked.withColumn("may_repeat", F.coalesce(is_set, F.lit(False))).drop("piece", "set_bits")
+
+
 def resolve(pages: DataFrame, least_bytes: int = 0, seen: Observation | None = None) -> DataFrame:
     """Rows (page_id, url, html, payload_bytes, payload_digest, refers_to).
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the least page_id
     is original, the others refer to it; shorter ones are all original, and so is each row that
-    repeats the least page_id. Only digests go through the count of copies; a null html is an
-    empty payload, and a null page_id is never the least. Extra columns are left out. ``seen``
-    observes ``n`` and ``bytes`` of all payloads on the way.
+    repeats the least page_id. Only digests go through the count of copies. Where more than
+    JOINED_DIGESTS digests repeat, pages whose digest surely does not are kept out of the join, so
+    that their payloads are not shuffled. A null html is an empty payload, and a null page_id is
+    never the least. Extra columns are left out. ``seen`` observes ``n`` and ``bytes`` of all
+    payloads on the way.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     # A written side: the join with it can then split a digest with very many pages.
@@ -59,9 +88,14 @@ def resolve(pages: DataFrame, least_bytes: int = 0, seen: Observation | None = N
         .select("payload_digest", "first_id")
     )
     original = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("payload_bytes") < least_bytes)
+    if (count := copied.count()) > JOINED_DIGESTS:
+        marked = held_back(headed, copied, filter_bits(count))
+        alone = marked.where("NOT may_repeat").withColumn("first_id", F.lit(None).cast(copied.schema["first_id"].dataType))
+        joined = marked.where("may_repeat").join(copied, "payload_digest", "left").unionByName(alone)
+    else:
+        joined = headed.join(copied, "payload_digest", "left")
     return (
-        headed.join(copied, "payload_digest", "left")
-        .withColumn("refers_to", F.when(~original, F.col("first_id")))
+        joined.withColumn("refers_to", F.when(~original, F.col("first_id")))
         .select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
     )
 

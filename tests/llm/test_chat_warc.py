@@ -116,6 +116,38 @@ def test_archives(spark, least):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def as_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("least_bits", [1, 12])
+def test_pages_that_do_not_repeat_stay_out_of_the_join(spark, monkeypatch, least_bits):
+    """With a filter of two bits nearly all pages are let through, with 4,096 few of those alone."""
+    rows = [(*p, "d", 1) for p in PAGES] + [(100 + k, "u", f"page {k % 900}", "d", 1) for k in range(1_000)]
+    pages = chat.written(spark.createDataFrame(rows, "page_id long, url string, html string, digest string, bytes int"))
+    for least in (0, 12):
+        plain = as_rows(warc.resolve(pages, least))
+        monkeypatch.setattr(warc, "JOINED_DIGESTS", 0)
+        monkeypatch.setattr(warc, "BITS_EACH", 1)
+        monkeypatch.setattr(warc, "LEAST_BITS", least_bits)
+        monkeypatch.setattr(warc, "MOST_BITS", least_bits)
+        assert as_rows(warc.resolve(pages, least)) == plain
+        monkeypatch.undo()
+
+
+def test_filter_lets_all_repeated_digests_through(spark):
+    digests = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(4_000)]
+    headed = spark.createDataFrame([(d,) for d in digests], "payload_digest string")
+    copied = spark.createDataFrame([(d,) for d in digests[:1_000]], "payload_digest string")
+    bits = warc.filter_bits(1_000)
+    assert bits == warc.LEAST_BITS and warc.filter_bits(10**6) == 26 and warc.filter_bits(10**12) == warc.MOST_BITS
+    passed = {r[0] for r in warc.held_back(headed, copied, bits).where("may_repeat").collect()}
+    assert set(digests[:1_000]) <= passed and len(passed) < 1_050
+    few = {r[0] for r in warc.held_back(headed, copied, 12).where("may_repeat").collect()}
+    assert set(digests[:1_000]) <= few and len(few) < 2_200
+    assert not warc.held_back(headed, copied.limit(0), 20).where("may_repeat").count()
+
+
 def test_revisits_of_an_id_with_two_payloads(spark):
     html = {1: "<p>one</p>", 2: "<p>the second one</p>", 3: "<p>three, the longest one</p>"}
     rows = [(3, k) for k in html] + [(5, 1), (6, 2), (7, 3), (8, 2)]
