@@ -204,13 +204,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Isolat
     """Forest and threshold from about ``rows`` labelled documents, chosen by a hash of the
     doc_id; None without any. Rows that the base rules reject are not shown to the forest, as
     it does not decide on them. Null labels and doc_ids are left out; of several labels of a
-    document the worst counts."""
+    document the worst counts, of several texts of a doc_id the one whose statistics have the
+    least hash."""
     named = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     # The sample is bounded by ``rows``, so that it may be sent to every task.
     some = hash_sample(named, rows, named.count(), "doc_id")
     labelled = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    found = with_statistics(labelled, "good").dropDuplicates().limit(2 * rows).toPandas()
-    found = found.sort_values(["doc_id", *STATISTICS])
+    one = F.min(F.struct(F.xxhash64(*STATISTICS).alias("hash"), "good", *STATISTICS)).alias("one")
+    found = with_statistics(labelled, "good").groupBy("doc_id").agg(one).select("doc_id", "one.*").toPandas()
+    found = found.sort_values("doc_id")
     stats = found[list(STATISTICS)].to_numpy(dtype=np.int64)
     judged = ~base_failed(stats)
     stats, good = stats[judged], found["good"].to_numpy()[judged] > 0

@@ -128,6 +128,15 @@ def test_forest_on_held_out_rows(spark):
     assert kept == {r["doc_id"] for r in rows if r["kept"]}
 
 
+def test_a_label_with_many_texts_counts_once(spark):
+    docs, labels = labelled(spark)
+    plain = quality.fit(docs, labels)
+    more = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.expr("explode(transform(sequence(1, 3000), k -> concat(text, ' w', k)))")))
+    first, again = (quality.fit(d.repartition(n), labels) for n, d in ((2, more), (5, more)))
+    assert len(plain.scale[0]) == len(first.scale[0]) and first.threshold == again.threshold
+    assert (first.scale == again.scale).all() and (first.split == again.split).all()
+
+
 def test_without_labels_the_base_rules_decide(spark, documents, no_documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one_kind = spark.createDataFrame([(k, 1, 0) for k in range(20, 45)], "doc_id long, quality int, toxic int")
