@@ -93,8 +93,8 @@ def load_into(
 
     Of each fact, natural keys whose delivered rows differ from the held ones are found first;
     only the years in which such keys end are read, merged and written (a row without an end
-    date is in a year of its own). Files of other years stay as they are, and a delivery that is
-    already held writes nothing.
+    date is in a year of its own). Years that the table lacks are compared with nothing. Files of
+    other years stay as they are, and a delivery that is already held writes nothing.
 
     Everything is staged under ``_staged/<load id>`` first. Before it takes its place, ids and
     surrogate keys must be unique, every key of the staged facts must be in its dimension, the
@@ -151,24 +151,29 @@ def load_into(
     for table, (name, schema, load, row_key) in FACTS.items():
         if name not in files and before is not None:
             continue
-        # cleaned once, and kept apart from what is made of it
-        cleaned = f"{place}/cleaned_{table}"
-        write_table(with_year(load(delivered(name, schema), staged("hospitals"), staged("measures"))), cleaned)
+        rows = with_year(load(delivered(name, schema), staged("hospitals"), staged("measures")))
         gates.refuse(broken)
-        fact = read_table(spark, cleaned, CORE[table])
         if before is None:
-            merged, years[table] = fact, []
+            merged, years[table] = rows, []
         else:
-            held = getattr(before, table)
-            found = [r[0] for r in fact.select("end_year").distinct().collect()]
-            changed = facts.changed_keys(in_years(held, found), fact, row_key)
+            # cleaned once, and kept apart from what is made of it
+            write_table(rows, f"{place}/cleaned_{table}")
+            fact, held = read_table(spark, f"{place}/cleaned_{table}", CORE[table]), getattr(before, table)
+            found = _years_of(fact)
+            both = _years_of(in_years(held, found))
+            # a year that the table lacks is taken as it is: all its keys are new
+            new = [y for y in found if y not in both]
+            changed = facts.changed_keys(in_years(held, both), in_years(fact, both), row_key)
             write_table(changed, f"{place}/changed_{table}")
             changed = spark.read.parquet(f"{place}/changed_{table}")
-            ended = changed.selectExpr("CAST(floor(_end_date_key / 10000) AS INT) AS y").distinct()
-            years[table] = sorted((r[0] for r in ended.collect()), key=lambda y: (y is not None, y))
+            ended = changed.selectExpr("CAST(floor(_end_date_key / 10000) AS INT) AS end_year")
+            touched = _years_of(ended)
+            years[table] = _in_order(new + touched)
             if not years[table]:
                 continue
-            merged = facts.with_changes(in_years(held, years[table]), in_years(fact, years[table]), changed)
+            merged = in_years(fact, new)
+            if touched:
+                merged = facts.with_changes(in_years(held, touched), in_years(fact, touched), changed).unionByName(merged)
         watched, seen = gates.observed(merged, f"{table} {load_id}")
         stage(table, watched)
         tables[table] = seen.get["rows"]
@@ -176,8 +181,7 @@ def load_into(
         if seen.get["no_hospital"]:
             broken[f"{FOLDERS[table]}.hospital_key missing"] = seen.get["no_hospital"]
         if before is None:
-            written = staged(table).select("end_year").distinct().collect()
-            years[table] = sorted((r[0] for r in written), key=lambda y: (y is not None, y))
+            years[table] = _in_order(_years_of(staged(table)))
 
     held_days = [] if before is None else [d for d in before.dates.agg(F.min("date_key"), F.max("date_key")).first() if d]
     first = min([int(K.CALENDAR_START.replace("-", "")), *days, *held_days])
@@ -191,6 +195,14 @@ def load_into(
     return Loaded(open_core(spark, folder), load_id, years)
 
 
+def _years_of(fact: DataFrame) -> list[int | None]:
+    return [r[0] for r in fact.select("end_year").distinct().collect()]
+
+
+def _in_order(years: list[int | None]) -> list[int | None]:
+    return sorted(years, key=lambda y: (y is not None, y))
+
+
 def in_years(fact: DataFrame, years: list[int | None]) -> DataFrame:
     """The rows of some years; partitions of other years are not read."""
     some = F.col("end_year").isin([y for y in years if y is not None])

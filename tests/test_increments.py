@@ -253,3 +253,33 @@ def test_a_lookup_reads_few_pages(spark, tmp_path):
         found = reports.rows_of(star.readmissions, star, "001234", "facility_name").select("hospital_key", "readmission_rate_pct")
         assert found.count() == 80
         assert scanned_rows(found) <= 40_000, place
+
+
+def test_years_that_the_table_lacks_are_not_compared(spark, given, tmp_path):
+    """Their rows are taken as they are; keys of the other years go through one aggregate, without a join."""
+    folder = str(tmp_path / "core")
+    first = increments.load_into(spark, given, folder).star
+    held = sorted(map(str, first.readmissions.drop("created_at").collect()))
+    later = sample.staged_readmissions(spark).withColumn("end_date", F.lit("06/30/2031"))
+    loaded = increments.load_into(spark, {"readmissions": write_csv(later, tmp_path / "later.csv")}, folder)
+    assert loaded.years == {"readmissions": [2031]}
+    assert spark.read.parquet(f"{folder}/_staged/{loaded.load_id}/changed_readmissions").isEmpty()
+    now = loaded.star.readmissions.drop("created_at")
+    assert sorted(map(str, now.where("end_year < 2031 OR end_year IS NULL").collect())) == held
+    assert now.where("end_year = 2031").count() == len(held)
+    plan = facts.changed_keys(now, now, "readmission_key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_changed_keys_by_number_and_sum(spark):
+    def fact(*found):
+        return spark.createDataFrame([(*k, h) for k, h in found], "hospital_key LONG, measure_key LONG, unknown_measure LONG, "
+                                     "start_date_key INT, end_date_key INT, row LONG")
+
+    same, more, other, new, gone = ((k, None, 5, None, 20240101) for k in range(5))
+    low = -(1 << 63)
+    held = fact((same, 1), (same, low), (more, 7), (other, 1), (other, 4), (gone, 9))
+    given_ = fact((same, low), (same, 1), (more, 7), (more, 7), (other, 2), (other, 4), (new, low))
+    found = facts.changed_keys(held, given_, "row")
+    assert found.columns == [f"_{c}" for c in facts.NATURAL_KEY]
+    assert sorted(r[0] for r in found.collect()) == [1, 2, 3]
