@@ -140,6 +140,10 @@ def _two_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     hospitals = _loaded_hospitals(spark, sf_dir).select("hospital_key", "facility_id")
     measures = dimensions.load_measures(spark)
     first, second = (facts.load_readmissions(staged, hospitals, measures) for staged in _two_staged(spark, sf_dir))
+    # the second one is saved, since its keys and its rows are both used
+    place = f"{scratch.folder(spark)}/second"
+    tables.write_table(second, place)
+    second = tables.read_table(spark, place, second.schema)
     return _with_ids(facts.carried_on(first, second), hospitals, measures, "readmission_key")
 
 

@@ -59,3 +59,14 @@ def test_scope_of_the_latest_year_matters(spark):
     star = source.star(spark, SF_DIR, early=K.SAFETY)
     assert outcomes.infections_by_hospital(star, "fact").count() == 0
     assert outcomes.infections_by_hospital(star, "category").count() > 0
+
+
+def _scans(df, table):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(table)
+
+
+def test_a_second_delivery_is_formed_once(spark):
+    """Its keys and its rows are read from where it was saved."""
+    assert _scans(registry.queries()["load_two_deliveries"](spark, SF_DIR), "l_shipdate#") > 0
+    plan = registry.queries()["load_two_deliveries"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
