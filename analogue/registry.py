@@ -11,7 +11,7 @@ from pyspark.sql.types import DateType, DecimalType, IntegerType, ShortType, Tim
 
 from caregauge import constants as K
 from caregauge.operators.lookups import pick
-from caregauge.operators.storage import configure, sent_if_small
+from caregauge.operators.storage import BROADCAST_LIMIT, configure, sent_if_small, source_bytes
 from caregauge.plans import (
     audits,
     bitmaps,
@@ -105,14 +105,17 @@ def _with_ids(fact: DataFrame, hospitals: DataFrame, measures: DataFrame, key: s
     )
 
 
+def _spread(staged: DataFrame) -> DataFrame:
+    """Small tables have a row group or two, and so as many tasks: an exchange uses all cores. Larger
+    ones have a task for each part of their files, and their text stays where it is formed."""
+    return staged.hint("rebalance") if source_bytes(staged) <= BROADCAST_LIMIT else staged
+
+
 def _load(staged: Query, load, key: str) -> Query:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         hospitals = _loaded_hospitals(spark, sf_dir).select("hospital_key", "facility_id")
         measures = dimensions.load_measures(spark)
-        # Text that is formed here stands for a file: the exchange keeps its forming apart from
-        # its cleaning (merged, each text would be formed once per use), and uses all cores.
-        delivered = staged(spark, sf_dir).hint("rebalance")
-        return _with_ids(load(delivered, hospitals, measures), hospitals, measures, key)
+        return _with_ids(load(_spread(staged(spark, sf_dir)), hospitals, measures), hospitals, measures, key)
 
     return build
 

@@ -83,17 +83,24 @@ def append_absent(
     """Appends the rows whose key the table does not hold yet; safe to repeat.
 
     Keys compare NULL-safe, and a key new to the table is taken once. Where the partition columns
-    are part of the key, only the partitions that ``df`` has rows of are looked into.
+    are part of the key, only the partitions that ``df`` has rows of are looked into. ``df`` is read for
+    its keys and for its rows, so it should be cheap to read twice.
     """
     held = df.sparkSession.read.parquet(path)
     if partition_by and set(partition_by) <= set(key):
         wanted = [[F.col(c).eqNullSafe(F.lit(v)) for c, v in row.asDict().items()] for row in df.select(*partition_by).distinct().collect()]
         either = [reduce(and_, one) for one in wanted]
         held = held.where(reduce(or_, either, F.lit(False)))
-    table = held.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
-    fresh = df.dropDuplicates(list(key))
-    same = [fresh[c].eqNullSafe(F.col(f"_{c}")) for c in key]
-    append_rows(fresh.join(table, same, "left_anti"), path, partition_by)
+    # keys alone are compared, by one aggregate; only rows of absent keys are moved whole
+    keys = df.select(*key, F.lit(False).alias("_held")).unionByName(held.select(*key, F.lit(True).alias("_held")))
+    absent = keys.groupBy(*key).agg(F.bool_or("_held").alias("_held")).where("NOT _held")
+    absent = absent.select(*[F.col(c).alias(f"_{c}") for c in key]).persist()
+    try:
+        if absent.count():
+            same = [df[c].eqNullSafe(F.col(f"_{c}")) for c in key]
+            append_rows(df.join(absent, same, "left_semi").dropDuplicates(list(key)), path, partition_by)
+    finally:
+        absent.unpersist()
 
 
 def create_views(views: Mapping[str, DataFrame]) -> None:

@@ -70,3 +70,10 @@ def test_a_second_delivery_is_formed_once(spark):
     assert _scans(registry.queries()["load_two_deliveries"](spark, SF_DIR), "l_shipdate#") > 0
     plan = registry.queries()["load_two_deliveries"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+def test_text_of_large_tables_stays_where_it_is_formed(spark, monkeypatch):
+    rebalanced = lambda: _scans(registry.queries()["load_readmissions"](spark, SF_DIR), "Rebalance")
+    assert rebalanced() > 0
+    monkeypatch.setattr(registry, "BROADCAST_LIMIT", 0)
+    assert rebalanced() == 0

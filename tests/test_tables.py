@@ -138,3 +138,15 @@ def test_views_materialised_and_exported(spark, tmp_path):
 def test_load_times_are_set(spark):
     hospitals = sample.loaded_star(spark).hospitals
     assert hospitals.where(F.col("created_at").isNull() | F.col("updated_at").isNull()).count() == 0
+
+
+def test_append_absent_writes_nothing_that_is_held(spark, tmp_path, monkeypatch):
+    path, wanted = str(tmp_path / "t"), "array(named_struct('k', 1, 'v', 'a'), named_struct('k', CAST(NULL AS INT), 'v', 'b'))"
+    held = spark.sql(f"SELECT inline({wanted})")
+    tables.write_table(held, path)
+    appended = []
+    monkeypatch.setattr(tables, "append_rows", lambda df, *place: appended.append(sorted(rows(df), key=str)))
+    tables.append_absent(held, path, ["k"])
+    assert appended == []
+    tables.append_absent(held.unionByName(spark.sql("SELECT 2 AS k, 'c' AS v UNION ALL SELECT 2, 'c'")), path, ["k"])
+    assert appended == [[(2, "c")]]
