@@ -7,25 +7,20 @@ from pyspark.sql import functions as F
 
 from ..constants import SUPPRESSED
 
-# A suppressed text that is no number fails to parse anyway; only one that looks like a
-# number needs a test of its own. None of the usual ones does.
-_LOOK_NUMERIC = [t for t in SUPPRESSED if t.strip().lstrip("+-").replace(".", "", 1).isdigit()]
+# A text that does not parse costs an exception, many times what a number does. Nearly all such
+# texts are known by a letter; the suppressed ones without a letter are tested one by one.
+_LETTERLESS = [t for t in SUPPRESSED if t.upper() == t.lower()]
 
 
-def number(c: str, dtype: str, suppressed=_LOOK_NUMERIC) -> Column:
+def number(c: str, dtype: str, suppressed=()) -> Column:
     """Text as a number: NULL for suppressed texts and for what does not parse.
 
     A blank counts as suppressed. Fractions are rounded to the scale of a decimal
     type; a fraction in an integer column, a value too wide, or a number with an
     exponent gives NULL. ``suppressed`` adds numerals that stand for a suppressed value.
     """
-    parsed = f"try_cast({c} AS {dtype})"
-    if dtype.lower().startswith("decimal"):
-        parsed = f"CASE WHEN NOT contains({c}, 'e') AND NOT contains({c}, 'E') THEN {parsed} END"
-    if suppressed:
-        texts = ", ".join(f"'{t.upper()}'" for t in suppressed)
-        parsed = f"CASE WHEN upper(trim({c})) NOT IN ({texts}) THEN {parsed} END"
-    return F.expr(parsed)
+    texts = ", ".join(f"'{t.upper()}'" for t in [*_LETTERLESS, *suppressed])
+    return F.expr(f"CASE WHEN upper({c}) = lower({c}) AND trim({c}) NOT IN ({texts}) THEN try_cast({c} AS {dtype}) END")
 
 
 def us_date(c: str) -> Column:
@@ -35,10 +30,9 @@ def us_date(c: str) -> Column:
     parsing by a pattern that fails on every other row.
     """
     t = f"trim({c})"
-    parts = f"split({t}, '/')"
-    iso = f"concat({parts}[2], '-', {parts}[0], '-', {parts}[1])"
-    shown = f"CASE WHEN size({parts}) = 3 THEN {iso} WHEN length({t}) = 10 THEN {t} END"
-    return F.expr(f"try_cast({shown} AS DATE)")
+    iso = f"concat(substring_index({t}, '/', -1), '-', replace(substring_index({t}, '/', 2), '/', '-'))"
+    three = f"length({t}) - length(replace({t}, '/', '')) = 2"
+    return F.expr(f"try_cast(CASE WHEN {three} THEN {iso} WHEN length({t}) = 10 THEN {t} END AS DATE)")
 
 
 def sentence_case(c: str) -> Column:

@@ -34,13 +34,16 @@ def sent_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if source_bytes(df) <= BROADCAST_LIMIT else df
 
 
-# Session settings the operators count on: adaptive plans that split hot keys.
+# Session settings the operators count on: adaptive plans that split hot keys, and stages whose
+# generated method is too long for the JVM to compile (8,000 bytes; it would be interpreted row by
+# row) run by operator instead.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -133,3 +133,16 @@ def test_volume_tiers_flags_and_bands(spark):
     assert applied(spark, [5, 4, 3, 2, 1, None], labels.rating_band("c"), "int") == [
         "green", "green", "yellow", "red", "red", None,
     ]
+
+
+def test_texts_with_a_letter_are_no_numbers(spark):
+    """None of them reaches the cast, whose exceptions cost more than all other cleaning."""
+    given = ["PORT", "1e3", "1E3", "12a", "É1", " +7 ", "-7", "٣", "- 7", "--", "1.5"]
+    assert applied(spark, given, clean.number("c", "int")) == [None] * 5 + ["7", "-7"] + [None] * 4
+    assert applied(spark, given, clean.number("c", "decimal(3,1)"))[-1] == "1.5"
+    assert "upper(c)" in str(clean.number("c", "int"))
+
+
+def test_us_dates_of_other_parts(spark):
+    given = ["//2024", "1//2024", "1/1/1/2024", "1/2/2024/", " 1/2/2024 ", "2024-1-1", "2024-01-1/", "1/2 x/2024", "2024-13-01"]
+    assert applied(spark, given, clean.us_date("c")) == [None] * 4 + ["2024-01-02", None, None, "2024-01-02", None]

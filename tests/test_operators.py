@@ -221,3 +221,9 @@ def test_pivots(spark):
     assert sorted(rows(wide.selectExpr("s", "CAST(A AS DOUBLE)", "CAST(B AS DOUBLE)", "C"))) == [
         ("s", 1.5, None, None), ("t", None, 3.0, None),
     ]
+
+
+def test_no_stage_is_left_to_the_interpreter(spark):
+    """The JVM compiles no method beyond 8,000 bytes; a stage that needs one runs by operator."""
+    session = storage.configure(spark.newSession())
+    assert int(session.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
